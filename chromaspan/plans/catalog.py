@@ -1,4 +1,495 @@
-"""The registered queries and their SQL."""
+"""The registered queries of the design-token operators and their SQL on the same tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from chromaspan.functions import color, text
+from chromaspan.operators import audit, brand, drift, extract, merge
+from chromaspan.sources import pages as page_ops
+from chromaspan.streaming import captures
+
+from .bridge import CONTEXT, OBS, TYPE, observations, table, type_observations
 
 QUERIES: dict = {}
-ORACLES: dict = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+# ---- histograms and statistics of a site's elements
+
+SPACING = f"""{OBS}, sp AS (SELECT site, px, count(*) AS n FROM obs WHERE px > 0 GROUP BY ALL),
+sr AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY n DESC, px) AS rank FROM sp), spacing AS (SELECT * FROM sr WHERE rank <= 20),
+scale AS (SELECT site, CASE WHEN bool_or(px % 8 = 0) THEN 'base-8' WHEN bool_or(px % 4 = 0) THEN 'base-4' ELSE 'custom' END AS scale FROM spacing GROUP BY site)"""
+
+
+@query(f"WITH {SPACING} SELECT site, px, n, rank FROM spacing")
+def spacing_histogram(spark: SparkSession, sf: str) -> DataFrame:
+    return extract.spacing_histogram(observations(spark, sf))
+
+
+@query(f"WITH {SPACING} SELECT site, scale FROM scale")
+def spacing_scale(spark, sf):
+    return extract.spacing_scale(extract.spacing_histogram(observations(spark, sf)))
+
+
+RADIUS = f"""{OBS}, rad AS (SELECT site, radius, count(*) AS n, array_to_string(list_sort(list_distinct(list(tag)))[1:5], ',') AS elements,
+CASE WHEN count(*) > 10 THEN 'high' WHEN count(*) > 3 THEN 'medium' ELSE 'low' END AS confidence FROM obs GROUP BY site, radius)"""
+
+
+@query(f"WITH {RADIUS} SELECT * FROM rad")
+def radius_histogram(spark, sf):
+    return extract.radius_histogram(observations(spark, sf))
+
+
+@query(f"WITH {OBS} SELECT site, width, CASE WHEN width > 2 THEN 'dashed' ELSE 'solid' END AS style, hex, count(*) AS n, CASE WHEN count(*) > 10 THEN 'high' WHEN count(*) > 3 THEN 'medium' ELSE 'low' END AS confidence FROM obs GROUP BY site, width, hex")
+def border_combinations(spark, sf):
+    return extract.border_combinations(observations(spark, sf))
+
+
+@query(f"""WITH {OBS}, s AS (SELECT site, '0px ' || width || 'px ' || radius || 'px ' || hex AS shadow, radius AS blur FROM obs)
+SELECT site, shadow, count(*) AS n, CASE WHEN count(*) > 5 THEN 'high' WHEN count(*) > 2 THEN 'medium' ELSE 'low' END AS confidence, blur FROM s GROUP BY site, shadow, blur""")
+def shadow_histogram(spark, sf):
+    return extract.shadow_histogram(observations(spark, sf))
+
+
+def _lin(c: str) -> str:
+    return f"(CASE WHEN {c} / 255.0::DOUBLE <= 0.04045 THEN {c} / 255.0::DOUBLE / 12.92 ELSE pow(({c} / 255.0::DOUBLE + 0.055) / 1.055, 2.4) END)"
+
+
+CH = """CAST('0x' || substr(hex, 2, 2) AS INT) AS r, CAST('0x' || substr(hex, 4, 2) AS INT) AS g, CAST('0x' || substr(hex, 6, 2) AS INT) AS b"""
+LUM = f"(0.2126::DOUBLE * {_lin('r')} + 0.7152::DOUBLE * {_lin('g')} + 0.0722::DOUBLE * {_lin('b')})"
+STATS = f"""{OBS}, st0 AS (SELECT site, hex, count(*) AS n, count(*) FILTER (is_bg) AS bg, CAST(sum(score) AS BIGINT) AS score, bool_or(is_token) AS is_token FROM obs GROUP BY site, hex),
+st AS (SELECT *, CAST(floor(n / CAST(sum(n) OVER (PARTITION BY site) AS DOUBLE) * 1000000 + 0.5) AS BIGINT) AS share, CAST(sum(n) OVER (PARTITION BY site) AS BIGINT) AS total FROM st0),
+ch AS (SELECT *, {CH} FROM st),
+cs AS (SELECT *, CASE WHEN greatest(r, g, b) = 0 THEN 0 ELSE (greatest(r, g, b) - least(r, g, b)) / greatest(r, g, b)::DOUBLE END AS sat, {LUM} AS lum FROM ch)"""
+PALETTE = f"""{STATS}, p0 AS (SELECT *, CASE WHEN is_token THEN CASE WHEN score > 5 THEN 'high' ELSE 'medium' END WHEN score > 20 THEN 'high' WHEN score > 5 THEN 'medium' ELSE 'low' END AS c0 FROM cs
+WHERE (is_token OR score >= 10 OR score >= 3 * n OR n >= greatest(3, floor(total * 0.01::DOUBLE)))
+  AND NOT (NOT is_token AND ((n * 100 > 40 * total AND score < 1.2::DOUBLE * n AND sat <= 0.2) OR (bg = 0 AND score < 1.5::DOUBLE * n AND sat > 0.3)))),
+p1 AS (SELECT *, CASE WHEN c0 = 'high' AND n < 3 THEN CASE WHEN n >= 2 THEN 'medium' ELSE 'low' END WHEN c0 = 'medium' AND n < 2 THEN 'low' ELSE c0 END AS confidence FROM p0),
+palette AS (SELECT site, hex, n, score, confidence, CASE WHEN lum > 0.9 OR lum < 0.005 THEN 'surface' WHEN sat < 0.12 THEN 'neutral' WHEN confidence IN ('high', 'medium') THEN 'accent' ELSE 'supporting' END AS role,
+  CASE WHEN 1.05 / (lum + 0.05) >= (lum + 0.05) / 0.05 THEN '#ffffff' ELSE '#000000' END AS on_color, lum, r, g, b FROM p1)"""
+
+
+@query(f"WITH {STATS} SELECT site, hex, n, bg, score, is_token, share FROM st")
+def color_statistics(spark, sf):
+    return extract.color_statistics(observations(spark, sf))
+
+
+def _palette(spark, sf):
+    return extract.palette(extract.color_statistics(observations(spark, sf)))
+
+
+@query(f"WITH {PALETTE} SELECT site, hex, n, score, confidence, role, on_color FROM palette")
+def palette_admission(spark, sf):
+    return _palette(spark, sf)
+
+
+@query(f"WITH {STATS} SELECT site, hex, n FROM st WHERE n >= 5")
+def raw_colors(spark, sf):
+    return extract.color_statistics(observations(spark, sf)).where("n >= 5").select("site", "hex", "n")
+
+
+PRIMARY = "pr AS (SELECT site, hex, n, n + CASE WHEN is_token THEN 20 ELSE 0 END AS points FROM cs WHERE sat > 0.3 QUALIFY row_number() OVER (PARTITION BY site ORDER BY n + CASE WHEN is_token THEN 20 ELSE 0 END DESC, hex) = 1)"
+
+
+@query(f"WITH {STATS}, {PRIMARY} SELECT * FROM pr")
+def primary_colors(spark, sf):
+    return extract.primary_colors(extract.color_statistics(observations(spark, sf)))
+
+
+def _f(t: str) -> str:
+    return f"(CASE WHEN {t} > 0.008856 THEN pow({t}, 1.0::DOUBLE / 3) ELSE (903.3::DOUBLE * {t} + 16) / 116 END)"
+
+
+_X = f"((0.4124564::DOUBLE * {_lin('r')} + 0.3575761::DOUBLE * {_lin('g')} + 0.1804375::DOUBLE * {_lin('b')}) / 0.95047::DOUBLE)"
+_Y = f"(0.2126729::DOUBLE * {_lin('r')} + 0.7151522::DOUBLE * {_lin('g')} + 0.0721750::DOUBLE * {_lin('b')})"
+_Z = f"((0.0193339::DOUBLE * {_lin('r')} + 0.1191920::DOUBLE * {_lin('g')} + 0.9503041::DOUBLE * {_lin('b')}) / 1.08883::DOUBLE)"
+LAB = f"{OBS}, h AS (SELECT DISTINCT hex, {CH} FROM obs), lab AS (SELECT hex, {LUM} AS lum, 116 * {_f(_Y)} - 16 AS l, 500 * ({_f(_X)} - {_f(_Y)}) AS a, 200 * ({_f(_Y)} - {_f(_Z)}) AS bb FROM h)"
+
+
+@query(f"WITH {LAB} SELECT hex, CAST(floor(lum * 100000 + 0.5) AS BIGINT) AS lum, CAST(floor(l * 1000 + 0.5) AS BIGINT) AS l, CAST(floor(a * 1000 + 0.5) AS BIGINT) AS a, CAST(floor(bb * 1000 + 0.5) AS BIGINT) AS b, CAST(floor(1.05::DOUBLE / (lum + 0.05) * 100 + 0.5) AS BIGINT) AS on_white FROM lab")
+def color_math(spark, sf):
+    once = observations(spark, sf).select("hex").distinct()
+    lab, lum = color.lab(F.col("hex")), color.luminance(F.col("hex"))
+    return once.select("hex", text.scaled(lum, 100000).alias("lum"), text.scaled(lab["l"]).alias("l"), text.scaled(lab["a"]).alias("a"), text.scaled(lab["b"]).alias("b"), text.scaled(color.contrast(lum, F.lit(1.0)), 100).alias("on_white"))
+
+
+@query(f"WITH {LAB}, u AS (SELECT DISTINCT site, hex FROM obs) SELECT x.site, x.hex AS one, y.hex AS two, CAST(floor(sqrt(pow(p.l - q.l, 2) + pow(p.a - q.a, 2) + pow(p.bb - q.bb, 2)) * 1000 + 0.5) AS BIGINT) AS delta FROM u x JOIN u y ON x.site = y.site AND x.hex < y.hex JOIN lab p ON p.hex = x.hex JOIN lab q ON q.hex = y.hex WHERE sqrt(pow(p.l - q.l, 2) + pow(p.a - q.a, 2) + pow(p.bb - q.bb, 2)) < 15")
+def near_colors(spark, sf):
+    once = observations(spark, sf).select("site", "hex").distinct().withColumn("lab", color.lab(F.col("hex")))
+    a, b = once.alias("a"), once.alias("b")
+    delta = color.delta_e(F.col("a.lab"), F.col("b.lab"))
+    return a.join(b, (F.col("a.site") == F.col("b.site")) & (F.col("a.hex") < F.col("b.hex"))).where(delta < 15).select(F.col("a.site").alias("site"), F.col("a.hex").alias("one"), F.col("b.hex").alias("two"), text.scaled(delta).alias("delta"))
+
+
+@query()
+def near_identical_colors(spark, sf):
+    return audit.near_identical(_palette(spark, sf), 6.0)
+
+
+WCAG = f"""{PALETTE}, ten AS (SELECT * FROM palette QUALIFY row_number() OVER (PARTITION BY site ORDER BY n DESC, hex) <= 10),
+wp AS (SELECT f.site, f.hex AS fg, k.hex AS bg, (f.lum + 0.05) / (k.lum + 0.05) AS ratio FROM ten f JOIN ten k ON f.site = k.site AND (f.lum > k.lum OR (f.lum = k.lum AND f.hex < k.hex)))"""
+
+
+@query(f"WITH {WCAG} SELECT site, fg, bg, CAST(floor(ratio * 100 + 0.5) AS BIGINT) AS ratio, ratio >= 4.5 AS aa, ratio >= 3 AS aa_large, ratio >= 7 AS aaa FROM wp")
+def palette_contrast(spark, sf):
+    return audit.palette_contrast(_palette(spark, sf))
+
+
+PAIRS = f"""{OBS}, fb AS (SELECT a.site, least(a.hex, b.hex) AS one, greatest(a.hex, b.hex) AS two, count(*) AS n FROM obs a JOIN obs b ON a.page_id = b.page_id AND a.site = b.site AND b.ord = a.ord + 1 GROUP BY ALL)"""
+
+
+@query(f"WITH {PAIRS} SELECT *, row_number() OVER (PARTITION BY site ORDER BY n DESC, one, two) AS rank FROM fb QUALIFY rank <= 50")
+def observed_contrast_pairs(spark, sf):
+    obs = observations(spark, sf)
+    below = obs.select("site", "page_id", (F.col("ord") - 1).alias("ord"), F.col("hex").alias("bg"))
+    return merge.contrast_pairs(obs.join(below, ["site", "page_id", "ord"]).select("site", F.col("hex").alias("fg"), "bg", F.lit(1).cast("long").alias("n")))
+
+
+@query()
+def leader_clusters(spark, sf):
+    obs = observations(spark, sf)
+    return merge.leader_clusters(obs.groupBy("site", "hex").agg(F.count("*").alias("n"), F.min("ord").alias("ord")))
+
+
+@query()
+def merged_palettes(spark, sf):
+    obs = observations(spark, sf)
+    return merge.palettes(obs.groupBy("site", "page_id", "hex").agg(F.count("*").alias("n"), F.min("ord").alias("ord")))
+
+
+# ---- type
+
+STYLES = f"{TYPE}, styles AS (SELECT site, {CONTEXT} AS context, family, size, weight, count(*) AS n, min(ord) AS first FROM typ GROUP BY ALL)"
+
+
+@query(f"WITH {STYLES} SELECT * FROM styles")
+def type_styles(spark, sf):
+    return extract.type_styles(type_observations(spark, sf))
+
+
+@query(f"WITH {TYPE}, b AS (SELECT site, family, CAST(sum(size) AS BIGINT) AS weight, min(ord) AS first FROM typ WHERE size BETWEEN 11 AND 24 AND tag = 'P' GROUP BY ALL) SELECT site, family, weight FROM b QUALIFY row_number() OVER (PARTITION BY site ORDER BY weight DESC, first) = 1")
+def body_family(spark, sf):
+    return extract.body_family(type_observations(spark, sf))
+
+
+@query(f"WITH {TYPE}, f AS (SELECT site, family, count(*) AS n FROM typ GROUP BY ALL), g AS (SELECT *, n >= 3 AND n >= 0.02::DOUBLE * sum(n) OVER (PARTITION BY site) AS good FROM f) SELECT site, family, n, good OR NOT max(good) OVER (PARTITION BY site) AS kept FROM g")
+def family_floor(spark, sf):
+    return extract.family_floor(type_observations(spark, sf))
+
+
+@query(f"WITH {STYLES} SELECT site, family, size, weight, count(*) AS n, arg_min(context, struct_pack(a := first, b := context)) AS context FROM styles GROUP BY ALL")
+def merged_typography(spark, sf):
+    return merge.typography(extract.type_styles(type_observations(spark, sf)).withColumn("page_ord", F.col("first")))
+
+
+@query(f"""WITH {STYLES}, k AS (SELECT site, size, weight, list_sort(list_distinct(list(context))) AS roles FROM styles GROUP BY ALL)
+SELECT site, size, weight, array_to_string(roles[1:4], ',') AS roles FROM k WHERE len(roles) >= 2 AND (len(list_filter(roles, lambda x: regexp_matches(x, 'heading|display|title'))) >= 2
+OR (len(list_filter(roles, lambda x: regexp_matches(x, 'heading|display|title'))) >= 1 AND len(list_filter(roles, lambda x: regexp_matches(x, 'body|text|paragraph'))) >= 1))""")
+def hierarchy_collisions(spark, sf):
+    return audit.hierarchy_collisions(extract.type_styles(type_observations(spark, sf)))
+
+
+# ---- pages of a site merged
+
+@query(f"WITH {OBS}, p AS (SELECT site, page_id, px, count(*) AS n FROM obs GROUP BY ALL) SELECT site, px, CAST(sum(n) AS BIGINT) AS n, count(*) AS pages FROM p GROUP BY ALL")
+def merged_spacing(spark, sf):
+    return merge.spacing(observations(spark, sf).groupBy("site", "page_id", "px").agg(F.count("*").alias("n")))
+
+
+@query(f"WITH {OBS}, p AS (SELECT site, page_id, radius, count(*) AS n FROM obs GROUP BY ALL) SELECT site, radius, CAST(sum(n) AS BIGINT) AS n, CASE WHEN sum(n) > 10 THEN 'high' WHEN sum(n) > 3 THEN 'medium' ELSE 'low' END AS confidence FROM p GROUP BY ALL")
+def merged_radii(spark, sf):
+    return merge.radii(observations(spark, sf).groupBy("site", "page_id", "radius").agg(F.count("*").alias("n")).withColumn("confidence", F.lit("low")))
+
+
+@query(f"WITH {OBS} SELECT site, array_to_string(list_reverse(list_sort(list_distinct(list(px * 16))))[1:12], ',') AS breakpoints FROM obs GROUP BY site")
+def merged_breakpoints(spark, sf):
+    return merge.breakpoints(observations(spark, sf).select("site", (F.col("px") * 16).alias("px")))
+
+
+@query(f"WITH {OBS} SELECT site, tag, arg_min(hex, struct_pack(a := page_id, b := ord, c := hex)) AS hex FROM obs GROUP BY ALL")
+def merged_semantic(spark, sf):
+    return merge.first_wins(observations(spark, sf), ["site", "tag"], "hex", ["page_id", "ord", "hex"])
+
+
+@query("""WITH e AS (SELECT event_type AS context, ['linear', 'ease', 'ease-in', 'ease-out', 'spring'][user_id % 5 + 1] AS easing, CAST(floor(value * 10) AS BIGINT) AS ms FROM events),
+m AS (SELECT context, easing, count(*) AS n, min(ms) AS ms FROM e GROUP BY ALL) SELECT *, row_number() OVER (PARTITION BY context ORDER BY n DESC, easing) AS rank FROM m QUALIFY rank <= 8""")
+def motion_profile(spark, sf):
+    raw = F.element_at(F.array(*map(F.lit, ("linear", "ease", "cubic-bezier(0.7, 0.1, 0.9, 0.5)", "cubic-bezier(0.1, 0.1, 0.9, 0.5)", "cubic-bezier(0.3, 1.4, 0.9, 0.5)"))), (F.col("user_id") % 5 + 1).cast("int"))
+    rows = table(spark, sf, "events").select(F.col("event_type").alias("context"), text.easing_class(raw).alias("easing"), F.floor(F.col("value") * 10).alias("ms"))
+    return extract.motion(rows)
+
+
+# ---- drift
+
+def _captures(spark, sf):
+    return observations(spark, sf).select("site", F.concat_ws("@", "site", "capture").alias("snapshot_id"), "capture").distinct()
+
+
+def _tokens(spark, sf):
+    """Tokens of each site and month: its most used colours, spacings, radii, type styles, shadows, and a primary."""
+    obs = observations(spark, sf).withColumn("snapshot_id", F.concat_ws("@", "site", "capture"))
+    key = ["snapshot_id"]
+
+    def part(value, category, num, most):
+        rows = obs.select("snapshot_id", value.alias("value"), num.alias("num")).groupBy("snapshot_id", "value").agg(F.count("*").alias("n"), F.first("num").alias("num"))
+        best = extract.top(rows, key, [F.desc("n"), "value"], most)
+        return best.select("snapshot_id", F.lit(category).alias("category"), F.col("rank").alias("ord"), F.lit(None).cast("string").alias("key"), "value", F.col("num").cast("double").alias("num"), F.lit("high").alias("confidence"))
+
+    none = F.lit(None).cast("double")
+    colors = part(F.col("hex"), "color", none, 12)
+    spaces = part(F.col("px").cast("string"), "spacing", F.col("px"), 10)
+    radii = part(F.col("radius").cast("string"), "radius", F.col("radius"), 6)
+    shadow = part(F.concat(F.lit("0 "), F.col("width").cast("string"), F.lit("px "), F.col("radius").cast("string"), F.lit("px")), "shadow", none, 5)
+    styles = part(F.concat_ws("/", "tag", (F.col("width") * 100).cast("string"), F.col("px").cast("string")), "typography", F.col("px"), 8).withColumn("key", F.substring_index("value", "/", 1))
+    primary = colors.where("ord = 1").withColumn("category", F.lit("semantic")).withColumn("key", F.lit("primary"))
+    return colors.union(spaces).union(radii).union(shadow).union(styles).union(primary)
+
+
+CAPTURES = f"{OBS}, cap AS (SELECT DISTINCT site, site || '@' || capture AS snapshot_id, capture FROM obs), pairs AS (SELECT * FROM (SELECT lag(snapshot_id) OVER (PARTITION BY site ORDER BY capture) AS base_id, snapshot_id AS cand_id FROM cap) WHERE base_id IS NOT NULL)"
+
+
+@query(f"WITH {CAPTURES} SELECT base_id || '>' || cand_id AS pair_id, base_id, cand_id FROM pairs")
+def capture_pairs(spark, sf):
+    return drift.previous_pairs(_captures(spark, sf))
+
+
+def _both(spark, sf):
+    return drift.sides(drift.previous_pairs(_captures(spark, sf)), _tokens(spark, sf))
+
+
+SHADOW = f"""{CAPTURES}, sh AS (SELECT site || '@' || capture AS snapshot_id, '0 ' || width || 'px ' || radius || 'px' AS value, count(*) AS n FROM obs GROUP BY ALL),
+top AS (SELECT snapshot_id, value FROM sh QUALIFY row_number() OVER (PARTITION BY snapshot_id ORDER BY n DESC, value) <= 5),
+gone AS (SELECT base_id || '>' || cand_id AS pair_id, 'removed' AS kind, value FROM pairs JOIN top ON snapshot_id = base_id WHERE NOT EXISTS (SELECT 1 FROM top t WHERE t.snapshot_id = cand_id AND t.value = top.value)),
+new AS (SELECT base_id || '>' || cand_id AS pair_id, 'added' AS kind, value FROM pairs JOIN top ON snapshot_id = cand_id WHERE NOT EXISTS (SELECT 1 FROM top t WHERE t.snapshot_id = base_id AND t.value = top.value))"""
+
+
+@query(f"WITH {SHADOW} SELECT pair_id, kind, value, count(*) AS n FROM (SELECT * FROM gone UNION ALL SELECT * FROM new) GROUP BY ALL")
+def drift_shadows(spark, sf):
+    return drift.shadow_changes(_both(spark, sf))
+
+
+@query(f"""WITH {CAPTURES}, hx AS (SELECT site || '@' || capture AS snapshot_id, hex, count(*) AS n FROM obs GROUP BY ALL),
+one AS (SELECT snapshot_id, hex FROM hx QUALIFY row_number() OVER (PARTITION BY snapshot_id ORDER BY n DESC, hex) = 1)
+SELECT base_id || '>' || cand_id AS pair_id, 'primary' AS label, 'changed' AS kind, b.hex AS before, c.hex AS after FROM pairs JOIN one b ON b.snapshot_id = base_id JOIN one c ON c.snapshot_id = cand_id WHERE b.hex <> c.hex""")
+def drift_semantic(spark, sf):
+    return drift.semantic_changes(_both(spark, sf)).drop("delta")
+
+
+def _drift(spark, sf):
+    both = _both(spark, sf)
+    changed = drift.changes(both)
+    return both, changed
+
+
+@query()
+def drift_changes(spark, sf):
+    return _drift(spark, sf)[1]
+
+
+@query()
+def drift_categories(spark, sf):
+    return drift.categories(*_drift(spark, sf))
+
+
+@query()
+def drift_reports(spark, sf):
+    """Flagship: the drift of every site's month against its month before."""
+    return drift.reports(drift.categories(*_drift(spark, sf)))
+
+
+@query()
+def drift_annotations(spark, sf):
+    return drift.annotations(_drift(spark, sf)[1])
+
+
+@query()
+def gate_rollup(spark, sf):
+    return drift.gate(drift.reports(drift.categories(*_drift(spark, sf))), F.substring_index("pair_id", "@", -1))
+
+
+META = "CASE WHEN hash_ % 3 = 0 THEN 1280 ELSE 1920 END"
+
+
+@query(f"""WITH {CAPTURES}, m AS (SELECT site, snapshot_id, CAST(replace(capture, '-', '') AS INT) AS k FROM cap),
+x AS (SELECT base_id || '>' || cand_id AS pair_id, b.k AS bk, c.k AS ck FROM pairs JOIN m b ON b.snapshot_id = base_id JOIN m c ON c.snapshot_id = cand_id)
+SELECT pair_id, 'viewport' AS warning FROM x WHERE (bk % 3 = 0) <> (ck % 3 = 0) UNION ALL
+SELECT pair_id, 'page' FROM x WHERE (bk % 5 = 0) <> (ck % 5 = 0) UNION ALL
+SELECT pair_id, 'dark-mode' FROM x WHERE (bk % 7 = 0) <> (ck % 7 = 0) UNION ALL
+SELECT pair_id, 'fonts' FROM x WHERE bk % 11 = 0 OR ck % 11 = 0 UNION ALL
+SELECT pair_id, 'degraded' FROM x WHERE bk % 4 = 1 OR ck % 4 = 1""")
+def comparison_warnings(spark, sf):
+    c = _captures(spark, sf)
+    k = F.regexp_replace("capture", "-", "").cast("int")
+    www = F.when(k % 2 == 0, "https://www.").otherwise("https://")
+    url = F.concat(www, F.col("site").cast("string"), F.lit(".example.com"), F.when(k % 5 == 0, "/fi/").otherwise("/"))
+    meta = c.select("snapshot_id", url.alias("url"), F.when(k % 3 == 0, 1280).otherwise(1920).alias("width"), (k % 7 == 0).alias("dark"), F.lit(False).alias("mobile"), (k % 11 != 0).alias("fonts_ready"), F.when(k % 4 == 1, F.array(F.lit("colors"))).otherwise(F.array().cast("array<string>")).alias("degraded"))
+    return drift.warnings(drift.previous_pairs(c), meta)
+
+
+# ---- findings, documents, reports
+
+@query(f"WITH {SPACING} SELECT s.site, s.px FROM spacing s JOIN scale USING (site) WHERE (scale = 'base-8' AND px >= 8 AND px % 8 <> 0) OR (scale = 'base-4' AND px >= 4 AND px % 4 <> 0)")
+def off_grid_spacing(spark, sf):
+    h = extract.spacing_histogram(observations(spark, sf))
+    return audit.off_grid(h, extract.spacing_scale(h))
+
+
+@query()
+def finding_scores(spark, sf):
+    obs = observations(spark, sf)
+    h, stats = extract.spacing_histogram(obs), extract.color_statistics(obs)
+    styles = extract.type_styles(type_observations(spark, sf))
+    return audit.finding_scores(obs.select("site").distinct(), audit.near_identical(extract.palette(stats)), audit.hierarchy_collisions(styles), audit.off_grid(h, extract.spacing_scale(h)), extract.primary_colors(stats))
+
+
+TOKENS = f"""{PALETTE}, sp AS (SELECT site, px, count(*) AS n FROM obs WHERE px > 0 GROUP BY ALL), rd AS (SELECT site, radius, count(*) AS n FROM obs GROUP BY ALL),
+tk AS (SELECT site, 'color.palette.' || row_number() OVER (PARTITION BY site ORDER BY n DESC, hex) AS path, 'color' AS type, hex AS value, row_number() OVER (PARTITION BY site ORDER BY n DESC, hex) AS k, 30 AS most FROM palette WHERE confidence <> 'low' UNION ALL
+SELECT site, 'spacing.' || row_number() OVER (PARTITION BY site ORDER BY n DESC, px), 'dimension', px || 'px', row_number() OVER (PARTITION BY site ORDER BY n DESC, px), 12 FROM sp UNION ALL
+SELECT site, 'radius.' || row_number() OVER (PARTITION BY site ORDER BY n DESC, radius), 'dimension', radius || 'px', row_number() OVER (PARTITION BY site ORDER BY n DESC, radius), 6 FROM rd),
+tokens AS (SELECT site, path, type, value FROM tk WHERE k <= most)"""
+
+
+def _document(spark, sf):
+    obs = observations(spark, sf)
+    return audit.design_tokens(_palette(spark, sf), extract.spacing_histogram(obs).drop("rank"), extract.radius_histogram(obs))
+
+
+@query(f"WITH {TOKENS} SELECT * FROM tokens")
+def design_token_document(spark, sf):
+    return _document(spark, sf)
+
+
+@query(f"WITH {TOKENS} SELECT site, type, count(*) AS n FROM tokens GROUP BY ROLLUP (site, type)")
+def report_counts(spark, sf):
+    return audit.report_counts(_document(spark, sf))
+
+
+@query(f"""WITH {TOKENS}, v AS (SELECT path, type, CASE WHEN k % 7 = 0 THEN replace(value, 'px', 'em') WHEN k % 11 = 0 THEN replace(value, '#', '') ELSE value END AS value, site FROM (SELECT *, CAST(regexp_extract(path, '([0-9]+)$', 1) AS INT) AS k FROM tokens))
+SELECT site AS doc_id, path, type, value, type AS rule FROM v WHERE (type = 'color' AND NOT regexp_matches(value, '^#')) OR (type = 'dimension' AND NOT regexp_matches(value, '^-?[0-9.]+(px|rem)$'))""")
+def token_violations(spark, sf):
+    k = F.regexp_extract("path", "([0-9]+)$", 1).cast("int")
+    rows = _document(spark, sf).select(F.col("site").alias("doc_id"), "path", "type", F.when(k % 7 == 0, F.replace("value", F.lit("px"), F.lit("em"))).when(k % 11 == 0, F.replace("value", F.lit("#"), F.lit(""))).otherwise(F.col("value")).alias("value"))
+    return audit.violations(rows)
+
+
+@query(f"""WITH {OBS}, t AS (SELECT DISTINCT site AS doc_id, CAST(px AS INT) AS k FROM obs)
+SELECT doc_id, 'a.' || k AS path, '1px' AS value, 'ok' AS state FROM t WHERE list_contains(range(k - k % 5, k + 1), k) AND (SELECT count(*) FROM t u WHERE u.doc_id = t.doc_id AND u.k BETWEEN t.k - t.k % 5 AND t.k) = t.k % 5 + 1""")
+def resolved_aliases(spark, sf):
+    k = F.col("px").cast("int")
+    rows = observations(spark, sf).select(F.col("site").alias("doc_id"), k.alias("k")).distinct()
+    tokens = rows.select("doc_id", F.concat(F.lit("a."), F.col("k").cast("string")).alias("path"), F.when(F.col("k") % 5 == 0, "1px").otherwise(F.concat(F.lit("{a."), (F.col("k") - 1).cast("string"), F.lit("}"))).alias("value"))
+    return audit.resolve_aliases(tokens).where("state = 'ok'")
+
+
+@query()
+def theme_tokens(spark, sf):
+    return audit.theme_tokens(_palette(spark, sf), extract.spacing_histogram(observations(spark, sf)))
+
+
+@query("""SELECT o_orderkey AS id, CASE WHEN o_orderkey % 5 = 0 THEN CASE WHEN o_custkey % 2 = 0 THEN 'legacy' ELSE 'unknown' END
+WHEN o_orderkey % 4 = 2 THEN CASE WHEN o_custkey % 10 = 3 THEN 'current' ELSE 'compatible' END WHEN o_orderkey % 4 < 2 THEN 'outdated' ELSE 'ahead' END AS status FROM orders""")
+def schema_status(spark, sf):
+    o = table(spark, sf, "orders")
+    found = F.when(F.col("o_orderkey") % 5 != 0, F.concat((F.col("o_orderkey") % 4).cast("string"), F.lit("."), (F.col("o_custkey") % 10).cast("string"), F.lit(".0")))
+    return o.select(F.col("o_orderkey").alias("id"), text.compatibility(found, F.when(F.col("o_custkey") % 2 == 0, "0.22.0"), "2.3.0").alias("status"))
+
+
+# ---- landed pages
+
+@query("""WITH l AS (SELECT page_id, html, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS path, array_to_string(regexp_extract_all(html, '(?s)<(?:nav|header|footer)[ >].*?</(?:nav|header|footer)>'), '') AS nav FROM pages),
+m AS (SELECT page_id, path, max(CASE WHEN list_contains(regexp_extract_all(nav, '<a href="([^"]*)"', 1), path) THEN 2 ELSE 1 END) AS place FROM l WHERE path LIKE '/%' AND path <> '/' GROUP BY ALL),
+s AS (SELECT page_id, path, place, CASE WHEN regexp_matches(lower(path), '/(login|signin|sign-in|signup|sign-up|register|auth)|/(terms|privacy|legal|cookie|gdpr|tos)|/(cdn-cgi|wp-admin|wp-content|wp-json)|\\.(pdf|jpg|jpeg|png|gif|svg|webp|zip|tar|gz|mp4|mp3)$|/tag/|/author/|/page/[0-9]+|\\?') THEN -1
+ ELSE 100 - 10 * (length(path) - length(replace(path, '/', ''))) + CASE WHEN regexp_matches(lower(path), '^/(pricing|plans?|cost)') THEN 30 WHEN regexp_matches(lower(path), '^/(about|company|team|story)') THEN 25 WHEN regexp_matches(lower(path), '^/(product|features?|solutions?)') THEN 25
+ WHEN regexp_matches(lower(path), '^/(enterprise|business|platform)') THEN 20 WHEN regexp_matches(lower(path), '^/(contact|demo|trial|start)') THEN 20 WHEN regexp_matches(lower(path), '^/(docs|documentation|developers?|api)') THEN 15 WHEN regexp_matches(lower(path), '^/(blog|resources|insights|news)') THEN 10 ELSE 0 END END AS base FROM m)
+SELECT page_id, path, CAST(base + 5 * place AS BIGINT) AS score, row_number() OVER (PARTITION BY page_id ORDER BY base + 5 * place DESC, path) AS rank FROM s WHERE base >= 0 QUALIFY rank <= 20""")
+def page_links(spark, sf):
+    return page_ops.links(table(spark, sf, "pages"))
+
+
+@query("""WITH t AS (SELECT page_id, trim(regexp_extract(html, '<title>([^<]*)</title>', 1)) AS t, html FROM pages), u AS (SELECT page_id, trim(string_split_regex(t, '[|–—·]')[1]) AS t FROM t)
+SELECT page_id, CASE WHEN length(t) BETWEEN 2 AND 39 THEN t END AS name FROM u""")
+def site_names(spark, sf):
+    return page_ops.site_names(table(spark, sf, "pages"))
+
+
+@query("""WITH p AS (SELECT page_id, regexp_replace(lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#]+)', 1)), '^www[.]', '') AS host, regexp_extract(url, '^[a-zA-Z]+://[^/?#]+([^?#]*)', 1) AS p FROM pages)
+SELECT page_id, host || regexp_replace(CASE WHEN p = '' THEN '/' ELSE p END, '/+$', '') AS identity FROM p""")
+def page_identity(spark, sf):
+    return table(spark, sf, "pages").select("page_id", text.page_identity(F.col("url")).alias("identity"))
+
+
+@query("""SELECT page_id, 'plain-ads' AS mark, CAST((length(html) - length(replace(html, 'class="ad"', ''))) // 10 AS BIGINT) AS n FROM pages WHERE html LIKE '%class="ad"%'""")
+def page_fingerprints(spark, sf):
+    return page_ops.fingerprints(table(spark, sf, "pages"))
+
+
+@query("""SELECT page_id, 'p' AS selector, 'margin' AS property, '0' AS value FROM pages WHERE html LIKE '%<style>p{margin:0}</style>%'""")
+def page_css_rules(spark, sf):
+    return page_ops.css_rules(table(spark, sf, "pages")).drop("ord")
+
+
+@query()
+def page_elements(spark, sf):
+    """Elements per page and tag, with the deepest place of each."""
+    return page_ops.elements(table(spark, sf, "pages")).groupBy("page_id", "tag").agg(F.count("*").alias("n"), F.max("depth").alias("deepest"))
+
+
+@query("""WITH p AS (SELECT page_id, regexp_replace(lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#]+)', 1)), '^www[.]', '') AS host, regexp_extract(url, '^[a-zA-Z]+://[^/?#]+([^?#]*)', 1) AS path FROM pages)
+SELECT page_id, host, CASE WHEN path = '' THEN '/' ELSE path END AS path, NOT (path LIKE '/fr/%' OR path LIKE '/de/%') OR path LIKE '/fr/1%' OR path LIKE '/de/%1' AS allowed FROM p""")
+def robots_verdicts(spark, sf):
+    urls = table(spark, sf, "pages").select("page_id", text.host(F.col("url")).alias("host"), text.path(F.col("url")).alias("path"))
+    body = "User-agent: other\nDisallow: /\n\nUser-agent: *\n# comment\nDisallow: /fr/\nAllow: /fr/1\nDisallow: /de/\nAllow: /de/*1$\n"
+    return page_ops.robots_allowed(urls, page_ops.robots_rules(urls.select("host").distinct().withColumn("body", F.lit(body))))
+
+
+@query("""SELECT event_id, CASE WHEN event_type = 'error' THEN 'retryable' ELSE 'failure' END AS class FROM events""")
+def crawl_error_classes(spark, sf):
+    said = F.when(F.col("event_type") == "error", "net::ERR_TIMED_OUT").otherwise(F.col("event_type"))
+    return table(spark, sf, "events").select("event_id", text.crawl_error(said).alias("class"))
+
+
+# ---- timelines
+
+def _usage(spark, sf):
+    return table(spark, sf, "events").select(F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").alias("site"), F.col("event_type").alias("token"), F.floor(F.col("value") * 100).alias("value"))
+
+
+@query("SELECT date_trunc('hour', ts) AS start, event_type AS token, count(*) AS n, CAST(sum(CAST(floor(value * 100) AS BIGINT)) AS BIGINT) AS total FROM events GROUP BY ALL")
+def usage_timeline(spark, sf):
+    out = captures.timeline(_usage(spark, sf))
+    return out.withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query("""WITH e AS (SELECT user_id AS site, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events),
+g AS (SELECT *, sum(new) OVER (PARTITION BY site ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e)
+SELECT site, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS "end", count(*) AS n FROM g GROUP BY site, k""")
+def capture_sessions(spark, sf):
+    out = captures.sessions(_usage(spark, sf))
+    return out.select("site", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "n")
+
+
+# ---- brand colours
+
+@query()
+def brand_colors(spark, sf):
+    """The most likely brand colour of each site, by a model fitted on tokens as positive examples."""
+    rows = brand.candidates(extract.color_statistics(observations(spark, sf))).withColumn("label", (F.col("is_token_n") * (F.col("sat") > 0.3).cast("int")).cast("double"))
+    return brand.best(brand.fit(rows).transform(rows))
+
+
+@query(f"WITH {STATS} SELECT site, hex, CAST(floor(sat * 1000 + 0.5) AS BIGINT) AS sat, CAST(floor(lum * 100000 + 0.5) AS BIGINT) AS lum, CAST(floor(bg / n::DOUBLE * 1000 + 0.5) AS BIGINT) AS bg_share FROM cs")
+def brand_features(spark, sf):
+    rows = brand.candidates(extract.color_statistics(observations(spark, sf)))
+    return rows.select("site", "hex", text.scaled(F.col("sat")).alias("sat"), text.scaled(F.col("lum"), 100000).alias("lum"), text.scaled(F.col("bg_share")).alias("bg_share"))
