@@ -38,6 +38,7 @@ class WordEncoder:
         self.bpe = prefix_bpe.prefix_bpe(path)
         self.known: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
 
     def words(self, text: str) -> list[str]:
         return [w for w in WHITE.split(text) if w] if NOT_WHITE.search(text) else text.split()
@@ -46,12 +47,11 @@ class WordEncoder:
         split = [self.words(t) for t in texts]
         known, before = self.known, self.before
         new = set()
-        for w in set().union(*split) if split else ():
-            if w not in known:
-                if (ids := before.get(w)) is None:
-                    new.add(w)
-                else:
-                    known[w] = ids
+        for w in set().union(*split).difference(known) if split else ():
+            if (ids := before.get(w)) is None:
+                new.add(w)
+            else:
+                known[w] = ids
         plain = [w for w in new if len(w) <= prefix_bpe.SHORT and (w.isalpha() or w[-1] in ".,#$%&*!|" and w[:-1].isalpha()) and w.isascii()]
         known.update((w, self.plain_word(w)) for w in plain)
         new.difference_update(plain)
@@ -66,12 +66,18 @@ class WordEncoder:
         """Ids of ASCII letters with at most one sign behind them: one piece, or one piece and the sign's."""
         low = word.lower()
         if low.isalpha():
-            ids = self.bpe.tokens(low.encode())
-        elif len(low) > 1:
-            ids = self.bpe.tokens(low[:-1].encode()) + self.bpe.tokens(low[-1:].encode())
-        else:
-            ids = self.bpe.tokens(low.encode())
-        return struct.pack(f"<{len(ids)}I", *ids)
+            return self.letters(low)
+        return self.letters(low[:-1]) + self.letters(low[-1]) if len(low) > 1 else self.letters(low)
+
+    def letters(self, low: str) -> bytes:
+        """Ids of one piece in lower case; words that differ by case or a sign at the end share it."""
+        ids = self.pieces.get(low)
+        if ids is None:
+            if len(self.pieces) > WORDS_KEPT:
+                self.pieces.clear()
+            found = self.bpe.tokens(low.encode())
+            ids = self.pieces[low] = struct.pack(f"<{len(found)}I", *found)
+        return ids
 
     def encode_words(self, words: list[str]) -> Iterable[tuple[str, bytes]]:
         """The words as one text; where each one's ids begin and end is read from the offsets."""
