@@ -72,22 +72,48 @@ class PrefixCounter:
         """The text cut at special strings; these stand at the odd places and are one token each."""
         return self.special.split(text) if self.special and "<" in text else [text]
 
+    def parts(self, text: str) -> list[str] | None:
+        """The text cut before every space that stands between two characters that are no white space: a piece
+        begins there in the text and in each of its prefixes. None if spaces stand beside other white space."""
+        if DOUBLE.search(text) or text[:1] == " " or WHITE.match(text[-1:]):
+            return None
+        words = text.split(" ")
+        words[1:] = [" " + w for w in words[1:]]
+        return words
+
+    def sizes(self, words: list[str]) -> list[int]:
+        """Tokens of each part; parts met before are not worked out again."""
+        get, before = self.words.get, self.words_before.get
+        return [get(w) or (self.word_again(w, before(w)) if w else 0) for w in words]
+
     def count(self, text: str) -> int:
-        """Tokens of the text. A space between two characters that are no white space begins a piece, so the
-        text is cut there, and parts met before are not worked out again."""
+        """Tokens of the text."""
         total = 0
         for k, part in enumerate(self.segments(text)):
             if k % 2:
                 total += 1
-            elif DOUBLE.search(part) or WHITE.match(part[-1:]) or part[:1] == " ":
-                total += sum(map(self.size, SPLIT.findall(part)))
             elif part:
-                words = part.split(" ")
-                words[1:] = [" " + w for w in words[1:]]
-                get, before = self.words.get, self.words_before.get
-                total += sum([get(w) or self.word_again(w, before(w)) for w in words])
+                words = self.parts(part)
+                total += sum(map(self.size, SPLIT.findall(part)) if words is None else self.sizes(words))
         return total
 
+    def count_and_cut(self, text: str, budget: int) -> tuple[int, int]:
+        """Tokens of the text, and the length of its longest prefix of at most ``budget`` tokens."""
+        words = None if self.special and self.special.search(text) else self.parts(text)
+        if words is None:
+            total = self.count(text)
+            return total, self.cut_near(text, budget, total)
+        sizes = self.sizes(words)
+        total = sum(sizes)
+        if total <= budget:
+            return total, len(text)
+        base = at = 0
+        for word, n in zip(words, sizes, strict=True):
+            if base + n > budget:
+                break
+            base, at = base + n, at + len(word)
+        return total, at + max(k for k, c in enumerate(self._plain(word)) if base + c <= budget)
+
     def word_again(self, word: str, n: int | None) -> int:
         if n is None:
             return self.word(word)
@@ -166,8 +192,7 @@ def token_counts(docs: DataFrame, path: str, budget: int = 1024) -> DataFrame:
         counter = prefix_counter(path)
         for b in batches:
             texts = b.column(1).to_pylist()
-            counts = [counter.count(t) for t in texts]
-            cuts = [counter.cut_near(t, budget, n) for t, n in zip(texts, counts, strict=True)]
+            counts, cuts = zip(*(counter.count_and_cut(t, budget) for t in texts), strict=True) if texts else ((), ())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(counts, pa.int64()), pa.array(cuts, pa.int64())], names=["doc_id", "n_bytes", "n_tokens", "cut_chars"])
 
     rows = common.whole_texts(docs).withColumn("n_bytes", F.octet_length("text").cast("long"))

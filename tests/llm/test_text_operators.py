@@ -43,7 +43,10 @@ def test_prefix_states_on_random_pieces():
     rng = random.Random(2)
     for _ in range(600):
         s = "".join(rng.choice("aabcdethnrevl '\n\t\x1d\x85\xa0.,!1é中🎉") for _ in range(rng.randint(0, 40)))
-        assert counter.count(s) == len(tok.encode(s, add_special_tokens=False).ids), s
+        n = len(tok.encode(s, add_special_tokens=False).ids)
+        assert counter.count(s) == n, s
+        for budget in (0, 2, 6):
+            assert counter.count_and_cut(s, budget) == (n, counter.cut(s, budget)), s
 
 
 def test_empty_tables(spark):
