@@ -120,7 +120,7 @@ def parse_css(text: Column) -> Column:
     pair = lambda k: F.conv(F.substring(wide, 2 * k + 1, 2), 16, 10).cast("int")
     rgb = r"^rgba?\(\s*" + NUMBER + r"\s*[ ,]\s*" + NUMBER + r"\s*[ ,]\s*" + NUMBER + r"\s*(?:[,/]\s*" + NUMBER + r"\s*)?\)$"
     raw = lambda k: F.regexp_extract(t, rgb, k)
-    part = lambda k: F.least(F.lit(255), F.greatest(F.lit(0), F.when(raw(k).endswith("%"), F.expr("try_cast('0' as double)") + F.regexp_replace(raw(k), "%", "").try_cast("double") * 2.55).otherwise(raw(k).try_cast("double")))).cast("double")
+    part = lambda k: F.least(F.lit(255), F.greatest(F.lit(0), F.when(raw(k).endswith("%"), F.regexp_replace(raw(k), "%", "").try_cast("double") * 255 / 100).otherwise(raw(k).try_cast("double")))).cast("double")
     whole = lambda k: F.floor(part(k) + 0.5).cast("int")
     alpha = F.when(raw(4) == "", 1.0).when(raw(4).endswith("%"), F.regexp_replace(raw(4), "%", "").try_cast("double") / 100).otherwise(raw(4).try_cast("double"))
     made = lambda *c: F.struct(*(x.alias(n) for x, n in zip(c, "rgba", strict=True)))
