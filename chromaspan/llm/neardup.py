@@ -2,12 +2,13 @@
 
 Texts with equal shingle sets become one node first, so copies never make pairs. Each node's signature (one
 permutation, optimal densification) is cut into bands; nodes that share a band share a bucket. A bucket with
-m nodes gives 2m candidate links, from its smallest and its largest node to the others (stars), not m squared.
+m nodes gives m candidate links, from one node to the others (a star), not m squared: first in a few bands from
+its smallest node, then in all bands to the nodes that are not yet in the bucket's main component.
 Candidates whose signatures agree far too little are left out (five standard deviations below the
 threshold); the rest are confirmed on full sets.
 
 A star may miss a link between two nodes that both fail against the centre. So buckets whose nodes are not one
-component yet get a second pass: every node outside a bucket's main component is held against the nodes of
+component yet get a last pass: every node outside a bucket's main component is held against the nodes of
 other components in its bucket, under the same conditions inside the join. With that, no link between nodes
 that share a bucket is lost. Bands are as many as it takes to miss a pair at the threshold with a probability
 under one in a million.
@@ -27,6 +28,8 @@ from pyspark.sql import functions as F
 from . import common, components
 
 BINS = 256
+#: Bands whose stars come first.
+FIRST_BANDS = 6
 #: Bytes of text worked at once: numpy holds some 30 bytes for each.
 CHUNK = 1 << 20
 
@@ -128,31 +131,43 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     nodes = with_words.join(named.select(F.col("node").alias("doc_id"), *key), ["doc_id", *key]).dropDuplicates(["doc_id", *key])
     nodes = common.staged(nodes.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "sketch", "bands"))
 
-    banded = nodes.select("node", F.explode("bands").alias("band"))
-    shared = banded.groupBy("band").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first < last")
+    banded = nodes.select("node", F.posexplode("bands").alias("lane", "band"))
+    shared = banded.groupBy("band").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first < last").select("band", "first")
     members = common.staged(banded.join(shared, "band"))
     about = nodes.select("node", "n", "sketch")
 
     def described(pairs: DataFrame) -> DataFrame:
-        return pairs.join(about.select(F.col("node").alias("a"), "n", "sketch"), "a").join(about.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("sketch").alias("sketch2")), "b")
+        ordered = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
+        return ordered.join(about.select(F.col("node").alias("a"), "n", "sketch"), "a").join(about.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("sketch").alias("sketch2")), "b")
 
-    star = members.select(F.explode(F.array("first", "last")).alias("a"), F.col("node").alias("b")).where("a <> b")
-    star = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    candidates = common.staged(described(star).where(likely(percent)).select("a", "b"))
+    def mixed_buckets(found: DataFrame) -> DataFrame:
+        """The nodes of buckets that hold more than one component, with the bucket's main one."""
+        placed = members.select("band", "node").join(found, "node", "left").select("band", "node", F.coalesce("component", "node").alias("component"))
+        parts = placed.groupBy("band", "component").agg(F.count("*").alias("k"), F.min("node").alias("first"))
+        main = parts.groupBy("band").agg(F.max_by(F.struct("component", "first"), F.struct("k", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
+        return common.staged(placed.join(main.select("band", F.col("main.component").alias("main"), F.col("main.first").alias("centre")), "band"))
 
     needed = members.select(F.col("node").alias("doc_id")).distinct()
-    sets = shingle_sets(common.whole_texts(docs).join(needed, "doc_id", "left_semi"), width)
-    sets = common.staged(sets.groupBy("doc_id").agg(F.first("shingles").alias("shingles")) if False else sets.dropDuplicates(["doc_id"]))
-    links = common.staged(confirmed(candidates, sets, percent))
-    found = components.components(links)
+    sets = common.staged(shingle_sets(common.whole_texts(docs).join(needed, "doc_id", "left_semi"), width).dropDuplicates(["doc_id"]))
 
-    placed = members.select("band", "node").join(found, "node", "left").select("band", "node", F.coalesce("component", "node").alias("component"))
-    mixed = placed.groupBy("band", "component").agg(F.count("*").alias("k")).groupBy("band").agg(F.max_by("component", F.struct("k", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("band", "main")
-    mixed = common.staged(placed.join(mixed, "band").join(about, "node"))
+    # stars over a few bands; they join most of a group, so what follows only looks at what they left apart
+    stars = members.where(F.col("lane") < FIRST_BANDS).select(F.col("first").alias("a"), F.col("node").alias("b"))
+    tried = common.staged(described(stars).where(likely(percent)).select("a", "b"))
+    links = common.staged(confirmed(tried, sets, percent))
+    found = components.components(links)
+    # stars over all bands, from the nodes outside a bucket's main component to its centre
+    mixed = mixed_buckets(found)
+    stars = described(mixed.where("component <> main").select(F.col("centre").alias("a"), F.col("node").alias("b"))).where(likely(percent)).select("a", "b")
+    again = common.staged(stars.join(tried, ["a", "b"], "left_anti"))
+    links = links.union(common.staged(confirmed(again, sets, percent)))
+    tried = tried.union(again)
+    found = components.components(links)
+    # what is still apart, against the other components of its bucket
+    mixed = mixed_buckets(found).join(about, "node")
     aside = mixed.where("component <> main").select("band", F.col("node").alias("a"), F.col("component").alias("c"), "n", "sketch")
     there = mixed.select("band", F.col("node").alias("b"), F.col("component").alias("d"), "main", F.col("n").alias("m"), F.col("sketch").alias("sketch2"))
     second = aside.join(there, "band").where((F.col("c") != F.col("d")) & ((F.col("d") == F.col("main")) | (F.col("a") < F.col("b"))) & likely(percent))
-    second = second.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(candidates, ["a", "b"], "left_anti")
+    second = second.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
     more = common.staged(confirmed(second, sets, percent))
     if not more.isEmpty():
         found = components.components(links.union(more))
