@@ -9,8 +9,8 @@ threshold); the rest are confirmed on full sets.
 
 A star may miss a link between two nodes that both fail against the centre. So buckets whose nodes are not one
 component yet get a last pass: every node outside a bucket's main component is held against the nodes of
-other components in its bucket, under the same conditions inside the join. With that, no link between nodes
-that share a bucket is lost. Bands are as many as it takes to miss a pair at the threshold with a probability
+other components in its bucket, under the same conditions inside the join; small sets, whose signatures tell
+little, are compared in full there. With that, no link between nodes that share a bucket is lost. Bands are as many as it takes to miss a pair at the threshold with a probability
 under one in a million.
 
 Defined cases: null and empty texts, and texts of white space, have no shingles and stay alone. Repeated rows
@@ -30,6 +30,8 @@ from . import common, components
 BINS = 256
 #: Bands whose stars come first.
 FIRST_BANDS = 6
+#: Sets of at most so many shingles go along into the last pass, where their sketches tell the least.
+SMALL_SET = 512
 #: Bytes of text worked at once: numpy holds some 30 bytes for each.
 CHUNK = 1 << 20
 
@@ -163,10 +165,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     tried = tried.union(again)
     found = components.components(links)
     # what is still apart, against the other components of its bucket
-    mixed = mixed_buckets(found).join(about, "node")
-    aside = mixed.where("component <> main").select("band", F.col("node").alias("a"), F.col("component").alias("c"), "n", "sketch")
-    there = mixed.select("band", F.col("node").alias("b"), F.col("component").alias("d"), "main", F.col("n").alias("m"), F.col("sketch").alias("sketch2"))
-    second = aside.join(there, "band").where((F.col("c") != F.col("d")) & ((F.col("d") == F.col("main")) | (F.col("a") < F.col("b"))) & likely(percent))
+    small = sets.where(F.size("shingles") <= SMALL_SET).select(F.col("doc_id").alias("node"), "shingles")
+    mixed = mixed_buckets(found).join(about, "node").join(small, "node", "left")
+    aside = mixed.where("component <> main").select("band", F.col("node").alias("a"), F.col("component").alias("c"), "n", "sketch", F.col("shingles").alias("x"))
+    there = mixed.select("band", F.col("node").alias("b"), F.col("component").alias("d"), "main", F.col("n").alias("m"), F.col("sketch").alias("sketch2"), F.col("shingles").alias("y"))
+    shared_now = F.size(F.array_intersect("x", "y"))
+    near = F.col("x").isNull() | F.col("y").isNull() | (100 * shared_now >= percent * (F.col("n") + F.col("m") - shared_now))
+    second = aside.join(there, "band").where((F.col("c") != F.col("d")) & ((F.col("d") == F.col("main")) | (F.col("a") < F.col("b"))) & likely(percent) & near)
     second = second.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
     more = common.staged(confirmed(second, sets, percent))
     if not more.isEmpty():
