@@ -10,21 +10,9 @@ from chromaspan.operators import audit, brand, drift, extract, merge
 from chromaspan.sources import pages as page_ops
 from chromaspan.streaming import captures
 
+from . import parts  # noqa: F401  (registers its queries)
 from .bridge import CONTEXT, OBS, TYPE, observations, table, type_observations
-
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return register
-
+from .registry import ORACLES, QUERIES, query  # noqa: F401
 
 # ---- histograms and statistics of a site's elements
 
