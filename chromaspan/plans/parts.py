@@ -1,4 +1,4 @@
-"""Registered queries of components, fonts, gradients, motion and colour notations, with their SQL."""
+"""Registered queries of components, fonts, gradients, motion, colour notations and heads of pages, with their SQL."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from chromaspan.functions import color
 from chromaspan.operators import components, effects, fonts
+from chromaspan.sources import hints
 
 from .bridge import OBS, observations, table
 from .registry import query
@@ -151,3 +152,25 @@ def color_notations(spark, sf):
     forms = F.create_map(*(x for name, f in (("hsl", color.as_hsl), ("hwb", color.as_hwb), ("oklab", color.as_oklab), ("oklch", color.as_oklch)) for x in (F.lit(name), f(F.col("hex")))))
     read = color.parsed(once.select("site", "hex", F.explode(forms).alias("notation", "css")), "css")
     return read.select("site", "hex", "notation", color.to_hex(F.col("rgba.r"), F.col("rgba.g"), F.col("rgba.b")).alias("again"))
+
+
+# ---- heads of pages: a part's brand and size as declared colours and icons
+
+def _heads(spark, sf):
+    size = F.col("p_size").cast("string")
+    media = F.when(F.col("p_size") % 2 == 0, ' media="(prefers-color-scheme: dark)"').otherwise("")
+    icon = F.when(F.col("p_size") % 3 == 0, F.concat(F.lit('<link rel="icon" sizes="32x32" href="/'), size, F.lit('.png">'))).otherwise("")
+    html = F.concat(F.lit('<head><meta name="theme-color" content="'), F.col("p_brand"), F.lit('"'), media, F.lit('><link rel="mask" color="none"><link rel="mask-icon" color="c'), size, F.lit('">'), icon, F.lit('<meta property="og:image" content="/p.png"></head>'))
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("page_id"), html.alias("html"))
+
+
+@query("""SELECT p_partkey AS page_id, CASE WHEN p_size % 2 = 0 THEN 'c' || p_size ELSE p_brand END AS theme_color, CASE WHEN p_size % 2 = 0 THEN p_brand END AS dark_theme_color, CAST(NULL AS VARCHAR) AS background_color FROM part""")
+def theme_colors(spark, sf):
+    return hints.theme(hints.platform_colors(hints.head_tags(_heads(spark, sf))))
+
+
+@query("""SELECT p_partkey AS page_id, 'icon' AS kind, '/' || p_size || '.png' AS href, '32x32' AS sizes, CAST(1 AS BIGINT) AS rank FROM part WHERE p_size % 3 = 0
+UNION ALL SELECT p_partkey, 'og:image', '/p.png', NULL, CASE WHEN p_size % 3 = 0 THEN 2 ELSE 1 END FROM part
+UNION ALL SELECT p_partkey, 'favicon.ico', '/favicon.ico', NULL, 2 FROM part WHERE p_size % 3 <> 0""")
+def declared_icons(spark, sf):
+    return hints.icons(_heads(spark, sf))
