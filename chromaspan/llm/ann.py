@@ -224,5 +224,7 @@ def nearest(vectors: DataFrame, is_query: Column, most: int = 20, sample_rows: i
         return pa.Table.from_pydict(out, schema=kind)
 
     found = left.groupBy("leaf", "i", "j").cogroup(right.groupBy("leaf", "i", "j")).applyInArrow(best, "query_id long, hits array<struct<far: double, vec_id: long>>")
-    top = found.groupBy("query_id").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("hits")))), 1, most).alias("hits"))
+    every = found.groupBy("query_id").agg(F.array_sort(F.flatten(F.collect_list("hits"))).alias("every"))
+    first = lambda x, k: (k == 0) | (x != F.get("every", k - 1))  # noqa: E731  (of repeated rows one stays; sorted, so a look back is enough)
+    top = every.select("query_id", F.slice(F.filter("every", first), 1, most).alias("hits"))
     return top.select("query_id", F.posexplode("hits").alias("at", "hit")).select("query_id", (F.col("at") + 1).cast("int").alias("rank"), "hit.vec_id", (-F.col("hit.far")).alias("score"))
