@@ -171,3 +171,13 @@ def test_pipeline_stages(spark):
     assert at.where("text rlike '[a-z0-9]@mail[0-9]'").count() == 0
     packed = cp.pack(spark, at, SF)
     assert packed.select("doc_id").distinct().count() == at.count()
+
+
+def test_neighbours_of_repeated_rows_come_once(spark):
+    from pyspark.sql import functions as F
+
+    from chromaspan.llm import ann
+
+    rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.5, 0.5]), (3, [0.0, 0.0]), (4, None)]
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0, 20).collect()
+    assert [tuple(r) for r in got] == [(0, 1, 1, 1.0), (0, 2, 2, 0.5)]
