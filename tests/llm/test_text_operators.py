@@ -170,6 +170,23 @@ def test_configurations_cover_the_histogram(scale):
     assert sum(n for _, n in packed) <= best_fit
 
 
+def test_the_program_places_all_but_the_rounding_remainder():
+    rng = random.Random(16)
+    there = {k: rng.randint(4, 8) + 3000 // k for k in range(1, 512)}
+    solved = packing.solution(there, 512)
+    cover = dict.fromkeys(there, 0.0)
+    for own, x in solved:
+        for k, n in own.items():
+            cover[k] += n * x
+    assert all(abs(cover[k] - n) < 1e-6 for k, n in there.items())
+    bound = sum(k * n for k, n in there.items()) / 512
+    assert sum(x for _, x in solved) <= 1.01 * bound
+    left = dict(there)
+    packing.whole_numbers(left, solved)
+    assert sum(left.values()) < 0.05 * sum(there.values())
+    assert packing.pack(there, 512) == packing.rounded(there, 512, solved)
+
+
 def test_word_encoder_equals_the_library():
     from tokenizers import Tokenizer
 
