@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chromaspan.functions import color, text
@@ -225,22 +225,30 @@ def _captures(spark, sf):
     return observations(spark, sf).select("site", F.concat_ws("@", "site", "capture").alias("snapshot_id"), "capture").distinct()
 
 
-def _tokens(spark, sf):
-    """Tokens of each site and month: its most used colours, spacings, radii, type styles, shadows, and a primary."""
+def _tokens(spark, sf, shadows=None):
+    """Tokens of each site and month: all its colours, spacings, radii, type styles and shadows by use, and a primary.
+
+    Radii and shadows have the confidence of their use. With ``shadows``, only so many most used ones, all of them sure.
+    """
     obs = observations(spark, sf).withColumn("snapshot_id", F.concat_ws("@", "site", "capture"))
-    key = ["snapshot_id"]
+    order = Window.partitionBy("snapshot_id").orderBy(F.desc("n"), "value")
 
-    def part(value, category, num, most):
+    def part(value, category, num, confidence):
         rows = obs.select("snapshot_id", value.alias("value"), num.alias("num")).groupBy("snapshot_id", "value").agg(F.count("*").alias("n"), F.first("num").alias("num"))
-        best = extract.top(rows, key, [F.desc("n"), "value"], most)
-        return best.select("snapshot_id", F.lit(category).alias("category"), F.col("rank").alias("ord"), F.lit(None).cast("string").alias("key"), "value", F.col("num").cast("double").alias("num"), F.lit("high").alias("confidence"))
-
-    none = F.lit(None).cast("double")
-    colors = part(F.col("hex"), "color", none, 12)
-    spaces = part(F.col("px").cast("string"), "spacing", F.col("px"), 10)
-    radii = part(F.col("radius").cast("string"), "radius", F.col("radius"), 6)
-    shadow = part(F.concat(F.lit("0 "), F.col("width").cast("string"), F.lit("px "), F.col("radius").cast("string"), F.lit("px")), "shadow", none, 5)
-    styles = part(F.concat_ws("/", "tag", (F.col("width") * 100).cast("string"), F.col("px").cast("string")), "typography", F.col("px"), 8).withColumn("key", F.substring_index("value", "/", 1))
+        ranked = rows.withColumn("ord", F.row_number().over(order).cast("long"))
+        return ranked.select("snapshot_id", F.lit(category).alias("category"), "ord", F.lit(None).cast("string").alias("key"), "value", F.col("num").cast("double").alias("num"), confidence.alias("confidence"))
+
+    def rated(high, medium):
+        return F.when(F.col("n") > high, "high").when(F.col("n") > medium, "medium").otherwise("low")
+
+    none, sure = F.lit(None).cast("double"), F.lit("high")
+    colors = part(F.col("hex"), "color", none, sure)
+    spaces = part(F.col("px").cast("string"), "spacing", F.col("px"), sure)
+    radii = part(F.col("radius").cast("string"), "radius", F.col("radius"), rated(10, 3))
+    shadow = part(F.concat(F.lit("0 "), F.col("width").cast("string"), F.lit("px "), F.col("radius").cast("string"), F.lit("px")), "shadow", none, rated(5, 2) if shadows is None else sure)
+    if shadows is not None:
+        shadow = shadow.where(F.col("ord") <= shadows)
+    styles = part(F.concat_ws("/", "tag", (F.col("width") * 100).cast("string"), F.col("px").cast("string")), "typography", F.col("px"), sure).withColumn("key", F.substring_index("value", "/", 1))
     primary = colors.where("ord = 1").withColumn("category", F.lit("semantic")).withColumn("key", F.lit("primary"))
     return colors.union(spaces).union(radii).union(shadow).union(styles).union(primary)
 
@@ -253,8 +261,8 @@ def capture_pairs(spark, sf):
     return drift.previous_pairs(_captures(spark, sf))
 
 
-def _both(spark, sf):
-    return drift.sides(drift.previous_pairs(_captures(spark, sf)), _tokens(spark, sf))
+def _both(spark, sf, shadows=None):
+    return drift.sides(drift.previous_pairs(_captures(spark, sf)), _tokens(spark, sf, shadows))
 
 
 SHADOW = f"""{CAPTURES}, sh AS (SELECT site || '@' || capture AS snapshot_id, '0 ' || width || 'px ' || radius || 'px' AS value, count(*) AS n FROM obs GROUP BY ALL),
@@ -265,7 +273,7 @@ new AS (SELECT base_id || '>' || cand_id AS pair_id, 'added' AS kind, value FROM
 
 @query(f"WITH {SHADOW} SELECT pair_id, kind, value, count(*) AS n FROM (SELECT * FROM gone UNION ALL SELECT * FROM new) GROUP BY ALL")
 def drift_shadows(spark, sf):
-    return drift.shadow_changes(_both(spark, sf))
+    return drift.shadow_changes(_both(spark, sf, shadows=5))
 
 
 @query(f"""WITH {CAPTURES}, hx AS (SELECT site || '@' || capture AS snapshot_id, hex, count(*) AS n FROM obs GROUP BY ALL),

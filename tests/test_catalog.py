@@ -17,3 +17,14 @@ def test_query_equals_its_sql(spark, name):
     assert len(got) == len(want)
     bad = [(g, w) for g, w in zip(got, want, strict=True) if g != w]
     assert not bad, bad[:3]
+
+
+def test_drift_sees_every_token_of_a_capture(spark):
+    obs = catalog.observations(spark, SF)
+    rows = catalog._tokens(spark, SF)
+    for category, column in (("color", "hex"), ("spacing", "px"), ("radius", "radius")):
+        want = obs.select("site", "capture", column).distinct().count()
+        assert rows.where(f"category = '{category}'").count() == want
+    styles = obs.select("site", "capture", "tag", "width", "px").distinct().count()
+    assert rows.where("category = 'typography'").count() == styles
+    assert rows.where("category = 'shadow'").count() == obs.select("site", "capture", "width", "radius").distinct().count()
