@@ -2,9 +2,9 @@
 
 A k-mer of code points is an anchor if the smallest of its inner s-mers (by hash) lies at its first or last
 place. That depends on the k-mer alone, so a shared passage gives the same anchors wherever it stands. The
-fingerprint holds the KEPT smallest anchor hashes with their first positions: ``hash:position`` in hex, by
-hash. The likeness of two fingerprints is taken over the smallest KEPT hashes of both together: the share that
-both have, in the same order of positions (longest increasing run).
+fingerprint holds all anchor hashes with their first positions: ``hash:position`` in hex, by hash; it grows with
+the text. The likeness of two fingerprints is taken over the hashes of both together: the share that both have,
+in the same order of positions (longest increasing run).
 
 A text with fewer than K code points has one anchor, the whole text; an empty text has none. Two empty
 fingerprints are alike (1), an empty and another are not (0).
@@ -25,12 +25,12 @@ from pyspark.sql import functions as F
 
 from . import common
 
-K, S, KEPT = 24, 8, 48
+K, S = 24, 8
 FIRST = -(1 << 63)
 
 
 def anchors(texts: list[str]) -> list[list[tuple[int, int]]]:
-    """For each text the KEPT smallest anchors: (hash, first position), by hash."""
+    """For each text all anchors: (hash, first position), by hash."""
     import numpy as np
 
     from .shingles import _power, mix
@@ -71,7 +71,7 @@ def anchors(texts: list[str]) -> list[list[tuple[int, int]]]:
             whole = mix((total[begins[k + 1] : begins[k + 1] + 1] - total[begins[k] : begins[k] + 1]) * down[begins[k] : begins[k] + 1] + np.uint64(sizes[k]))
             out.append([(int(whole[0] >> np.uint64(32)), 0)])
         else:
-            lo, hi = ends[k], min(ends[k + 1], ends[k] + KEPT)
+            lo, hi = ends[k], ends[k + 1]
             found = list(zip(h[lo:hi].tolist(), at[lo:hi].tolist(), strict=True))
             if not found and sizes[k]:  # no closed k-mer at all: the text's own hash
                 found = [(int.from_bytes(hashlib.sha256(texts[k].encode()).digest()[:4], "big"), 0)]
@@ -96,12 +96,11 @@ def likeness(one: list[tuple[int, int]], two: list[tuple[int, int]]) -> float:
     both = a.keys() & b.keys()
     if not both:
         return 0.0
-    lowest = sorted(a.keys() | b.keys())[:KEPT]
     runs: list[int] = []
-    for _, place in sorted((a[h], b[h]) for h in lowest if h in both):
+    for _, place in sorted((a[h], b[h]) for h in both):
         k = bisect_left(runs, place)
         runs[k : k + 1] = [place]
-    return len(runs) / len(lowest)
+    return len(runs) / len(a.keys() | b.keys())
 
 
 def edited(text: str, following: str) -> str:

@@ -230,5 +230,14 @@ def test_closed_syncmers_by_definition():
     assert fingerprint.read(fingerprint.spell(found)) == found
 
 
+def test_long_texts_keep_the_anchors_of_a_shared_passage():
+    rng = random.Random(10)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage = text(300)
+    one, two, alone = fingerprint.anchors([text(20000) + passage + text(20000), text(500) + passage, passage])
+    assert len(one) > 1000 and {h for h, _ in alone} <= {h for h, _ in one} & {h for h, _ in two}
+    assert 0 < fingerprint.likeness(one, two) < 0.1
+
+
 def test_queries_are_registered():
     assert sorted(queries.queries()) == sorted(["pipeline", *(n for n in dir(queries) if re.match(r"op\d+_", n))])
