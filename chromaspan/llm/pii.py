@@ -139,7 +139,9 @@ def candidates(rows: DataFrame) -> DataFrame:
     tried = {}
     for k, kind, loose in sources:
         when = text.rlike(LOOSE_NEEDS[kind]) if loose else text.contains(NEEDS[kind]) if kind in NEEDS else F.lit(True)
-        if kind != "email":
+        if kind == "phone" and not loose:
+            when = when & text.rlike(r"\+[0-9]")
+        elif kind != "email":
             when = F.col("pii_dots" if kind == "ip" and not loose else "pii_digit") & when
         tried[column("m", k, loose)] = matches(text, (LOOSE if loose else STRICT)[kind], when)
     rows = rows.withColumns(tried)

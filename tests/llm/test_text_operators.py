@@ -239,5 +239,12 @@ def test_long_texts_keep_the_anchors_of_a_shared_passage():
     assert 0 < fingerprint.likeness(one, two) < 0.1
 
 
+def test_phones_whose_digits_all_stand_apart(spark):
+    texts = ["+1.2.3.4.5.6.7.8.9", "+1 (2) (3) (4) (5) (6) (7) (8) (9)"]
+    found = {r["doc_id"]: r["spans"] for r in pii.find(docs_of(spark, texts)).collect()}
+    for k, t in enumerate(texts):
+        assert [(x["kind"], x["start"], x["end"]) for x in found[k] if x["base"]] == base_spans(t)
+
+
 def test_queries_are_registered():
     assert sorted(queries.queries()) == sorted(["pipeline", *(n for n in dir(queries) if re.match(r"op\d+_", n))])
