@@ -95,15 +95,18 @@ def violations(tokens: DataFrame) -> DataFrame:
     return tokens.withColumn("rule", rule).where("rule is not null")
 
 
-def resolve_aliases(tokens: DataFrame, rounds: int = 8) -> DataFrame:
+def resolve_aliases(tokens: DataFrame) -> DataFrame:
     """doc_id, path, value, state: aliases {a.b} followed to their value; state ok, missing or cycle.
 
-    Each round is one join by (doc_id, path) over the tokens that still point on.
+    Each round joins the table with itself by (doc_id, path), which doubles how far a pointer reaches. A chain is
+    shorter than its document, so what still points on after that many steps is on its way round a cycle.
     """
     target = lambda c: F.regexp_extract(c, r"^\{([^{}]+)\}$", 1)
-    known = tokens.select("doc_id", F.col("path").alias("to"), F.col("value").alias("next"))
+    most = tokens.groupBy("doc_id").count().agg(F.max("count").alias("n")).first()["n"] or 0
     at = tokens.select("doc_id", "path", "value", F.lit("ok").alias("state"))
-    for _ in range(rounds):
+    for _ in range(max(1, int(most).bit_length())):
+        at = at.checkpoint() if at.sparkSession.sparkContext.getCheckpointDir() else at.localCheckpoint()  # or plans would double as well
+        known = at.select("doc_id", F.col("path").alias("to"), F.col("value").alias("next"))
         at = at.withColumn("to", target(F.col("value"))).join(known, ["doc_id", "to"], "left")
         points = (F.col("to") != "") & (F.col("state") == "ok")
         state = F.when(points & F.col("next").isNull(), "missing").when(points & (F.col("to") == F.col("path")), "cycle").otherwise(F.col("state"))

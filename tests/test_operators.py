@@ -111,6 +111,13 @@ def test_aliases(spark):
     assert got["c"] == ("1px", "ok") and got["f"][1] == "missing" and got["d"][1] == got["e"][1] == "cycle"
 
 
+def test_aliases_of_long_chains(spark):
+    rows = [(1, "t0", "1px"), *((1, f"t{k}", f"{{t{k - 1}}}") for k in range(1, 40)), (1, "x", "{y}"), (1, "y", "{z}"), (1, "z", "{x}"), (1, "in", "{x}"), (1, "lost", "{gone}"), (1, "far", "{lost}")]
+    got = {r["path"]: (r["value"], r["state"]) for r in audit.resolve_aliases(spark.createDataFrame(rows, "doc_id long, path string, value string")).collect()}
+    assert len(got) == len(rows) and all(got[f"t{k}"] == ("1px", "ok") for k in range(40))
+    assert {got[k][1] for k in ("x", "y", "z", "in")} == {"cycle"} and got["lost"][1] == got["far"][1] == "missing"
+
+
 def test_pages(spark):
     html = '<html><head><style>:root{--brand: #123456; --brand:#000}</style></head><body><nav><a href="/pricing">x</a></nav><div><p>t<br></p><a href="/login">l</a></div></body></html>'
     table = spark.createDataFrame([(1, "http://a.com", html)], "page_id long, url string, html string")
