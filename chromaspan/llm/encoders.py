@@ -1,23 +1,28 @@
-"""Tokenizers by file path, one instance per Python worker; words seen before are not encoded again."""
+"""Tokenizers by file path, one instance per Python worker."""
 
 from __future__ import annotations
 
 import functools
+import json
 import os
 import re
-import struct
 from collections.abc import Iterable
 
 from . import prefix_bpe
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Words that a worker remembers, in two generations, so that frequent ones stay.
-WORDS_KEPT = 300_000
+#: Words outside Latin-1 texts that a worker remembers.
+WORDS_KEPT = 100_000
 #: White space of Unicode: what the word tokenizer drops between words.
 WHITE = re.compile("[\t-\r \x85\xa0  -     　]+")
-#: Separators that str.split() drops although they are no white space in Unicode.
-NOT_WHITE = re.compile("[\x1c-\x1f]")
+#: What keeps a text from the quick way: characters beyond Latin-1, control characters, and what may be a special string.
+HARD = re.compile("[^\t-\r -~\x85\xa0-\xff]|<\\|")
+#: Pieces other than runs of letters, in lower-cased Latin-1 (fixed values: the pre-split of the word tokenizer).
+SIGNS = re.compile("'(?:s|t|re|ve|m|ll|d)|[^a-zªµºß-öø-ÿ0-9²³¹¼-¾ \t-\r\x85\xa0]+|[0-9²³¹¼-¾]")
+#: The normalizer and the pre-split that the two expressions above stand for (fixed values of the tokenizer file).
+NORMALIZERS = ("NFC", "Replace", "Lowercase")
+PRE_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 @functools.lru_cache(maxsize=4)
@@ -28,56 +33,45 @@ def tokenizer(path: str):
 
 
 class WordEncoder:
-    """Ids of a tokenizer that drops white space, as little-endian 32-bit bytes, word by word.
+    """Ids of a tokenizer that drops white space and marks word ends, as little-endian 32-bit bytes.
 
-    White space ends every word and never joins a token, so a text's ids are its words' ids in a row.
+    Most texts take the quick way: lower case, pieces set apart by single spaces, and one call of tiktoken's core,
+    for which a space behind a piece is the mark of its end (no piece holds one). Other texts go word by word
+    through the tokenizer itself: white space ends every word and never joins a token.
     """
 
     def __init__(self, path: str):
+        import tiktoken
+
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        kinds = tuple(n["type"] for n in (spec["normalizer"] or {}).get("normalizers", ()))
+        splits = [p.get("pattern", {}).get("Regex") for p in (spec["pre_tokenizer"] or {}).get("pretokenizers", ())]
+        if kinds != NORMALIZERS or splits[:1] != [PRE_SPLIT] or spec["model"].get("end_of_word_suffix") != "</w>":
+            raise ValueError(f"{path}: not a lower-casing word tokenizer with the pre-split that this encoder knows")
         self.tok = tokenizer(path)
-        self.bpe = prefix_bpe.prefix_bpe(path)
+        letters, special = prefix_bpe.byte_letters(), {t["content"] for t in spec["added_tokens"]}
+        ranks = {}
+        for name, i in spec["model"]["vocab"].items():
+            if name not in special:
+                whole = name.endswith("</w>")
+                ranks.setdefault(bytes(letters[c] for c in name.removesuffix("</w>")) + b" " * whole, i)
+        self.core = tiktoken.Encoding("words", pat_str="[^ ]+ ", mergeable_ranks=ranks, special_tokens={})
         self.known: dict[str, bytes] = {}
-        self.before: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-
-    def words(self, text: str) -> list[str]:
-        return [w for w in WHITE.split(text) if w] if NOT_WHITE.search(text) else text.split()
 
     def encode(self, texts: Iterable[str]) -> list[bytes]:
-        split = [self.words(t) for t in texts]
-        known, before = self.known, self.before
-        new = set()
-        for w in set().union(*split).difference(known) if split else ():
-            if (ids := before.get(w)) is None:
-                new.add(w)
-            else:
-                known[w] = ids
-        plain = [w for w in new if len(w) <= prefix_bpe.SHORT and (w.isalpha() or w[-1] in ".,#$%&*!|" and w[:-1].isalpha()) and w.isascii()]
-        known.update((w, self.plain_word(w)) for w in plain)
-        new.difference_update(plain)
-        if new:
-            known.update(self.encode_words(list(new)))
-        out = [b"".join(map(known.__getitem__, ws)) for ws in split]
-        if len(known) > WORDS_KEPT:
-            self.known, self.before = {}, known
-        return out
-
-    def plain_word(self, word: str) -> bytes:
-        """Ids of ASCII letters with at most one sign behind them: one piece, or one piece and the sign's."""
-        low = word.lower()
-        if low.isalpha():
-            return self.letters(low)
-        return self.letters(low[:-1]) + self.letters(low[-1]) if len(low) > 1 else self.letters(low)
-
-    def letters(self, low: str) -> bytes:
-        """Ids of one piece in lower case; words that differ by case or a sign at the end share it."""
-        ids = self.pieces.get(low)
-        if ids is None:
-            if len(self.pieces) > WORDS_KEPT:
-                self.pieces.clear()
-            found = self.bpe.tokens(low.encode())
-            ids = self.pieces[low] = struct.pack(f"<{len(found)}I", *found)
-        return ids
+        return [self.hard(t) if HARD.search(t) else self.quick(t) for t in texts]
+
+    def quick(self, text: str) -> bytes:
+        pieces = " ".join(SIGNS.sub(r" \g<0> ", text.lower()).split())
+        return self.core.encode_to_numpy(pieces + " ").tobytes() if pieces else b""
+
+    def hard(self, text: str) -> bytes:
+        words = [w for w in WHITE.split(text) if w]
+        if len(self.known) > WORDS_KEPT:
+            self.known.clear()
+        self.known.update(self.encode_words(list(set(words).difference(self.known))))
+        return b"".join(map(self.known.__getitem__, words))
 
     def encode_words(self, words: list[str]) -> Iterable[tuple[str, bytes]]:
         """The words as one text; where each one's ids begin and end is read from the offsets."""

@@ -3,7 +3,6 @@
 The encoding of a prefix ends in exactly one token t such that the encoding of what stands before t, followed
 by t, is stable under the merges. So each prefix's last token and count follow from shorter prefixes. The
 states of prefixes are stored and shared: a word that begins as an earlier one starts from what is known.
-Vocabularies that mark word ends use their marked tokens for the last token of a whole word only.
 """
 
 from __future__ import annotations
@@ -45,16 +44,14 @@ class PrefixBpe:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        letters, names, mark = byte_letters(), spec["model"]["vocab"], spec["model"].get("end_of_word_suffix") or ""
+        split = spec["pre_tokenizer"] or {}
+        if spec["normalizer"] or split.get("type") != "ByteLevel" or not split.get("use_regex") or split.get("add_prefix_space") or spec["model"].get("end_of_word_suffix"):
+            raise ValueError(f"{path}: not a byte-level vocabulary without normalizer and with the usual pre-split")
+        letters, names = byte_letters(), spec["model"]["vocab"]
         specials = {t["content"] for t in spec["added_tokens"]}
         self.special = re.compile("(" + "|".join(map(re.escape, sorted(specials, key=len, reverse=True))) + ")") if specials else None
-        inner, final = {}, {}
-        for name, i in names.items():
-            if name not in specials:
-                whole = bool(mark) and name.endswith(mark)
-                (final if whole else inner)[bytes(letters[c] for c in (name[: -len(mark)] if whole else name))] = i
+        inner = {bytes(letters[c] for c in name): i for name, i in names.items() if name not in specials}
         self.step, self.ends = backward_tree(inner)
-        self.last_step, self.last_ends = backward_tree(final) if mark else (self.step, self.ends)
         #: rank of the merge that makes a token (-1: none), its parts, and the rank of each pair
         self.made = dict.fromkeys(names.values(), -1)
         self.parts: dict[int, tuple[int, int]] = {}
@@ -95,9 +92,9 @@ class PrefixBpe:
             ok = self.pairs[a << 20 | b] = self.boundary_stays(a, b)
         return ok
 
-    def fits(self, raw: bytes, i: int, step: dict[int, int], ends: list[int]) -> list[tuple[int, int]]:
+    def fits(self, raw: bytes, i: int) -> list[tuple[int, int]]:
         """(begin, token) of the tokens that end at i, longest first."""
-        found, node, j, get = [], 0, i, step.get
+        found, node, j, get, ends = [], 0, i, self.step.get, self.ends
         while j:
             node = get(node << 8 | raw[j - 1])
             if node is None:
@@ -118,7 +115,7 @@ class PrefixBpe:
                 break
             k -= 1
         for i in range(k + 1, len(raw) + 1):
-            for j, t in self.fits(raw, i, self.step, self.ends):
+            for j, t in self.fits(raw, i):
                 if not j:
                     states[raw[:i]] = (1, t, 0)
                     break
@@ -131,32 +128,12 @@ class PrefixBpe:
             self.states, self.earlier = {}, states
         return found
 
-    def whole(self, raw: bytes) -> tuple[int, int, int]:
-        """state() of a whole word, whose last token is one that marks a word's end."""
-        for j, t in self.fits(raw, len(raw), self.last_step, self.last_ends):
-            if not j:
-                return 1, t, 0
-            before = self.states.get(raw[:j]) or self.state(raw[:j])
-            if self.stays(before[1], t):
-                return before[0] + 1, t, j
-        raise ValueError("the vocabulary lacks a byte")
-
-    def tokens(self, raw: bytes) -> list[int]:
-        """Ids of a short whole word, read back from its last token."""
-        _, t, j = self.whole(raw)
-        ids = [t]
-        while j:
-            _, t, j = self.state(raw[:j])
-            ids.append(t)
-        ids.reverse()
-        return ids
-
     def table(self, raw: bytes) -> list[int]:
         """Token count of every prefix of a piece of any length, by byte."""
         n = len(raw)
         counts, last = [0] * (n + 1), [0] * (n + 1)
         for i in range(1, n + 1):
-            for j, t in self.fits(raw, i, self.step, self.ends):
+            for j, t in self.fits(raw, i):
                 if not j or self.stays(last[j], t):
                     counts[i], last[i] = counts[j] + 1, t
                     break
