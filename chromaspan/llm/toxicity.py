@@ -10,8 +10,10 @@ telling features in at least one word of a hundred); the last is ``toxic`` itsel
 columns passes those instead (see fit_chain).
 
 Features are the distinct words of a text in lower case, and their first 4, 5 and 6 letters, as 32-bit hashes;
-kept are those that go with the label beyond chance, at most KEPT. Fitted on a sample of about SAMPLE labelled
-documents (the bound is a parameter, the pick a hash of doc_id); scoring reads whole texts.
+kept are those that go with the label (or with its absence) beyond chance, at most KEPT. They are counted by Spark;
+the driver gets the kept ones and which sample documents have them. Each fold has its own choice, made without the
+fold's documents, so nothing that an out-of-fold prediction rests on has seen them. Fitted on a sample of about
+SAMPLE labelled documents (the bound is a parameter, the pick a hash of doc_id); scoring reads whole texts.
 
 Defined cases: a null text is the empty text; without features, or labels of one class, the model gives the
 smoothed share of the label; repeated rows give repeated results.
@@ -62,28 +64,58 @@ def sample_features(sample: DataFrame) -> DataFrame:
     return sample.select("doc_id", "text", "y").mapInArrow(run, "doc_id long, y int, n_words long, features array<long>")
 
 
-def logistic(x, y, steps: int = 400, penalty: float = 0.3):
-    """Weights and intercept (last) of a penalised logistic model, by accelerated full-batch gradients."""
+class Hits:
+    """A 0/1 matrix by the places of its ones: document and column of each."""
+
+    def __init__(self, row, col, rows: int, cols: int):
+        self.row, self.col, self.rows, self.cols = row, col, rows, cols
+
+    def times(self, w):
+        import numpy as np
+
+        return np.bincount(self.row, w[self.col], self.rows)
+
+    def back(self, r):
+        import numpy as np
+
+        return np.bincount(self.col, r[self.row], self.cols)
+
+    def only(self, rows=None, cols=None) -> Hits:
+        """The ones of the marked rows, numbered anew, and of the marked columns."""
+        import numpy as np
+
+        good = np.ones(len(self.row), bool)
+        if rows is not None:
+            good &= rows[self.row]
+        if cols is not None:
+            good &= cols[self.col]
+        at = self.row if rows is None else (np.cumsum(rows) - 1)[self.row]
+        return Hits(at[good], self.col[good], self.rows if rows is None else int(rows.sum()), self.cols)
+
+
+def logistic(x: Hits, said, y, steps: int = 400, penalty: float = 0.3):
+    """Weights of a penalised logistic model by accelerated full-batch gradients: features, earlier categories, intercept."""
     import numpy as np
 
-    x = np.hstack([x, np.ones((len(x), 1))])
-    reg = np.full(x.shape[1], penalty)
+    f, k, n = x.cols, said.shape[1], max(1, len(y))
+    reg = np.full(f + k + 1, penalty)
     reg[-1] = 1e-3
-    rate = 1 / (0.25 * max(1e-9, float((x.sum(axis=1) * np.abs(x).max()).max())) + penalty / max(1, len(x)))
-    w = v = np.zeros(x.shape[1])
+    norms = x.times(np.ones(f)) + (said**2).sum(axis=1) + 1
+    rate = 1 / (0.25 * float(norms.max(initial=1.0)) + penalty / n)
+    w = np.zeros(f + k + 1)
     w[-1] = np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))
     v = w.copy()
-    for k in range(1, steps + 1):
-        p = 1 / (1 + np.exp(-np.clip(x @ v, -30, 30)))
-        new = v - rate * (x.T @ (p - y) + reg * v) / len(y)
-        v, w = new + (k - 1) / (k + 2) * (new - w), new
+    for step in range(1, steps + 1):
+        r = probability(x, said, v) - y
+        new = v - rate * (np.concatenate((x.back(r), said.T @ r, [r.sum()])) + reg * v) / n
+        v, w = new + (step - 1) / (step + 2) * (new - w), new
     return w
 
 
-def probability(x, w):
+def probability(x: Hits, said, w):
     import numpy as np
 
-    return 1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30)))
+    return 1 / (1 + np.exp(-np.clip(x.times(w[: x.cols]) + said @ w[x.cols : -1] + w[-1], -30, 30)))
 
 
 class Chain:
@@ -92,76 +124,94 @@ class Chain:
     def __init__(self, names: tuple[str, ...], index: dict[int, int], weights: list, share: float):
         self.names, self.index, self.weights, self.share = names, index, weights, share
 
-    def predict(self, x):
+    def predict(self, x: Hits):
         """Probabilities (rows x categories): each category's feed the later ones."""
         import numpy as np
 
-        out = np.zeros((len(x), len(self.names)))
+        out = np.zeros((x.rows, len(self.names)))
         for k, w in enumerate(self.weights):
-            out[:, k] = probability(np.hstack([x, out[:, :k]]), w)
+            out[:, k] = probability(x, out[:, :k], w)
         if not self.weights:
             out[:] = self.share
         return out
 
 
-def fit_chain(x, labels, names: tuple[str, ...], index: dict[int, int], folds: int = FOLDS) -> Chain:
-    """x: 0/1 features (rows x features); labels: 0/1 (rows x categories), in the chain's order."""
+def fit_chain(x: Hits, labels, names: tuple[str, ...], index: dict[int, int], fold, chosen: dict | None = None):
+    """(chain, out-of-fold predictions of every category). labels: 0/1 (rows x categories) in the chain's order,
+    or a function of the marked columns that gives them. chosen: fold -> marks of the columns that the models
+    without the fold may use (-1: the final models)."""
     import numpy as np
 
-    fold = np.arange(len(x)) % folds
-    said = np.zeros((len(x), 0))
-    weights = []
+    marks = labels if callable(labels) else lambda cols: labels
+    chosen = chosen or {f: np.ones(x.cols, bool) for f in (-1, *np.unique(fold).tolist())}
+    said, weights = np.zeros((x.rows, 0)), []
     for k in range(len(names)):
-        with_said = np.hstack([x, said])
-        weights.append(logistic(with_said, labels[:, k]))
-        out = np.zeros(len(x))
-        for f in range(folds):
-            rest = fold != f
-            out[~rest] = probability(with_said[~rest], logistic(with_said[rest], labels[rest, k]))
+        weights.append(logistic(x.only(cols=chosen[-1]), said, marks(chosen[-1])[:, k]))
+        out = np.zeros(x.rows)
+        for f in np.unique(fold).tolist():
+            own, cols = fold == f, chosen[f]
+            w = logistic(x.only(~own, cols), said[~own], marks(cols)[~own, k])
+            out[own] = probability(x.only(own, cols), said[own], w)
         said = np.hstack([said, out[:, None]])
-    return Chain(names, index, weights, float(labels[:, -1].mean()) if len(x) else 0.5)
-
-
-def telling(features: list, y, most: int = KEPT) -> list[int]:
-    """Features that stand in labelled documents beyond chance: standard score 5.5 and 4 documents at least."""
+    return Chain(names, index, weights, float(marks(chosen[-1])[:, -1].mean()) if x.rows else 0.5), said
+
+
+def telling(features: DataFrame, totals: dict[int, tuple[int, int]], most: int = KEPT, score: float = 5.5) -> DataFrame:
+    """feature, fold: features that stand 4 times at least and go with the label, or its absence, beyond chance
+    (standard score), the ``most`` strongest without each fold's documents, and with all (fold -1).
+
+    features: fold, y, features; totals: fold -> (documents, marked ones).
+    """
+    each = features.select("fold", "y", F.explode("features").alias("feature"))
+    inside = lambda f: F.col("fold") == f
+    sums = [c for f in totals for c in (F.sum(inside(f).cast("long")).alias(f"n{f}"), F.sum(F.when(inside(f), F.col("y")).otherwise(0)).alias(f"k{f}"))]
+    counted = common.staged(each.groupBy("feature").agg(*sums).where(" + ".join(f"n{f}" for f in totals) + " >= 4"))
+    found = None
+    for out in (-1, *totals):
+        rest = [f for f in totals if f != out]
+        n, k = (sum((F.col(f"{c}{f}") for f in rest), F.lit(0)) for c in "nk")
+        share = max(sum(totals[f][1] for f in rest) / max(1, sum(totals[f][0] for f in rest)), 1e-6)
+        z = (k - n * share) / F.sqrt(n * (share * (1 - share) + 1e-12))
+        own = counted.where(n >= 4).select("feature", F.lit(out).alias("fold"), F.abs(z).alias("z")).where(F.col("z") >= score).orderBy(F.desc("z"), "feature").limit(most).drop("z")
+        found = own if found is None else found.union(own)
+    return found
+
+
+def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, label: str = "toxic", folds: int = FOLDS) -> Chain:
+    """The chain from about ``most`` labelled documents; copies of a text count once."""
     import numpy as np
 
-    flat = np.concatenate(features) if len(features) else np.zeros(0, np.int64)
-    if not len(flat):
-        return []
-    mark = np.repeat(y, [len(f) for f in features])
-    ids, at = np.unique(flat, return_inverse=True)
-    n, k = np.bincount(at).astype(float), np.bincount(at, mark)
-    share = max(float(y.mean()), 1e-6)
-    z = (k - n * share) / np.sqrt(n * share * (1 - share) + 1e-12)
-    good = np.flatnonzero((n >= 4) & (z >= 5.5))
-    return ids[good[np.argsort(-z[good], kind="stable")][:most]].tolist()
-
-
-def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, label: str = "toxic") -> Chain:
-    import numpy as np
-
-    rows = sample_features(common.labelled_sample(docs, labels, label, most)).toArrow().combine_chunks()
-    rows = rows.take(np.argsort(rows.column("doc_id").to_numpy(), kind="stable"))
-    unique: dict[bytes, int] = {}
-    lists = rows.column("features").combine_chunks() if rows.num_rows else []
-    features = [np.asarray(f.values) for f in lists] if rows.num_rows else []
-    for k, f in enumerate(features):  # copies of a text count once
-        unique.setdefault(f.tobytes(), k)
-    keep = sorted(unique.values())
-    features = [features[k] for k in keep]
-    y = rows.column("y").to_numpy()[keep].astype(float) if keep else np.zeros(0)
-    n_words = rows.column("n_words").to_numpy()[keep] if keep else np.zeros(0)
-    told = telling(features, y)
-    if not told or y.min() == y.max():
-        return Chain(CATEGORIES, {}, [], (float(y.sum()) + 1) / (len(y) + 2) if len(y) else 0.5)
-    index = {f: k for k, f in enumerate(told)}
-    x = np.zeros((len(features), len(told)))
-    for k, f in enumerate(features):
-        x[k, [index[i] for i in f.tolist() if i in index]] = 1
-    hits = x.sum(axis=1)
-    marks = np.array([y * (hits >= 2), y * (hits >= 0.01 * np.maximum(n_words, 1)), y]).T
-    return fit_chain(x, marks, CATEGORIES, index)
+    rows = sample_features(common.labelled_sample(docs, labels, label, most))
+    once = rows.groupBy("features").agg(F.min(F.struct("doc_id", "y", "n_words")).alias("m")).select("m.*", "features")
+    once = once.withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(folds)).cast("int")).withColumn("row", F.monotonically_increasing_id())
+    once = common.staged(once)  # fixes the rows' numbers
+    table = once.select("doc_id", "row", "y", "n_words", "fold").orderBy("doc_id", "row").toPandas()  # at most ``most`` rows
+    y, fold = table["y"].to_numpy(float), table["fold"].to_numpy(int)
+    share = (float(y.sum()) + 1) / (len(y) + 2)
+    if not len(y) or y.min() == y.max():
+        return Chain(CATEGORIES, {}, [], share)
+    totals = {int(f): (int((fold == f).sum()), int(y[fold == f].sum())) for f in np.unique(fold)}
+    told = telling(once, totals).toPandas()  # at most (folds + 1) * KEPT rows
+    ids = np.unique(told["feature"].to_numpy(np.int64))
+    if not (told["fold"] == -1).any():
+        return Chain(CATEGORIES, {}, [], share)
+    spark = docs.sparkSession
+    columns = F.broadcast(spark.createDataFrame(list(enumerate(ids.tolist())), "col int, feature long"))
+    ones = once.select("row", F.explode("features").alias("feature")).join(columns, "feature").select("row", "col").orderBy("row", "col").toPandas()
+    order = np.argsort(table["row"].to_numpy())
+    at = order[np.searchsorted(table["row"].to_numpy()[order], ones["row"].to_numpy())]
+    x = Hits(at, ones["col"].to_numpy(np.int64), len(y), len(ids))
+    chosen = {f: np.isin(ids, told["feature"][told["fold"] == f]) for f in (-1, *totals)}
+    n_words = np.maximum(table["n_words"].to_numpy(float), 1)
+
+    def marks(cols):
+        hits = x.times(cols.astype(float))
+        return np.array([y * (hits >= 2), y * (hits >= 0.01 * n_words), y]).T
+
+    final = chosen[-1]
+    chain, _ = fit_chain(x, marks, CATEGORIES, {f: k for k, f in enumerate(ids[final].tolist())}, fold, chosen)
+    chain.weights = [np.concatenate((w[: x.cols][final], w[x.cols :])) for w in chain.weights]
+    return chain
 
 
 def apply(rows: DataFrame, model: Chain) -> DataFrame:
@@ -180,17 +230,19 @@ def apply(rows: DataFrame, model: Chain) -> DataFrame:
         chain = shared.value
         index, known = chain.index, {}
         for b in batches:
-            x = np.zeros((b.num_rows, len(index)))
+            row, col = [], []
             for k, t in enumerate(b.column(at).to_pylist()):
+                own: set[int] = set()
                 for w in set(LETTERS.findall((t or "").lower())):
                     cols = known.get(w)
                     if cols is None:
                         if len(known) > WORDS_KEPT:
                             known.clear()
                         cols = known[w] = tuple(index[f] for f in word_features(w) if f in index)
-                    if cols:
-                        x[k, list(cols)] = 1
-            p = chain.predict(x)
+                    own.update(cols)
+                row += [k] * len(own)
+                col += sorted(own)
+            p = chain.predict(Hits(np.array(row, np.int64), np.array(col, np.int64), b.num_rows, len(index)))
             yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(p[:, k]) for k in range(p.shape[1]))], names=[*b.schema.names, *names])
 
     return rows.mapInArrow(run, StructType([*rows.schema.fields, *(StructField(n, DoubleType()) for n in names)]))

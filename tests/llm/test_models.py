@@ -41,11 +41,47 @@ def test_chain_finds_toxic_documents(spark):
 
 def test_later_models_get_out_of_fold_predictions():
     rng = np.random.default_rng(2)
-    x = (rng.random((200, 6)) < 0.3).astype(float)
-    y = x[:, :1]
-    chain = toxicity.fit_chain(x, np.hstack([y, y]), ("a", "b"), {})
+    dense = rng.random((200, 6)) < 0.3
+    y = dense[:, 0].astype(float)
+    fold = np.arange(200) % 3
+    x = toxicity.Hits(*np.nonzero(dense), 200, 6)
+    chain, said = toxicity.fit_chain(x, np.array([y, y]).T, ("a", "b"), {}, fold)
     assert [len(w) for w in chain.weights] == [7, 8]
-    assert ((chain.predict(x)[:, 1] > 0.5) == (y[:, 0] > 0)).all()
+    assert ((chain.predict(x)[:, 1] > 0.5) == (y > 0)).all()
+    # the labels of a fold, however wrong, do not reach its own predictions
+    wrong = np.where(fold == 1, 1 - y, y)
+    _, other = toxicity.fit_chain(x, np.array([wrong, wrong]).T, ("a", "b"), {}, fold)
+    assert np.allclose(said[fold == 1, 0], other[fold == 1, 0]) and not np.allclose(said[fold == 0, 0], other[fold == 0, 0])
+    # brute force: the same models over a dense matrix, one fold at a time
+    for f in range(3):
+        own = fold == f
+        w = toxicity.logistic(toxicity.Hits(*np.nonzero(dense[~own]), int((~own).sum()), 6), np.zeros((int((~own).sum()), 0)), y[~own])
+        assert np.allclose(said[own, 0], 1 / (1 + np.exp(-(dense[own] @ w[:6] + w[6]))))
+
+
+def test_features_of_a_fold_are_chosen_without_it(spark):
+    rng = random.Random(12)
+    rows, totals = [], {}
+    for k in range(240):
+        y, fold = int(k % 4 == 0), k % 3
+        own = {rng.randint(100, 140) for _ in range(5)} | ({1} if y else set()) | ({2} if y and fold == 1 else set()) | ({3} if not y else set())
+        rows.append((fold, y, sorted(own)))
+        n, m = totals.get(fold, (0, 0))
+        totals[fold] = (n + 1, m + y)
+    told = {}
+    for r in toxicity.telling(spark.createDataFrame(rows, "fold int, y int, features array<long>"), totals).collect():
+        told.setdefault(r["fold"], set()).add(r["feature"])
+    assert all({1, 3} <= told[f] for f in (-1, 0, 1, 2))
+    assert 2 in told[-1] and 2 in told[0] and 2 not in told[1]
+    for out in (-1, 0, 1, 2):  # brute force
+        rest = [r for r in rows if r[0] != out]
+        share = sum(r[1] for r in rest) / len(rest)
+        want = set()
+        for f in {f for r in rest for f in r[2]}:
+            n, k = sum(f in r[2] for r in rest), sum(r[1] for r in rest if f in r[2])
+            if n >= 4 and abs(k - n * share) / (n * share * (1 - share)) ** 0.5 >= 5.5:
+                want.add(f)
+        assert told[out] == want
 
 
 def test_quality_on_held_out_documents(spark):
