@@ -217,3 +217,19 @@ def test_neighbours_of_repeated_rows_come_once(spark):
     rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.5, 0.5]), (3, [0.0, 0.0]), (4, None)]
     got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0, 20).collect()
     assert [tuple(r) for r in got] == [(0, 1, 1, 1.0), (0, 2, 2, 0.5)]
+
+
+def test_repeated_ids_and_many_copies_lose_no_neighbours(spark):
+    rows = [(0, [1.0, 0.0])] + [(1, [0.9, 0.1])] * 30 + [(2, [0.8, 0.1]), (3, [0.7, 0.0]), (4, [0.1, 0.0]), (4, [0.6, 0.0])]
+    rows += [(k, [0.5, 0.5]) for k in range(100, 140)]
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0, 5).collect()
+    assert [(r["rank"], r["vec_id"], r["score"]) for r in sorted(got)] == [(1, 1, 0.9), (2, 2, 0.8), (3, 3, 0.7), (4, 100, 0.5), (5, 101, 0.5)]
+    every = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0, 200).collect()
+    assert [r["vec_id"] for r in sorted(every)] == [1, 2, 3, *range(100, 140), 4] and sorted(every)[-1]["score"] == 0.1
+
+
+def test_blocks_hold_every_leaf_once():
+    count, first, number = ann.block_map({0: 5, 1: 4, 2: 25, 4: 3}, 5, 10)
+    assert count.tolist() == [5, 4, 25, 0, 3]
+    places = [range(a, a + n) for a, n in zip(first, number, strict=True)]
+    assert number.tolist() == [1, 1, 3, 1, 1] and not set(places[2]) & {x for k in (0, 1, 3, 4) for x in places[k]}
