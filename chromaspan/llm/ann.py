@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 from . import common
 
 SAMPLE, BRANCHES, LEAF_ROWS, LEAST_LEAF, TARGET = 20_000, 8, 128, 8, 0.93
-#: Rows and queries of a block, and queries multiplied at once.
-BLOCK, QUERIES, AT_ONCE = 8192, 8192, 256
+#: Least and most rows of a block (a 32nd of all rows between them), queries of a block, and queries multiplied at once.
+BLOCKS, QUERIES, AT_ONCE = (512, 8192), 8192, 256
 #: Sample rows whose product with a query is its yardstick, and queries of the calibration.
 NTH, HELD = 5, 500
 
@@ -208,7 +208,7 @@ def _matrix(column):
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
 
 
-def block_map(rows: dict[int, int], leaves: int, block: int = BLOCK):
+def block_map(rows: dict[int, int], leaves: int, block: int):
     """(rows of each leaf, first block of each leaf, number of its blocks): leaves in a row share a block, large ones have several."""
     import numpy as np
 
@@ -281,7 +281,7 @@ def nearest(vectors: DataFrame, is_query: Column, most: int = 20, sample_rows: i
     kept = rows.withColumn("h1", F.xxhash64("v")).withColumn("h2", F.xxhash64("v", F.lit(1))).withColumn("copy", F.row_number().over(same)).where(F.col("copy") <= most + 1)
     indexed = common.staged(kept.select("vec_id", "v").mapInArrow(place, "vec_id long, v array<double>, leaf int"))
     sizes = {r["leaf"]: r["n"] for r in indexed.groupBy("leaf").agg(F.count("*").alias("n")).collect()}  # a row for each leaf
-    blocks = spark.sparkContext.broadcast(block_map(sizes, search.value.tree.leaves))
+    blocks = spark.sparkContext.broadcast(block_map(sizes, search.value.tree.leaves, min(max(BLOCKS[0], there // 32), BLOCKS[1])))
 
     def visit(batches: Iterator) -> Iterator:
         import pyarrow as pa

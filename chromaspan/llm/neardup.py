@@ -10,8 +10,11 @@ threshold); the rest are confirmed on full sets.
 A star may miss a link between two nodes that both fail against the centre. So buckets whose nodes are not one
 component yet get a last pass: every node outside a bucket's main component is held against the nodes of
 other components in its bucket, under the same conditions inside the join; small sets, whose signatures tell
-little, are compared in full there. With that, no link between nodes that share a bucket is lost. Bands are as many as it takes to miss a pair at the threshold with a probability
-under one in a million.
+little, are compared in full there. Where more than LARGE nodes of a bucket are outside, that would grow as their
+square; such nodes are instead held against those with which they share one of their rarest shingles: two sets
+that reach the threshold do, if each looks at its (1 - threshold) * size + 1 rarest ones. With that, no link
+between nodes that share a bucket is lost. Bands are as many as it takes to miss a pair at the threshold with a
+probability under one in a million; optimal densification keeps bins independent for short texts too.
 
 Defined cases: null and empty texts, and texts of white space, have no shingles and stay alone. Repeated rows
 are copies. Rows without a doc_id stay alone, with a null component, and are kept. Rows that share a doc_id
@@ -22,7 +25,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common, components
@@ -32,6 +35,10 @@ BINS = 256
 FIRST_BANDS = 6
 #: Sets of at most so many shingles go along into the last pass, where their sketches tell the least.
 SMALL_SET = 512
+#: Nodes outside a bucket's main component up to which they are held against the bucket directly.
+LARGE = 100
+#: Parts into which copies of one text are split where they get their component, and nodes in a part of a bucket.
+SALTS, PART_NODES = 32, 2000
 #: Bytes of text worked at once: numpy holds some 30 bytes for each.
 CHUNK = 1 << 20
 
@@ -119,6 +126,27 @@ def confirmed(candidates: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     return candidates.join(one, "a").join(two, "b").where(100 * both >= percent * (F.size("x") + F.size("y") - both)).select("a", "b")
 
 
+def rare_shingles(sets: DataFrame, percent: int) -> DataFrame:
+    """(band, node): each set's rarest shingles, as many as any set that reaches the threshold with it must meet."""
+    each = sets.select(F.col("doc_id").alias("node"), F.size("shingles").alias("n"), F.explode("shingles").alias("band"))
+    common_ = each.groupBy("band").agg(F.count("*").alias("times")).where("times > 1")
+    ranked = each.join(common_, "band", "left").withColumn("place", F.row_number().over(Window.partitionBy("node").orderBy(F.coalesce("times", F.lit(1)), "band")))
+    return ranked.where((F.col("place") <= F.floor(F.col("n") * (100 - percent) / 100) + 1) & F.col("times").isNotNull()).select("band", "node")
+
+
+def across(mixed: DataFrame, about: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of a bucket whose first node is outside the main component and whose second is of another component,
+    and which may reach the threshold. The second nodes of a large bucket are dealt to several tasks."""
+    small = sets.where(F.size("shingles") <= SMALL_SET).select(F.col("doc_id").alias("node"), "shingles")
+    rows = mixed.withColumn("parts", F.ceil(F.col("total") / F.lit(PART_NODES))).join(about, "node").join(small, "node", "left")
+    aside = rows.where("component <> main").select("band", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.col("node").alias("a"), F.col("component").alias("c"), "n", "sketch", F.col("shingles").alias("x"))
+    there = rows.select("band", F.pmod(F.xxhash64("node"), "parts").alias("part"), F.col("node").alias("b"), F.col("component").alias("d"), "main", F.col("n").alias("m"), F.col("sketch").alias("sketch2"), F.col("shingles").alias("y"))
+    shared = F.size(F.array_intersect("x", "y"))
+    near = F.col("x").isNull() | F.col("y").isNull() | (100 * shared >= percent * (F.col("n") + F.col("m") - shared))
+    pairs = aside.join(there, ["band", "part"]).where((F.col("c") != F.col("d")) & ((F.col("d") == F.col("main")) | (F.col("a") < F.col("b"))) & likely(percent) & near)
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per input row.
 
@@ -129,7 +157,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     signed = common.staged(signatures(docs, width, rows, bands))
     with_words = signed.where("n_shingles > 0 and doc_id is not null")
     key = ["n_shingles", "key_a", "key_b"]
-    named = with_words.groupBy(key).agg(F.min("doc_id").alias("node"))
+    salt = F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(SALTS)).cast("int").alias("salt")
+    named = common.staged(with_words.withColumn("salt", salt).groupBy(key).agg(F.min("doc_id").alias("node"), F.expr("bit_or(shiftleft(1L, salt))").alias("salts")))
     nodes = with_words.join(named.select(F.col("node").alias("doc_id"), *key), ["doc_id", *key]).dropDuplicates(["doc_id", *key])
     nodes = common.staged(nodes.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "sketch", "bands"))
 
@@ -142,12 +171,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         ordered = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
         return ordered.join(about.select(F.col("node").alias("a"), "n", "sketch"), "a").join(about.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("sketch").alias("sketch2")), "b")
 
-    def mixed_buckets(found: DataFrame) -> DataFrame:
-        """The nodes of buckets that hold more than one component, with the bucket's main one."""
+    def mixed_buckets(members: DataFrame, found: DataFrame) -> DataFrame:
+        """The nodes of buckets that hold more than one component, with the bucket's main one and the number outside it."""
         placed = members.select("band", "node").join(found, "node", "left").select("band", "node", F.coalesce("component", "node").alias("component"))
         parts = placed.groupBy("band", "component").agg(F.count("*").alias("k"), F.min("node").alias("first"))
-        main = parts.groupBy("band").agg(F.max_by(F.struct("component", "first"), F.struct("k", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
-        return common.staged(placed.join(main.select("band", F.col("main.component").alias("main"), F.col("main.first").alias("centre")), "band"))
+        main = parts.groupBy("band").agg(F.max_by(F.struct("component", "first"), F.struct("k", "component")).alias("main"), (F.sum("k") - F.max("k")).alias("outside"), F.sum("k").alias("total"), F.count("*").alias("parts")).where("parts > 1")
+        return common.staged(placed.join(main.select("band", F.col("main.component").alias("main"), F.col("main.first").alias("centre"), "outside", "total"), "band"))
 
     needed = members.select(F.col("node").alias("doc_id")).distinct()
     sets = common.staged(shingle_sets(common.whole_texts(docs).join(needed, "doc_id", "left_semi"), width).dropDuplicates(["doc_id"]))
@@ -158,27 +187,26 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     links = common.staged(confirmed(tried, sets, percent))
     found = components.components(links)
     # stars over all bands, from the nodes outside a bucket's main component to its centre
-    mixed = mixed_buckets(found)
+    mixed = mixed_buckets(members, found)
     stars = described(mixed.where("component <> main").select(F.col("centre").alias("a"), F.col("node").alias("b"))).where(likely(percent)).select("a", "b")
     again = common.staged(stars.join(tried, ["a", "b"], "left_anti"))
     links = links.union(common.staged(confirmed(again, sets, percent)))
     tried = tried.union(again)
     found = components.components(links)
     # what is still apart, against the other components of its bucket
-    small = sets.where(F.size("shingles") <= SMALL_SET).select(F.col("doc_id").alias("node"), "shingles")
-    mixed = mixed_buckets(found).join(about, "node").join(small, "node", "left")
-    aside = mixed.where("component <> main").select("band", F.col("node").alias("a"), F.col("component").alias("c"), "n", "sketch", F.col("shingles").alias("x"))
-    there = mixed.select("band", F.col("node").alias("b"), F.col("component").alias("d"), "main", F.col("n").alias("m"), F.col("sketch").alias("sketch2"), F.col("shingles").alias("y"))
-    shared_now = F.size(F.array_intersect("x", "y"))
-    near = F.col("x").isNull() | F.col("y").isNull() | (100 * shared_now >= percent * (F.col("n") + F.col("m") - shared_now))
-    second = aside.join(there, "band").where((F.col("c") != F.col("d")) & ((F.col("d") == F.col("main")) | (F.col("a") < F.col("b"))) & likely(percent) & near)
-    second = second.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+    mixed = mixed_buckets(members, found)
+    crowd = mixed.where(F.col("outside") > LARGE).select("node").distinct()
+    rarest = mixed_buckets(rare_shingles(sets.join(crowd, F.col("doc_id") == F.col("node"), "left_semi"), percent), found)
+    mixed = mixed.where(F.col("outside") <= LARGE).union(rarest)
+    second = across(mixed, about, sets, percent).join(tried, ["a", "b"], "left_anti")
     more = common.staged(confirmed(second, sets, percent))
     if not more.isEmpty():
         found = components.components(links.union(more))
 
-    classes = named.join(found, "node", "left").select(*key, F.coalesce("component", "node").alias("component"))
-    out = signed.select("doc_id", *key).join(classes, key, "left")
+    classes = named.join(found, "node", "left").select(*key, F.coalesce("component", "node").alias("component"), "salts")
+    has = lambda k: F.shiftrightunsigned("salts", k).bitwiseAND(F.lit(1)) == 1
+    classes = classes.select(*key, "component", F.explode(F.array_compact(F.array(*(F.when(has(k), F.lit(k)) for k in range(SALTS))))).alias("salt"))
+    out = signed.select("doc_id", *key, salt).join(classes, [*key, "salt"], "left")
     alone = (F.col("n_shingles") == 0) | F.col("doc_id").isNull()
     out = out.select("doc_id", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

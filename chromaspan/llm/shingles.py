@@ -85,12 +85,23 @@ def shingles(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
     return doc[new], s[new]
 
 
+_draws: dict[int, np.ndarray] = {}
+
+
+def draws(bins: int) -> np.ndarray:
+    """Row b: all bins in the order in which an empty bin b draws them, a random permutation for each b."""
+    if bins not in _draws:
+        at = np.arange(bins * bins, dtype=np.uint64).reshape(bins, bins)
+        _draws[bins] = np.argsort(mix(mix(at + np.uint64(1)) * _STEP), axis=1)
+    return _draws[bins]
+
+
 def one_permutation(doc: np.ndarray, s: np.ndarray, n_docs: int, bins: int) -> np.ndarray:
     """Signatures (n_docs x bins, uint32) by one permutation, with optimal densification.
 
-    The hash's leading bits are the bin, the smallest hash of a bin gives its value. An empty bin tries bins
-    drawn by a universal hash of (bin, attempt) until one has a value; for sparse texts the last draw looks on
-    to the next bin that has one. Texts without shingles keep zeros.
+    The hash's leading bits are the bin, the smallest hash of a bin gives its value. An empty bin draws bins, in an
+    order of its own that is the same for all texts, until one has a value: so it takes any of a text's full bins
+    alike, independent of the other empty bins, however few are full. Texts without shingles keep zeros.
     """
     shift = np.uint64(64 - (bins.bit_length() - 1))
     place = (s >> shift).astype(np.int64)
@@ -101,20 +112,15 @@ def one_permutation(doc: np.ndarray, s: np.ndarray, n_docs: int, bins: int) -> n
     out[key[head]] = (mix(s[head] + _STEP) >> np.uint64(32)).astype(np.uint32)
     full[key[head]] = True
     out, full = out.reshape(n_docs, bins), full.reshape(n_docs, bins)
-    some = full.any(axis=1)
-    d, b = np.nonzero(~full & some[:, None])
-    for attempt in range(1, 25):
+    d, b = np.nonzero(~full & full.any(axis=1)[:, None])
+    order = draws(bins)
+    for attempt in range(bins):
         if not len(d):
             break
-        draw = (mix(b.astype(np.uint64) * _STEP + np.uint64(attempt)) >> shift).astype(np.int64)
+        draw = order[b, attempt]
         hit = full[d, draw]
         out[d[hit], b[hit]] = out[d[hit], draw[hit]]
         d, b = d[~hit], b[~hit]
-    if len(d):
-        draw = (mix(b.astype(np.uint64) * _STEP + np.uint64(99)) >> shift).astype(np.int64)
-        for k in np.unique(d):
-            own, there = d == k, np.flatnonzero(full[k])
-            out[k, b[own]] = out[k, there[np.searchsorted(there, draw[own]) % len(there)]]
     return out
 
 

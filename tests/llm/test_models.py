@@ -152,6 +152,53 @@ def test_near_duplicates_equal_brute_force(spark):
     assert neardup.near_duplicates(docs.where("false")).count() == 0
 
 
+def test_short_texts_meet_in_a_band():
+    """3000 pairs at or little above the threshold, of 6 to 14 shingles: all share a band."""
+    from chromaspan.llm import shingles
+
+    rng = random.Random(13)
+    rows, bands = neardup.banding(0.85)
+    for _ in range(30):
+        texts = []
+        for _ in range(100):
+            words = [f"w{rng.getrandbits(40)}" for _ in range(rng.choice([8, 9, 14, 16]))]
+            texts += [" ".join(words).encode(), " ".join([*words, "x"] if len(words) < 14 else ["y", *words, "x"]).encode()]
+        doc, s = shingles.shingles(texts, 3)
+        sig = shingles.one_permutation(doc, s, len(texts), neardup.BINS)[:, : rows * bands].reshape(len(texts), bands, rows)
+        for k in range(0, len(texts), 2):
+            assert (sig[k] == sig[k + 1]).all(axis=1).any()
+
+
+def test_densified_bins_are_drawn_alike_from_the_full_ones():
+    from chromaspan.llm import shingles
+
+    doc, s = shingles.shingles([b"a b c d e f g", b"", b"one"], 3)
+    sig = shingles.one_permutation(doc, s, 3, 256)
+    assert len(set(sig[0].tolist())) == 5 and not sig[1].any() and len(set(sig[2].tolist())) == 1
+    plain = {int(h >> np.uint64(56)): v for h, v in zip(s[doc == 0], (shingles.mix(s[doc == 0] + shingles._STEP) >> np.uint64(32)).tolist(), strict=True)}
+    for b in range(256):
+        assert sig[0, b] == plain[next(k for k in shingles.draws(256)[b].tolist() if k in plain)] if b not in plain else sig[0, b] == plain[b]
+
+
+def test_crowded_buckets_lose_no_link(spark, monkeypatch):
+    """A template whose copies mostly stay under the threshold, with some pairs over it: as by brute force."""
+    monkeypatch.setattr(neardup, "LARGE", 3)
+    monkeypatch.setattr(neardup, "PART_NODES", 5)
+    rng = random.Random(14)
+    base = [f"t{k}" for k in range(90)]
+    texts = {}
+    for k in range(70):
+        own = list(base)
+        for x in rng.sample(range(90), 4):
+            own[x] = f"u{k}x{x}"
+        texts[2 * k] = " ".join(own)
+        own[rng.randrange(90)] = "z"
+        texts[2 * k + 1] = " ".join(own)
+    want, _ = brute_groups(texts, 3, 85)
+    got = neardup.near_duplicates(spark.createDataFrame([(k, t) for k, t in texts.items()], "doc_id long, text string"), 3, 85)
+    assert {r["doc_id"]: r["component_id"] for r in got.collect()} == want
+
+
 def test_components_of_a_path(spark):
     n = 200
     links = spark.range(1, n).selectExpr("id as a", "id + 1 as b").union(spark.createDataFrame([(1000, 1001), (1001, 1000)], "a long, b long"))
