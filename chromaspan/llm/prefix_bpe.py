@@ -11,8 +11,8 @@ import functools
 import json
 import re
 
-#: Prefix states that a worker stores, in two generations, so that frequent ones stay.
-STATES_KEPT = 250_000
+#: Prefix states that a worker stores before it begins anew.
+STATES_KEPT = 300_000
 #: Bytes up to which prefixes are stored; longer pieces are worked out in arrays.
 SHORT = 40
 
@@ -51,6 +51,7 @@ class PrefixBpe:
         specials = {t["content"] for t in spec["added_tokens"]}
         self.special = re.compile("(" + "|".join(map(re.escape, sorted(specials, key=len, reverse=True))) + ")") if specials else None
         inner = {bytes(letters[c] for c in name): i for name, i in names.items() if name not in specials}
+        self.ids = inner
         self.step, self.ends = backward_tree(inner)
         #: rank of the merge that makes a token (-1: none), its parts, and the rank of each pair
         self.made = dict.fromkeys(names.values(), -1)
@@ -63,8 +64,7 @@ class PrefixBpe:
             if self.made[whole_id] < 0:
                 self.made[whole_id], self.parts[whole_id] = r, pair
         self.pairs: dict[int, bool] = {}
-        self.states: dict[bytes, tuple[int, int, int]] = {}
-        self.earlier: dict[bytes, tuple[int, int, int]] = {}
+        self.states: dict[bytes, tuple[int, int, int, bytes]] = {}
 
     def boundary_stays(self, a: int, b: int) -> bool:
         """Whether no merge crosses the boundary when a and b are built up side by side.
@@ -105,28 +105,45 @@ class PrefixBpe:
         found.reverse()
         return found
 
-    def state(self, raw: bytes) -> tuple[int, int, int]:
-        """(count, last token, where it begins) of a short non-empty prefix."""
-        states, earlier = self.states, self.earlier
-        k = len(raw)
-        while k and raw[:k] not in states:
-            if (s := earlier.get(raw[:k])) is not None:
-                states[raw[:k]] = s
-                break
+    def state(self, raw: bytes) -> tuple[int, int, int, bytes]:
+        """(last token, where it begins, the token before it or -1, count of every prefix) of a short non-empty prefix.
+
+        Only one last token leaves the encoding stable, so the likely ones are tried first: the last token of the
+        prefix one byte shorter with the new byte, then the new byte alone.
+        """
+        states, ids, pairs = self.states, self.ids, self.pairs
+        if len(states) > STATES_KEPT:
+            states.clear()
+        k, s = len(raw), None
+        while k and (s := states.get(raw[:k])) is None:
             k -= 1
         for i in range(k + 1, len(raw) + 1):
-            for j, t in self.fits(raw, i):
-                if not j:
-                    states[raw[:i]] = (1, t, 0)
-                    break
-                before = states.get(raw[:j]) or self.state(raw[:j])
-                if self.stays(before[1], t):
-                    states[raw[:i]] = (before[0] + 1, t, j)
-                    break
-        found = states[raw]
-        if len(states) > STATES_KEPT:
-            self.states, self.earlier = {}, states
-        return found
+            if s is None:
+                s = (ids[raw[:1]], 0, -1, b"\x01")
+            else:
+                last, begin, before, counts = s
+                t = ids.get(raw[begin:i])
+                if t is not None and (before < 0 or pairs.get(before << 20 | t) or self.stays(before, t)):
+                    s = (t, begin, before, counts + counts[-1:])
+                else:
+                    t = ids[raw[i - 1 : i]]
+                    if pairs.get(last << 20 | t) or self.stays(last, t):
+                        s = (t, i - 1, last, counts + bytes((counts[-1] + 1,)))
+                    else:
+                        for j, t in self.fits(raw, i):
+                            if not j:
+                                s = (t, 0, -1, counts + b"\x01")
+                                break
+                            own = states.get(raw[:j]) or self.state(raw[:j])
+                            if self.stays(own[0], t):
+                                s = (t, j, own[0], counts + bytes((own[3][-1] + 1,)))
+                                break
+            states[raw[:i]] = s
+        return s
+
+    def counts(self, raw: bytes) -> bytes | list[int]:
+        """Token count of every prefix of a piece but the empty one, by byte."""
+        return self.state(raw)[3] if len(raw) <= SHORT else self.table(raw)[1:]
 
     def table(self, raw: bytes) -> list[int]:
         """Token count of every prefix of a piece of any length, by byte."""
@@ -140,7 +157,7 @@ class PrefixBpe:
         return counts
 
     def size(self, raw: bytes) -> int:
-        return 0 if not raw else self.state(raw)[0] if len(raw) <= SHORT else self.table(raw)[-1]
+        return self.counts(raw)[-1] if raw else 0
 
 
 @functools.lru_cache(maxsize=2)

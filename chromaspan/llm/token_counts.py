@@ -1,8 +1,9 @@
 """Exact token counts of every prefix of a text, by dynamic programming over prefixes.
 
 Pieces of the pre-split are independent: a text's prefix count is the count of the pieces before plus that of
-the started piece, which prefix_bpe finds from shorter prefixes. Budget and truncation questions are then
-lookups: nothing is encoded again.
+the started piece, which prefix_bpe finds from shorter prefixes. The counts of a word's prefixes are stored, a
+text's table is put together from its words', and every question is a lookup in that table: the number of
+tokens, the longest prefix within a budget, the tokens of a truncated text. Nothing is encoded again.
 
 Defined cases: a null text is the empty text with 0 tokens; repeated rows give repeated results; an empty
 table gives an empty result; other columns of the input are ignored.
@@ -36,37 +37,54 @@ class PrefixCounter:
     def __init__(self, path: str):
         self.bpe = prefix_bpe.prefix_bpe(path)
         self.special = self.bpe.special
-        self.words: dict[str, int] = {}
-        self.words_before: dict[str, int] = {}
+        self.words: dict[str, bytes] = {}
+        self.words_before: dict[str, bytes] = {}
 
     def by_character(self, piece: str) -> list[int]:
         """counts[k] of piece[:k]; for unfinished contractions as the pre-split would take them."""
-        counts = self.bpe.table(piece.encode())
-        out, at = [0], 0
-        for c in piece:
-            at += len(c.encode())
-            out.append(counts[at])
+        out = [0, *self.ends(piece)]
         if piece in LONG_CONTRACTIONS:
             out[2] = 2
         return out
 
+    def ends(self, piece: str) -> bytes | list[int]:
+        """Counts of piece[:k], k from 1, read where characters end."""
+        raw = piece.encode()
+        counts = self.bpe.counts(raw)
+        if len(raw) > len(piece):
+            inner = [c for k, c in enumerate(counts[:-1], 1) if raw[k] & 192 != 128]
+            inner.append(counts[-1])
+            return bytes(inner) if len(raw) <= prefix_bpe.SHORT else inner
+        return counts
+
     def size(self, piece: str) -> int:
         """Tokens of one piece."""
         return self.bpe.size(piece.encode())
 
-    def word(self, word: str) -> int:
-        """Tokens of a text part that begins where a piece must begin: letters, letters and a sign, or anything."""
+    def word(self, word: str) -> bytes:
+        """The stored table of a text part that begins where a piece must begin: counts of word[:k], k from 1, as bytes;
+        nothing if they are too large for that."""
         bare = word[1:] if word[:1] == " " else word
         if bare.isalpha():
-            n = self.size(word)
+            counts = self.ends(word)
         elif bare[-1:] in ".,#$%&*" and bare[:-1].isalpha():
-            n = self.size(word[:-1]) + 1
+            counts = self.ends(word[:-1])
+            counts = [*counts, counts[-1] + 1]
         else:
-            n = sum(map(self.size, SPLIT.findall(word)))
+            counts = self._plain(word)[1:]
+        if max(counts[-1], len(counts) >> 8) > 250:
+            return b""
         if len(self.words) > WORDS_KEPT:
             self.words, self.words_before = {}, self.words
-        self.words[word] = n
-        return n
+        table = self.words[word] = bytes(counts)
+        return table
+
+    def word_again(self, word: str) -> bytes:
+        table = self.words_before.get(word)
+        if table is None:
+            return self.word(word)
+        self.words[word] = table
+        return table
 
     def segments(self, text: str) -> list[str]:
         """The text cut at special strings; these stand at the odd places and are one token each."""
@@ -81,44 +99,26 @@ class PrefixCounter:
         words[1:] = [" " + w for w in words[1:]]
         return words
 
-    def sizes(self, words: list[str]) -> list[int]:
-        """Tokens of each part; parts met before are not worked out again."""
-        get, before = self.words.get, self.words_before.get
-        return [get(w) or (self.word_again(w, before(w)) if w else 0) for w in words]
-
-    def count(self, text: str) -> int:
-        """Tokens of the text."""
-        total = 0
-        for k, part in enumerate(self.segments(text)):
-            if k % 2:
-                total += 1
-            elif part:
-                words = self.parts(part)
-                total += sum(map(self.size, SPLIT.findall(part)) if words is None else self.sizes(words))
-        return total
+    def table(self, text: str):
+        """numpy array: element k is the token count of text[:k], read as a text of its own."""
+        import numpy as np
 
-    def count_and_cut(self, text: str, budget: int) -> tuple[int, int]:
-        """Tokens of the text, and the length of its longest prefix of at most ``budget`` tokens."""
+        if not text:
+            return np.zeros(1, np.int32)
         words = None if self.special and self.special.search(text) else self.parts(text)
         if words is None:
-            total = self.count(text)
-            return total, self.cut_near(text, budget, total)
-        sizes = self.sizes(words)
-        total = sum(sizes)
-        if total <= budget:
-            return total, len(text)
-        base = at = 0
-        for word, n in zip(words, sizes, strict=True):
-            if base + n > budget:
-                break
-            base, at = base + n, at + len(word)
-        return total, at + max(k for k, c in enumerate(self._plain(word)) if base + c <= budget)
-
-    def word_again(self, word: str, n: int | None) -> int:
-        if n is None:
-            return self.word(word)
-        self.words[word] = n
-        return n
+            return np.array(self.prefixes(text), np.int32)
+        tables = [self.words.get(w) or self.word_again(w) for w in words]
+        sizes = np.fromiter(map(len, tables), np.int64, len(tables))
+        if not sizes.all():
+            return np.array(self.prefixes(text), np.int32)
+        counts = np.frombuffer(b"".join(tables), np.uint8).astype(np.int32)
+        last = counts[np.cumsum(sizes) - 1]
+        return np.concatenate((np.zeros(1, np.int32), counts + np.repeat((np.cumsum(last) - last).astype(np.int32), sizes)))
+
+    def count(self, text: str) -> int:
+        """Tokens of the text."""
+        return int(self.table(text)[-1])
 
     def prefixes(self, text: str) -> list[int]:
         """Token count of every prefix text[:k], k from 0 to len(text), each read as a text of its own."""
@@ -126,7 +126,7 @@ class PrefixCounter:
         for k, part in enumerate(self.segments(text)):
             if k % 2:
                 started = base - sum(map(self.size, SPLIT.findall(before)))
-                out += [started + self.count(before + part[:j]) for j in range(1, len(part))] + [base + 1]
+                out += [started + sum(map(self.size, SPLIT.findall(before + part[:j]))) for j in range(1, len(part))] + [base + 1]
                 base += 1
             elif part:
                 inner = self._plain(part)
@@ -149,50 +149,33 @@ class PrefixCounter:
             base += self.size(p)
         return out
 
-    def cut(self, text: str, budget: int) -> int:
-        """Length of the longest prefix of at most ``budget`` tokens."""
-        counts = self.prefixes(text)
-        return next(k for k in range(len(counts) - 1, -1, -1) if counts[k] <= budget)
-
-    def cut_near(self, text: str, budget: int, total: int) -> int:
-        """cut() for one budget: only the piece that crosses it, and the white space it began in, get tables."""
-        if total <= budget:
-            return len(text)
-        if self.special and self.special.search(text):
-            return self.cut(text, budget)
-        base = best = run_until = 0
-        run: tuple[int, int, str] | None = None
-        for m in SPLIT.finditer(text):
-            p, at = m.group(), m.start()
-            if at >= run_until and (w := WHITE.match(text, at)):
-                run_until, run = w.end(), (at, base, w.group())
-            size = self.size(p)
-            if base + size > budget:
-                skip = max(0, run_until - at)
-                found = [best, *(at + k for k, n in enumerate(self.by_character(p)) if k > skip and base + n <= budget)]
-                if run:
-                    found += [run[0] + k for k, n in enumerate(self.by_character(run[2])) if run[1] + n <= budget]
-                return max(found)
-            base += size
-            best = m.end()
-        return best
-
 
 @functools.lru_cache(maxsize=2)
 def prefix_counter(path: str) -> PrefixCounter:
     return PrefixCounter(path)
 
 
+def within(table, budget: int) -> int:
+    """Code points of the longest prefix within the budget, by lookup in a text's table."""
+    import numpy as np
+
+    return int(np.flatnonzero(table <= budget)[-1])
+
+
 def token_counts(docs: DataFrame, path: str, budget: int = 1024) -> DataFrame:
-    """doc_id, n_bytes, n_tokens and cut_chars: the longest prefix, in code points, of at most ``budget`` tokens."""
+    """doc_id, n_bytes, n_tokens and cut_chars: the longest prefix, in code points, of at most ``budget`` tokens;
+    both are read from each text's prefix table."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         counter = prefix_counter(path)
         for b in batches:
-            texts = b.column(1).to_pylist()
-            counts, cuts = zip(*(counter.count_and_cut(t, budget) for t in texts), strict=True) if texts else ((), ())
+            counts, cuts = [], []
+            for t in b.column(1).to_pylist():
+                table = counter.table(t)
+                counts.append(int(table[-1]))
+                cuts.append(within(table, budget))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(counts, pa.int64()), pa.array(cuts, pa.int64())], names=["doc_id", "n_bytes", "n_tokens", "cut_chars"])
 
     rows = common.whole_texts(docs).withColumn("n_bytes", F.octet_length("text").cast("long"))
@@ -209,7 +192,8 @@ def prefix_table(docs: DataFrame, path: str) -> DataFrame:
         counter = prefix_counter(path)
         for b in batches:
             for k, t in enumerate(b.column(1).to_pylist()):
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(k, 1), pa.array([counter.prefixes(t)], pa.list_(pa.int32()))], names=["doc_id", "counts"])
+                table = counter.table(t)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(k, 1), pa.ListArray.from_arrays(pa.array([0, len(table)], pa.int32()), pa.array(table, pa.int32()))], names=["doc_id", "counts"])
 
     return common.whole_texts(docs).mapInArrow(run, "doc_id long, counts array<int>")
 

@@ -45,8 +45,20 @@ def test_prefix_states_on_random_pieces():
         s = "".join(rng.choice("aabcdethnrevl '\n\t\x1d\x85\xa0.,!1é中🎉") for _ in range(rng.randint(0, 40)))
         n = len(tok.encode(s, add_special_tokens=False).ids)
         assert counter.count(s) == n, s
+        table = counter.table(s)
+        assert table.tolist() == counter.prefixes(s)
         for budget in (0, 2, 6):
-            assert counter.count_and_cut(s, budget) == (n, counter.cut(s, budget)), s
+            assert token_counts.within(table, budget) == max(k for k in range(len(s) + 1) if table[k] <= budget), s
+
+
+def test_questions_are_lookups_in_the_stored_table(spark):
+    table = token_counts.prefix_table(docs_of(spark, ODD), P.path("byte_bpe_50k.json"))
+    asked = table.select("doc_id", F.element_at("counts", -1).alias("n"), token_counts.longest_within(F.col("counts"), 5).alias("cut"), token_counts.tokens_before(F.col("counts"), F.lit(7)).alias("seven"))
+    want = {r["doc_id"]: r for r in token_counts.token_counts(docs_of(spark, ODD), P.path("byte_bpe_50k.json"), 5).collect()}
+    size = token_counts.PrefixCounter(P.path("byte_bpe_50k.json")).count
+    for r in asked.collect():
+        assert (r["n"], r["cut"]) == (want[r["doc_id"]]["n_tokens"], want[r["doc_id"]]["cut_chars"])
+        assert r["seven"] == size((ODD[r["doc_id"]] or "")[:7])
 
 
 def test_empty_tables(spark):
