@@ -38,17 +38,25 @@ def saturation(hex_: Column) -> Column:
     return F.when(high == 0, 0.0).otherwise((high - low) / high)
 
 
+def let(value: Column, then) -> Column:
+    """then(value), with the value computed once: without it, a value used often is copied as often into the plan."""
+    return F.get(F.transform(F.array(value), then), 0)
+
+
 def lab(hex_: Column) -> Column:
     """struct<l, a, b> in CIELAB under D65."""
-    r, g, b = (linear(channel(hex_, k)) for k in range(3))
-    x = (0.4124564 * r + 0.3575761 * g + 0.1804375 * b) / 0.95047
-    y = 0.2126729 * r + 0.7151522 * g + 0.0721750 * b
-    z = (0.0193339 * r + 0.1191920 * g + 0.9503041 * b) / 1.08883
 
     def f(t: Column) -> Column:
         return F.when(t > 0.008856, F.pow(t, F.lit(1 / 3))).otherwise((903.3 * t + 16.0) / 116.0)
 
-    return F.struct((116 * f(y) - 16).alias("l"), (500 * (f(x) - f(y))).alias("a"), (200 * (f(y) - f(z))).alias("b"))
+    def from_linear(c: Column) -> Column:
+        r, g, b = c["r"], c["g"], c["b"]
+        x = (0.4124564 * r + 0.3575761 * g + 0.1804375 * b) / 0.95047
+        y = 0.2126729 * r + 0.7151522 * g + 0.0721750 * b
+        z = (0.0193339 * r + 0.1191920 * g + 0.9503041 * b) / 1.08883
+        return let(F.struct(f(x).alias("x"), f(y).alias("y"), f(z).alias("z")), lambda t: F.struct((116 * t["y"] - 16).alias("l"), (500 * (t["x"] - t["y"])).alias("a"), (200 * (t["y"] - t["z"])).alias("b")))
+
+    return let(F.struct(*(linear(channel(hex_, k)).alias(n) for k, n in enumerate("rgb"))), from_linear)
 
 
 def oklab(hex_: Column) -> Column:
@@ -65,31 +73,39 @@ def delta_e(one: Column, two: Column) -> Column:
 
 def ciede2000(one: Column, two: Column) -> Column:
     """CIEDE2000 distance of two Lab structs."""
-    c1, c2 = (F.hypot(x["a"], x["b"]) for x in (one, two))
-    c7 = F.pow((c1 + c2) / 2, 7)
-    g = 0.5 * (1 - F.sqrt(c7 / (c7 + 6103515625.0)))
-    a1, a2 = (1 + g) * one["a"], (1 + g) * two["a"]
-    p1, p2 = F.hypot(a1, one["b"]), F.hypot(a2, two["b"])
+    far = 6103515625.0  # 25 ** 7
+    made = lambda **c: F.struct(*(x.alias(n) for n, x in c.items()))
+
+    def seventh(x: Column) -> Column:
+        return F.sqrt(x / (x + far))
+
+    def chromas(v: Column) -> Column:
+        mean = (F.hypot(v["p"]["a"], v["p"]["b"]) + F.hypot(v["q"]["a"], v["q"]["b"])) / 2
+        return let(1 + 0.5 * (1 - seventh(F.pow(mean, 7))), lambda g: let(made(a1=g * v["p"]["a"], a2=g * v["q"]["a"]), lambda a: polar(v, a)))
 
-    def hue(a: Column, b: Column, p: Column) -> Column:
+    def hue(a: Column, b: Column) -> Column:
         h = F.degrees(F.atan2(b, a))
-        return F.when(p == 0, 0.0).otherwise(F.when(h < 0, h + 360).otherwise(h))
-
-    h1, h2 = hue(a1, one["b"], p1), hue(a2, two["b"], p2)
-    gap = h2 - h1
-    dh = F.when(p1 * p2 == 0, 0.0).when(F.abs(gap) <= 180, gap).when(gap > 180, gap - 360).otherwise(gap + 360)
-    big = 2 * F.sqrt(p1 * p2) * F.sin(F.radians(dh) / 2)
-    total = h1 + h2
-    mean = F.when(p1 * p2 == 0, total).when(F.abs(gap) <= 180, total / 2).when(total < 360, (total + 360) / 2).otherwise((total - 360) / 2)
-    cos = lambda k, d: F.cos(F.radians(k * mean + d))
-    t = 1 - 0.17 * cos(1, -30) + 0.24 * cos(2, 0) + 0.32 * cos(3, 6) - 0.20 * cos(4, -63)
-    low, chroma = (one["l"] + two["l"]) / 2 - 50, (p1 + p2) / 2
-    sl = 1 + 0.015 * low * low / F.sqrt(20 + low * low)
-    sc, sh = 1 + 0.045 * chroma, 1 + 0.015 * chroma * t
-    q7 = F.pow(chroma, 7)
-    turn = -F.sin(F.radians(60 * F.exp(-F.pow((mean - 275) / 25, 2)))) * 2 * F.sqrt(q7 / (q7 + 6103515625.0))
-    dl, dc, dk = (two["l"] - one["l"]) / sl, (p2 - p1) / sc, big / sh
-    return F.sqrt(F.greatest(F.lit(0.0), dl * dl + dc * dc + dk * dk + turn * dc * dk))
+        return F.when((a == 0) & (b == 0), 0.0).when(h < 0, h + 360).otherwise(h)
+
+    def polar(v: Column, a: Column) -> Column:
+        b1, b2 = v["p"]["b"], v["q"]["b"]
+        found = made(l1=v["p"]["l"], l2=v["q"]["l"], c1=F.hypot(a["a1"], b1), c2=F.hypot(a["a2"], b2), h1=hue(a["a1"], b1), h2=hue(a["a2"], b2))
+        return let(found, turned)
+
+    def turned(x: Column) -> Column:
+        grey, gap, total = x["c1"] * x["c2"] == 0, x["h2"] - x["h1"], x["h1"] + x["h2"]
+        dh = F.when(grey, 0.0).when(F.abs(gap) <= 180, gap).when(gap > 180, gap - 360).otherwise(gap + 360)
+        mean = F.when(grey, total).when(F.abs(gap) <= 180, total / 2).when(total < 360, (total + 360) / 2).otherwise((total - 360) / 2)
+        return let(made(dl=x["l2"] - x["l1"], dc=x["c2"] - x["c1"], dk=2 * F.sqrt(x["c1"] * x["c2"]) * F.sin(F.radians(dh) / 2), h=mean, low=F.pow((x["l1"] + x["l2"]) / 2 - 50, 2), c=(x["c1"] + x["c2"]) / 2), weighed)
+
+    def weighed(x: Column) -> Column:
+        cos = lambda k, d: F.cos(F.radians(k * x["h"] + d))
+        t = 1 - 0.17 * cos(1, -30) + 0.24 * cos(2, 0) + 0.32 * cos(3, 6) - 0.20 * cos(4, -63)
+        turn = -F.sin(F.radians(60 * F.exp(-F.pow((x["h"] - 275) / 25, 2)))) * 2 * seventh(F.pow(x["c"], 7))
+        parts = made(dl=x["dl"] / (1 + 0.015 * x["low"] / F.sqrt(20 + x["low"])), dc=x["dc"] / (1 + 0.045 * x["c"]), dk=x["dk"] / (1 + 0.015 * x["c"] * t), turn=turn)
+        return let(parts, lambda d: F.sqrt(F.greatest(F.lit(0.0), d["dl"] * d["dl"] + d["dc"] * d["dc"] + d["dk"] * d["dk"] + d["turn"] * d["dc"] * d["dk"])))
+
+    return let(made(p=one, q=two), chromas)
 
 
 def role(hex_: Column, confidence: Column) -> Column:
@@ -166,11 +182,6 @@ def _from_hue(h: Column, low: Column, high: Column) -> list[Column]:
     return [channel_at(k) for k in (5, 3, 1)]
 
 
-def _let(value: Column, then) -> Column:
-    """then(value), with the value computed once."""
-    return F.get(F.transform(F.array(value), then), 0)
-
-
 def parse_css_functions(text: Column) -> Column:
     """struct<r, g, b, a> of hsl(), hwb(), lab(), lch(), oklab(), oklch() and color() in srgb, srgb-linear and display-p3.
 
@@ -180,7 +191,7 @@ def parse_css_functions(text: Column) -> Column:
     t = F.lower(F.trim(text))
     words = F.split(F.trim(F.regexp_replace(F.regexp_extract(t, shape, 2), r"[,/\s]+", " ")), " ")
     read = F.struct(F.regexp_replace(F.regexp_extract(t, shape, 1), "hsla", "hsl").alias("name"), words.alias("words"))
-    return F.when(t.rlike(shape), _let(read, _numbers))
+    return F.when(t.rlike(shape), let(read, _numbers))
 
 
 def _numbers(p: Column) -> Column:
@@ -207,7 +218,7 @@ def _numbers(p: Column) -> Column:
         "alpha": alpha,
     }
     known = F.struct(F.when(name == "color", F.get(words, 0)).otherwise(name).alias("space"), *(v.alias(k) for k, v in values.items()))
-    return F.when(F.size(x).between(3, 4), _let(known, lambda q: _let(_light(q), lambda c: _whole(c, q["alpha"]))))
+    return F.when(F.size(x).between(3, 4), let(known, lambda q: let(_light(q), lambda c: _whole(c, q["alpha"]))))
 
 
 def _light(q: Column) -> Column:
@@ -219,13 +230,13 @@ def _light(q: Column) -> Column:
     companded = lambda vs: F.transform(F.array(*vs), _companded)
     at = lambda arr: [F.get(arr, k) for k in range(3)]
     lms = F.transform(F.array(*_times(OKLAB_TO_LMS, [q["light"], q["a"], q["b"]])), lambda v: F.pow(v, F.lit(3.0)))
-    ok = _let(lms, lambda m: companded(_times(LMS_TO_RGB, at(m))))
+    ok = let(lms, lambda m: companded(_times(LMS_TO_RGB, at(m))))
     mid = (q["light"] + 16) / 116
     back = lambda f: F.when(F.pow(f, F.lit(3.0)) > 216 / 24389, F.pow(f, F.lit(3.0))).otherwise((116 * f - 16) / (24389 / 27))
     xyz = F.zip_with(F.transform(F.array(mid + q["a"] / 500, mid, mid - q["b"] / 200), back), F.array(*map(F.lit, D50)), lambda f, w: f * w)
-    cie = _let(xyz, lambda m: companded(_times(D50_TO_RGB, at(m))))
+    cie = let(xyz, lambda m: companded(_times(D50_TO_RGB, at(m))))
     own = F.array(q["v0"], q["v1"], q["v2"])
-    p3 = _let(F.transform(own, lambda c: F.when(c <= 0.04045, c / 12.92).otherwise(F.pow((c + 0.055) / 1.055, F.lit(2.4)))), lambda m: companded(_times(P3_TO_RGB, at(m))))
+    p3 = let(F.transform(own, lambda c: F.when(c <= 0.04045, c / 12.92).otherwise(F.pow((c + 0.055) / 1.055, F.lit(2.4)))), lambda m: companded(_times(P3_TO_RGB, at(m))))
     space = q["space"]
     return F.when(space == "hsl", hsl).when(space == "hwb", hwb).when(space.isin("oklab", "oklch"), ok).when(space.isin("lab", "lch"), cie).when(space == "srgb", own).when(space == "srgb-linear", F.transform(own, _companded)).when(space == "display-p3", p3)
 
