@@ -1,9 +1,10 @@
 """Two captures to a 0-100 drift report.
 
 tokens: snapshot_id, category (color, typography, spacing, radius, shadow, semantic), ord, key, value, num,
-confidence. A pair table (pair_id, base_id, cand_id) says what is compared. Joins are by pair; only the greedy
-nearest matching, which depends on the order of tokens, runs as a fold per pair and category, whose size is
-that of one capture's tokens.
+confidence and, where known, count (uses). A pair table (pair_id, base_id, cand_id) says what is compared.
+
+Each capture's tokens are gathered once, which is one page's worth; pairs join two such rows, and all the rest is
+column work on that row: the greedy nearest matching, in the order of the tokens, is a fold over an array.
 """
 
 from __future__ import annotations
@@ -11,11 +12,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chromaspan.functions import color, text
+from chromaspan.functions.color import let
+
 #: Limits and weights.
 SAME_E, CHANGED_E, SAME_PCT, CHANGED_PCT, LIMIT = 2.3, 15.0, 4.0, 25.0, 10
 WEIGHTS = {"color": 1.0, "typography": 1.0, "spacing": 0.8, "radius": 0.6, "shadow": 0.6}
-ROLES = {"primary": 1.0, "secondary": 0.8, "accent": 0.8}
-MATCH = "pair_id string, category string, kind string, label string, before string, after string, delta double, penalty double"
+ROLES = {"accent": 3.0, "primary": 3.0, "brand": 3.0, "cta": 2.0, "secondary": 1.5, "surface": 0.3, "background": 0.3}
+#: The category that a failed stage of a capture makes incomparable.
+STAGES = {
+    "colors": "color", "dark-mode": "color", "mobile": "color", "reveal": "color", "hover-focus": "color", "gradient-colors": "color",
+    "svg-logo-colors": "color", "manifest": "color", "typography": "typography", "spacing": "spacing", "borderRadius": "radius", "shadows": "shadow",
+}
+CHANGE = "struct<category: string, kind: string, label: string, before: string, after: string, delta: double, penalty: double>"
+FAR = 1e300
 
 
 def previous_pairs(captures: DataFrame) -> DataFrame:
@@ -30,120 +40,218 @@ def baseline_pairs(captures: DataFrame, baselines: DataFrame) -> DataFrame:
     return captures.join(baselines, "site").where("snapshot_id <> base_id").select(F.concat_ws(">", "base_id", "snapshot_id").alias("pair_id"), "base_id", F.col("snapshot_id").alias("cand_id"))
 
 
-def sides(pairs: DataFrame, tokens: DataFrame) -> DataFrame:
-    """The tokens of both captures of each pair, side 'b' or 'c'; what drift does not look at is left out."""
-    seen = tokens.where("coalesce(confidence, 'high') <> 'low' and (category not in ('spacing', 'radius') or num between 0 and 500) and not (category = 'shadow' and value rlike 'oklab|oklch|color[(]')")
-    base = pairs.join(seen.withColumnRenamed("snapshot_id", "base_id"), "base_id").withColumn("side", F.lit("b"))
-    cand = pairs.join(seen.withColumnRenamed("snapshot_id", "cand_id"), "cand_id").withColumn("side", F.lit("c"))
-    keep = ["pair_id", "side", "category", "ord", "key", "value", "num"]
-    return base.select(keep).unionByName(cand.select(keep))
-
-
-def semantic_changes(both: DataFrame) -> DataFrame:
-    """Roles beside each other: changed ones carry a distance and a penalty, those on one side only are told."""
-    from chromaspan.functions import color
-
-    rows = both.where("category = 'semantic' and trim(value) <> ''")
-    one = rows.where("side = 'b'").select("pair_id", "key", F.lower("value").alias("before"))
-    two = rows.where("side = 'c'").select("pair_id", "key", F.lower("value").alias("after"))
-    delta = color.delta_e(color.lab(F.col("before")), color.lab(F.col("after")))
-    out = one.join(two, ["pair_id", "key"], "full_outer").where("before is null or after is null or before <> after")
-    kind = F.when(F.col("before").isNull(), "added").when(F.col("after").isNull(), "removed").otherwise("changed")
-    return out.select("pair_id", F.col("key").alias("label"), kind.alias("kind"), "before", "after", F.when(kind == "changed", delta).alias("delta"))
-
-
-def shadow_changes(both: DataFrame) -> DataFrame:
-    """pair_id, kind, value, n: shadows of one side only, as often as they stand there."""
-    rows = both.where("category = 'shadow'").withColumn("value", F.trim(F.regexp_replace("value", r"\s+", " ")))
-    one, two = rows.where("side = 'b'"), rows.where("side = 'c'")
-    gone = one.join(two, ["pair_id", "value"], "left_anti").withColumn("kind", F.lit("removed"))
-    new = two.join(one, ["pair_id", "value"], "left_anti").withColumn("kind", F.lit("added"))
-    return gone.union(new).groupBy("pair_id", "kind", "value").agg(F.count("*").alias("n"))
-
-
-def _match(rows):
-    """The greedy matching of one pair and category; a pandas frame in and out."""
-    import math
-
-    import pandas as pd
-
-    pair, category = rows["pair_id"].iloc[0], rows["category"].iloc[0]
-    rows = rows.sort_values(["ord", "key", "value"], kind="stable")
-    base, cand = rows[rows["side"] == "b"].to_dict("records"), rows[rows["side"] == "c"].to_dict("records")
-    used, out = [False] * len(cand), []
-
-    def pct(x, y):
-        return (0.0 if y == 0 else 100.0) if x == 0 else abs(x - y) / abs(x) * 100
-
-    def distance(b, c):
-        if category == "color":
-            if not math.isnan(b["l"]) and not math.isnan(c["l"]):
-                return math.sqrt(sum((b[k] - c[k]) ** 2 for k in ("l", "a", "bb")))
-            return 0.0 if b["value"].strip() == c["value"].strip() else math.inf
-        if category == "typography":
-            return float((b["family"] != c["family"]) + (b["weight"] != c["weight"]) + (pct(b["num"], c["num"]) > SAME_PCT)) if b["key"] == c["key"] else math.inf
-        return pct(b["num"], c["num"])
-
-    same, changed = {"color": (SAME_E, CHANGED_E), "typography": (0.0, 3.0)}.get(category, (SAME_PCT, CHANGED_PCT))
-    add = lambda kind, label, before, after, delta, penalty: out.append((pair, category, kind, label, before, after, delta, penalty))
-    for b in base:
-        best, at = math.inf, -1
-        for k, c in enumerate(cand):
-            if not used[k] and (d := distance(b, c)) < best:
-                best, at = d, k
-        weight = ROLES.get(b["key"], 1.0) if category == "color" else 1.0
-        if at < 0 or best > changed:
-            add("removed", b["key"], b["value"], None, None, weight)
-            continue
-        used[at] = True
-        c = cand[at]
-        if best > same:
-            if category == "typography":
-                p = min(1.0, (b["family"] != c["family"]) + 0.5 * (b["weight"] != c["weight"]) + (min(1.0, pct(b["num"], c["num"]) / CHANGED_PCT) if pct(b["num"], c["num"]) > SAME_PCT else 0.0))
-            else:
-                p = best / changed * weight
-            add("changed", b["key"], b["value"], c["value"], best, p)
-    for k, c in enumerate(cand):
-        if not used[k]:
-            add("added", c["key"], None, c["value"], None, 0.5)
-    return pd.DataFrame(out, columns=["pair_id", "category", "kind", "label", "before", "after", "delta", "penalty"])
-
-
-def matched_changes(both: DataFrame) -> DataFrame:
-    """The changes of colours, type styles and dimensions (see MATCH)."""
-    from chromaspan.functions import color, text
-
-    rows = both.where("category in ('color', 'typography', 'spacing', 'radius')").withColumn("lab", F.when(F.col("category") == "color", color.lab(F.lower("value"))))
+def snapshots(tokens: DataFrame) -> DataFrame:
+    """snapshot_id and, per category, the array of its tokens that drift looks at, in order.
+
+    Unsure radii and shadows, sizes out of 0 to 500 and shadows in notations that cannot be compared are left out.
+    """
+    rows = tokens if "count" in tokens.columns else tokens.withColumn("count", F.lit(1))
+    sized = "category in ('spacing', 'radius')"
+    rows = rows.where(f"not ({sized}) or num between 0 and 500").where("category not in ('radius', 'shadow') or coalesce(confidence, 'high') <> 'low'")
+    rows = rows.where("category <> 'shadow' or (trim(value) <> '' and not value rlike '(oklab|oklch|color)[(]')")
+    painted = F.col("category").isin("color", "semantic")
+    rows = rows.withColumn("rgba", F.when(painted, F.coalesce(color.parse_css(F.col("value")), color.parse_css_functions(F.col("value")))))
+    rows = rows.withColumn("hex", F.when(F.col("rgba").isNotNull(), color.to_hex(F.col("rgba.r"), F.col("rgba.g"), F.col("rgba.b"))))
     part = F.split("value", "/")
-    flat = rows.select("pair_id", "side", "category", "ord", F.lower(F.trim(F.coalesce("key", F.lit("")))).alias("key"), "value", F.coalesce(F.col("num"), F.lit(0.0)).cast("double").alias("num"), F.coalesce("lab.l", F.lit(float("nan"))).alias("l"), F.coalesce("lab.a", F.lit(float("nan"))).alias("a"), F.coalesce("lab.b", F.lit(float("nan"))).alias("bb"), text.first_family(F.get(part, 0)).alias("family"), F.get(part, 1).alias("weight"))
-    return flat.groupBy("pair_id", "category").applyInPandas(_match, MATCH)
+    token = F.struct(
+        F.col("ord").cast("long").alias("ord"), F.coalesce("key", F.lit("")).alias("key"), "value", F.coalesce(F.col("num").cast("double"), F.lit(0.0)).alias("num"), F.greatest(F.lit(1.0), F.col("count").cast("double")).alias("count"),
+        "hex", F.col("rgba.a").cast("double").alias("alpha"), F.when(F.col("hex").isNotNull(), color.lab(F.col("hex"))).alias("lab"),
+        F.when(F.col("category") == "typography", text.first_family(F.get(part, 0))).alias("family"), F.when(F.col("category") == "typography", F.get(part, 1)).alias("font_weight"),
+        F.trim(F.regexp_replace("value", r"\s+", " ")).alias("plain"),
+    )
+    rows = rows.select("snapshot_id", "category", token.alias("token"))
+    own = lambda c: F.array_sort(F.collect_list(F.when(F.col("category") == c, F.col("token")))).alias(c)
+    return rows.groupBy("snapshot_id").agg(*(own(c) for c in (*WEIGHTS, "semantic")))
+
+
+def change(category: str, kind: str, label: Column, before=None, after=None, delta=None, penalty=0.0) -> Column:
+    values = [F.lit(category), F.lit(kind), label, *(F.lit(None).cast("string") if v is None else v for v in (before, after)), F.lit(None).cast("double") if delta is None else delta, F.lit(penalty) if isinstance(penalty, float) else penalty]
+    return F.struct(*(v.alias(n) for v, n in zip(values, ("category", "kind", "label", "before", "after", "delta", "penalty"), strict=True))).cast(CHANGE)
+
+
+def tenth(x: Column) -> Column:
+    return F.floor(x * 10 + 0.5) / 10
+
+
+def pct(x: Column, y: Column) -> Column:
+    """Change from x to y in per cent; from nothing it is 100."""
+    return F.when(x == 0, F.when(y == 0, 0.0).otherwise(100.0)).otherwise(F.abs(x - y) / F.abs(x) * 100)
+
+
+def color_distance(x: Column, y: Column) -> Column:
+    """CIE76 of two tokens; of values that cannot be read 0 if they are equal, else beyond every limit."""
+    return F.when(x["lab"].isNotNull() & y["lab"].isNotNull(), color.delta_e(x["lab"], y["lab"])).when(F.trim(x["value"]) == F.trim(y["value"]), 0.0).otherwise(FAR)
+
+
+def matched(base: Column, cand: Column, distance, limit: float, told) -> Column:
+    """The changes of a category: each base token, in order, takes the nearest candidate token that is free and within
+    the limit. told(kind, b, c, d): the change as a struct, or null if the two count as the same."""
+    nothing = F.array().cast(f"array<{CHANGE}>")
+
+    def step(acc: Column, b: Column) -> Column:
+        def take(best: Column) -> Column:
+            hit = F.coalesce(best["d"] <= limit, F.lit(False))
+            new = F.when(hit, let(F.get(cand, best["i"]), lambda c: told("changed", b, c, best["d"]))).otherwise(told("removed", b, None, None))
+            free = F.when(hit, F.filter(acc["free"], lambda c: c["i"] != best["i"])).otherwise(acc["free"])
+            return F.struct(free.alias("free"), F.concat(acc["out"], F.filter(F.array(new), lambda x: x.isNotNull())).alias("out"))
+
+        return let(F.array_min(F.transform(acc["free"], lambda c: F.struct(distance(b, c["t"]).alias("d"), c["i"].alias("i")))), take)
+
+    start = F.struct(F.transform(cand, lambda c, i: F.struct(i.alias("i"), c.alias("t"))).alias("free"), nothing.alias("out"))
+    return let(F.aggregate(base, start, step), lambda x: F.concat(x["out"], F.transform(x["free"], lambda c: told("added", None, c["t"], None))))
+
+
+def role_weight(role: Column) -> Column:
+    return F.coalesce(*(F.when(F.lower(role) == r, w) for r, w in ROLES.items()), F.lit(1.0))
+
+
+def color_weight(token: Column, semantic: Column) -> Column:
+    """A colour counts by its role (the last one of the capture's semantic colours that equals it) and its uses."""
+    role = F.try_element_at(F.filter(semantic, lambda s: s["hex"] == token["hex"]), F.lit(-1))["key"]
+    return let(F.coalesce(role, F.lit("")), role_weight) * F.sqrt(token["count"])
+
+
+def color_changes(b: Column, c: Column, b_roles: Column, c_roles: Column) -> Column:
+    def told(kind, x, y, d):
+        if kind == "removed":
+            return change("color", kind, x["value"], before=x["value"], penalty=color_weight(x, b_roles))
+        if kind == "added":
+            return change("color", kind, y["value"], after=y["value"], penalty=0.5 * color_weight(y, c_roles))
+        return F.when(d > SAME_E, change("color", kind, x["value"], x["value"], y["value"], tenth(d), d / CHANGED_E * color_weight(x, b_roles)))
+
+    return matched(b, c, color_distance, CHANGED_E, told)
+
 
+def role_changes(b: Column, c: Column) -> Column:
+    """Changes of semantic roles with their weight: array<struct<change, weight>>. Only a role that has another colour on
+    both sides has a penalty and a weight; one that comes or goes is told, its colours count in the palette."""
+    there = lambda roles: F.filter(roles, lambda s: (F.trim(s["value"]) != "") & (F.coalesce(s["alpha"], F.lit(1.0)) != 0))
 
-def changes(both: DataFrame) -> DataFrame:
-    """All changes of all categories (see MATCH); those of semantic roles count as colour."""
-    semantic = semantic_changes(both).select("pair_id", F.lit("color").alias("category"), "kind", "label", "before", "after", "delta", F.when(F.col("kind") == "changed", F.least(F.lit(1.0), F.col("delta") / CHANGED_E)).otherwise(0.0).alias("penalty"))
-    shadow = shadow_changes(both).withColumn("each", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
-    shadow = shadow.select("pair_id", F.lit("shadow").alias("category"), "kind", F.lit("shadow").alias("label"), F.when(F.col("kind") == "removed", F.col("value")).alias("before"), F.when(F.col("kind") == "added", F.col("value")).alias("after"), F.lit(None).cast("double").alias("delta"), F.when(F.col("kind") == "removed", 1.0).otherwise(0.5).alias("penalty"))
-    return matched_changes(both).unionByName(semantic).unionByName(shadow)
+    def one(role: Column) -> Column:
+        last = lambda roles: F.try_element_at(F.filter(there(roles), lambda s: s["key"] == role), F.lit(-1))
 
+        def told(v: Column) -> Column:
+            x, y, label, w = v["x"], v["y"], F.concat(F.lit("semantic."), role), role_weight(role)
 
-def categories(both: DataFrame, changed: DataFrame, degraded: DataFrame | None = None) -> DataFrame:
-    """pair_id, category, score (0-1), changed, added, removed, weight, comparable."""
-    size = both.where("category <> 'semantic'").groupBy("pair_id", "category").agg(F.count_if(F.col("side") == "b").alias("base"), F.count_if(F.col("side") == "c").alias("cand"))
-    told = changed.groupBy("pair_id", "category").agg(F.sum("penalty").alias("penalty"), F.max(F.when(F.col("kind") == "removed", F.least(F.col("penalty"), F.lit(0.6))).otherwise(F.col("penalty"))).alias("peak"), *(F.count_if(F.col("kind") == k).alias(k) for k in ("changed", "added", "removed")))
-    score = F.when(F.col("base") == 0, F.when(F.col("cand") > 0, 1.0).otherwise(0.0)).otherwise(F.least(F.lit(1.0), F.coalesce("penalty", F.lit(0.0)) / F.col("base")))
-    score = F.when(F.col("category") == "typography", F.greatest(score, 0.5 * F.coalesce("peak", F.lit(0.0)))).otherwise(score)
-    weight = F.coalesce(*(F.when(F.col("category") == c, w) for c, w in WEIGHTS.items()))
-    out = size.join(told, ["pair_id", "category"], "left").select("pair_id", "category", score.alias("score"), *(F.coalesce(k, F.lit(0)).alias(k) for k in ("changed", "added", "removed")), weight.alias("weight"))
-    if degraded is None:
-        return out.withColumn("comparable", F.lit(True))
-    return out.join(degraded.select("pair_id", "category", F.lit(True).alias("bad")).distinct(), ["pair_id", "category"], "left").withColumn("comparable", F.col("bad").isNull()).drop("bad")
+            def both(d: Column) -> Column:
+                delta = F.when(d < FAR, tenth(d))
+                new = change("color", "changed", label, x["value"], y["value"], delta, F.when(d <= CHANGED_E, d / CHANGED_E * w).otherwise(w))
+                return F.when(d > SAME_E, F.struct(new.alias("change"), w.alias("weight")))
+
+            only = lambda new: F.struct(new.alias("change"), F.lit(0.0).alias("weight"))
+            moved = let(color_distance(x, y), both)
+            return F.when(x.isNotNull() & y.isNotNull(), moved).when(x.isNotNull(), only(change("color", "removed", label, before=x["value"]))).when(y.isNotNull(), only(change("color", "added", label, after=y["value"])))
+
+        return let(F.struct(last(b).alias("x"), last(c).alias("y")), told)
+
+    names = F.array_sort(F.array_distinct(F.concat(F.transform(b, lambda s: s["key"]), F.transform(c, lambda s: s["key"]))))
+    return F.filter(F.transform(names, one), lambda x: x.isNotNull())
+
+
+def type_changes(b: Column, c: Column) -> Column:
+    """Styles of a context, the one with the fewest differing fields first."""
+    context = lambda t: F.lower(F.trim(t["key"]))
+
+    def distance(x, y):
+        return (x["family"] != y["family"]).cast("double") + (x["font_weight"] != y["font_weight"]).cast("double") + (pct(x["num"], y["num"]) > SAME_PCT).cast("double")
+
+    def told(kind, x, y, d):
+        if kind == "removed":
+            return change("typography", kind, x["key"], before=x["value"], penalty=1.0)
+        if kind == "added":
+            return change("typography", kind, y["key"], after=y["value"], penalty=0.5)
+        size = pct(x["num"], y["num"])
+        severity = (x["family"] != y["family"]).cast("double") + 0.5 * (x["font_weight"] != y["font_weight"]).cast("double") + F.when(size > SAME_PCT, F.least(F.lit(1.0), size / CHANGED_PCT)).otherwise(0.0)
+        return F.when(d > 0, change("typography", kind, x["key"], x["value"], y["value"], None, F.least(F.lit(1.0), severity)))
+
+    own = lambda side, k: F.filter(side, lambda t: context(t) == k)
+    contexts = F.array_distinct(F.concat(F.transform(b, context), F.transform(c, context)))
+    return F.flatten(F.transform(contexts, lambda k: let(F.struct(own(b, k).alias("b"), own(c, k).alias("c")), lambda v: matched(v["b"], v["c"], distance, 3.0, told))))
+
+
+def size_changes(category: str, b: Column, c: Column) -> Column:
+    def told(kind, x, y, d):
+        if kind == "removed":
+            return change(category, kind, x["value"], before=x["value"], penalty=1.0)
+        if kind == "added":
+            return change(category, kind, y["value"], after=y["value"], penalty=0.5)
+        return F.when(d > SAME_PCT, change(category, kind, x["value"], x["value"], y["value"], tenth(d), d / CHANGED_PCT))
+
+    return matched(b, c, lambda x, y: pct(x["num"], y["num"]), CHANGED_PCT, told)
+
+
+def shadow_changes(b: Column, c: Column) -> Column:
+    """Shadows of one side only, by their text with single spaces."""
+    plain = lambda side: F.transform(side, lambda t: t["plain"])
+    gone = F.transform(F.filter(b, lambda t: ~F.array_contains(plain(c), t["plain"])), lambda t: change("shadow", "removed", t["value"], before=t["value"], penalty=1.0))
+    new = F.transform(F.filter(c, lambda t: ~F.array_contains(plain(b), t["plain"])), lambda t: change("shadow", "added", t["value"], after=t["value"], penalty=0.5))
+    return F.concat(gone, new)
+
+
+def compared(pairs: DataFrame, tokens: DataFrame) -> DataFrame:
+    """A row per pair: its changes by category, the sizes of both sides, and the weights of the colours."""
+    each = snapshots(tokens)
+    side = lambda s: each.select(F.col("snapshot_id").alias(f"{s}_id"), *(F.col(c).alias(f"{s}_{c}") for c in (*WEIGHTS, "semantic")))
+    rows = pairs.join(side("base"), "base_id").join(side("cand"), "cand_id")
+    b, c = ({n: F.col(f"{s}_{n}") for n in (*WEIGHTS, "semantic")} for s in ("base", "cand"))
+    total = F.aggregate(b["color"], F.lit(0.0), lambda a, t: a + color_weight(t, b["semantic"]))
+    return rows.select(
+        "pair_id", color_changes(b["color"], c["color"], b["semantic"], c["semantic"]).alias("color"), role_changes(b["semantic"], c["semantic"]).alias("roles"),
+        type_changes(b["typography"], c["typography"]).alias("typography"), *(size_changes(n, b[n], c[n]).alias(n) for n in ("spacing", "radius")),
+        shadow_changes(b["shadow"], c["shadow"]).alias("shadow"), total.alias("color_weight"),
+        *(F.size(side[n]).alias(f"{s}_{n}") for s, side in (("base", b), ("cand", c)) for n in (*WEIGHTS, "semantic")),
+    )
+
+
+def degraded_categories(meta: DataFrame) -> DataFrame:
+    """snapshot_id, category: what failed stages (meta: snapshot_id, degraded and errors, arrays of stage names) make incomparable."""
+    known = F.create_map(*(F.lit(x) for pair in STAGES.items() for x in pair))
+    stages = F.array_union(F.coalesce("degraded", F.array().cast("array<string>")), F.coalesce("errors", F.array().cast("array<string>")))
+    return meta.select("snapshot_id", F.explode(stages).alias("stage")).select("snapshot_id", F.try_element_at(known, F.col("stage")).alias("category")).where("category is not null").distinct()
+
+
+def without(rows: DataFrame, pairs: DataFrame, degraded: DataFrame) -> DataFrame:
+    """compared() rows with the array of the categories that are degraded on either side of the pair."""
+    bad = pairs.select("pair_id", F.explode(F.array("base_id", "cand_id")).alias("snapshot_id")).join(degraded, "snapshot_id")
+    return rows.join(bad.groupBy("pair_id").agg(F.collect_set("category").alias("bad")), "pair_id", "left")
+
+
+def changes(rows: DataFrame) -> DataFrame:
+    """pair_id and the fields of CHANGE: all changes of the comparable categories; those of semantic roles count as colour."""
+    bad = F.coalesce("bad", F.array().cast("array<string>")) if "bad" in rows.columns else F.array().cast("array<string>")
+    every = F.concat("color", F.transform("roles", lambda r: r["change"]), "typography", "spacing", "radius", "shadow")
+    return rows.select("pair_id", F.explode(F.filter(every, lambda x: ~F.array_contains(bad, x["category"]))).alias("x")).select("pair_id", "x.*")
+
+
+def kinds(own: Column, kind: str) -> Column:
+    return F.size(F.filter(own, lambda x: x["kind"] == kind))
+
+
+def categories(rows: DataFrame) -> DataFrame:
+    """pair_id, category, score (0-1), changed, added, removed, weight, comparable (something there, and not degraded), bad (degraded)."""
+    found = []
+    for c, w in WEIGHTS.items():
+        own = F.concat("color", F.transform("roles", lambda r: r["change"])) if c == "color" else F.col(c)
+        base, cand = F.col(f"base_{c}"), F.col(f"cand_{c}")
+        penalty = F.aggregate(own, F.lit(0.0), lambda a, x: a + x["penalty"])
+        whole = F.col("color_weight") + F.aggregate("roles", F.lit(0.0), lambda a, r: a + r["weight"]) if c == "color" else base.cast("double")
+        score = F.when(whole > 0, F.least(F.lit(1.0), penalty / whole)).otherwise(F.when(cand > 0, 1.0).otherwise(0.0))
+        if c == "typography":
+            peak = F.array_max(F.transform(own, lambda x: F.when(x["kind"] == "removed", 0.6).otherwise(x["penalty"])))
+            score = F.greatest(score, 0.5 * F.coalesce(peak, F.lit(0.0)))
+        there = base + cand > 0
+        if c == "color":
+            there = there | (F.col("base_semantic") + F.col("cand_semantic") > 0)
+        bad = F.coalesce(F.array_contains("bad", c), F.lit(False)) if "bad" in rows.columns else F.lit(False)
+        counts = [F.when(bad, F.lit(0)).otherwise(kinds(own, k)).cast("long").alias(k) for k in ("changed", "added", "removed")]
+        found.append(F.struct(F.lit(c).alias("category"), F.when(bad, 0.0).otherwise(score).alias("score"), *counts, F.lit(w).alias("weight"), (there & ~bad).alias("comparable"), bad.alias("bad")))
+    return rows.select("pair_id", F.explode(F.array(*found)).alias("x")).select("pair_id", "x.*")
 
 
 def reports(rated: DataFrame) -> DataFrame:
-    """pair_id, score (0-100), status, changed, added, removed, inconclusive."""
+    """pair_id, score (0-100), status, changed, added, removed, inconclusive (degraded, and nothing else to compare)."""
     w = F.when(F.col("comparable"), F.col("weight"))
-    out = rated.groupBy("pair_id").agg((F.sum(w * F.col("score")) / F.sum(w)).alias("mean"), F.bool_or(~F.col("comparable")).alias("some_bad"), *(F.sum(k).alias(k) for k in ("changed", "added", "removed")))
+    out = rated.groupBy("pair_id").agg((F.sum(w * F.col("score")) / F.sum(w)).alias("mean"), F.bool_or("bad").alias("some_bad"), *(F.sum(k).alias(k) for k in ("changed", "added", "removed")))
     score = F.floor(F.coalesce("mean", F.lit(0.0)) * 100 + 0.5).cast("long")
     return out.select("pair_id", score.alias("score"), F.when(score > LIMIT, "drift").otherwise("stable").alias("status"), "changed", "added", "removed", (F.col("mean").isNull() & F.col("some_bad")).alias("inconclusive"))
 
@@ -167,8 +275,6 @@ def warnings(pairs: DataFrame, meta: DataFrame) -> DataFrame:
 
     meta: snapshot_id, url, width, dark, mobile, fonts_ready, degraded (array).
     """
-    from chromaspan.functions import text
-
     side = lambda s: meta.select(*(F.col(c).alias(f"{s}_id" if c == "snapshot_id" else f"{s}_{c}") for c in meta.columns))
     both = pairs.join(side("base"), "base_id").join(side("cand"), "cand_id")
     rule = lambda when, name: F.when(when, name)

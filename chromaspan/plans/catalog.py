@@ -225,32 +225,28 @@ def _captures(spark, sf):
     return observations(spark, sf).select("site", F.concat_ws("@", "site", "capture").alias("snapshot_id"), "capture").distinct()
 
 
-def _tokens(spark, sf, shadows=None):
+def _tokens(spark, sf):
     """Tokens of each site and month: all its colours, spacings, radii, type styles and shadows by use, and a primary.
 
-    Radii and shadows have the confidence of their use. With ``shadows``, only so many most used ones, all of them sure.
+    Radii and shadows have the confidence of their use. One pass over the elements.
     """
-    obs = observations(spark, sf).withColumn("snapshot_id", F.concat_ws("@", "site", "capture"))
-    order = Window.partitionBy("snapshot_id").orderBy(F.desc("n"), "value")
-
-    def part(value, category, num, confidence):
-        rows = obs.select("snapshot_id", value.alias("value"), num.alias("num")).groupBy("snapshot_id", "value").agg(F.count("*").alias("n"), F.first("num").alias("num"))
-        ranked = rows.withColumn("ord", F.row_number().over(order).cast("long"))
-        return ranked.select("snapshot_id", F.lit(category).alias("category"), "ord", F.lit(None).cast("string").alias("key"), "value", F.col("num").cast("double").alias("num"), confidence.alias("confidence"))
-
-    def rated(high, medium):
-        return F.when(F.col("n") > high, "high").when(F.col("n") > medium, "medium").otherwise("low")
-
-    none, sure = F.lit(None).cast("double"), F.lit("high")
-    colors = part(F.col("hex"), "color", none, sure)
-    spaces = part(F.col("px").cast("string"), "spacing", F.col("px"), sure)
-    radii = part(F.col("radius").cast("string"), "radius", F.col("radius"), rated(10, 3))
-    shadow = part(F.concat(F.lit("0 "), F.col("width").cast("string"), F.lit("px "), F.col("radius").cast("string"), F.lit("px")), "shadow", none, rated(5, 2) if shadows is None else sure)
-    if shadows is not None:
-        shadow = shadow.where(F.col("ord") <= shadows)
-    styles = part(F.concat_ws("/", "tag", (F.col("width") * 100).cast("string"), F.col("px").cast("string")), "typography", F.col("px"), sure).withColumn("key", F.substring_index("value", "/", 1))
-    primary = colors.where("ord = 1").withColumn("category", F.lit("semantic")).withColumn("key", F.lit("primary"))
-    return colors.union(spaces).union(radii).union(shadow).union(styles).union(primary)
+    none = F.lit(None).cast("double")
+    each = lambda category, value, num: F.struct(F.lit(category).alias("category"), value.alias("value"), num.cast("double").alias("num"))
+    values = F.array(
+        each("color", F.col("hex"), none), each("spacing", F.col("px").cast("string"), F.col("px")), each("radius", F.col("radius").cast("string"), F.col("radius")),
+        each("shadow", F.concat(F.lit("0 "), F.col("width").cast("string"), F.lit("px "), F.col("radius").cast("string"), F.lit("px")), none),
+        each("typography", F.concat_ws("/", "tag", (F.col("width") * 100).cast("string"), F.col("px").cast("string")), F.col("px")),
+    )
+    rows = observations(spark, sf).select(F.concat_ws("@", "site", "capture").alias("snapshot_id"), F.explode(values).alias("x")).select("snapshot_id", "x.*")
+    rows = rows.groupBy("snapshot_id", "category", "value", "num").agg(F.count("*").alias("count"))
+    high, medium = F.when(F.col("category") == "radius", 10).otherwise(5), F.when(F.col("category") == "radius", 3).otherwise(2)
+    sure = F.when(~F.col("category").isin("radius", "shadow"), "high").when(F.col("count") > high, "high").when(F.col("count") > medium, "medium").otherwise("low")
+    ord_ = F.row_number().over(Window.partitionBy("snapshot_id", "category").orderBy(F.desc("count"), "value")).cast("long")
+    rows = rows.select("snapshot_id", "category", ord_.alias("ord"), F.when(F.col("category") == "typography", F.substring_index("value", "/", 1)).alias("key"), "value", "num", "count", sure.alias("confidence"))
+    primary = (F.col("category") == "color") & (F.col("ord") == 1)
+    kinds = F.when(primary, F.array(F.col("category"), F.lit("semantic"))).otherwise(F.array("category"))
+    rows = rows.withColumn("category", F.explode(kinds))
+    return rows.withColumn("key", F.when(F.col("category") == "semantic", "primary").otherwise(F.col("key")))
 
 
 CAPTURES = f"{OBS}, cap AS (SELECT DISTINCT site, site || '@' || capture AS snapshot_id, capture FROM obs), pairs AS (SELECT * FROM (SELECT lag(snapshot_id) OVER (PARTITION BY site ORDER BY capture) AS base_id, snapshot_id AS cand_id FROM cap) WHERE base_id IS NOT NULL)"
@@ -261,61 +257,98 @@ def capture_pairs(spark, sf):
     return drift.previous_pairs(_captures(spark, sf))
 
 
-def _both(spark, sf, shadows=None):
-    return drift.sides(drift.previous_pairs(_captures(spark, sf)), _tokens(spark, sf, shadows))
+def _compared(spark, sf):
+    return drift.compared(drift.previous_pairs(_captures(spark, sf)), _tokens(spark, sf))
 
 
 SHADOW = f"""{CAPTURES}, sh AS (SELECT site || '@' || capture AS snapshot_id, '0 ' || width || 'px ' || radius || 'px' AS value, count(*) AS n FROM obs GROUP BY ALL),
-top AS (SELECT snapshot_id, value FROM sh QUALIFY row_number() OVER (PARTITION BY snapshot_id ORDER BY n DESC, value) <= 5),
+top AS (SELECT snapshot_id, value FROM sh WHERE n > 2),
 gone AS (SELECT base_id || '>' || cand_id AS pair_id, 'removed' AS kind, value FROM pairs JOIN top ON snapshot_id = base_id WHERE NOT EXISTS (SELECT 1 FROM top t WHERE t.snapshot_id = cand_id AND t.value = top.value)),
-new AS (SELECT base_id || '>' || cand_id AS pair_id, 'added' AS kind, value FROM pairs JOIN top ON snapshot_id = cand_id WHERE NOT EXISTS (SELECT 1 FROM top t WHERE t.snapshot_id = base_id AND t.value = top.value))"""
+new AS (SELECT base_id || '>' || cand_id AS pair_id, 'added' AS kind, value FROM pairs JOIN top ON snapshot_id = cand_id WHERE NOT EXISTS (SELECT 1 FROM top t WHERE t.snapshot_id = base_id AND t.value = top.value)),
+shadows AS (SELECT * FROM gone UNION ALL SELECT * FROM new)"""
 
 
-@query(f"WITH {SHADOW} SELECT pair_id, kind, value, count(*) AS n FROM (SELECT * FROM gone UNION ALL SELECT * FROM new) GROUP BY ALL")
+@query(f"WITH {SHADOW} SELECT pair_id, kind, value, count(*) AS n FROM shadows GROUP BY ALL")
 def drift_shadows(spark, sf):
-    return drift.shadow_changes(_both(spark, sf, shadows=5))
-
-
-@query(f"""WITH {CAPTURES}, hx AS (SELECT site || '@' || capture AS snapshot_id, hex, count(*) AS n FROM obs GROUP BY ALL),
-one AS (SELECT snapshot_id, hex FROM hx QUALIFY row_number() OVER (PARTITION BY snapshot_id ORDER BY n DESC, hex) = 1)
-SELECT base_id || '>' || cand_id AS pair_id, 'primary' AS label, 'changed' AS kind, b.hex AS before, c.hex AS after FROM pairs JOIN one b ON b.snapshot_id = base_id JOIN one c ON c.snapshot_id = cand_id WHERE b.hex <> c.hex""")
+    rows = drift.changes(_compared(spark, sf)).where("category = 'shadow'")
+    return rows.groupBy("pair_id", "kind", F.coalesce("before", "after").alias("value")).agg(F.count("*").alias("n"))
+
+
+#: The greedy matching as a recursion over the base tokens of each pair and category: what is free, and what was taken.
+FOLD = f"""{LAB}, {SHADOW.removeprefix(OBS + ', ')}, snap AS (SELECT *, site || '@' || capture AS snapshot_id FROM obs),
+hx AS (SELECT snapshot_id, hex, count(*) AS n, row_number() OVER (PARTITION BY snapshot_id ORDER BY count(*) DESC, hex) AS ord FROM snap GROUP BY snapshot_id, hex),
+tk AS (SELECT snapshot_id, 'color' AS category, ord, '' AS key, hx.hex AS value, 0.0::DOUBLE AS num, 0 AS fw, l, a, bb, CASE WHEN ord = 1 THEN 3.0::DOUBLE ELSE 1 END * sqrt(n) AS w FROM hx JOIN lab ON lab.hex = hx.hex
+UNION ALL SELECT snapshot_id, 'spacing', row_number() OVER (PARTITION BY snapshot_id ORDER BY count(*) DESC, px::VARCHAR), '', px::VARCHAR, px, 0, 0, 0, 0, 1 FROM snap GROUP BY snapshot_id, px
+UNION ALL SELECT snapshot_id, 'radius', row_number() OVER (PARTITION BY snapshot_id ORDER BY count(*) DESC, radius::VARCHAR), '', radius::VARCHAR, radius, 0, 0, 0, 0, 1 FROM snap GROUP BY snapshot_id, radius HAVING count(*) > 3
+UNION ALL SELECT snapshot_id, 'typography', row_number() OVER (PARTITION BY snapshot_id ORDER BY count(*) DESC, tag || '/' || width * 100 || '/' || px), tag, tag || '/' || width * 100 || '/' || px, px, width, 0, 0, 0, 1 FROM snap GROUP BY snapshot_id, tag, width, px),
+ptk AS (SELECT base_id || '>' || cand_id AS pair_id, snapshot_id = cand_id AS cand, tk.* FROM pairs JOIN tk ON snapshot_id IN (base_id, cand_id)),
+side AS (SELECT pair_id, category, cand, row_number() OVER (PARTITION BY pair_id, category, cand ORDER BY ord) AS i, struct_pack(i := ord, key := key, value := value, num := num, fw := fw, l := l, a := a, bb := bb, w := w) AS t FROM ptk),
+grp AS (SELECT pair_id, category, coalesce(list(t ORDER BY i) FILTER (cand), []) AS free, count(*) FILTER (NOT cand) AS nb, coalesce(sum(t.w) FILTER (NOT cand), 0) AS weight, count(*) FILTER (cand) AS nc FROM side GROUP BY ALL),
+lim AS (SELECT * FROM (VALUES ('color', 2.3::DOUBLE, 15.0::DOUBLE), ('typography', 0, 3), ('spacing', 4, 25), ('radius', 4, 25)) v(category, same, most)),
+fold AS (SELECT pair_id, category, 0::BIGINT AS i, free, NULL::STRUCT(d DOUBLE, i BIGINT) AS best, false AS hit, NULL::STRUCT(i BIGINT, key VARCHAR, value VARCHAR, num DOUBLE, fw BIGINT, l DOUBLE, a DOUBLE, bb DOUBLE, w DOUBLE) AS b, NULL::STRUCT(i BIGINT, key VARCHAR, value VARCHAR, num DOUBLE, fw BIGINT, l DOUBLE, a DOUBLE, bb DOUBLE, w DOUBLE) AS c FROM (SELECT pair_id, category, free FROM grp)
+UNION ALL SELECT pair_id, category, i, CASE WHEN hit THEN list_filter(free, lambda x: x.i <> best.i) ELSE free END, best, hit, t, CASE WHEN hit THEN list_filter(free, lambda x: x.i = best.i)[1] END FROM (
+SELECT *, coalesce(best.d <= most, false) AS hit FROM (SELECT f.pair_id, f.category, s.i, f.free, s.t, lim.most, list_sort(list_transform(f.free, lambda x: struct_pack(d := CASE f.category
+ WHEN 'color' THEN sqrt(pow(s.t.l - x.l, 2) + pow(s.t.a - x.a, 2) + pow(s.t.bb - x.bb, 2))
+ WHEN 'typography' THEN CASE WHEN s.t.key = x.key THEN (s.t.fw <> x.fw)::INT + (abs(s.t.num - x.num) / s.t.num * 100 > 4)::INT ELSE 1e300::DOUBLE END
+ ELSE CASE WHEN s.t.num = 0 THEN CASE WHEN x.num = 0 THEN 0 ELSE 100 END ELSE abs(s.t.num - x.num) / abs(s.t.num) * 100 END END::DOUBLE, i := x.i)))[1] AS best
+FROM fold f JOIN side s ON s.pair_id = f.pair_id AND s.category = f.category AND NOT s.cand AND s.i = f.i + 1 JOIN lim ON lim.category = f.category))),
+moved AS (SELECT pair_id, category, CASE WHEN hit THEN 'changed' ELSE 'removed' END AS kind, b, CASE WHEN hit THEN c END AS c, CASE WHEN hit THEN best.d END AS d FROM fold JOIN lim USING (category) WHERE i > 0 AND (NOT hit OR best.d > same)
+UNION ALL SELECT pair_id, category, 'added', NULL, unnest(free), NULL FROM fold JOIN (SELECT pair_id, category, nb FROM grp) USING (pair_id, category) WHERE i = nb),
+chg AS (SELECT pair_id, category, kind, CASE WHEN category = 'typography' THEN coalesce(b.key, c.key) ELSE coalesce(b.value, c.value) END AS label, b.value AS before, c.value AS after, CASE WHEN category <> 'typography' THEN floor(d * 10 + 0.5) / 10 END AS delta,
+ CASE kind WHEN 'added' THEN 0.5::DOUBLE * c.w WHEN 'removed' THEN b.w ELSE CASE category WHEN 'color' THEN d / 15 * b.w WHEN 'typography' THEN least(1.0::DOUBLE, 0.5::DOUBLE * (b.fw <> c.fw)::INT + CASE WHEN abs(b.num - c.num) / b.num * 100 > 4 THEN least(1.0::DOUBLE, abs(b.num - c.num) / b.num * 100 / 25) ELSE 0 END) ELSE d / 25 END END AS penalty, 0.0::DOUBLE AS weight FROM moved
+UNION ALL SELECT pair_id, 'shadow', kind, value, CASE WHEN kind = 'removed' THEN value END, CASE WHEN kind = 'added' THEN value END, NULL, CASE WHEN kind = 'removed' THEN 1.0 ELSE 0.5 END, 0 FROM shadows
+UNION ALL SELECT pair_id, 'color', 'changed', 'semantic.primary', before, after, floor(d * 10 + 0.5) / 10, CASE WHEN d <= 15 THEN d / 15 * 3 ELSE 3 END, 3 FROM (
+ SELECT base_id || '>' || cand_id AS pair_id, b.value AS before, c.value AS after, sqrt(pow(b.l - c.l, 2) + pow(b.a - c.a, 2) + pow(b.bb - c.bb, 2)) AS d FROM pairs JOIN tk b ON b.snapshot_id = base_id AND b.category = 'color' AND b.ord = 1 JOIN tk c ON c.snapshot_id = cand_id AND c.category = 'color' AND c.ord = 1) WHERE d > 2.3::DOUBLE)"""
+RATED = f"""{FOLD}, shn AS (SELECT base_id || '>' || cand_id AS pair_id, 'shadow' AS category, count(*) FILTER (snapshot_id = base_id) AS nb, count(*) FILTER (snapshot_id = cand_id) AS nc FROM pairs JOIN top ON snapshot_id IN (base_id, cand_id) GROUP BY ALL),
+size AS (SELECT pair_id, category, nb, nc, CASE WHEN category = 'color' THEN weight ELSE nb END AS whole FROM grp UNION ALL SELECT *, nb FROM shn),
+every AS (SELECT p.pair_id, c.category, c.weight, coalesce(s.nb, 0) AS nb, coalesce(s.nc, 0) AS nc, coalesce(s.whole, 0) AS whole FROM (SELECT base_id || '>' || cand_id AS pair_id FROM pairs) p, (VALUES ('color', 1.0::DOUBLE), ('typography', 1), ('spacing', 0.8), ('radius', 0.6), ('shadow', 0.6)) c(category, weight) LEFT JOIN size s ON s.pair_id = p.pair_id AND s.category = c.category),
+told AS (SELECT pair_id, category, sum(penalty) AS penalty, sum(weight) AS more, max(CASE WHEN kind = 'removed' THEN 0.6::DOUBLE ELSE penalty END) AS peak, count(*) FILTER (kind = 'changed') AS changed, count(*) FILTER (kind = 'added') AS added, count(*) FILTER (kind = 'removed') AS removed FROM chg GROUP BY ALL),
+rated0 AS (SELECT e.pair_id, e.category, e.weight, nb + nc > 0 AS comparable, coalesce(changed, 0) AS changed, coalesce(added, 0) AS added, coalesce(removed, 0) AS removed, peak, CASE WHEN whole + coalesce(more, 0) > 0 THEN least(1.0::DOUBLE, coalesce(penalty, 0) / (whole + coalesce(more, 0))) WHEN nc > 0 THEN 1 ELSE 0 END AS score FROM every e LEFT JOIN told USING (pair_id, category)),
+rated AS (SELECT * EXCLUDE (score, peak), CASE WHEN category = 'typography' THEN greatest(score, 0.5::DOUBLE * coalesce(peak, 0)) ELSE score END AS score FROM rated0),
+rep AS (SELECT pair_id, CAST(floor(coalesce(sum(CASE WHEN comparable THEN weight * score END) / sum(CASE WHEN comparable THEN weight END), 0) * 100 + 0.5) AS BIGINT) AS score, CAST(sum(changed) AS BIGINT) AS changed, CAST(sum(added) AS BIGINT) AS added, CAST(sum(removed) AS BIGINT) AS removed FROM rated GROUP BY ALL),
+reports AS (SELECT pair_id, score, CASE WHEN score > 10 THEN 'drift' ELSE 'stable' END AS status, changed, added, removed, false AS inconclusive FROM rep)"""
+
+
+@query(f"WITH RECURSIVE {FOLD} SELECT pair_id, label, kind, before, after FROM chg WHERE label = 'semantic.primary'")
 def drift_semantic(spark, sf):
-    return drift.semantic_changes(_both(spark, sf)).drop("delta")
-
+    return drift.changes(_compared(spark, sf)).where("label like 'semantic.%'").select("pair_id", "label", "kind", "before", "after")
 
-def _drift(spark, sf):
-    both = _both(spark, sf)
-    changed = drift.changes(both)
-    return both, changed
 
-
-@query()
+@query(f"WITH RECURSIVE {FOLD} SELECT pair_id, category, kind, label, before, after, delta, CAST(floor(penalty * 100000 + 0.5) AS BIGINT) AS penalty FROM chg")
 def drift_changes(spark, sf):
-    return _drift(spark, sf)[1]
+    return drift.changes(_compared(spark, sf)).withColumn("penalty", text.scaled(F.col("penalty"), 100000))
 
 
-@query()
+@query(f"WITH RECURSIVE {RATED} SELECT pair_id, category, CAST(floor(score * 100000 + 0.5) AS BIGINT) AS score, changed, added, removed, weight, comparable, false AS bad FROM rated")
 def drift_categories(spark, sf):
-    return drift.categories(*_drift(spark, sf))
+    return drift.categories(_compared(spark, sf)).withColumn("score", text.scaled(F.col("score"), 100000))
 
 
-@query()
+@query(f"WITH RECURSIVE {RATED} SELECT * FROM reports")
 def drift_reports(spark, sf):
     """Flagship: the drift of every site's month against its month before."""
-    return drift.reports(drift.categories(*_drift(spark, sf)))
+    return drift.reports(drift.categories(_compared(spark, sf)))
 
 
-@query()
+@query(f"""WITH RECURSIVE {FOLD}, o AS (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY delta DESC NULLS LAST, category, kind, label, before NULLS FIRST, after NULLS FIRST) AS n FROM chg QUALIFY n <= 8)
+SELECT pair_id, n, '::' || CASE WHEN kind = 'added' THEN 'warning' ELSE 'error' END || '::' || label || ' ' || coalesce(before, 'none') || ' -> ' || coalesce(after, 'none') || ' (token-drift:' || category || ')' AS line FROM o""")
 def drift_annotations(spark, sf):
-    return drift.annotations(_drift(spark, sf)[1])
+    return drift.annotations(drift.changes(_compared(spark, sf)))
 
 
-@query()
+@query(f"""WITH RECURSIVE {RATED}, gt AS (SELECT split_part(pair_id, '@', -1) AS run, count(*) AS pages, count(*) FILTER (status = 'drift') AS drifted, 0::BIGINT AS failed FROM reports GROUP BY ALL)
+SELECT *, CASE WHEN drifted > 0 THEN 1 ELSE 0 END AS verdict FROM gt""")
 def gate_rollup(spark, sf):
-    return drift.gate(drift.reports(drift.categories(*_drift(spark, sf))), F.substring_index("pair_id", "@", -1))
+    return drift.gate(drift.reports(drift.categories(_compared(spark, sf))), F.substring_index("pair_id", "@", -1))
 
 
-META = "CASE WHEN hash_ % 3 = 0 THEN 1280 ELSE 1920 END"
+@query(f"""WITH {CAPTURES}, dg AS (SELECT snapshot_id, unnest(CASE CAST(replace(capture, '-', '') AS INT) % 5 WHEN 0 THEN ['color'] WHEN 1 THEN ['radius', 'shadow'] WHEN 2 THEN ['color'] ELSE [] END) AS category FROM cap) SELECT DISTINCT * FROM dg""")
+def degraded_categories(spark, sf):
+    k = F.regexp_replace("capture", "-", "").cast("int") % 5
+    none = F.array().cast("array<string>")
+    degraded = F.when(k == 0, F.array(F.lit("mobile"), F.lit("reveal"))).when(k == 1, F.array(F.lit("shadows"))).otherwise(none)
+    errors = F.when(k == 1, F.array(F.lit("borderRadius"))).when(k == 2, F.array(F.lit("colors"), F.lit("unknown"))).otherwise(none)
+    return drift.degraded_categories(_captures(spark, sf).select("snapshot_id", degraded.alias("degraded"), errors.alias("errors")))
 
 
 @query(f"""WITH {CAPTURES}, m AS (SELECT site, snapshot_id, CAST(replace(capture, '-', '') AS INT) AS k FROM cap),

@@ -42,12 +42,14 @@ def tokens(spark, rows):
     return spark.createDataFrame(rows, "snapshot_id string, category string, ord int, key string, value string, num double, confidence string")
 
 
-def drifted(spark, base, cand):
+def drifted(spark, base, cand, degraded=None):
     rows = [("b", *r, "high") for r in base] + [("c", *r, "high") for r in cand]
     pairs = spark.createDataFrame([("p", "b", "c")], "pair_id string, base_id string, cand_id string")
-    both = drift.sides(pairs, tokens(spark, rows))
-    changed = drift.changes(both)
-    return drift.reports(drift.categories(both, changed)).first(), changed.collect()
+    found = drift.compared(pairs, tokens(spark, rows))
+    if degraded:
+        meta = spark.createDataFrame(degraded, "snapshot_id string, degraded array<string>, errors array<string>")
+        found = drift.without(found, pairs, drift.degraded_categories(meta))
+    return drift.reports(drift.categories(found)).first(), drift.changes(found).collect()
 
 
 COLOR = ("color", 1, None, "#133174", None)
@@ -74,11 +76,45 @@ def test_drift_matches_nearest_first(spark):
 
 
 def test_degraded_categories_never_score(spark):
-    pairs = spark.createDataFrame([("p", "b", "c")], "pair_id string, base_id string, cand_id string")
-    both = drift.sides(pairs, tokens(spark, [("b", *COLOR, "high")]))
-    bad = spark.createDataFrame([("p", "color")], "pair_id string, category string")
-    got = drift.reports(drift.categories(both, drift.changes(both), bad)).first()
-    assert got["inconclusive"] and got["status"] == "stable"
+    got, changed = drifted(spark, [COLOR], [("color", 1, None, "#ff0000", None)], [("c", ["dark-mode"], None)])
+    assert got["inconclusive"] and got["status"] == "stable" and not changed
+    got, changed = drifted(spark, [COLOR, RADIUS], [("color", 1, None, "#ff0000", None), RADIUS], [("b", [], ["manifest"])])
+    assert not got["inconclusive"] and got["score"] == 0 and not changed
+
+
+def test_semantic_roles_move_but_do_not_score_by_coming_or_going(spark):
+    role = lambda name, value: ("semantic", 1, name, value, None)
+    got, changed = drifted(spark, [COLOR, role("primary", "#133174")], [COLOR, role("primary", "rgb(19, 49, 116)"), role("accent", "#ff0000")])
+    assert got["score"] == 0 and [(c["label"], c["kind"], c["penalty"]) for c in changed] == [("semantic.accent", "added", 0.0)]
+    # the role's weight 3 joins the palette's 3 (its one colour has the role): 3 of 6
+    got, changed = drifted(spark, [COLOR, role("primary", "#133174")], [COLOR, role("primary", "#ffd000")])
+    assert got["score"] == 50 and changed[0]["label"] == "semantic.primary" and changed[0]["penalty"] == 3.0
+    got, changed = drifted(spark, [COLOR, role("primary", "var(--a)")], [COLOR, role("primary", "var(--b)")])
+    assert changed[0]["delta"] is None and changed[0]["penalty"] == 3.0
+    got, changed = drifted(spark, [role("primary", "#133174")], [role("primary", "rgba(0,0,0,0)")])
+    assert [c["kind"] for c in changed] == ["removed"] and got["score"] == 0
+
+
+def greedy(base, cand, limit, far):
+    """A plain model of the matching: (base or None, candidate or None, distance)."""
+    free, out = list(cand), []
+    for b in base:
+        best = min(((far(b, c), k) for k, c in enumerate(free)), default=(math.inf, -1))
+        out.append((b, free.pop(best[1]) if best[0] <= limit else None, best[0]))
+    return out + [(None, c, None) for c in free]
+
+
+def test_matching_equals_the_plain_model(spark):
+    import random
+
+    rng = random.Random(3)
+    for _ in range(4):
+        base, cand = ([rng.choice([0, 4, 8, 9, 12, 13, 16, 24, 25, 40]) for _ in range(8)] for _ in range(2))
+        far = lambda x, y: (0 if y == 0 else 100) if x == 0 else abs(x - y) / abs(x) * 100
+        want = sorted((str(b), str(c)) for b, c, d in greedy(base, cand, 25, far) if b is None or c is None or d > 4)
+        rows = lambda vs: [("spacing", k, None, str(v), float(v)) for k, v in enumerate(vs)]
+        _, changed = drifted(spark, rows(base), rows(cand))
+        assert sorted((str(c["before"]), str(c["after"])) for c in changed) == want
 
 
 def leaders(rows):
