@@ -67,8 +67,91 @@ def compatibility(found: Column, tool: Column, expected: str) -> Column:
     return F.when(major.isNull(), F.when(tool.isNotNull(), "legacy").otherwise("unknown")).when(major == want, F.when(found == expected, "current").otherwise("compatible")).when(major < want, "outdated").otherwise("ahead")
 
 
+#: Fixed value: messages of failures that may pass.
+RETRYABLE = "timeout|net::err_|econnrefused|etimedout|enotfound|err_name_not_resolved"
+
+
 def crawl_error(message: Column) -> Column:
-    return F.when(F.lower(message).rlike("timeout|timed out|net::|enotfound|econnrefused|econnreset|dns"), "retryable").otherwise("failure")
+    """retryable for failures of network, names and time, else failure."""
+    return F.when(F.coalesce(F.lower(message), F.lit("")).rlike(RETRYABLE), "retryable").otherwise("failure")
+
+
+def title_case(value: Column) -> Column:
+    """Words with spaces between them, each with a large first letter; other letters stay."""
+    spaced = F.trim(F.regexp_replace(value, "[-_]+", " "))
+    return F.array_join(F.transform(F.split(spaced, " "), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1 << 30))), " ")
+
+
+def type_group(context: Column) -> Column:
+    """Display, Headings, Body, Links, UI, Caption or Other, by the words of a typography context (fixed values)."""
+    c = F.lower(context)
+    groups = (("Display", "display|hero"), ("Headings", "^h[1-6]|heading|title"), ("Body", "body|text|paragraph"), ("Links", "link"), ("UI", "button|input|label|nav|ui"), ("Caption", "caption|small|meta|footnote"))
+    return F.coalesce(*(F.when(c.rlike(p), name) for name, p in groups), F.lit("Other"))
+
+
+def weight_name(weight: Column) -> Column:
+    """The name of a font weight (fixed values); nothing for none."""
+    n = F.regexp_extract(weight.cast("string"), r"^\s*([0-9]+)", 1).try_cast("int")
+    steps = ((300, "light"), (400, "regular"), (500, "medium"), (600, "semi-bold"), (700, "bold"))
+    return F.when(weight.isNull() | (weight.cast("string") == "") | (weight.cast("string") == "0"), "").otherwise(F.coalesce(*(F.when(n <= most, name) for most, name in steps), F.lit("extra-bold")))
+
+
+def trimmed_number(value: Column) -> Column:
+    """A decimal without needless zeros."""
+    t = value.try_cast("double")
+    return F.when(t == F.floor(t), F.floor(t).cast("long").cast("string")).otherwise(F.regexp_replace(F.format_string("%.6f", t), "0+$", ""))
+
+
+def length_value(value: Column) -> Column:
+    """A length in px, rem or em with its first unit; a bare number is px; null for others, percentages too."""
+    raw = F.trim(value)
+    n, unit = F.regexp_extract(raw, r"^(-?[0-9]*\.?[0-9]+)(px|rem|em)\b", 1), F.regexp_extract(raw, r"^(-?[0-9]*\.?[0-9]+)(px|rem|em)\b", 2)
+    return F.when(raw.rlike(r"^-?[0-9]*\.?[0-9]+$"), F.concat(trimmed_number(raw), F.lit("px"))).when(unit != "", F.concat(trimmed_number(n), unit))
+
+
+def line_height_value(value: Column) -> Column:
+    raw = F.trim(value)
+    return F.when(raw.isin("", "normal"), None).when(raw.rlike(r"^[0-9]*\.?[0-9]+$"), trimmed_number(raw)).otherwise(length_value(raw))
+
+
+def weight_value(value: Column) -> Column:
+    raw = F.lower(F.trim(value))
+    return F.when(raw == "normal", "400").when(raw == "bold", "700").when(raw.rlike("^[0-9]{3}$"), raw)
+
+
+def tracking_value(value: Column) -> Column:
+    """A letter spacing other than none."""
+    return F.when(leading_number(length_value(value)) != 0, length_value(value))
+
+
+def radius_value(value: Column) -> Column:
+    """A radius; half and all of a box become a pill."""
+    return F.when(F.trim(value).isin("50%", "100%"), "9999px").otherwise(length_value(F.trim(F.substring_index(value, "(", 1))))
+
+
+def padding_value(value: Column) -> Column:
+    """One to four lengths; null if one of them is none."""
+    parts = F.transform(F.split(F.trim(value), r"\s+"), length_value)
+    return F.when(F.forall(parts, lambda x: x.isNotNull()), F.array_join(parts, " "))
+
+
+def family_value(value: Column) -> Column:
+    return F.nullif(F.trim(F.regexp_replace(value, r"\s+", " ")), F.lit(""))
+
+
+def run_summary(flags: dict[str, Column], paths: Column, pages: Column) -> Column:
+    """The active flags in their order, explicit paths, and how many pages were merged.
+
+    flags: name of a flag -> whether it is on, or its value (a string stands behind the name).
+    """
+    bits = [F.when(c.isNotNull() & (c != ""), F.concat(F.lit(f"--{n} "), c)) if kind == "value" else F.when(c, F.lit(f"--{n}")) for n, (kind, c) in flags.items()]
+    merged = F.when(pages > 1, F.concat(F.lit("("), pages.cast("string"), F.lit(" pages merged)")))
+    return F.concat(F.array_compact(F.array(*bits)), F.coalesce(paths, F.array().cast("array<string>")), F.array_compact(F.array(merged)))
+
+
+def provenance(schema: str, spec: str, tool: Column, url: Column, at: Column) -> Column:
+    """Where a capture comes from."""
+    return F.struct(F.lit(schema).alias("schema_version"), tool.alias("tool_version"), F.lit(spec).alias("spec_version"), url.alias("url"), host(url).alias("domain"), at.alias("extracted_at"))
 
 
 def type_context(tag: Column, size: Column, class_: Column, role: Column) -> Column:

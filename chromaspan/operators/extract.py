@@ -75,8 +75,12 @@ def primary_colors(stats: DataFrame) -> DataFrame:
 
 
 def type_styles(rows: DataFrame) -> DataFrame:
-    """site, context, family, size, weight, n, first: distinct styles; first is the element that showed it first."""
-    styled = rows.withColumn("context", text.type_context(F.col("tag"), F.col("size"), F.lit(""), F.lit("")))
+    """site, context, family, size, weight, n, first: distinct styles; first is the element that showed it first.
+
+    Of the elements' columns class and role are optional.
+    """
+    said = lambda c: F.col(c) if c in rows.columns else F.lit("")
+    styled = rows.withColumn("context", text.type_context(F.col("tag"), F.col("size"), said("class"), said("role")))
     return styled.groupBy("site", "context", "family", "size", "weight").agg(F.count("*").alias("n"), F.min("ord").alias("first"))
 
 

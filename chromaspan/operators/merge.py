@@ -41,34 +41,57 @@ def contrast_pairs(rows: DataFrame, most: int = 50) -> DataFrame:
     return top(out, ["site"], [F.desc("n"), "one", "two"], most)
 
 
+def leaders(colors: DataFrame, order: list, threshold: float = 15.0) -> DataFrame:
+    """site, hex, leader: each colour of a site (site, hex and the columns of ``order``, one row a colour) goes to the first
+    leader nearer than the threshold, in order; a colour without one leads. A fold over the site's distinct colours."""
+    from chromaspan.functions import color
+
+    item = F.struct(*(F.expr(c).alias(f"o{k}") for k, c in enumerate(order)), "hex", color.lab(F.col("hex")).alias("lab"))
+    gathered = colors.groupBy("site").agg(F.array_sort(F.collect_list(item)).alias("colors"))
+    none = F.array().cast("array<struct<hex: string, lab: struct<l: double, a: double, b: double>>>")
+
+    def step(acc, c):
+        near = F.get(F.filter(acc["led"], lambda x: color.delta_e(x["lab"], c["lab"]) < threshold), 0)
+        own = F.struct(c["hex"].alias("hex"), c["lab"].alias("lab"))
+        return color.let(near, lambda n: F.struct(F.when(n.isNull(), F.array_append(acc["led"], own)).otherwise(acc["led"]).alias("led"), F.array_append(acc["out"], F.struct(c["hex"].alias("hex"), F.coalesce(n["hex"], c["hex"]).alias("leader"))).alias("out")))
+
+    start = F.struct(none.alias("led"), F.array().cast("array<struct<hex: string, leader: string>>").alias("out"))
+    return gathered.select("site", F.explode(F.aggregate("colors", start, step)["out"]).alias("x")).select("site", "x.hex", "x.leader")
+
+
 def leader_clusters(colors: DataFrame, threshold: float = 15.0) -> DataFrame:
-    """site, hex, leader: colours (site, hex, n, ord) grouped to the first leader nearer than the threshold.
+    """site, hex, n, leader, shown: colours (site, hex, n, ord and optionally is_token) around leaders in descending use.
 
-    Leaders come in descending use, so the outcome depends on the order; equal colours are summed before,
-    which changes nothing. A group is a site's distinct colours. It runs as one fold per site in Arrow.
+    shown is the colour that stands for the cluster: a token if it has one, else the most used.
     """
-    from chromaspan.functions import color
+    token = F.max("is_token") if "is_token" in colors.columns else F.lit(False)
+    once = colors.groupBy("site", "hex").agg(F.sum("n").alias("n"), F.min("ord").alias("ord"), token.alias("is_token"))
+    named = once.join(leaders(once, ["-n", "ord"], threshold), ["site", "hex"])
+    best = named.groupBy("site", "leader").agg(F.min_by("hex", F.struct(~F.col("is_token"), -F.col("n"), "ord", "hex")).alias("shown"))
+    return named.join(best, ["site", "leader"]).select("site", "hex", "n", "leader", "shown")
 
-    once = colors.groupBy("site", "hex").agg(F.sum("n").alias("n"), F.min("ord").alias("ord")).withColumn("lab", color.lab(F.col("hex")))
-    flat = once.select("site", "hex", "n", "ord", F.col("lab.l").alias("l"), F.col("lab.a").alias("a"), F.col("lab.b").alias("b"))
 
-    def fold(pdf):
-        import numpy as np
+def palettes(colors: DataFrame, threshold: float = 15.0) -> DataFrame:
+    """site, hex, n, members, pages, confidence: palettes of pages (site, page_id, ord, hex, n, confidence) merged.
 
-        pdf = pdf.sort_values(["n", "ord", "hex"], ascending=[False, True, True])
-        points, leaders, names = pdf[["l", "a", "b"]].to_numpy(), [], []
-        for k, p in enumerate(points):
-            near = [j for j in leaders if np.sqrt(((points[j] - p) ** 2).sum()) < threshold]
-            if not near:
-                leaders.append(k)
-            names.append(pdf["hex"].iloc[near[0] if near else k])
-        return pdf[["site", "hex", "n"]].assign(leader=names)
+    Entries are pooled by page and order, the first of a cluster leads, the most used one stands for it with its
+    confidence, lifted for colours of several pages.
+    """
+    first = colors.groupBy("site", "hex").agg(F.min(F.struct("page_id", "ord")).alias("first"))
+    each = colors.join(leaders(first, ["first"], threshold), ["site", "hex"])
+    out = each.groupBy("site", "leader").agg(F.sum("n").alias("n"), F.count("*").alias("members"), F.count_distinct("page_id").alias("pages"), F.min_by(F.struct("hex", "confidence"), F.struct(-F.col("n"), "page_id", "ord", "hex")).alias("best"))
+    once = F.when((F.col("pages") > 1) & (F.col("best.confidence") == "low"), "medium").otherwise(F.col("best.confidence"))
+    return out.select("site", "best.hex", "n", "members", "pages", F.when((F.col("pages") > 2) & (once == "medium"), "high").otherwise(once).alias("confidence"))
 
-    return flat.groupBy("site").applyInPandas(fold, "site long, hex string, n long, leader string")
 
+def font_sources(rows: DataFrame) -> DataFrame:
+    """site, kind, names: what pages (site, page_ord, kind, ord, name) name as font sources, united in order; urls sorted."""
+    first = rows.groupBy("site", "kind", "name").agg(F.min(F.struct("page_ord", "ord")).alias("first"))
+    listed = first.groupBy("site", "kind").agg(F.array_sort(F.collect_list(F.struct("first", "name"))).alias("all"))
+    names = F.transform("all", lambda x: x["name"])
+    return listed.select("site", "kind", F.when(F.col("kind") == "urls", F.array_sort(names)).otherwise(names).alias("names"))
 
-def palettes(colors: DataFrame, threshold: float = 15.0) -> DataFrame:
-    """site, leader, n, members, pages: the clusters of leader_clusters with their uses and pages."""
-    named = leader_clusters(colors, threshold)
-    pages = colors.select("site", "hex", "page_id").distinct().join(named.select("site", "hex", "leader"), ["site", "hex"]).groupBy("site", "leader").agg(F.count_distinct("page_id").alias("pages"))
-    return named.groupBy("site", "leader").agg(F.sum("n").alias("n"), F.count("*").alias("members")).join(pages, ["site", "leader"])
+
+def by_name(rows: DataFrame, value: str) -> DataFrame:
+    """site, name and the value of the first page (site, page_ord, ord, name) that has the name: icon sets, frameworks."""
+    return rows.groupBy("site", "name").agg(F.min_by(value, F.struct("page_ord", "ord")).alias(value))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chromaspan.functions import color, text
-from chromaspan.operators import audit, brand, drift, extract, merge
+from chromaspan.operators import audit, brand, drift, extract, merge, summary
 from chromaspan.sources import pages as page_ops
 from chromaspan.streaming import captures
 
@@ -121,9 +121,19 @@ def near_colors(spark, sf):
     return a.join(b, (F.col("a.site") == F.col("b.site")) & (F.col("a.hex") < F.col("b.hex"))).where(delta < 15).select(F.col("a.site").alias("site"), F.col("a.hex").alias("one"), F.col("b.hex").alias("two"), text.scaled(delta).alias("delta"))
 
 
-@query()
+DE2000 = f"""{PALETTE}, {LAB.removeprefix(OBS + ', ')}, np0 AS (SELECT x.site, x.hex AS one, y.hex AS two, p.l AS l1, p.a AS a1, p.bb AS b1, q.l AS l2, q.a AS a2, q.bb AS b2, (sqrt(p.a * p.a + p.bb * p.bb) + sqrt(q.a * q.a + q.bb * q.bb)) / 2 AS m FROM palette x JOIN palette y ON x.site = y.site AND x.hex < y.hex JOIN lab p ON p.hex = x.hex JOIN lab q ON q.hex = y.hex),
+np1 AS (SELECT *, 1 + 0.5::DOUBLE * (1 - sqrt(pow(m, 7) / (pow(m, 7) + 6103515625.0::DOUBLE))) AS g FROM np0),
+np2 AS (SELECT *, sqrt(pow(g * a1, 2) + b1 * b1) AS c1, sqrt(pow(g * a2, 2) + b2 * b2) AS c2, CASE WHEN a1 = 0 AND b1 = 0 THEN 0 ELSE degrees(atan2(b1, g * a1)) END AS h1_, CASE WHEN a2 = 0 AND b2 = 0 THEN 0 ELSE degrees(atan2(b2, g * a2)) END AS h2_ FROM np1),
+np3 AS (SELECT *, CASE WHEN h1_ < 0 THEN h1_ + 360 ELSE h1_ END AS h1, CASE WHEN h2_ < 0 THEN h2_ + 360 ELSE h2_ END AS h2 FROM np2),
+np4 AS (SELECT *, CASE WHEN c1 * c2 = 0 THEN 0 WHEN abs(h2 - h1) <= 180 THEN h2 - h1 WHEN h2 > h1 THEN h2 - h1 - 360 ELSE h2 - h1 + 360 END AS dh, CASE WHEN c1 * c2 = 0 THEN h1 + h2 WHEN abs(h2 - h1) <= 180 THEN (h1 + h2) / 2 WHEN h1 + h2 < 360 THEN (h1 + h2 + 360) / 2 ELSE (h1 + h2 - 360) / 2 END AS h, pow((l1 + l2) / 2 - 50, 2) AS low, (c1 + c2) / 2 AS c FROM np3),
+np5 AS (SELECT *, 1 - 0.17::DOUBLE * cos(radians(h - 30)) + 0.24::DOUBLE * cos(radians(2 * h)) + 0.32::DOUBLE * cos(radians(3 * h + 6)) - 0.20::DOUBLE * cos(radians(4 * h - 63)) AS t, -sin(radians(60 * exp(-pow((h - 275) / 25, 2)))) * 2 * sqrt(pow(c, 7) / (pow(c, 7) + 6103515625.0::DOUBLE)) AS turn FROM np4),
+np6 AS (SELECT site, one, two, (l2 - l1) / (1 + 0.015::DOUBLE * low / sqrt(20 + low)) AS dl, (c2 - c1) / (1 + 0.045::DOUBLE * c) AS dc, 2 * sqrt(c1 * c2) * sin(radians(dh) / 2) / (1 + 0.015::DOUBLE * c * t) AS dk, turn FROM np5),
+near2000 AS (SELECT site, one, two, sqrt(greatest(0, dl * dl + dc * dc + dk * dk + turn * dc * dk)) AS delta FROM np6)"""
+
+
+@query(f"WITH {DE2000} SELECT site, one, two, CAST(floor(delta * 1000 + 0.5) AS BIGINT) AS delta FROM near2000 WHERE delta < 6")
 def near_identical_colors(spark, sf):
-    return audit.near_identical(_palette(spark, sf), 6.0)
+    return audit.near_identical(_palette(spark, sf), 6.0).withColumn("delta", text.scaled(F.col("delta")))
 
 
 WCAG = f"""{PALETTE}, ten AS (SELECT * FROM palette QUALIFY row_number() OVER (PARTITION BY site ORDER BY n DESC, hex) <= 10),
@@ -145,16 +155,38 @@ def observed_contrast_pairs(spark, sf):
     return merge.contrast_pairs(obs.join(below, ["site", "page_id", "ord"]).select("site", F.col("hex").alias("fg"), "bg", F.lit(1).cast("long").alias("n")))
 
 
-@query()
+def _leaders(order: str, rows: str) -> str:
+    """Leader clusters as a recursion over the ordered colours of each site."""
+    return f"""lc AS (SELECT site, c.hex, row_number() OVER (PARTITION BY site ORDER BY {order}) AS i, l, a, bb FROM {rows} c JOIN lab ON lab.hex = c.hex),
+led AS (SELECT DISTINCT site, 0::BIGINT AS i, []::STRUCT(hex VARCHAR, l DOUBLE, a DOUBLE, bb DOUBLE)[] AS led, NULL::VARCHAR AS hex, NULL::VARCHAR AS leader FROM lc
+UNION ALL SELECT site, i, CASE WHEN found IS NULL THEN list_append(led, own) ELSE led END, hex, coalesce(found, hex) FROM (SELECT r.site, c.i, r.led, struct_pack(hex := c.hex, l := c.l, a := c.a, bb := c.bb) AS own, c.hex, list_filter(r.led, lambda x: sqrt(pow(x.l - c.l, 2) + pow(x.a - c.a, 2) + pow(x.bb - c.bb, 2)) < 15)[1].hex AS found FROM led r JOIN lc c ON c.site = r.site AND c.i = r.i + 1))"""
+
+
+@query(f"""WITH RECURSIVE {LAB}, u AS (SELECT site, hex, count(*) AS n, min(ord) AS ord, bool_or(is_token) AS tok FROM obs GROUP BY ALL), {_leaders('n DESC, c.ord, c.hex', 'u')}
+SELECT led.site, led.hex, n, leader, first_value(led.hex) OVER (PARTITION BY led.site, leader ORDER BY NOT tok, n DESC, u.ord, led.hex) AS shown FROM led JOIN u ON u.site = led.site AND u.hex = led.hex WHERE i > 0""")
 def leader_clusters(spark, sf):
     obs = observations(spark, sf)
-    return merge.leader_clusters(obs.groupBy("site", "hex").agg(F.count("*").alias("n"), F.min("ord").alias("ord")))
+    return merge.leader_clusters(obs.groupBy("site", "hex").agg(F.count("*").alias("n"), F.min("ord").alias("ord"), F.max("is_token").alias("is_token")))
 
 
-@query()
+@query(f"""WITH RECURSIVE {LAB}, pc AS (SELECT site, page_id, hex, count(*) AS n, min(ord) AS ord FROM obs GROUP BY ALL), u AS (SELECT site, hex, min(struct_pack(a := page_id, b := ord)) AS first FROM pc GROUP BY ALL), {_leaders('first, c.hex', 'u')},
+j AS (SELECT pc.*, leader, CASE WHEN pc.n > 1 THEN 'medium' ELSE 'low' END AS c0 FROM pc JOIN led ON led.site = pc.site AND led.hex = pc.hex AND i > 0),
+g AS (SELECT site, leader, CAST(sum(n) AS BIGINT) AS n, count(*) AS members, count(DISTINCT page_id) AS pages, arg_min(struct_pack(hex := hex, c := c0), struct_pack(a := -n, b := page_id, c := ord, d := hex)) AS best FROM j GROUP BY ALL)
+SELECT site, best.hex AS hex, n, members, pages, CASE WHEN pages > 2 AND (best.c = 'medium' OR best.c = 'low') THEN 'high' WHEN pages > 1 AND best.c = 'low' THEN 'medium' ELSE best.c END AS confidence FROM g""")
 def merged_palettes(spark, sf):
+    rows = observations(spark, sf).groupBy("site", "page_id", "hex").agg(F.count("*").alias("n"), F.min("ord").alias("ord"))
+    return merge.palettes(rows.withColumn("confidence", F.when(F.col("n") > 1, "medium").otherwise("low")))
+
+
+@query(f"WITH {LAB}, pal AS (SELECT DISTINCT site, hex FROM obs WHERE px = 1), vr AS (SELECT site, hex, arg_min('--v' || px, struct_pack(a := ord, b := '--v' || px)) AS name FROM obs WHERE px > 45 GROUP BY ALL) SELECT v.site, v.hex, name FROM vr v JOIN lab x ON x.hex = v.hex WHERE NOT EXISTS (SELECT 1 FROM pal p JOIN lab y ON y.hex = p.hex WHERE p.site = v.site AND sqrt(pow(x.l - y.l, 2) + pow(x.a - y.a, 2) + pow(x.bb - y.bb, 2)) < 15)")
+def residual_variables(spark, sf):
     obs = observations(spark, sf)
-    return merge.palettes(obs.groupBy("site", "page_id", "hex").agg(F.count("*").alias("n"), F.min("ord").alias("ord")))
+    return summary.residual_variables(obs.where("px > 45").select("site", F.concat(F.lit("--v"), F.col("px").cast("string")).alias("name"), "ord", "hex"), obs.where("px = 1").select("site", "hex").distinct())
+
+
+@query(f"WITH {PALETTE}, vr AS (SELECT DISTINCT site, hex FROM obs WHERE px > 45) SELECT site, hex, n, EXISTS (SELECT 1 FROM vr WHERE vr.site = palette.site AND vr.hex = palette.hex) AS declared FROM palette")
+def palette_provenance(spark, sf):
+    return summary.declared(_palette(spark, sf).select("site", "hex", "n"), observations(spark, sf).where("px > 45"))
 
 
 # ---- type
@@ -422,7 +454,9 @@ def resolved_aliases(spark, sf):
     return audit.resolve_aliases(tokens).where("state = 'ok'")
 
 
-@query()
+@query(f"""WITH {PALETTE}, c AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY n DESC, hex) AS rank FROM palette QUALIFY rank <= 24), nm AS (SELECT *, row_number() OVER (PARTITION BY site, role ORDER BY rank) AS nth FROM c),
+sp AS (SELECT site, px, count(*) AS n FROM obs WHERE px > 0 GROUP BY ALL), s20 AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY n DESC, px) AS k FROM sp QUALIFY k <= 20), s8 AS (SELECT *, max(n) OVER (PARTITION BY site) AS most FROM s20), s9 AS (SELECT * FROM s8 WHERE n >= 0.2::DOUBLE * most QUALIFY row_number() OVER (PARTITION BY site ORDER BY n DESC, px) <= 8)
+SELECT site, 'color' AS section, rank AS ord, CASE WHEN nth = 1 THEN role ELSE role || '-' || nth END AS name, hex AS value FROM nm UNION ALL SELECT site, 'spacing', row_number() OVER (PARTITION BY site ORDER BY px), (row_number() OVER (PARTITION BY site ORDER BY px))::VARCHAR, px || 'px' FROM s9""")
 def theme_tokens(spark, sf):
     return audit.theme_tokens(_palette(spark, sf), extract.spacing_histogram(observations(spark, sf)))
 
@@ -483,9 +517,9 @@ def robots_verdicts(spark, sf):
     return page_ops.robots_allowed(urls, page_ops.robots_rules(urls.select("host").distinct().withColumn("body", F.lit(body))))
 
 
-@query("""SELECT event_id, CASE WHEN event_type = 'error' THEN 'retryable' ELSE 'failure' END AS class FROM events""")
+@query("""SELECT event_id, CASE WHEN event_id % 10 IN (0, 1, 2, 4, 6, 7) THEN 'retryable' ELSE 'failure' END AS class FROM events""")
 def crawl_error_classes(spark, sf):
-    said = F.when(F.col("event_type") == "error", "net::ERR_TIMED_OUT").otherwise(F.col("event_type"))
+    said = semantics._pick(semantics.SAID, F.col("event_id") % 10)
     return table(spark, sf, "events").select("event_id", text.crawl_error(said).alias("class"))
 
 
@@ -513,8 +547,12 @@ def capture_sessions(spark, sf):
 
 @query()
 def brand_colors(spark, sf):
-    """The most likely brand colour of each site, by a model fitted on tokens as positive examples."""
-    rows = brand.candidates(extract.color_statistics(observations(spark, sf))).withColumn("label", (F.col("is_token_n") * (F.col("sat") > 0.3).cast("int")).cast("double"))
+    """The most likely brand colour of each site, by a model fitted on what buttons and links have as background: whether a
+    colour is the most frequent one there, which is none of the model's features."""
+    obs = observations(spark, sf)
+    used = obs.where("tag in ('BUTTON', 'A')").groupBy("site", "hex").agg(F.count("*").alias("uses"))
+    first = used.groupBy("site").agg(F.min_by("hex", F.struct(-F.col("uses"), "hex")).alias("hex")).withColumn("label", F.lit(1.0))
+    rows = brand.candidates(extract.color_statistics(obs)).join(first, ["site", "hex"], "left").fillna(0.0, ["label"])
     return brand.best(brand.fit(rows).transform(rows))
 
 

@@ -59,17 +59,17 @@ def elements(pages: DataFrame) -> DataFrame:
 
 
 def css_rules(pages: DataFrame) -> DataFrame:
-    """page_id, ord, selector, property, value: the declarations of a page's <style> elements."""
+    """page_id, ord, selector, property, value: the declarations of a page's <style> elements, numbered through the page."""
     style = F.regexp_extract_all("html", F.lit("(?is)<style[^>]*>(.*?)</style>"), F.lit(1))
-    rule = pages.select("page_id", F.explode(F.regexp_extract_all(F.array_join(style, "\n"), F.lit(r"([^{}]+\{[^{}]*\})"), F.lit(1))).alias("rule"))
-    parts = rule.select("page_id", F.trim(F.regexp_extract("rule", r"^([^{]+)\{", 1)).alias("selector"), F.posexplode(F.split(F.regexp_extract("rule", r"\{([^}]*)\}", 1), ";")).alias("ord", "line"))
-    return parts.where("line like '%:%'").select("page_id", "ord", "selector", F.trim(F.substring_index("line", ":", 1)).alias("property"), F.trim(F.regexp_extract("line", "^[^:]*:(.*)$", 1)).alias("value"))
+    rule = pages.select("page_id", F.posexplode(F.regexp_extract_all(F.array_join(style, "\n"), F.lit(r"([^{}]+\{[^{}]*\})"), F.lit(1))).alias("at", "rule"))
+    parts = rule.select("page_id", "at", F.trim(F.regexp_extract("rule", r"^([^{]+)\{", 1)).alias("selector"), F.posexplode(F.split(F.regexp_extract("rule", r"\{([^}]*)\}", 1), ";")).alias("line_at", "line"))
+    return parts.where("line like '%:%'").select("page_id", (F.col("at").cast("long") * 100_000 + F.col("line_at")).alias("ord"), "selector", F.trim(F.substring_index("line", ":", 1)).alias("property"), F.trim(F.regexp_extract("line", "^[^:]*:(.*)$", 1)).alias("value"))
 
 
 def custom_properties(rules: DataFrame) -> DataFrame:
-    """Declared custom properties, the first of each name."""
-    own = rules.where("property like '--%'")
-    return own.groupBy("page_id", "property").agg(F.min_by("value", "ord").alias("value"))
+    """The root's custom properties; of several declarations of a name the last one counts, as in the cascade."""
+    own = rules.where("property like '--%' and selector rlike '(^|,)\\\\s*(:root|html)\\\\s*(,|$)'")
+    return own.groupBy("page_id", "property").agg(F.max_by("value", "ord").alias("value"))
 
 
 def media_breakpoints(pages: DataFrame) -> DataFrame:
@@ -120,10 +120,14 @@ def robots_rules(files: DataFrame) -> DataFrame:
 
 
 def robots_allowed(urls: DataFrame, rules: DataFrame, agent: str = "*") -> DataFrame:
-    """urls (page_id, host, path) with allowed: the longest matching rule wins, the first on ties; none allows."""
+    """urls (page_id, host, path) with allowed: the longest matching rule wins, the first on ties; none allows.
+
+    A host without a group for the agent is judged by its group for all agents.
+    """
     escaped = F.regexp_replace(F.regexp_replace("pattern", r"([.+?^{}()|\[\]\\])", r"\\$1"), r"\*", ".*")
-    own = rules.where(F.col("agent") == agent).withColumn("rx", F.concat(F.lit("^"), escaped))
-    hit = urls.join(own, "host").where(F.expr("path rlike rx"))
+    named = rules.where(F.col("agent") == agent.lower()).select("host").distinct().withColumn("own", F.lit(True))
+    group = rules.where(F.col("agent").isin(agent.lower(), "*")).join(named, "host", "left").where((F.col("agent") == agent.lower()) | F.col("own").isNull())
+    hit = urls.join(group.withColumn("rx", F.concat(F.lit("^"), escaped)), "host").where(F.expr("path rlike rx"))
     best = hit.groupBy("page_id").agg(F.max_by("allow", F.struct(F.length("pattern"), -F.col("ord"))).alias("allow"))
     return urls.join(best, "page_id", "left").withColumn("allowed", F.coalesce("allow", F.lit(True))).drop("allow")
 
@@ -152,3 +156,10 @@ def write_snapshots(snapshots: DataFrame, path: str) -> None:
 def small_enough(rows: DataFrame, most: int = 150_000) -> DataFrame:
     """The rows whose JSON has at most ``most`` bytes."""
     return rows.where(F.octet_length(F.to_json(F.struct("*"))) <= most)
+
+
+def manifest_fields(files: DataFrame) -> DataFrame:
+    """host, theme_color, background_color, name, short_name from (host, body): a web app manifest; empty values are none."""
+    m = F.from_json("body", "theme_color string, background_color string, name string, short_name string")
+    read = files.select("host", m.alias("m"))
+    return read.select("host", *(F.nullif(F.col(f"m.{c}"), F.lit("")).alias(c) for c in ("theme_color", "background_color", "name", "short_name")))

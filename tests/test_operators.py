@@ -161,7 +161,7 @@ def test_pages(spark):
     got = {r["el_id"]: r for r in pages.elements(table).collect()}
     assert [got[k]["tag"] for k in sorted(got)] == ["html", "head", "style", "body", "nav", "a", "div", "p", "br", "a"]
     assert got[5]["ancestors"] == [0, 3, 4] and got[8]["parent_id"] == 7
-    assert pages.custom_properties(pages.css_rules(table)).first()["value"] == "#123456"
+    assert pages.custom_properties(pages.css_rules(table)).first()["value"] == "#000"
     site = spark.createDataFrame([("a.com", "<loc>http://www.a.com/docs/</loc><loc>http://b.com/x</loc><loc>http://a.com/</loc>")], "host string, xml string")
     assert [r["url"] for r in pages.sitemap_urls(site).collect()] == ["http://www.a.com/docs"]
 
