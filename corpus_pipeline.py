@@ -5,6 +5,11 @@ Each stage is (spark, docs, sf_dir) -> DataFrame over all that the stage before
 return the columns of documents. run() writes each stage's rows to the shared folder and reads them again, so
 a stage is not repeated when an executor is lost. Models are fitted on the labels of sf_dir that belong to
 documents of the stage's own input.
+
+Defined cases: a null text is judged as the empty one and stays null; texts of any length are read whole; rows
+without a doc_id stay until packing, which gives their pieces a null doc_id; rows that share a doc_id are judged one
+by one, and the near-duplicate stage keeps one of them; an empty table gives an empty one; other columns, whatever
+their names, pass through all stages but the last.
 """
 
 from __future__ import annotations
@@ -41,14 +46,19 @@ def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: that of the smallest doc_id (of repeated rows, one).
+    """One document of each group of near-duplicates stays: that of the smallest doc_id (of rows that share it, the one with
+    the smallest text, null first).
 
     Groups: five-word shingles, similarity 0.8 or more. Rows without a doc_id stay.
     """
     groups = neardup.near_duplicates(docs, width=5, percent=80)
-    gone = groups.where(~F.col("kept")).select("doc_id").distinct()
-    once = docs.where("doc_id is not null").dropDuplicates(["doc_id"]) if _repeats(groups) else docs.where("doc_id is not null")
-    return once.join(gone, "doc_id", "left_anti").select(docs.columns).union(docs.where("doc_id is null"))
+    gone = groups.where(~F.col("kept")).select(F.col("doc_id").alias("id")).distinct()
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").alias("said"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    once = rows.where("id is not null")
+    if _repeats(groups):
+        once = once.groupBy("id").agg(F.min_by("row", F.struct("said", F.xxhash64("row"))).alias("row"))
+    kept = once.join(gone, "id", "left_anti").select("row").union(rows.where("id is null").select("row"))
+    return kept.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
 
 
 def _repeats(groups: DataFrame) -> bool:
