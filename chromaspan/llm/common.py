@@ -20,7 +20,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Lower the rows per Arrow batch to ROWS_PER_BATCH unless the session already asks for fewer."""
+    """Lower the session's rows per Arrow batch to ROWS_PER_BATCH, for small output batches, unless it asks for fewer.
+
+    What bounds an input batch's memory is spark.sql.execution.arrow.maxBytesPerBatch (64 MB by default).
+    """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key, "10000")) <= ROWS_PER_BATCH:
         spark.conf.set(key, str(ROWS_PER_BATCH))
@@ -33,9 +36,12 @@ def whole_texts(docs: DataFrame) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; only where it is unset, a new temporary one (local runs)."""
+    """The folder named by spark.checkpoint.dir; where it is unset, a new temporary one on a local master, else an error:
+    executors would not see a folder of the driver's machine."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="chromaspan-")
         spark.sparkContext.setCheckpointDir(folder)
         folder = spark.sparkContext.getCheckpointDir() or folder

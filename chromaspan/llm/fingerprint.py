@@ -27,6 +27,7 @@ from . import common
 
 K, S = 24, 8
 FIRST = -(1 << 63)
+RANGE_BYTES = 32 << 20
 
 
 def anchors(texts: list[str]) -> list[list[tuple[int, int]]]:
@@ -110,18 +111,33 @@ def edited(text: str, following: str) -> str:
 
 
 def ranges(docs: DataFrame, parts: int) -> DataFrame:
-    """(part, last, doc_id, k, text): the documents by range, and in each range (last = 1) the next range's first."""
+    """(part, last, doc_id, k, text): the documents by range, and in each range (last = 1) the next range's first.
+
+    Each range is a partition of its own.
+    """
+    from pyspark.ml.feature import Bucketizer
+
     rows = common.whole_texts(docs).withColumn("k", F.coalesce("doc_id", F.lit(FIRST)))
     cuts = sorted(set(rows.select("k").approxQuantile("k", [i / parts for i in range(1, parts)], 0.2 / parts))) if parts > 1 else []
-    part = F.size(F.filter(F.array(*[F.lit(int(c)) for c in cuts]), lambda c: c <= F.col("k"))) if cuts else F.lit(0)
-    rows = rows.withColumn("part", part)
+    part = F.lit(0)
+    if cuts:
+        # doubles may merge neighbouring ids, but keep their order, which is all that ranges need
+        rows = Bucketizer(splits=[-float("inf"), *cuts, float("inf")], inputCol="at", outputCol="range").transform(rows.withColumn("at", F.col("k").cast("double")))
+        part = F.col("range").cast("int")
+    rows = rows.select("doc_id", "k", "text", part.alias("part"))
     firsts = sorted((r["part"], r["k"]) for r in rows.groupBy("part").agg(F.min("k").alias("k")).collect())  # a row for each range
     if not firsts:
         return rows.select("part", F.lit(0).alias("last"), "doc_id", "k", "text")
     to = [(k, firsts[i - 1][0]) for i, (_, k) in enumerate(firsts)]
     ghost = F.broadcast(docs.sparkSession.createDataFrame(to, "k long, to int"))  # a row for each range
     both = rows.join(ghost, "k", "left").withColumn("copy", F.explode(F.when(F.col("to").isNull(), F.array(F.struct("part", F.lit(0).alias("last")))).otherwise(F.array(F.struct("part", F.lit(0).alias("last")), F.struct(F.col("to").alias("part"), F.lit(1).alias("last"))))))
-    return both.select("copy.part", "copy.last", "doc_id", "k", "text").repartition(parts, "part").sortWithinPartitions("part", "last", "k", "text")
+    return both.select("copy.part", "copy.last", "doc_id", "k", "text").repartitionById(len(cuts) + 1, "part").sortWithinPartitions("part", "last", "k", "text")
+
+
+def number_of_ranges(docs: DataFrame) -> int:
+    """As many as shuffle partitions, and so many more that a range holds about RANGE_BYTES of text."""
+    size = common.whole_texts(docs).agg(F.sum(F.octet_length("text").cast("long")).alias("n")).first()["n"] or 0
+    return max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES))
 
 
 OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -129,7 +145,7 @@ OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edit
 
 def with_next(docs: DataFrame, parts: int | None = None) -> DataFrame:
     """Per document its fingerprint, that of its edited text, and both likenesses (see OUT)."""
-    parts = parts or max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    parts = parts or number_of_ranges(docs)
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa

@@ -105,6 +105,32 @@ def test_attention_gradients():
     assert ((m.score(doc, x, 3) > 0.5) == (y > 0.5)).all()
 
 
+def test_gradients_equal_differences():
+    """One step of the fit moves each weight against the gradient that central differences of the loss give."""
+    rng = np.random.default_rng(7)
+    x, doc, y = rng.normal(size=(9, 3)), np.array([0] * 3 + [1] * 2 + [2] * 4), np.array([0.0, 1.0, 1.0])
+    before, after = quality.GatedAttention(3, 2), quality.GatedAttention(3, 2)
+    after.fit(x, doc, y, steps=1, rate=1e-3, decay=0.0)
+    z = (x - after.mean) / after.scale
+    begins = np.array([0, 3, 5])
+
+    def loss():
+        s = before.forward(z, begins)[5]
+        return -np.mean(y * np.log(s) + (1 - y) * np.log(1 - s))
+
+    for name, p in before.p.items():
+        flat, moved = p.reshape(-1), (after.p[name] - p).reshape(-1)
+        for k in range(len(flat)):
+            held = flat[k]
+            flat[k] = held + 1e-5
+            up = loss()
+            flat[k] = held - 1e-5
+            slope = (up - loss()) / 2e-5
+            flat[k] = held
+            if abs(slope) > 1e-6:  # the first step of Adam is the rate against the gradient's sign
+                assert np.isclose(moved[k], -1e-3 * np.sign(slope), rtol=1e-2), (name, k)
+
+
 def brute_groups(texts, width, percent):
     sets = {}
     for k, t in texts.items():
@@ -280,3 +306,20 @@ def test_blocks_hold_every_leaf_once():
     assert count.tolist() == [5, 4, 25, 0, 3]
     places = [range(a, a + n) for a, n in zip(first, number, strict=True)]
     assert number.tolist() == [1, 1, 3, 1, 1] and not set(places[2]) & {x for k in (0, 1, 3, 4) for x in places[k]}
+
+
+def test_pipeline_on_odd_rows(spark):
+    """Null and empty texts, repeated and missing ids, names that clash and an empty table, stage by stage."""
+    import corpus_pipeline as cp
+
+    rows = [(1, None, 5), (2, "", 0), (3, "mail a@b.com or a@b.com", 23), (3, "mail a@b.com or a@b.com", 23), (None, "one two three four five six", 1), (None, None, None), (7, "one two three four five six", 2), (8, "one two three four five six", 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long").selectExpr("*", "'l' as lang", "1 as p_toxic", "2 as score", "3 as kept", "4 as c0", "5 as `a.b`", "6 as pii_spans")
+    for name, stage in cp.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns and out.dtypes == docs.dtypes, name
+        assert stage(spark, docs.where("false"), SF).count() == 0, name
+    kept = [r["doc_id"] for r in cp.drop_near_copies(spark, docs, SF).collect()]
+    assert sorted(kept, key=str) == [1, 2, 3, 7, None, None]
+    hidden = {r["doc_id"]: (r["text"], r["n_chars"]) for r in cp.hide_personal_data(spark, docs.where("doc_id is not null"), SF).collect()}
+    assert hidden[3] == ("mail [EMAIL] or [EMAIL]", 23) and hidden[1] == (None, 5)
+    assert cp.pack(spark, docs, SF).count() == len(rows) and cp.pack(spark, docs.where("false"), SF).count() == 0
