@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chromaspan.functions import color, text
+from chromaspan.lineage import cut
 
+from . import documents
 from .extract import top
 
 
@@ -77,7 +79,7 @@ def theme_tokens(palette: DataFrame, spacing: DataFrame, names: DataFrame | None
 def violations(tokens: DataFrame) -> DataFrame:
     """path, type, rule: tokens (doc_id, path, type, value) that break their type's rules; unknown types warn."""
     number = text.leading_number(F.col("value"))
-    alias = F.col("value").rlike(r"^\{[^{}]+\}$")
+    alias = documents.is_alias(F.col("value"))
     weight = F.col("value").try_cast("double")
     names = F.col("value").isin("thin", "hairline", "extra-light", "ultra-light", "light", "normal", "regular", "book", "medium", "semi-bold", "demi-bold", "bold", "extra-bold", "ultra-bold", "black", "heavy", "extra-black", "ultra-black")
     rule = (
@@ -90,6 +92,7 @@ def violations(tokens: DataFrame) -> DataFrame:
         .when((F.col("type") == "duration") & ~F.col("value").rlike(r"^[0-9.]+(ms|s)$"), "duration")
         .when((F.col("type") == "number") & number.isNull(), "number")
         .when((F.col("type") == "fontWeight") & ~(F.coalesce(weight.between(1, 1000), F.lit(False)) | names), "fontWeight")
+        .when(documents.composite_ok(F.col("type"), F.col("value")) == False, F.col("type"))  # noqa: E712
         .when(~F.col("type").isin("color", "dimension", "duration", "number", "fontWeight", "fontFamily", "cubicBezier", "strokeStyle", "border", "transition", "shadow", "gradient", "typography"), "unknown type")
     )
     return tokens.withColumn("rule", rule).where("rule is not null")
@@ -105,7 +108,7 @@ def resolve_aliases(tokens: DataFrame) -> DataFrame:
     most = tokens.groupBy("doc_id").count().agg(F.max("count").alias("n")).first()["n"] or 0
     at = tokens.select("doc_id", "path", "value", F.lit("ok").alias("state"))
     for _ in range(max(1, int(most).bit_length())):
-        at = at.checkpoint() if at.sparkSession.sparkContext.getCheckpointDir() else at.localCheckpoint()  # or plans would double as well
+        at = cut(at)  # or plans would double as well
         known = at.select("doc_id", F.col("path").alias("to"), F.col("value").alias("next"))
         at = at.withColumn("to", target(F.col("value"))).join(known, ["doc_id", "to"], "left")
         points = (F.col("to") != "") & (F.col("state") == "ok")

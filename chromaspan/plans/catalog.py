@@ -10,7 +10,7 @@ from chromaspan.operators import audit, brand, drift, extract, merge, summary
 from chromaspan.sources import pages as page_ops
 from chromaspan.streaming import captures
 
-from . import parts, semantics, summaries  # noqa: F401  (register their queries)
+from . import documents, parts, semantics, summaries  # noqa: F401  (register their queries)
 from .bridge import CONTEXT, OBS, TYPE, observations, table, type_observations
 from .registry import ORACLES, QUERIES, query  # noqa: F401
 
