@@ -12,7 +12,7 @@ import json
 import re
 
 #: Prefix states that a worker stores before it begins anew.
-STATES_KEPT = 300_000
+STATES_KEPT = 600_000
 #: Bytes up to which prefixes are stored; longer pieces are worked out in arrays.
 SHORT = 40
 
