@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, byte_bpe, chat, common, fingerprint, neardup, packing, pii, quality, token_counts, toxicity
+from . import ann, byte_bpe, chat, common, fingerprint, neardup, packing, pii, quality, suffix_tree, token_counts, toxicity
 
 
 def tokenizer_path(name: str) -> str:
@@ -68,6 +68,11 @@ def op10_kmeans_tree_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(common.table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
 
 
+def op11_suffix_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents")
+    return suffix_tree.scores(docs, suffix_tree.fit(docs))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -75,7 +80,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    own = (op1_toxicity_chain, op2_prefix_token_counts, op3_chat_windows, op4_personal_data, op5_byte_bpe, op6_quality_attention, op7_minhash_groups, op8_configuration_packing, op9_syncmer_fingerprints, op10_kmeans_tree_neighbours, pipeline)
+    own = (op1_toxicity_chain, op2_prefix_token_counts, op3_chat_windows, op4_personal_data, op5_byte_bpe, op6_quality_attention, op7_minhash_groups, op8_configuration_packing, op9_syncmer_fingerprints, op10_kmeans_tree_neighbours, op11_suffix_tree_scores, pipeline)
     return {f.__name__: f for f in own}
 
 
