@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows that one Arrow batch may hold. Texts are long, so this is far below Spark's default.
@@ -61,6 +61,22 @@ def staged(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(rows: DataFrame, *order: Column) -> DataFrame:
+    """The rows with ``at``: their places, from 0, in the given order over the whole table.
+
+    Rows are sorted in ranges; what the driver gets is one count a range. Where the order names every row, no key is
+    gathered in one task. The table is staged.
+    """
+    spark = rows.sparkSession
+    placed = staged(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id()))
+    part, begin, offsets = F.shiftright("at", 33), 0, []
+    for r in sorted(placed.groupBy(part.alias("part")).count().collect()):
+        offsets.append((r["part"], begin - (r["part"] << 33)))
+        begin += r["count"]
+    shifts = spark.createDataFrame(offsets, "part long, shift long")
+    return placed.withColumn("part", part).join(F.broadcast(shifts), "part").withColumn("at", F.col("at") + F.col("shift")).drop("part", "shift")
+
+
 def text_chunks(sizes: list[int], most: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
     """Consecutive (from, to) index ranges whose sizes sum to at most ``most``, or that hold one text."""
     begin = total = 0
@@ -73,13 +89,13 @@ def text_chunks(sizes: list[int], most: int = CHUNK_BYTES) -> Iterator[tuple[int
         yield begin, len(sizes)
 
 
-def hash_share(column: str, wanted: int, there: int) -> F.Column:
+def hash_share(column: str, wanted: int, there: int) -> Column:
     """True for about wanted of there rows, picked by a hash of the column: the same rows in every run."""
     share = min(1.0, wanted / max(1, there))
     return F.pmod(F.xxhash64(F.col(column), F.lit(7)), F.lit(1_000_000)) < F.lit(int(share * 1_000_000))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int, keep: F.Column | None = None) -> DataFrame:
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int, keep: Column | None = None) -> DataFrame:
     """(doc_id, text, y) of about ``most`` labelled documents: the bound is the parameter, the pick a hash of doc_id.
 
     Label rows with a null id or label are left out, of repeated ones the smallest label counts. The picked
