@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, byte_bpe, chat, common, fingerprint, neardup, packing, pii, quality, resampling, suffix_tree, token_counts, toxicity
+from . import ann, byte_bpe, chat, common, fingerprint, neardup, packing, pii, prefix_trie, quality, resampling, suffix_tree, token_counts, toxicity
 
 
 def tokenizer_path(name: str) -> str:
@@ -73,6 +73,10 @@ def op11_suffix_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_tree.scores(docs, suffix_tree.fit(docs))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(common.table(spark, sf_dir, "conversations"))
+
+
 def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resampled(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
 
@@ -84,7 +88,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    own = (op1_toxicity_chain, op2_prefix_token_counts, op3_chat_windows, op4_personal_data, op5_byte_bpe, op6_quality_attention, op7_minhash_groups, op8_configuration_packing, op9_syncmer_fingerprints, op10_kmeans_tree_neighbours, op11_suffix_tree_scores, op13_importance_resampling, pipeline)
+    own = (op1_toxicity_chain, op2_prefix_token_counts, op3_chat_windows, op4_personal_data, op5_byte_bpe, op6_quality_attention, op7_minhash_groups, op8_configuration_packing, op9_syncmer_fingerprints, op10_kmeans_tree_neighbours, op11_suffix_tree_scores, op12_prefix_trie, op13_importance_resampling, pipeline)
     return {f.__name__: f for f in own}
 
 
