@@ -1,4 +1,4 @@
-"""Contrast, duplication, hierarchy and grid findings; token documents; report counts."""
+"""Contrast, duplication, hierarchy and grid findings; theme tokens and aliases; report counts."""
 
 from __future__ import annotations
 
@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from chromaspan.functions import color, text
 from chromaspan.lineage import cut
 
-from . import documents
 from .extract import top
 
 
@@ -53,14 +52,6 @@ def finding_scores(sites: DataFrame, duplicates: DataFrame, collisions: DataFram
     return out.select("site", F.greatest(F.lit(0), 100 - 6 * (c("d") + c("h") + F.when(c("g") > 0, 1).otherwise(0))).alias("consistency"), F.greatest(F.lit(0), 100 - 6 * c("w")).alias("contrast"))
 
 
-def design_tokens(palette: DataFrame, spacing: DataFrame, radii: DataFrame) -> DataFrame:
-    """site, path, type, value: the token document as rows (30 colours, 12 spacings, 6 radii a site)."""
-    colors = top(palette.where("confidence <> 'low'"), ["site"], [F.desc("n"), "hex"], 30).select("site", F.concat(F.lit("color.palette."), F.col("rank").cast("string")).alias("path"), F.lit("color").alias("type"), F.col("hex").alias("value"))
-    spaces = top(spacing, ["site"], [F.desc("n"), "px"], 12).select("site", F.concat(F.lit("spacing."), F.col("rank").cast("string")).alias("path"), F.lit("dimension").alias("type"), F.concat(F.col("px").cast("string"), F.lit("px")).alias("value"))
-    rounds = top(radii, ["site"], [F.desc("n"), "radius"], 6).select("site", F.concat(F.lit("radius."), F.col("rank").cast("string")).alias("path"), F.lit("dimension").alias("type"), F.concat(F.col("radius").cast("string"), F.lit("px")).alias("value"))
-    return colors.union(spaces).union(rounds)
-
-
 def theme_tokens(palette: DataFrame, spacing: DataFrame, names: DataFrame | None = None) -> DataFrame:
     """site, section, ord, name, value: what a theme file lists. Colours by role with unique names; spacings used
     at least a fifth as often as the most used, at most 8, ascending."""
@@ -76,28 +67,6 @@ def theme_tokens(palette: DataFrame, spacing: DataFrame, names: DataFrame | None
     return shown.union(used.select("site", F.lit("spacing").alias("section"), at.alias("ord"), at.cast("string").alias("name"), F.concat(F.col("px").cast("string"), F.lit("px")).alias("value")))
 
 
-def violations(tokens: DataFrame) -> DataFrame:
-    """path, type, rule: tokens (doc_id, path, type, value) that break their type's rules; unknown types warn."""
-    number = text.leading_number(F.col("value"))
-    alias = documents.is_alias(F.col("value"))
-    weight = F.col("value").try_cast("double")
-    names = F.col("value").isin("thin", "hairline", "extra-light", "ultra-light", "light", "normal", "regular", "book", "medium", "semi-bold", "demi-bold", "bold", "extra-bold", "ultra-bold", "black", "heavy", "extra-black", "ultra-black")
-    rule = (
-        F.when(F.col("path").rlike(r"[{}]|(^|\.)\$"), "name")
-        .when(F.col("value").isNull(), "missing value")
-        .when(F.col("type").isNull(), "missing type")
-        .when(alias, None)
-        .when((F.col("type") == "color") & color.parse_css(F.col("value")).isNull(), "color")
-        .when((F.col("type") == "dimension") & ~F.col("value").rlike(r"^-?[0-9.]+(px|rem)$"), "dimension")
-        .when((F.col("type") == "duration") & ~F.col("value").rlike(r"^[0-9.]+(ms|s)$"), "duration")
-        .when((F.col("type") == "number") & number.isNull(), "number")
-        .when((F.col("type") == "fontWeight") & ~(F.coalesce(weight.between(1, 1000), F.lit(False)) | names), "fontWeight")
-        .when(documents.composite_ok(F.col("type"), F.col("value")) == False, F.col("type"))  # noqa: E712
-        .when(~F.col("type").isin("color", "dimension", "duration", "number", "fontWeight", "fontFamily", "cubicBezier", "strokeStyle", "border", "transition", "shadow", "gradient", "typography"), "unknown type")
-    )
-    return tokens.withColumn("rule", rule).where("rule is not null")
-
-
 def resolve_aliases(tokens: DataFrame) -> DataFrame:
     """doc_id, path, value, state: aliases {a.b} followed to their value; state ok, missing or cycle.
 

@@ -1,72 +1,12 @@
-"""Token documents: nested JSON to rows, values of composite types, counts and error categories."""
+"""Token documents: nested JSON to rows, counts, inherited groups."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chromaspan.lineage import cut
 
-#: Members of composite types with the types of their values, line styles, line ends, and error categories.
-MEMBERS = {
-    "border": (("color", "color"), ("width", "dimension"), ("style", "strokeStyle")),
-    "transition": (("duration", "duration"), ("delay", "duration"), ("timingFunction", "cubicBezier")),
-    "shadow": (("color", "color"), ("offsetX", "dimension"), ("offsetY", "dimension"), ("blur", "dimension"), ("spread", "dimension")),
-    "typography": (("fontFamily", "fontFamily"), ("fontSize", "dimension"), ("fontWeight", None), ("letterSpacing", "dimension"), ("lineHeight", None)),
-}
-STROKES = ("solid", "dashed", "dotted", "double", "groove", "ridge", "outset", "inset")
-LINE_ENDS = ("round", "butt", "square")
-CATEGORIES = {"name": "naming", "missing value": "structure", "invalid JSON": "structure", "missing type": "type", "unknown type": "type", "missing": "reference", "cycle": "reference"}
-
-
-def is_alias(value: Column) -> Column:
-    return value.rlike(r"^\{[^{}\":]+\}$")
-
-
-def members(value: Column) -> Column:
-    """map<string, string> of a JSON object's members, nested ones as JSON; null for anything else."""
-    return F.when(F.ltrim(value).startswith("{"), F.from_json(value, "map<string, string>"))
-
-
-def items(value: Column) -> Column:
-    """array<string> of a JSON array's items, nested ones as JSON; null for anything else."""
-    return F.when(F.ltrim(value).startswith("["), F.from_json(value, "array<string>"))
-
-
-def plain_ok(kind: str, value: Column) -> Column:
-    """Whether a value is an alias or has the form of a simple type."""
-    numbers = F.transform(items(value), lambda x: x.try_cast("double"))
-    rules = {
-        "color": F.lower(value).rlike(r"^(#([0-9a-f]{3}|[0-9a-f]{4}|[0-9a-f]{6}|[0-9a-f]{8})|(rgba?|hsla?|hwb|lab|lch|oklab|oklch|color)\([^()]+\)|transparent)$"),
-        "dimension": value.rlike(r"^-?[0-9.]+(px|rem)$"),
-        "duration": value.rlike(r"^[0-9.]+(ms|s)$"),
-        "strokeStyle": value.isin(*STROKES) | (F.forall(items(F.try_element_at(members(value), F.lit("dashArray"))), lambda x: x.rlike(r"^-?[0-9.]+(px|rem)$") | is_alias(x)) & F.try_element_at(members(value), F.lit("lineCap")).isin(*LINE_ENDS)),
-        "cubicBezier": (F.size(numbers) == 4) & F.forall(numbers, lambda x: x.isNotNull()) & F.get(numbers, 0).between(0, 1) & F.get(numbers, 2).between(0, 1),
-        "fontFamily": F.when(F.ltrim(value).startswith("["), (F.size(items(value)) > 0) & F.forall(items(value), lambda x: x != "")).otherwise(~F.ltrim(value).startswith("{") & (F.trim(value) != "")),
-    }
-    return F.coalesce(is_alias(value) | rules[kind], F.lit(False))
-
-
-def parts_ok(kind: str, value: Column) -> Column:
-    """Whether a JSON object has all members of its type, each of its own type."""
-    own = members(value)
-    good = F.lit(True)
-    for name, of in MEMBERS[kind]:
-        m = F.try_element_at(own, F.lit(name))
-        good = good & (plain_ok(of, m) if of else m.isNotNull())
-    return F.coalesce(is_alias(value) | good, F.lit(False))
-
-
-def composite_ok(kind: Column, value: Column) -> Column:
-    """Whether a value of one of the eight structured types is whole; null for other types."""
-    stop = lambda x: is_alias(x) | F.coalesce(plain_ok("color", F.try_element_at(members(x), F.lit("color"))) & F.try_element_at(members(x), F.lit("position")).try_cast("double").between(0, 1), F.lit(False))
-    several = lambda of: F.coalesce(F.when(F.ltrim(value).startswith("["), F.forall(items(value), of)), F.lit(False))
-    checks = [F.when(kind == k, plain_ok(k, value)) for k in ("strokeStyle", "cubicBezier", "fontFamily")]
-    checks += [F.when(kind == k, parts_ok(k, value)) for k in ("border", "transition", "typography")]
-    checks += [F.when(kind == "shadow", parts_ok("shadow", value) | several(lambda x: parts_ok("shadow", x))), F.when(kind == "gradient", is_alias(value) | several(stop))]
-    return F.coalesce(*checks)
-
-
 def flatten(documents: DataFrame) -> DataFrame:
     """doc_id, path, type, value of (doc_id, json): a row per token (an object with $value or $ref), with the type of the
     nearest group above where it has none of its own; a document that cannot be read has one row with type 'invalid JSON'.
@@ -93,12 +33,6 @@ def token_counts(tokens: DataFrame) -> DataFrame:
     return tokens.where("coalesce(type, '') <> 'invalid JSON'").groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
-def error_categories(errors: DataFrame) -> DataFrame:
-    """doc_id, category, n of (doc_id, rule): structure, type, value, naming or reference."""
-    known = F.create_map(*(F.lit(x) for pair in CATEGORIES.items() for x in pair))
-    return errors.groupBy("doc_id", F.coalesce(F.try_element_at(known, F.col("rule")), F.lit("value")).alias("category")).agg(F.count("*").alias("n"))
-
-
 def extended_groups(groups: DataFrame, tokens: DataFrame) -> DataFrame:
     """doc_id, path, name, value, state: the tokens (doc_id, path of the group, name, value) that each group (doc_id, path,
     extends: '{path}' or null) has, its own before those of the groups it extends. state: ok, or missing or cycle for a

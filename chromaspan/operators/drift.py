@@ -50,7 +50,7 @@ def snapshots(tokens: DataFrame) -> DataFrame:
     rows = rows.where(f"not ({sized}) or num between 0 and 500").where("category not in ('radius', 'shadow') or coalesce(confidence, 'high') <> 'low'")
     rows = rows.where("category <> 'shadow' or (trim(value) <> '' and not value rlike '(oklab|oklch|color)[(]')")
     painted = F.col("category").isin("color", "semantic")
-    rows = rows.withColumn("rgba", F.when(painted, F.coalesce(color.parse_css(F.col("value")), color.parse_css_functions(F.col("value")))))
+    rows = color.parsed(rows.withColumn("paint", F.when(painted, F.col("value"))), "paint").drop("paint")
     rows = rows.withColumn("hex", F.when(F.col("rgba").isNotNull(), color.to_hex(F.col("rgba.r"), F.col("rgba.g"), F.col("rgba.b"))))
     part = F.split("value", "/")
     token = F.struct(

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chromaspan.functions import color, text
-from chromaspan.operators import audit, brand, drift, extract, merge, summary
+from chromaspan.operators import audit, brand, drift, exports, extract, merge, summary
+from chromaspan.operators import documents as documents_of
 from chromaspan.sources import pages as page_ops
 from chromaspan.streaming import captures
 
@@ -415,16 +416,51 @@ def finding_scores(spark, sf):
     return audit.finding_scores(obs.select("site").distinct(), audit.near_identical(extract.palette(stats)), audit.hierarchy_collisions(styles), audit.off_grid(h, extract.spacing_scale(h)), extract.primary_colors(stats))
 
 
-TOKENS = f"""{PALETTE}, sp AS (SELECT site, px, count(*) AS n FROM obs WHERE px > 0 GROUP BY ALL), rd AS (SELECT site, radius, count(*) AS n FROM obs GROUP BY ALL),
-tk AS (SELECT site, 'color.palette.' || row_number() OVER (PARTITION BY site ORDER BY n DESC, hex) AS path, 'color' AS type, hex AS value, row_number() OVER (PARTITION BY site ORDER BY n DESC, hex) AS k, 30 AS most FROM palette WHERE confidence <> 'low' UNION ALL
-SELECT site, 'spacing.' || row_number() OVER (PARTITION BY site ORDER BY n DESC, px), 'dimension', px || 'px', row_number() OVER (PARTITION BY site ORDER BY n DESC, px), 12 FROM sp UNION ALL
-SELECT site, 'radius.' || row_number() OVER (PARTITION BY site ORDER BY n DESC, radius), 'dimension', radius || 'px', row_number() OVER (PARTITION BY site ORDER BY n DESC, radius), 6 FROM rd),
-tokens AS (SELECT site, path, type, value FROM tk WHERE k <= most)"""
+def _part(h: str, k: int) -> str:
+    v = f"round(CAST('0x' || substr({h}, {k}, 2) AS INT) / 255.0::DOUBLE, 3)"
+    return f"(CASE WHEN {v} = floor({v}) THEN ({v})::BIGINT::VARCHAR ELSE ({v})::VARCHAR END)"
 
 
-def _document(spark, sf):
+def _hex_json(h: str) -> str:
+    return f"""('{{"colorSpace":"srgb","components":[' || {_part(h, 2)} || ',' || {_part(h, 4)} || ',' || {_part(h, 6)} || '],"hex":"' || {h} || '"}}')"""
+
+
+def _px_json(v: str) -> str:
+    return f"""('{{"value":' || {v} || ',"unit":"px"}}')"""
+
+
+TOKENS = f"""{PALETTE}, {STYLES}, sp AS (SELECT site, px, count(*) AS n FROM obs WHERE px > 0 GROUP BY ALL), rd AS (SELECT site, radius, count(*) AS n FROM obs GROUP BY ALL HAVING n > 3),
+pk AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY n DESC, hex) AS k FROM palette WHERE confidence <> 'low' QUALIFY k <= 30),
+ts AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY first, context, family, size, weight) AS k FROM styles QUALIFY k <= 10),
+bc AS (SELECT site, hex, CASE WHEN width > 2 THEN 'dashed' ELSE 'solid' END AS style, width, count(*) AS n FROM obs GROUP BY ALL HAVING n > 3), b10 AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY n DESC, hex, style, width) AS k FROM bc QUALIFY k <= 10),
+bw AS (SELECT site, width, row_number() OVER (PARTITION BY site ORDER BY min(k)) AS k FROM b10 GROUP BY site, width), bh AS (SELECT site, hex, row_number() OVER (PARTITION BY site ORDER BY min(k)) AS k FROM b10 GROUP BY site, hex),
+sh AS (SELECT site, width, radius, hex, count(*) AS n FROM obs GROUP BY ALL HAVING n > 2), s6 AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY n DESC, '0px ' || width || 'px ' || radius || 'px ' || hex) AS k FROM sh QUALIFY k <= 6),
+tokens AS (SELECT site, 'color.semantic.first-colour' AS path, 'color' AS type, {_hex_json("hex")} AS value FROM pk WHERE k = 1 UNION ALL SELECT site, 'color.palette.palette-' || k, 'color', {_hex_json("hex")} FROM pk UNION ALL
+SELECT site, 'typography.font-family.' || lower(replace(family, ' ', '-')), 'fontFamily', '"' || family || '"' FROM styles GROUP BY site, family UNION ALL
+SELECT site, 'typography.style.text-' || context, 'typography', arg_max('{{"fontFamily":"{{typography.font-family.' || lower(replace(family, ' ', '-')) || '}}","fontSize":' || {_px_json("size")} || ',"fontWeight":' || weight || ',"lineHeight":1.5,"letterSpacing":{{"value":0,"unit":"px"}}}}', k) FROM ts GROUP BY site, context UNION ALL
+SELECT site, 'spacing.spacing-' || k, 'dimension', {_px_json("px")} FROM (SELECT *, row_number() OVER (PARTITION BY site ORDER BY n DESC, px) AS k FROM sp QUALIFY k <= 12) UNION ALL
+SELECT site, 'radius.radius-' || k, 'dimension', {_px_json("radius")} FROM (SELECT *, row_number() OVER (PARTITION BY site ORDER BY n DESC, radius) AS k FROM rd QUALIFY k <= 6) UNION ALL
+SELECT site, 'border.width.border-width-' || k, 'dimension', {_px_json("width")} FROM bw UNION ALL SELECT site, 'border.color.border-color-' || k, 'color', {_hex_json("hex")} FROM bh UNION ALL
+SELECT site, 'shadow.shadow-' || k, 'shadow', '{{"offsetX":' || {_px_json("0")} || ',"offsetY":' || {_px_json("width")} || ',"blur":' || {_px_json("radius")} || ',"spread":' || {_px_json("0")} || ',"color":' || {_hex_json("'#000000'")} || '}}' FROM s6)"""
+
+
+def _sections(spark, sf) -> list[DataFrame]:
     obs = observations(spark, sf)
-    return audit.design_tokens(_palette(spark, sf), extract.spacing_histogram(obs).drop("rank"), extract.radius_histogram(obs))
+    palette, styles = _palette(spark, sf), extract.type_styles(type_observations(spark, sf))
+    channel = lambda k: F.conv(F.substring("hex", k, 2), 16, 10)
+    first = extract.top(palette.where("confidence <> 'low'"), ["site"], [F.desc("n"), "hex"], 1)
+    roles = first.select("site", F.lit("First.Colour").alias("role"), F.lit(0).alias("ord"), F.concat(F.lit("rgb("), channel(2), F.lit(", "), channel(4), F.lit(", "), channel(6), F.lit(")")).alias("value"))
+    return [
+        exports.semantic(roles), exports.colors(palette), exports.families(styles), exports.text_styles(styles), exports.spacings(extract.spacing_histogram(obs).drop("rank")),
+        exports.radii(extract.radius_histogram(obs)), exports.borders(extract.border_combinations(obs)), exports.shadows(extract.shadow_histogram(obs))]
+
+
+def _document(spark, sf):
+    out = None
+    for rows in _sections(spark, sf):
+        own = rows.select("site", F.array_join("path", ".").alias("path"), "type", "value")
+        out = own if out is None else out.union(own)
+    return out
 
 
 @query(f"WITH {TOKENS} SELECT * FROM tokens")
@@ -437,12 +473,10 @@ def report_counts(spark, sf):
     return audit.report_counts(_document(spark, sf))
 
 
-@query(f"""WITH {TOKENS}, v AS (SELECT path, type, CASE WHEN k % 7 = 0 THEN replace(value, 'px', 'em') WHEN k % 11 = 0 THEN replace(value, '#', '') ELSE value END AS value, site FROM (SELECT *, CAST(regexp_extract(path, '([0-9]+)$', 1) AS INT) AS k FROM tokens))
-SELECT site AS doc_id, path, type, value, type AS rule FROM v WHERE (type = 'color' AND NOT regexp_matches(value, '^#')) OR (type = 'dimension' AND NOT regexp_matches(value, '^-?[0-9.]+(px|rem)$'))""")
-def token_violations(spark, sf):
-    k = F.regexp_extract("path", "([0-9]+)$", 1).cast("int")
-    rows = _document(spark, sf).select(F.col("site").alias("doc_id"), "path", "type", F.when(k % 7 == 0, F.replace("value", F.lit("px"), F.lit("em"))).when(k % 11 == 0, F.replace("value", F.lit("#"), F.lit(""))).otherwise(F.col("value")).alias("value"))
-    return audit.violations(rows)
+@query(f"WITH {TOKENS} SELECT site AS doc_id, path, type, CASE WHEN type = 'fontFamily' THEN replace(value, '\"', '') ELSE value END AS value FROM tokens")
+def exported_documents(spark, sf):
+    """The assembled documents, flattened again."""
+    return documents_of.flatten(exports.documents(*_sections(spark, sf)))
 
 
 @query(f"""WITH {OBS}, t AS (SELECT DISTINCT site AS doc_id, CAST(px AS INT) AS k FROM obs)

@@ -5,13 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chromaspan.operators import audit
 from chromaspan.operators import documents as D
+from chromaspan.operators import nodes, validation
 from chromaspan.sources import snapshots
 
 from .bridge import OBS, observations, table
 from .registry import query
-from .semantics import _list, _pick
 
 DOCS = f"""{OBS}, dv AS (SELECT site, px, hex, count(*) AS n, row_number() OVER (PARTITION BY site ORDER BY count(*) DESC, px, hex) AS k FROM obs GROUP BY site, px, hex QUALIFY k <= 40),
 flat AS (SELECT site AS doc_id, 'brand.c' || k AS path, 'color' AS type, hex AS value FROM dv WHERE k % 3 = 0 UNION ALL SELECT site, 'space.s' || k, 'dimension', px || 'px' FROM dv WHERE k % 3 = 1 UNION ALL SELECT site, 'brand.deep.er.d' || k, CASE WHEN k % 2 = 0 THEN 'number' ELSE 'color' END, CASE WHEN k % 2 = 0 THEN px::VARCHAR ELSE '{{brand.c3}}' END FROM dv WHERE k % 3 = 2
@@ -48,33 +47,57 @@ def document_token_counts(spark, sf):
     return D.token_counts(D.flatten(token_documents(spark, sf)))
 
 
-#: Values of structured types, and whether each is whole (1) or not (0).
-VALUES = (
-    ("cubicBezier", "[0.42, 0, 0.58, 1]", 1), ("cubicBezier", "[0.4, 0, 1.5, 1]", 0), ("cubicBezier", "[0.4, 0, 1]", 0), ("cubicBezier", "{ease.in}", 1), ("strokeStyle", "dashed", 1), ("strokeStyle", "wavy", 0),
-    ("strokeStyle", '{"dashArray":["2px","{gap}"],"lineCap":"round"}', 1), ("strokeStyle", '{"dashArray":["2px"],"lineCap":"flat"}', 0), ("border", '{"color":"#fff","width":"1px","style":"solid"}', 1),
-    ("border", '{"color":"#fff","style":"solid"}', 0), ("border", "1px solid", 0), ("transition", '{"duration":"200ms","delay":"0ms","timingFunction":[0,0,1,1]}', 1), ("transition", '{"duration":"200","delay":"0ms","timingFunction":[0,0,1,1]}', 0),
-    ("shadow", '{"color":"#00000080","offsetX":"0px","offsetY":"1px","blur":"2px","spread":"0px"}', 1), ("shadow", '[{"color":"#000","offsetX":"0px","offsetY":"1px","blur":"2px","spread":"0px"},"{s.base}"]', 1),
-    ("shadow", '[{"color":"#000","offsetX":"0px","offsetY":"1px","blur":"2px"}]', 0), ("gradient", '[{"color":"#fff","position":0},{"color":"{c.b}","position":1}]', 1), ("gradient", '[{"color":"#fff","position":2}]', 0),
-    ("gradient", '{"color":"#fff"}', 0), ("typography", '{"fontFamily":"Inter","fontSize":"16px","fontWeight":400,"letterSpacing":"0px","lineHeight":1.5}', 1), ("typography", '{"fontFamily":"Inter","fontSize":"16","fontWeight":400,"letterSpacing":"0px","lineHeight":1.5}', 0),
-    ("fontFamily", '["Inter", "serif"]', 1), ("fontFamily", "[]", 0), ("fontFamily", "", 0), ("color", "nope", 0), ("colour", "#fff", 0),
-)
+#: A document a supplier: tokens g.t<px> whose type and value follow from px, right and wrong ones.
+RULES = """d AS (SELECT DISTINCT l_suppkey AS doc_id, CAST(l_quantity AS BIGINT) AS px FROM lineitem), has AS (SELECT d.*, EXISTS (SELECT 1 FROM d e WHERE e.doc_id = d.doc_id AND e.px = d.px - 3) AS three, EXISTS (SELECT 1 FROM d e WHERE e.doc_id = d.doc_id AND e.px = d.px - 5) AS five FROM d),
+bad AS (SELECT doc_id, '.components[0]' AS below, px, 'component range' AS rule FROM d WHERE px % 6 = 0 AND px > 40 UNION ALL SELECT doc_id, '.unit', px, 'length' FROM d WHERE px % 6 = 1 AND px % 5 = 0 UNION ALL SELECT doc_id, '', px, 'bare dimension' FROM d WHERE px % 6 = 2 AND px % 4 = 2
+UNION ALL SELECT doc_id, '', px, 'missing reference' FROM has WHERE px % 6 = 3 AND NOT three UNION ALL SELECT doc_id, '[0]', px, 'cubicBezier range' FROM d WHERE px % 6 = 4 AND px > 40 UNION ALL SELECT doc_id, '', px, 'missing spread' FROM d WHERE px % 6 = 5 AND px % 4 = 1
+UNION ALL SELECT doc_id, '.color', px, 'missing pointer' FROM has WHERE px % 6 = 5 AND NOT five UNION ALL SELECT doc_id, '.color.components[0]', px, 'component range' FROM has WHERE px % 6 = 5 AND five AND px > 45
+UNION ALL SELECT doc_id, '.components[0]', px, 'component range' FROM has WHERE px % 6 = 3 AND three AND px > 43),
+broken AS (SELECT doc_id, 'g.t' || px || below AS path, rule, 'error' AS severity FROM bad)"""
 
 
-@query(f"""WITH v AS (SELECT p_partkey % 25 AS doc_id, 't' || p_partkey AS path, {_list([a for a, _, _ in VALUES])}[p_partkey % {len(VALUES)} + 1] AS type, {_list([b for _, b, _ in VALUES])}[p_partkey % {len(VALUES)} + 1] AS value, {[c for _, _, c in VALUES]}[p_partkey % {len(VALUES)} + 1] AS ok FROM part)
-SELECT doc_id, path, type, value, CASE WHEN type = 'colour' THEN 'unknown type' ELSE type END AS rule FROM v WHERE ok = 0""")
-def structured_violations(spark, sf):
-    return audit.violations(_values(spark, sf))
+def ruled_documents(spark, sf) -> DataFrame:
+    k = F.col("px")
+    said = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
+    length = '{"value":1,"unit":"px"}'
+    bodies = [
+        said('{"$type":"color","$value":{"colorSpace":"srgb","components":[', k / 40.0, ',0.5,"none"]}}'),
+        said('{"$type":"dimension","$value":{"value":', k, ',"unit":"', F.when(k % 5 == 0, "em").otherwise("rem"), '"}}'),
+        F.when(k % 4 == 2, said('{"$type":"dimension","$value":"', k, 'px"}')).otherwise(said('{"$type":"dimension","$value":{"value":', k, ',"unit":"px"}}')),
+        said('{"$value":"{g.t', k - 3, '}"}'), said('{"$type":"cubicBezier","$value":[', k / 40.0, ",0,0,1]}"),
+        said('{"$type":"shadow","$value":{"color":{"$ref":"#/g/t', k - 5, f'/$value"}},"offsetX":{length},"offsetY":{length},"blur":{length}', F.when(k % 4 == 1, "").otherwise(f',"spread":{length}'), "}}"),
+    ]
+    rows = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("doc_id"), F.col("l_quantity").cast("long").alias("px")).distinct()
+    return nodes.assemble(rows.select("doc_id", F.array(F.lit("g"), said("t", k)).alias("path"), k.alias("ord"), F.element_at(F.array(*bodies), (k % 6 + 1).cast("int")).alias("json")))
+
 
+@query(f"WITH {RULES} SELECT * FROM broken")
+def token_violations(spark, sf):
+    return validation.violations(ruled_documents(spark, sf))
 
-def _values(spark, sf) -> DataFrame:
-    k = F.col("p_partkey") % len(VALUES)
-    return table(spark, sf, "part").select((F.col("p_partkey") % 25).alias("doc_id"), F.concat(F.lit("t"), F.col("p_partkey").cast("string")).alias("path"), _pick([a for a, _, _ in VALUES], k).alias("type"), _pick([b for _, b, _ in VALUES], k).alias("value"))
+
+@query(f"WITH {RULES} SELECT * FROM broken WHERE rule IN ('missing spread', 'cubicBezier range', 'component range')")
+def structured_violations(spark, sf):
+    return validation.violations(ruled_documents(spark, sf)).where(F.col("rule").isin("missing spread", "cubicBezier range", "component range"))
 
 
-@query(f"""WITH v AS (SELECT p_partkey % 25 AS doc_id, {_list([a for a, _, _ in VALUES])}[p_partkey % {len(VALUES)} + 1] AS type, {[c for _, _, c in VALUES]}[p_partkey % {len(VALUES)} + 1] AS ok FROM part)
-SELECT doc_id, CASE WHEN type = 'colour' THEN 'type' ELSE 'value' END AS category, count(*) AS n FROM v WHERE ok = 0 GROUP BY ALL""")
+@query(f"""WITH {RULES} SELECT doc_id, CASE WHEN rule IN ('missing pointer', 'missing reference') THEN 'reference' ELSE 'value' END AS category, count(*) AS n,
+coalesce(list_sort(list(DISTINCT CASE rule WHEN 'component range' THEN 'keep to the colour space''s range' WHEN 'length' THEN 'use px or rem' WHEN 'bare dimension' THEN 'give value and unit' WHEN 'missing reference' THEN 'name a token that exists' WHEN 'missing pointer' THEN 'point to a member that exists' END) FILTER (rule NOT IN ('missing spread', 'cubicBezier range'))), [])::VARCHAR AS advice
+FROM broken GROUP BY 1, 2""")
 def error_categories(spark, sf):
-    return D.error_categories(audit.violations(_values(spark, sf)))
+    found = validation.categories(validation.violations(ruled_documents(spark, sf)))
+    return found.withColumn("advice", F.concat(F.lit("["), F.array_join(F.transform("advice", lambda a: F.when(a.contains("'"), F.concat(F.lit("'"), F.replace(a, F.lit("'"), F.lit("\\'")), F.lit("'"))).otherwise(a)), ", "), F.lit("]")))
+
+
+#: A document a supplier whose token n<px> points to the one before it, but every 21st.
+@query("""WITH d AS (SELECT DISTINCT l_suppkey AS doc_id, CAST(l_quantity AS BIGINT) AS px FROM lineitem), b AS (SELECT d.*, (SELECT max(m) FROM range(d.px - d.px % 21, d.px) r(m) WHERE NOT EXISTS (SELECT 1 FROM d e WHERE e.doc_id = d.doc_id AND e.px = m)) AS gap FROM d WHERE px % 21 <> 0)
+SELECT doc_id, '/n' || px AS at, '/n' || coalesce(gap, px - px % 21) AS to_, CASE WHEN gap IS NOT NULL THEN 'missing pointer' END AS bad FROM b""")
+def resolved_pointers(spark, sf):
+    k = F.col("px")
+    rows = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("doc_id"), F.col("l_quantity").cast("long").alias("px")).distinct()
+    body = F.when(k % 21 == 0, F.concat(F.lit('{"$type":"number","$value":'), k.cast("string"), F.lit("}"))).otherwise(F.concat(F.lit('{"$ref":"#/n'), (k - 1).cast("string"), F.lit('"}')))
+    docs = nodes.assemble(rows.select("doc_id", F.array(F.concat(F.lit("n"), k.cast("string"))).alias("path"), k.alias("ord"), body.alias("json")))
+    return validation.pointers(nodes.nodes(docs)).select("doc_id", "at", F.col("to").alias("to_"), "bad")
 
 
 #: Each site's groups extend the group before them; the first of ten extends none, group 7 of every site extends itself over 8.
