@@ -261,13 +261,36 @@ def verdict(status: Column, inconclusive: Column) -> Column:
     return F.when(inconclusive, 2).when(status == "drift", 1).otherwise(0)
 
 
-def annotations(changed: DataFrame, most: int = 8) -> DataFrame:
-    """pair_id, n, line: the largest changes as annotation lines, escaped; additions warn, others are errors."""
-    order = Window.partitionBy("pair_id").orderBy(F.desc_nulls_last("delta"), "category", "kind", "label", "before", "after")
-    top = changed.withColumn("n", F.row_number().over(order)).where(F.col("n") <= most)
-    said = F.concat(F.coalesce("label", F.lit("")), F.lit(" "), F.coalesce("before", F.lit("none")), F.lit(" -> "), F.coalesce("after", F.lit("none")), F.lit(" (token-drift:"), F.col("category"), F.lit(")"))
-    safe = F.replace(F.replace(F.replace(said, F.lit("%"), F.lit("%25")), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
-    return top.select("pair_id", F.col("n").cast("long").alias("n"), F.concat(F.lit("::"), F.when(F.col("kind") == "added", "warning").otherwise("error"), F.lit("::"), safe).alias("line"))
+def annotations(reported: DataFrame, changed: DataFrame, warned: DataFrame | None = None) -> DataFrame:
+    """pair_id, n, line: the lines of every pair that drifts, from 1: the verdict, its warnings, then each change; additions
+    warn, others are errors. Texts are escaped."""
+    escape = lambda c, *more: _replaced(c, ("%", "%25"), ("\r", "%0D"), ("\n", "%0A"), *more)
+    number = lambda c: c.cast("string")
+    drifting = reported.where("status = 'drift'")
+    title = escape(F.concat(F.lit("Design drift "), number(F.col("score")), F.lit(f" exceeds threshold {LIMIT}")), (":", "%3A"), (",", "%2C"))
+    sums = F.concat(number(F.col("changed")), F.lit(" changed, "), number(F.col("added")), F.lit(" added, "), number(F.col("removed")), F.lit(" removed"))
+    none = F.lit(None)
+    order = F.struct(F.lit(0).alias("part"), none.cast("double").alias("delta"), *(F.lit("").alias(c) for c in ("category", "kind", "label", "before", "after")))
+    lines = drifting.select("pair_id", order.alias("at"), F.concat(F.lit("::error title="), title, F.lit("::"), sums).alias("line"))
+    if warned is not None:
+        about = F.struct(F.lit(1).alias("part"), none.cast("double").alias("delta"), F.col("warning").alias("category"), *(F.lit("").alias(c) for c in ("kind", "label", "before", "after")))
+        lines = lines.union(warned.join(drifting.select("pair_id"), "pair_id", "left_semi").select("pair_id", about, F.concat(F.lit("::warning title=Drift comparison caveat::"), escape(F.col("warning")))))
+    before, after = (F.nullif(F.col(c), F.lit("")) for c in ("before", "after"))
+    move = F.when(before.isNotNull() & after.isNotNull(), F.concat(F.lit(" "), before, F.lit(" -> "), after)).when(before.isNotNull(), F.concat(F.lit(" "), before, F.lit(" removed"))).when(after.isNotNull(), F.concat(F.lit(" "), after, F.lit(" new"))).otherwise("")
+    tenth_ = tenth(F.col("delta"))
+    by = F.when(F.col("delta").isNotNull(), F.concat(F.lit(", delta "), F.when(tenth_ == F.floor(tenth_), number(tenth_.cast("long"))).otherwise(number(tenth_)))).otherwise("")
+    said = F.concat(F.coalesce("label", F.lit("")), move, F.lit(" (token-drift:"), F.col("category"), by, F.lit(")"))
+    place = F.struct(F.lit(2).alias("part"), (-F.col("delta")).alias("delta"), "category", "kind", *(F.coalesce(c, F.lit("")).alias(c) for c in ("label", "before", "after")))
+    each = changed.join(drifting.select("pair_id"), "pair_id", "left_semi").select("pair_id", place, F.concat(F.lit("::"), F.when(F.col("kind") == "added", "warning").otherwise("error"), F.lit("::"), escape(said)))
+    at = F.col("at")
+    nth = F.row_number().over(Window.partitionBy("pair_id").orderBy(at["part"], F.asc_nulls_last(at["delta"]), *(at[c] for c in ("category", "kind", "label", "before", "after"))))
+    return lines.union(each).select("pair_id", nth.cast("long").alias("n"), "line")
+
+
+def _replaced(text_: Column, *pairs: tuple[str, str]) -> Column:
+    for one, other in pairs:
+        text_ = F.replace(text_, F.lit(one), F.lit(other))
+    return text_
 
 
 def warnings(pairs: DataFrame, meta: DataFrame) -> DataFrame:

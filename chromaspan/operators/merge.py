@@ -27,9 +27,9 @@ def radii(rows: DataFrame) -> DataFrame:
     return out.select("site", "radius", "n", F.when(F.col("n") > 10, "high").when(F.col("n") > 3, "medium").otherwise(F.col("own")).alias("confidence"))
 
 
-def breakpoints(rows: DataFrame, most: int = 12) -> DataFrame:
-    """site, px: distinct, descending when joined."""
-    return rows.groupBy("site").agg(F.array_join(F.slice(F.reverse(F.array_sort(F.collect_set("px"))), 1, most), ",").alias("breakpoints"))
+def breakpoints(rows: DataFrame) -> DataFrame:
+    """site, breakpoints: all distinct ones, descending, joined by commas."""
+    return rows.groupBy("site").agg(F.array_join(F.reverse(F.array_sort(F.collect_set("px"))), ",").alias("breakpoints"))
 
 
 def contrast_pairs(rows: DataFrame, most: int = 50) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chromaspan.functions import color, text
+from chromaspan.lineage import cut
 from chromaspan.operators import audit, brand, drift, exports, extract, merge, summary
 from chromaspan.operators import documents as documents_of
 from chromaspan.sources import pages as page_ops
@@ -234,7 +235,7 @@ def merged_radii(spark, sf):
     return merge.radii(observations(spark, sf).groupBy("site", "page_id", "radius").agg(F.count("*").alias("n")).withColumn("confidence", F.lit("low")))
 
 
-@query(f"WITH {OBS} SELECT site, array_to_string(list_reverse(list_sort(list_distinct(list(px * 16))))[1:12], ',') AS breakpoints FROM obs GROUP BY site")
+@query(f"WITH {OBS} SELECT site, array_to_string(list_reverse(list_sort(list_distinct(list(px * 16)))), ',') AS breakpoints FROM obs GROUP BY site")
 def merged_breakpoints(spark, sf):
     return merge.breakpoints(observations(spark, sf).select("site", (F.col("px") * 16).alias("px")))
 
@@ -363,10 +364,14 @@ def drift_reports(spark, sf):
     return drift.reports(drift.categories(_compared(spark, sf)))
 
 
-@query(f"""WITH RECURSIVE {FOLD}, o AS (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY delta DESC NULLS LAST, category, kind, label, before NULLS FIRST, after NULLS FIRST) AS n FROM chg QUALIFY n <= 8)
-SELECT pair_id, n, '::' || CASE WHEN kind = 'added' THEN 'warning' ELSE 'error' END || '::' || label || ' ' || coalesce(before, 'none') || ' -> ' || coalesce(after, 'none') || ' (token-drift:' || category || ')' AS line FROM o""")
+@query(f"""WITH RECURSIVE {RATED}, dr AS (SELECT * FROM reports WHERE status = 'drift'), ch AS (SELECT c.*, floor(delta * 10 + 0.5) / 10 AS d FROM chg c SEMI JOIN dr USING (pair_id)),
+ln AS (SELECT pair_id, 0 AS part, NULL::DOUBLE AS delta, '' AS category, '' AS kind, '' AS label, '' AS b, '' AS a, '::error title=Design drift ' || score || ' exceeds threshold 10::' || changed || ' changed, ' || added || ' added, ' || removed || ' removed' AS line FROM dr UNION ALL
+SELECT pair_id, 2, delta, category, kind, coalesce(label, ''), coalesce(before, ''), coalesce(after, ''), '::' || CASE WHEN kind = 'added' THEN 'warning' ELSE 'error' END || '::' || coalesce(label, '') || CASE WHEN before <> '' AND after <> '' THEN ' ' || before || ' -> ' || after WHEN before <> '' THEN ' ' || before || ' removed' WHEN after <> '' THEN ' ' || after || ' new' ELSE '' END
+  || ' (token-drift:' || category || CASE WHEN delta IS NULL THEN '' ELSE ', delta ' || CASE WHEN d = floor(d) THEN d::BIGINT::VARCHAR ELSE d::VARCHAR END END || ')' FROM ch)
+SELECT pair_id, row_number() OVER (PARTITION BY pair_id ORDER BY part, delta DESC NULLS LAST, category, kind, label, b, a) AS n, line FROM ln""")
 def drift_annotations(spark, sf):
-    return drift.annotations(drift.changes(_compared(spark, sf)))
+    rows = cut(_compared(spark, sf))
+    return drift.annotations(drift.reports(drift.categories(rows)), drift.changes(rows))
 
 
 @query(f"""WITH RECURSIVE {RATED}, gt AS (SELECT split_part(pair_id, '@', -1) AS run, count(*) AS pages, count(*) FILTER (status = 'drift') AS drifted, 0::BIGINT AS failed FROM reports GROUP BY ALL)
