@@ -143,108 +143,9 @@ def parse_css(text: Column) -> Column:
     return F.when(wide.isNotNull() & (wide != ""), made(pair(0), pair(1), pair(2), F.when(F.length(wide) == 8, F.floor(pair(3) / 255.0 * 1000 + 0.5) / 1000).otherwise(1.0))).when(t.rlike(rgb), made(whole(1), whole(2), whole(3), alpha)).when(t == "transparent", made(F.lit(0), F.lit(0), F.lit(0), F.lit(0.0)))
 
 
-#: Rows of the matrices from OKLab, from CIE Lab's white to sRGB's, and from colour spaces to linear sRGB.
+#: Rows of the matrices from OKLab to linear sRGB.
 OKLAB_TO_LMS = ((1, 0.3963377774, 0.2158037573), (1, -0.1055613458, -0.0638541728), (1, -0.0894841775, -1.2914855480))
 LMS_TO_RGB = ((4.0767416621, -3.3077115913, 0.2309699292), (-1.2684380046, 2.6097574011, -0.3413193965), (-0.0041960863, -0.7034186147, 1.7076147010))
-D50 = (0.9642956764, 1.0, 0.8251046025)
-D50_TO_RGB = ((3.1341358530, -1.6173863321, -0.4906619461), (-0.9787954765, 1.9162543773, 0.0334427312), (0.0719553950, -0.2289767598, 1.4053860351))
-P3_TO_RGB = ((1.2249401763, -0.2249401763, 0.0), (-0.0420569547, 1.0420569547, 0.0), (-0.0196375546, -0.0786360456, 1.0982736001))
-
-
-def _times(matrix: tuple, x: list[Column]) -> list[Column]:
-    return [sum((F.lit(float(m)) * v for m, v in zip(row[1:], x[1:], strict=True)), F.lit(float(row[0])) * x[0]) for row in matrix]
-
-
-def _companded(x: Column) -> Column:
-    size = F.abs(x)
-    return F.when(size <= 0.0031308, 12.92 * x).otherwise(F.signum(x) * (1.055 * F.pow(size, F.lit(1 / 2.4)) - 0.055))
-
-
-def _angle(t: Column) -> Column:
-    n = F.regexp_extract(t, r"^([+-]?(?:[0-9]*[.])?[0-9]+(?:e[+-]?[0-9]+)?)", 1).try_cast("double")
-    degrees = F.when(t.endswith("grad"), n * 0.9).when(t.endswith("rad"), F.degrees(n)).when(t.endswith("turn"), n * 360).otherwise(n)
-    return F.when(t == "none", 0.0).otherwise(F.pmod(degrees, F.lit(360.0)))
-
-
-def _amount(t: Column, whole: float) -> Column:
-    """A number, or a percentage of ``whole``; none is 0."""
-    n = F.regexp_replace(t, "%$", "").try_cast("double")
-    return F.when(t == "none", 0.0).when(t.endswith("%"), n / 100 * whole).otherwise(n)
-
-
-def _from_hue(h: Column, low: Column, high: Column) -> list[Column]:
-    """Channels (0-1) of a hue between the smallest and the largest channel."""
-
-    def channel_at(k: int) -> Column:
-        x = F.pmod(k + h / 60, F.lit(6.0))
-        return high - (high - low) * F.greatest(F.lit(0.0), F.least(F.lit(1.0), x, 4 - x))
-
-    return [channel_at(k) for k in (5, 3, 1)]
-
-
-def parse_css_functions(text: Column) -> Column:
-    """struct<r, g, b, a> of hsl(), hwb(), lab(), lch(), oklab(), oklch() and color() in srgb, srgb-linear and display-p3.
-
-    Channels outside sRGB are clipped. Null for other notations and wrong arguments.
-    """
-    shape = r"^(hsla?|hwb|lab|lch|oklab|oklch|color)\(\s*([^()]*?)\s*\)$"
-    t = F.lower(F.trim(text))
-    words = F.split(F.trim(F.regexp_replace(F.regexp_extract(t, shape, 2), r"[,/\s]+", " ")), " ")
-    read = F.struct(F.regexp_replace(F.regexp_extract(t, shape, 1), "hsla", "hsl").alias("name"), words.alias("words"))
-    return F.when(t.rlike(shape), let(read, _numbers))
-
-
-def _numbers(p: Column) -> Column:
-    """From the name and the words of a colour function to its channels."""
-    name, words = p["name"], p["words"]
-    x = F.when(name == "color", F.slice(words, 2, 5)).otherwise(words)
-    cie, polar = name.isin("lab", "lch"), name.isin("lch", "oklch")
-    one, two, three, four = (F.get(x, k) for k in range(4))
-    share = lambda c: F.least(F.lit(1.0), F.greatest(F.lit(0.0), _amount(F.when(c.endswith("%") | (c == "none"), c).otherwise(F.concat(c, F.lit("%"))), 1.0)))
-    scaled = lambda c: F.when(cie, _amount(c, 125.0)).otherwise(_amount(c, 0.4))
-    chroma = F.greatest(F.lit(0.0), F.when(cie, _amount(two, 150.0)).otherwise(_amount(two, 0.4)))
-    turn = F.radians(_angle(three))
-    alpha = F.when(four.isNull(), 1.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), _amount(four, 1.0))))
-    values = {
-        "hue": F.when(name.isin("hsl", "hwb"), _angle(one)),
-        "second": share(two),
-        "third": share(three),
-        "light": F.when(cie, _amount(one, 100.0)).otherwise(_amount(one, 1.0)),
-        "a": F.when(polar, chroma * F.cos(turn)).otherwise(scaled(two)),
-        "b": F.when(polar, chroma * F.sin(turn)).otherwise(scaled(three)),
-        "v0": _amount(one, 1.0),
-        "v1": _amount(two, 1.0),
-        "v2": _amount(three, 1.0),
-        "alpha": alpha,
-    }
-    known = F.struct(F.when(name == "color", F.get(words, 0)).otherwise(name).alias("space"), *(v.alias(k) for k, v in values.items()))
-    return F.when(F.size(x).between(3, 4), let(known, lambda q: let(_light(q), lambda c: _whole(c, q["alpha"]))))
-
-
-def _light(q: Column) -> Column:
-    """array<double>: red, green and blue from 0 to 1, or outside where sRGB does not reach."""
-    spread = q["second"] * F.least(q["third"], 1 - q["third"])
-    hsl = F.array(*_from_hue(q["hue"], q["third"] - spread, q["third"] + spread))
-    both = q["second"] + q["third"]
-    hwb = F.when(both >= 1, F.array_repeat(q["second"] / both, 3)).otherwise(F.array(*_from_hue(q["hue"], q["second"], 1 - q["third"])))
-    companded = lambda vs: F.transform(F.array(*vs), _companded)
-    at = lambda arr: [F.get(arr, k) for k in range(3)]
-    lms = F.transform(F.array(*_times(OKLAB_TO_LMS, [q["light"], q["a"], q["b"]])), lambda v: F.pow(v, F.lit(3.0)))
-    ok = let(lms, lambda m: companded(_times(LMS_TO_RGB, at(m))))
-    mid = (q["light"] + 16) / 116
-    back = lambda f: F.when(F.pow(f, F.lit(3.0)) > 216 / 24389, F.pow(f, F.lit(3.0))).otherwise((116 * f - 16) / (24389 / 27))
-    xyz = F.zip_with(F.transform(F.array(mid + q["a"] / 500, mid, mid - q["b"] / 200), back), F.array(*map(F.lit, D50)), lambda f, w: f * w)
-    cie = let(xyz, lambda m: companded(_times(D50_TO_RGB, at(m))))
-    own = F.array(q["v0"], q["v1"], q["v2"])
-    p3 = let(F.transform(own, lambda c: F.when(c <= 0.04045, c / 12.92).otherwise(F.pow((c + 0.055) / 1.055, F.lit(2.4)))), lambda m: companded(_times(P3_TO_RGB, at(m))))
-    space = q["space"]
-    return F.when(space == "hsl", hsl).when(space == "hwb", hwb).when(space.isin("oklab", "oklch"), ok).when(space.isin("lab", "lch"), cie).when(space == "srgb", own).when(space == "srgb-linear", F.transform(own, _companded)).when(space == "display-p3", p3)
-
-
-def _whole(channels: Column, alpha: Column) -> Column:
-    """struct<r, g, b, a> of channels from 0 to 1, clipped; null if one is missing."""
-    byte = lambda k: F.floor(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.get(channels, k))) * 255 + 0.5).cast("int").alias("rgb"[k])
-    return F.when(~F.exists(channels, lambda c: c.isNull()) & alpha.isNotNull(), F.struct(byte(0), byte(1), byte(2), alpha.alias("a")))
 
 
 def as_hsl(hex_: Column) -> Column:
@@ -280,5 +181,7 @@ def as_oklab(hex_: Column) -> Column:
 
 def parsed(rows: DataFrame, column: str, into: str = "rgba") -> DataFrame:
     """The rows with ``into``: each distinct notation is parsed once and joined back by its string."""
-    once = rows.select(column).distinct().withColumn(into, F.coalesce(parse_css(F.col(column)), parse_css_functions(F.col(column))))
+    from chromaspan.functions.css import css_color
+
+    once = rows.select(column).distinct().withColumn(into, css_color(F.col(column)))
     return rows.join(once, column, "left")

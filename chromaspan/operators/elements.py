@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from chromaspan.functions import color
 from chromaspan.functions.color import let
+from chromaspan.functions.css import css_color
 
 #: Weights of words in an element's context, and the largest that is taken over from ancestors.
 CONTEXT_SCORES = {
@@ -54,7 +55,7 @@ def is_status(text: Column) -> Column:
 
 def parsed(value: Column) -> Column:
     """struct<r, g, b, a> of a colour value in any known notation."""
-    return F.coalesce(color.parse_css(value), color.parse_css_functions(value))
+    return css_color(value)
 
 
 def is_cta(text: Column, bg: Column) -> Column:
@@ -89,7 +90,7 @@ def color_value(value: Column) -> Column:
     v = F.trim(value)
     begins = v.rlike(r"(?i)^(#|rgb|hsl|hwb|var\(--.*color|color\(|oklab\(|oklch\(|lab\(|lch\()")
     worked_out = v.rlike(r"color\.adjust\(|rgba\(0, 0, 0, 0\)|rgba\(0,0,0,0\)|lighten\(|darken\(|saturate\(")
-    inner = F.when(v.rlike(r"calc\(|clamp\(|var\("), v.rlike(r"(?i)#[0-9a-f]{3,6}|rgba?\(|hsla?\(")).when(v.rlike(r"(?i)^(hwb|color|oklab|oklch|lab|lch)\("), color.parse_css_functions(v).isNotNull()).otherwise(v.rlike(r"(?i)^(#[0-9a-f]{3,8}|rgba?\(|hsla?\()"))
+    inner = F.when(v.rlike(r"calc\(|clamp\(|var\("), v.rlike(r"(?i)#[0-9a-f]{3,6}|rgba?\(|hsla?\(")).when(v.rlike(r"(?i)^(hwb|color|oklab|oklch|lab|lch)\("), css_color(v).isNotNull()).otherwise(v.rlike(r"(?i)^(#[0-9a-f]{3,8}|rgba?\(|hsla?\()"))
     return F.coalesce(begins & ~worked_out & inner, F.lit(False))
 
 

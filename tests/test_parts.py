@@ -21,7 +21,7 @@ NOTATIONS = {
     "color(display-p3 1 1 1 / 50%)": (255, 255, 255, 0.5),
     "#336699": (51, 102, 153, 1.0),
     "hsl(foo)": None,
-    "color(xyz 1 1 1)": None,
+    "color(xyz 1 1 1)": (255, 255, 255, 1.0),
     "": None,
 }
 
