@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from chromaspan.functions import color, text
 from chromaspan.lineage import cut
-from chromaspan.operators import audit, brand, drift, exports, extract, merge, summary
+from chromaspan.operators import audit, brand, drift, exports, extract, inject, merge, summary
 from chromaspan.operators import documents as documents_of
 from chromaspan.sources import pages as page_ops
 from chromaspan.streaming import captures
@@ -421,6 +421,37 @@ def finding_scores(spark, sf):
     return audit.finding_scores(obs.select("site").distinct(), audit.near_identical(extract.palette(stats)), audit.hierarchy_collisions(styles), audit.off_grid(h, extract.spacing_scale(h)), extract.primary_colors(stats))
 
 
+# ---- colours from beside the scan
+
+INJECTED = f"""{PALETTE}, rgb AS (SELECT DISTINCT hex, {CH} FROM obs), hue AS (SELECT hex, greatest(r, g, b) / 255.0::DOUBLE AS hi, least(r, g, b) / 255.0::DOUBLE AS lo FROM rgb),
+tint AS (SELECT hex, CASE WHEN hi = 0 THEN 0 ELSE (hi - lo) / hi END AS sat, CASE WHEN hi = lo OR (hi + lo) / 2 < 0.08 OR (hi + lo) / 2 > 0.92 THEN 0 WHEN (hi + lo) / 2 > 0.5 THEN (hi - lo) / (2 - hi - lo) ELSE (hi - lo) / (hi + lo) END AS chroma FROM hue),
+src AS (SELECT 0 AS rank, site, row_number() OVER (PARTITION BY site ORDER BY n DESC, hex) AS ord, hex, n, confidence, 'scan' AS said FROM palette UNION ALL
+SELECT 1, site, 0, min(hex), 10, 'high', 'manifest:theme_color' FROM obs GROUP BY site UNION ALL SELECT 1, site, 1, max(hex), 10, 'high', 'manifest:background_color' FROM obs GROUP BY site UNION ALL
+SELECT 2, site, min(page_id * 10 + ord), hex, 10, 'high', 'logo' FROM obs WHERE px = 50 GROUP BY site, hex UNION ALL
+SELECT 3, site, min(page_id * 10 + ord), hex, 2, 'low', 'gradient' FROM obs JOIN tint USING (hex) WHERE radius = 12 AND chroma >= 0.2 GROUP BY site, hex HAVING count(*) >= 2 UNION ALL
+SELECT 4, site, page_id * 10 + ord, hex, 1, 'medium', 'hover/focus' FROM obs JOIN tint USING (hex) WHERE px = 1 AND (ord % 2 = 0 OR sat <= 0.3::DOUBLE) UNION ALL
+SELECT 5, site, min(page_id * 10 + ord), hex, count(*), 'low', 'dark' FROM obs WHERE px = 25 GROUP BY site, hex UNION ALL SELECT 7, site, min(page_id * 10 + ord), hex, count(*), 'medium', 'menu' FROM obs GROUP BY site, hex),
+won AS (SELECT site, hex, arg_min(struct_pack(rank := rank, ord := ord, n := n, confidence := confidence, said := said), struct_pack(a := rank, b := ord)) AS m, bool_or(rank IN (1, 2)) AS lifted, bool_or(rank = 2) AS logo, list(said ORDER BY ord) FILTER (rank = 1) AS labels FROM src GROUP BY site, hex)
+SELECT site, row_number() OVER (PARTITION BY site ORDER BY m.rank, m.ord, hex) AS ord, hex, m.n AS n, CASE WHEN lifted THEN 'high' ELSE m.confidence END AS confidence,
+CASE WHEN logo AND m.said <> 'logo' THEN 'logo,' ELSE '' END || array_to_string(CASE WHEN m.rank = 1 THEN labels ELSE list_concat([m.said], coalesce(labels, [])) END, ',') AS sources, CASE m.rank WHEN 5 THEN 'dark-mode' WHEN 7 THEN 'menu' END AS variant FROM won"""
+
+
+@query(f"WITH {INJECTED}")
+def injected_palettes(spark, sf):
+    """The palette of each site with what manifest, logos, gradients, states, the dark page and the menu add."""
+    obs = observations(spark, sf).withColumn("at", F.col("page_id") * 10 + F.col("ord"))
+    scan = _palette(spark, sf).withColumn("ord", F.row_number().over(Window.partitionBy("site").orderBy(F.desc("n"), "hex"))).withColumn("sources", F.array(F.lit("scan")))
+    said = lambda rows: rows.groupBy("site", "hex").agg(F.min("at").alias("ord"), F.count("*").alias("n")).withColumnRenamed("hex", "value")
+    edge = obs.groupBy("site").agg(F.min("hex").alias("theme_color"), F.max("hex").alias("background_color"))
+    manifest = edge.select("site", F.posexplode(F.array(*(F.struct(F.lit(c).alias("label"), F.col(c).alias("value")) for c in ("theme_color", "background_color")))).alias("ord", "m")).select("site", "ord", "m.label", "m.value")
+    states = obs.where("px = 1").select("site", F.col("at").alias("ord"), F.col("hex").alias("value"), F.when(F.col("ord") % 2 == 0, "background-color").otherwise("color").alias("property"))
+    shown = lambda rows, word: said(rows).select("site", "ord", F.col("value").alias("hex"), "n", F.lit("low").alias("confidence"), F.array(F.lit(word)).alias("sources"))
+    out = inject.injected(
+        inject.from_scan(scan), inject.from_manifest(manifest), inject.from_logos(said(obs.where("px = 50"))), inject.from_gradients(said(obs.where("radius = 12"))), inject.from_states(states),
+        inject.from_scan(shown(obs.where("px = 25"), "dark"), inject.DARK), inject.from_scan(shown(obs, "menu"), inject.MENU))
+    return out.select("site", "ord", "hex", "n", "confidence", F.array_join("sources", ",").alias("sources"), "variant")
+
+
 def _part(h: str, k: int) -> str:
     v = f"round(CAST('0x' || substr({h}, {k}, 2) AS INT) / 255.0::DOUBLE, 3)"
     return f"(CASE WHEN {v} = floor({v}) THEN ({v})::BIGINT::VARCHAR ELSE ({v})::VARCHAR END)"
