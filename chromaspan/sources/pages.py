@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from chromaspan.functions import text
 
-#: page_id, el_id, parent_id, depth, tag, id, class, role, href, style, txt, and the ids of all ancestors
-ELEMENTS = "page_id long, el_id int, parent_id int, depth int, tag string, id string, class string, role string, href string, style string, txt string, ancestors array<int>"
+#: page_id, el_id, parent_id, depth, tag, id, class, role, href, style, txt, the ids of all ancestors, and all attributes
+ELEMENTS = "page_id long, el_id int, parent_id int, depth int, tag string, id string, class string, role string, href string, style string, txt string, ancestors array<int>, attrs map<string,string>"
+#: Rows that are handed on at once.
+ROWS_AT_ONCE = 20_000
 
 
 def _elements(batches):
@@ -25,9 +27,9 @@ def _elements(batches):
             self.rows, self.open = [], []
 
         def handle_starttag(self, tag, attrs):
-            a = dict(attrs)
+            a = {k: v or "" for k, v in reversed(attrs)}  # the first of a repeated attribute counts
             above = [k for k, _ in self.open]
-            self.rows.append([len(self.rows), above[-1] if above else None, len(above), tag, a.get("id"), a.get("class"), a.get("role"), a.get("href"), a.get("style"), "", above])
+            self.rows.append([len(self.rows), above[-1] if above else None, len(above), tag, a.get("id"), a.get("class"), a.get("role"), a.get("href"), a.get("style"), "", above, a])
             if tag not in void:
                 self.open.append((len(self.rows) - 1, tag))
 
@@ -42,15 +44,22 @@ def _elements(batches):
                 self.rows[self.open[-1][0]][9] += data
 
     names = [c.split()[0] for c in ELEMENTS.split(", ")]
+
+    def frame(rows):
+        made = pd.DataFrame(rows, columns=names)
+        made["parent_id"] = made["parent_id"].astype("Int32")
+        return made
+
     for pdf in batches:
         out = []
         for page, html in zip(pdf["page_id"], pdf["html"], strict=True):
             scan = Scan()
             scan.feed(html or "")
             out += [[page, *r] for r in scan.rows]
-        frame = pd.DataFrame(out, columns=names)
-        frame["parent_id"] = frame["parent_id"].astype("Int32")
-        yield frame
+            if len(out) >= ROWS_AT_ONCE:
+                yield frame(out)
+                out = []
+        yield frame(out)
 
 
 def elements(pages: DataFrame) -> DataFrame:
