@@ -12,7 +12,7 @@ from chromaspan.operators import documents as documents_of
 from chromaspan.sources import pages as page_ops
 from chromaspan.streaming import captures
 
-from . import documents, marks, parts, semantics, summaries  # noqa: F401  (register their queries)
+from . import documents, logos, marks, parts, semantics, summaries  # noqa: F401  (register their queries)
 from .bridge import CONTEXT, OBS, TYPE, observations, table, type_observations
 from .registry import ORACLES, QUERIES, query  # noqa: F401
 
