@@ -38,6 +38,28 @@ def saturation(hex_: Column) -> Column:
     return F.when(high == 0, 0.0).otherwise((high - low) / high)
 
 
+def chroma(hex_: Column) -> Column:
+    """Saturation in HSL; 0 for greys and for what is nearly black or white."""
+    r, g, b = (channel(hex_, k) / 255.0 for k in range(3))
+    high, low = F.greatest(r, g, b), F.least(r, g, b)
+    light = (high + low) / 2
+    return F.when((high == low) | (light < 0.08) | (light > 0.92), 0.0).when(light > 0.5, (high - low) / (2 - high - low)).otherwise((high - low) / (high + low))
+
+
+def hue(hex_: Column) -> Column:
+    """Hue in HSL, 0 to 360; -1 for greys."""
+    r, g, b = (channel(hex_, k) / 255.0 for k in range(3))
+    high, low = F.greatest(r, g, b), F.least(r, g, b)
+    d = high - low
+    return F.when(d == 0, -1.0).when(high == r, F.pmod((g - b) / d, F.lit(6.0)) * 60).when(high == g, ((b - r) / d + 2) * 60).otherwise(((r - g) / d + 4) * 60)
+
+
+def hue_distance(one: Column, two: Column) -> Column:
+    """The shorter way between two hues, 0 to 180."""
+    gap = F.pmod(F.abs(one - two), F.lit(360.0))
+    return F.when(gap > 180, 360 - gap).otherwise(gap)
+
+
 def let(value: Column, then) -> Column:
     """then(value), with the value computed once: without it, a value used often is copied as often into the plan."""
     return F.get(F.transform(F.array(value), then), 0)

@@ -17,14 +17,6 @@ VARIANTS = {DARK: "dark-mode", MOBILE: "mobile", MENU: "menu"}
 COLUMNS = "rank int, site long, ord long, value string, hex string, n long, confidence string, sources array<string>"
 
 
-def _chroma(hex_: Column) -> Column:
-    """Saturation in HSL; 0 for greys and for what is nearly black or white."""
-    r, g, b = (color.channel(hex_, k) / 255.0 for k in range(3))
-    high, low = F.greatest(r, g, b), F.least(r, g, b)
-    light = (high + low) / 2
-    return F.when((high == low) | (light < 0.08) | (light > 0.92), 0.0).when(light > 0.5, (high - low) / (2 - high - low)).otherwise((high - low) / (high + low))
-
-
 def _entries(rows: DataFrame, rank: int, n, confidence, sources: Column, keep: Column | None = None) -> DataFrame:
     """rows: site, ord, value, a colour in any notation; ``keep`` is over their hex and rgba.a."""
     seen = F.col("rgba")
@@ -48,7 +40,7 @@ def from_logos(rows: DataFrame) -> DataFrame:
 
 def from_gradients(rows: DataFrame) -> DataFrame:
     """rows: site, ord, value, n (uses of the gradient): stops of gradients used twice, mostly opaque and chromatic ones."""
-    keep = (F.col("n") >= 2) & (F.col("rgba.a") >= 0.3) & (_chroma(F.col("hex")) >= 0.2)
+    keep = (F.col("n") >= 2) & (F.col("rgba.a") >= 0.3) & (color.chroma(F.col("hex")) >= 0.2)
     return _entries(rows, GRADIENT, F.lit(2), F.lit("low"), F.array(F.lit("gradient")), keep)
 
 

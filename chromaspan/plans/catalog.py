@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from chromaspan.functions import color, text
 from chromaspan.lineage import cut
-from chromaspan.operators import audit, brand, drift, exports, extract, inject, merge, summary
+from chromaspan.operators import audit, brand, drift, exports, extract, inject, merge, roles, summary
 from chromaspan.operators import documents as documents_of
 from chromaspan.sources import pages as page_ops
 from chromaspan.streaming import captures
@@ -630,3 +630,69 @@ def brand_colors(spark, sf):
 def brand_features(spark, sf):
     rows = brand.candidates(extract.color_statistics(observations(spark, sf)))
     return rows.select("site", "hex", text.scaled(F.col("sat")).alias("sat"), text.scaled(F.col("lum"), 100000).alias("lum"), text.scaled(F.col("bg_share")).alias("bg_share"))
+
+
+# ---- roles
+
+HSL = """CASE WHEN greatest(r, g, b) = least(r, g, b) OR greatest(r, g, b) + least(r, g, b) < 0.16 * 255 OR greatest(r, g, b) + least(r, g, b) > 1.84 * 255 THEN 0.0::DOUBLE WHEN greatest(r, g, b) + least(r, g, b) > 255 THEN (greatest(r, g, b) - least(r, g, b)) / (510.0::DOUBLE - greatest(r, g, b) - least(r, g, b))
+ ELSE (greatest(r, g, b) - least(r, g, b)) / (greatest(r, g, b) + least(r, g, b))::DOUBLE END AS c, CASE WHEN greatest(r, g, b) = least(r, g, b) THEN -1.0::DOUBLE WHEN r >= greatest(g, b) THEN ((g - b) / (r - least(g, b))::DOUBLE + CASE WHEN g < b THEN 6 ELSE 0 END) * 60
+ WHEN g >= b THEN ((b - r) / (g - least(r, b))::DOUBLE + 2) * 60 ELSE ((r - g) / (b - least(r, g))::DOUBLE + 4) * 60 END AS hue"""
+
+
+@query(f"""WITH {STATS}, hs AS (SELECT hex, {HSL} FROM (SELECT DISTINCT hex, r, g, b FROM ch)), {PALETTE[len(STATS) + 2:]}, q AS (SELECT p1.site, p1.hex, n, confidence, is_token, c, hue FROM p1 JOIN hs USING (hex)),
+cta AS (SELECT DISTINCT site, hex FROM obs WHERE tag = 'BUTTON' AND is_bg AND px > 48), nm AS (SELECT site, arg_min(hex, struct_pack(a := c, b := hex)) AS named FROM q WHERE site % 2 = 0 GROUP BY site),
+k AS (SELECT q.*, EXISTS (SELECT 1 FROM cta WHERE cta.site = q.site AND cta.hex = q.hex) AS cta FROM q),
+one AS (SELECT site, hex FROM k WHERE confidence <> 'low' AND c > 0.15 QUALIFY row_number() OVER (PARTITION BY site ORDER BY n + CASE WHEN is_token THEN 20 ELSE 0 END DESC, round(c, 12) DESC, hex) = 1),
+two AS (SELECT site, hex FROM k WHERE c > 0.25 AND (is_token OR cta) QUALIFY row_number() OVER (PARTITION BY site ORDER BY n + CASE WHEN is_token THEN 20 ELSE 0 END + CASE WHEN cta THEN 20 ELSE 0 END DESC, round(c, 12) DESC, hex) = 1),
+f AS (SELECT s.site, coalesce(named, one.hex) AS hex, two.hex AS strong FROM (SELECT DISTINCT site FROM k) s LEFT JOIN nm ON nm.site = s.site LEFT JOIN one ON one.site = s.site LEFT JOIN two ON two.site = s.site),
+pr AS (SELECT f.site, CASE WHEN c < 0.12 THEN coalesce(strong, f.hex) ELSE f.hex END AS prim FROM f LEFT JOIN hs ON hs.hex = f.hex), pm AS (SELECT pr.*, hue AS mine FROM pr LEFT JOIN hs ON hs.hex = prim),
+ac AS (SELECT k.site, k.hex FROM k JOIN pm USING (site) WHERE confidence <> 'low' AND c > 0.25 AND hex <> prim AND (mine < 0 OR least(abs(hue - mine), 360 - abs(hue - mine)) > 30) QUALIFY row_number() OVER (PARTITION BY k.site ORDER BY round(c, 12) DESC, hex) = 1)
+SELECT pm.site, prim AS "primary", ac.hex AS accent FROM pm LEFT JOIN ac USING (site)""")
+def primary_and_accent(spark, sf):
+    """Elements of every second site name the dullest colour of its palette as its primary."""
+    obs = observations(spark, sf)
+    stats = extract.color_statistics(obs)
+    palette = extract.palette(stats).select("site", "hex", "n", "confidence").join(stats.select("site", "hex", "is_token"), ["site", "hex"]).withColumn("ord", F.lit(0))
+    dull = palette.where("site % 2 = 0").groupBy("site").agg(F.min_by("hex", F.struct(color.chroma(F.col("hex")), "hex")).alias("hex"))
+    return roles.primary_and_accent(palette, obs.where("tag = 'BUTTON' and is_bg and px > 48"), dull)
+
+
+ROLE = f"""{PALETTE}{LAB[len(OBS):]}, cand AS (SELECT site, 0 AS source, -n AS ord, hex, confidence FROM palette UNION ALL SELECT site, CASE tag WHEN 'BUTTON' THEN 1 ELSE 2 END, ord, hex, NULL FROM obs WHERE tag IN ('BUTTON', 'A') AND px > 48),
+sem AS (SELECT site, CASE site % 5 WHEN 0 THEN 'primary' WHEN 1 THEN 'background' WHEN 2 THEN 'accent' ELSE 'on-surface' END AS role, min(hex) AS hex FROM obs WHERE site % 5 < 4 GROUP BY site),
+su AS (SELECT site, bool_or(source = 0 AND confidence IN ('high', 'medium')) AS s FROM cand GROUP BY site), once AS (SELECT cand.site, hex, min(struct_pack(a := source, b := ord)) FILTER (source > 0 OR NOT s OR confidence IN ('high', 'medium')) AS first, max(CASE confidence WHEN 'high' THEN 3 WHEN 'medium' THEN 2 WHEN 'low' THEN 1 ELSE 0 END) AS lev FROM cand JOIN su USING (site) GROUP BY ALL),
+rk AS (SELECT once.site, once.hex, first, (greatest(r, g, b) / 255.0::DOUBLE - least(r, g, b) / 255.0::DOUBLE) * 100 + lev AS rank, 0.2126::DOUBLE * (r / 255.0::DOUBLE) + 0.7152::DOUBLE * (g / 255.0::DOUBLE) + 0.0722::DOUBLE * (b / 255.0::DOUBLE) AS lu FROM once JOIN (SELECT DISTINCT hex, r, g, b FROM h) hh ON hh.hex = once.hex WHERE first IS NOT NULL),
+{_leaders('rank DESC, first, c.hex', 'rk')}, kp AS (SELECT rk.*, row_number() OVER (PARTITION BY rk.site ORDER BY rank DESC, first) AS i1 FROM rk JOIN led ON led.site = rk.site AND led.hex = rk.hex AND led.hex = led.leader AND i > 0),
+r0 AS (SELECT k.site, list(k.hex ORDER BY i1) AS br, list(k.hex ORDER BY lu, i1) AS bl, any_value(s.role) AS srole, any_value(s.hex) AS shex FROM kp k LEFT JOIN sem s ON s.site = k.site GROUP BY k.site),
+r1 AS (SELECT *, CASE WHEN srole = 'primary' THEN shex ELSE list_filter(br, lambda x: x IS DISTINCT FROM shex)[1] END AS p FROM r0), r2 AS (SELECT *, list_filter(br, lambda x: x IS DISTINCT FROM shex AND x IS DISTINCT FROM p)[1] AS q FROM r1),
+r3 AS (SELECT *, list_filter(list_reverse(bl), lambda x: x IS DISTINCT FROM shex AND x IS DISTINCT FROM p AND x IS DISTINCT FROM q)[1] AS t FROM r2), r4 AS (SELECT *, CASE WHEN srole = 'on-surface' THEN shex ELSE list_filter(bl, lambda x: x IS DISTINCT FROM shex AND x IS DISTINCT FROM p AND x IS DISTINCT FROM q AND x IS DISTINCT FROM t)[1] END AS o FROM r3),
+roles AS (SELECT * FROM (SELECT site, unnest([1, 2, 3, 4, 5]::BIGINT[]) AS ord, unnest(['primary', 'secondary', 'tertiary', 'surface', 'on-surface']) AS role, unnest([p, q, CASE WHEN srole = 'accent' THEN shex END, coalesce(t, CASE WHEN srole = 'background' THEN shex END), o]) AS hex FROM r4) WHERE hex IS NOT NULL)"""
+
+
+def _color_roles(spark, sf):
+    obs = observations(spark, sf)
+    used = obs.where("tag in ('BUTTON', 'A') and px > 48").select("site", F.when(F.col("tag") == "BUTTON", 1).otherwise(2).alias("source"), "ord", "hex", F.lit(None).cast("string").alias("confidence"))
+    names = F.when(F.col("site") % 5 == 0, "primary").when(F.col("site") % 5 == 1, "background").when(F.col("site") % 5 == 2, "accent").otherwise("on-surface")
+    named = obs.where("site % 5 < 4").groupBy("site").agg(F.min("hex").alias("hex")).withColumn("role", names)
+    return roles.color_roles(_palette(spark, sf).select("site", F.lit(0).alias("source"), (-F.col("n")).alias("ord"), "hex", "confidence").union(used), named)
+
+
+@query(f"WITH RECURSIVE {ROLE} SELECT * FROM roles")
+def color_roles(spark, sf):
+    return _color_roles(spark, sf)
+
+
+@query(f"""WITH RECURSIVE {ROLE}, rd AS (SELECT site, ['sm', 'md', 'lg', 'xl'][CAST(row_number() OVER (PARTITION BY site ORDER BY radius) AS BIGINT)] AS name, radius FROM (SELECT DISTINCT site, radius FROM obs WHERE radius > 2) QUALIFY row_number() OVER (PARTITION BY site ORDER BY radius) <= 4),
+rn AS (SELECT * FROM rd UNION ALL SELECT DISTINCT site, 'none', 0 FROM obs WHERE radius = 2),
+cp AS (SELECT site, CASE WHEN tag = 'BUTTON' THEN 'button' ELSE 'input' END AS kind, page_id * 10 + ord AS pos, hex, px, CASE WHEN radius = 2 THEN 0 ELSE radius END AS radius FROM obs WHERE tag IN ('BUTTON', 'P')),
+fc AS (SELECT site, kind, arg_min(struct_pack(hex := hex, px := px, radius := radius), struct_pack(a := pos, h := hex, r := radius, p := px)) AS x FROM cp GROUP BY ALL), ro AS (SELECT site, hex, arg_min(role, ord) AS role FROM roles GROUP BY ALL)
+SELECT fc.site, kind || '-observed' AS name, coalesce('{{colors.' || ro.role || '}}', x.hex) AS background, '#ffffff' AS color, coalesce('{{rounded.' || rn.name || '}}', x.radius || 'px') AS rounded, x.px || 'px' AS padding FROM fc LEFT JOIN ro ON ro.site = fc.site AND ro.hex = x.hex LEFT JOIN rn ON rn.site = fc.site AND rn.radius = x.radius""")
+def component_tokens(spark, sf):
+    obs = observations(spark, sf)
+    radius = F.when(F.col("radius") == 2, 0).otherwise(F.col("radius"))
+    found = obs.where("tag in ('BUTTON', 'P')").select("site", F.when(F.col("tag") == "BUTTON", "button").otherwise("input").alias("kind"), (F.col("page_id") * 10 + F.col("ord")).alias("ord"), F.col("hex").alias("background"), F.lit("#FFFFFF").alias("foreground"), radius.alias("radius"), F.col("px").alias("padding"))
+    return roles.component_tokens(found, _color_roles(spark, sf), roles.rounded_names(obs.select("site", radius.alias("px"))))
+
+
+@query(f"WITH {OBS} SELECT site, row_number() OVER (PARTITION BY site ORDER BY px) AS ord, ['xs', 'sm', 'md', 'lg', 'xl', 'xxl', 'xxxl', 'xxxxl'][CAST(row_number() OVER (PARTITION BY site ORDER BY px) AS BIGINT)] AS name, px FROM (SELECT DISTINCT site, px FROM obs WHERE px > 0) QUALIFY row_number() OVER (PARTITION BY site ORDER BY px) <= 8")
+def spacing_names(spark, sf):
+    return roles.named_sizes(observations(spark, sf).where("px > 0"), roles.SPACINGS)
