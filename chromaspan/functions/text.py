@@ -179,3 +179,13 @@ def easing_class(value: Column) -> Column:
 def milliseconds(value: Column) -> Column:
     n = leading_number(value)
     return F.when(value.endswith("ms"), n).when(value.endswith("s"), n * 1000)
+
+
+#: What an element is called by a part of its class, the first that fits; borders know five of these, corners all.
+CONTEXTS = {"button": "button|btn", "card": "card", "input": "input|field", "badge": "badge|tag|chip", "modal": "modal|dialog", "image": "image|img|avatar"}
+BORDER_CONTEXTS = ("button", "card", "input", "modal")
+
+
+def element_context(tag: Column, classes: Column, said: Column, kinds: tuple[str, ...] = tuple(CONTEXTS)) -> Column:
+    """What an element is: its role or label (``said``) if it has one, else what its classes speak of, else its tag."""
+    return F.coalesce(F.nullif(said, F.lit("")), *(F.when(classes.rlike(CONTEXTS[k]), k) for k in kinds), F.lower(tag))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from chromaspan.functions import color, text
 from chromaspan.lineage import cut
-from chromaspan.operators import audit, brand, drift, exports, extract, inject, merge, roles, summary
+from chromaspan.operators import audit, brand, drift, exports, extract, inject, merge, naming, roles, summary
 from chromaspan.operators import documents as documents_of
 from chromaspan.sources import pages as page_ops
 from chromaspan.streaming import captures
@@ -696,3 +696,23 @@ def component_tokens(spark, sf):
 @query(f"WITH {OBS} SELECT site, row_number() OVER (PARTITION BY site ORDER BY px) AS ord, ['xs', 'sm', 'md', 'lg', 'xl', 'xxl', 'xxxl', 'xxxxl'][CAST(row_number() OVER (PARTITION BY site ORDER BY px) AS BIGINT)] AS name, px FROM (SELECT DISTINCT site, px FROM obs WHERE px > 0) QUALIFY row_number() OVER (PARTITION BY site ORDER BY px) <= 8")
 def spacing_names(spark, sf):
     return roles.named_sizes(observations(spark, sf).where("px > 0"), roles.SPACINGS)
+
+
+# ---- names
+
+@query(f"""WITH RECURSIVE {PALETTE}{LAB[len(OBS):]}, sm AS (SELECT site, CAST(CASE tag WHEN 'H1' THEN 0 WHEN 'P' THEN 1 ELSE 2 END AS BIGINT) AS ord, CASE tag WHEN 'H1' THEN 'primary' WHEN 'P' THEN 'Brand 2' ELSE '9 link' END AS said, min(hex) AS hex FROM obs WHERE tag IN ('H1', 'P', 'A') GROUP BY ALL),
+al AS (SELECT site, 0 AS source, ord, hex, said FROM sm UNION ALL SELECT site, 1, -n, hex, NULL FROM palette WHERE confidence <> 'low' AND n % 7 > 0), oc AS (SELECT site, hex, min(struct_pack(source := source, ord := ord, said := said)) AS first FROM al GROUP BY ALL), {_leaders('first, c.hex', 'oc')},
+va AS (SELECT site, hex, arg_min(['v0', 'v1', 'v1-2', 'c-'][CAST(px % 4 AS BIGINT) + 1], struct_pack(a := page_id * 10 + ord, b := px % 4)) AS vn FROM obs WHERE px > 47 GROUP BY ALL),
+sh AS (SELECT oc.site, oc.hex, first, coalesce(first.said, CASE WHEN first.source = 1 THEN vn END) AS own, vn, row_number() OVER (PARTITION BY oc.site ORDER BY first, oc.hex) AS ord FROM oc JOIN led ON led.site = oc.site AND led.hex = oc.hex AND led.hex = leader AND i > 0 LEFT JOIN va ON va.site = oc.site AND va.hex = oc.hex QUALIFY ord <= 24),
+nb AS (SELECT site, hex, ord, '--color-' || CASE own WHEN 'Brand 2' THEN 'brand-2' WHEN '9 link' THEN 'n9-link' WHEN 'c-' THEN 'c' ELSE coalesce(own, 'brand-' || count(*) FILTER (own IS NULL) OVER (PARTITION BY site ORDER BY ord)) END AS base, CASE WHEN first.said IS NOT NULL THEN 'semantic' WHEN vn IS NOT NULL THEN 'css variable' ELSE 'palette' END AS source FROM sh),
+un AS (SELECT DISTINCT site, 0::BIGINT AS ord, []::VARCHAR[] AS used, NULL::VARCHAR AS name, NULL::VARCHAR AS hex, NULL::VARCHAR AS source FROM nb
+UNION ALL SELECT site, ord, list_append(used, made), made, hex, source FROM (SELECT u.site, nb.ord, used, nb.hex, nb.source, CASE WHEN list_contains(used, base) THEN base || '-' || list_filter(range(2, 30), lambda k: NOT list_contains(used, base || '-' || k))[1] ELSE base END AS made FROM un u JOIN nb ON nb.site = u.site AND nb.ord = u.ord + 1))
+SELECT site, ord, name, hex, source FROM un WHERE ord > 0""")
+def theme_colors(spark, sf):
+    obs = observations(spark, sf)
+    at = F.when(F.col("tag") == "H1", 0).when(F.col("tag") == "P", 1).otherwise(2)
+    semantic = obs.where("tag in ('H1', 'P', 'A')").groupBy("site", at.alias("ord")).agg(F.min("hex").alias("hex")).withColumn("role", F.element_at(F.array(*map(F.lit, ("primary", "Brand 2", "9 link"))), F.col("ord") + 1))
+    palette = _palette(spark, sf).select("site", (-F.col("n")).alias("ord"), "hex", "confidence", (F.col("n") % 7 == 0).alias("is_variant"))
+    names = F.element_at(F.array(*map(F.lit, ("--color-v0", "--colors-v1", "v1-2", "--c-"))), (F.col("px") % 4 + 1).cast("int"))
+    variables = obs.where("px > 47").select("site", (F.col("page_id") * 10 + F.col("ord")).alias("ord"), F.when(F.col("px") % 4 == 3, "--color-c-").otherwise(names).alias("name"), "hex")
+    return naming.theme_colors(semantic, palette, variables)

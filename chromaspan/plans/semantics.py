@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chromaspan.functions import text
 from chromaspan.operators import elements as E
 
 from .bridge import table
@@ -108,3 +109,11 @@ def brand_variables(spark, sf):
 @query(f"""WITH {VARS} SELECT value, count(*) AS n FROM v WHERE value IN ('', 'transparent', 'rgba(0, 0, 0, 0)', '#0000', 'rgba(1,2,3,0.0)', 'rgb(1 2 3 / 0)', '#abcdef00') GROUP BY value""")
 def transparent_values(spark, sf):
     return variables(spark, sf).where(E.transparent(F.col("value"))).groupBy("value").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH o AS (SELECT l_orderkey, l_linenumber, min(l_partkey) AS p, min(l_suppkey) AS s FROM lineitem GROUP BY ALL), c AS (SELECT s % 20 AS site, {_list(CLASSES)}[p % 12 + 1] AS c, CASE WHEN s % 7 = 0 THEN 'button' END AS role, CASE WHEN l_linenumber = 1 THEN 'body' ELSE ['a', 'button', 'div', 'span'][p % 4 + 1] END AS tag FROM o)
+SELECT site, coalesce(role, CASE WHEN contains(c, 'btn') THEN 'button' WHEN contains(c, 'card') THEN 'card' WHEN contains(c, 'badge') THEN 'badge' ELSE tag END) AS corner, coalesce(role, CASE WHEN contains(c, 'btn') THEN 'button' WHEN contains(c, 'card') THEN 'card' ELSE tag END) AS border, count(*) AS n FROM c GROUP BY ALL""")
+def element_contexts(spark, sf):
+    """How many elements of a site are what, for their corners and for their borders."""
+    own = lambda *kinds: text.element_context(F.col("tag"), F.col("class"), F.col("role"), *kinds)
+    return elements(spark, sf).groupBy("site", own().alias("corner"), own(text.BORDER_CONTEXTS).alias("border")).agg(F.count("*").alias("n"))
