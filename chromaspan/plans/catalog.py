@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from chromaspan.functions import color, text
 from chromaspan.lineage import cut
-from chromaspan.operators import audit, brand, drift, exports, extract, inject, merge, naming, roles, summary
+from chromaspan.operators import audit, brand, drift, exports, extract, inject, isolation, merge, naming, roles, summary
 from chromaspan.operators import documents as documents_of
 from chromaspan.sources import pages as page_ops
 from chromaspan.streaming import captures
@@ -716,3 +716,30 @@ def theme_colors(spark, sf):
     names = F.element_at(F.array(*map(F.lit, ("--color-v0", "--colors-v1", "v1-2", "--c-"))), (F.col("px") % 4 + 1).cast("int"))
     variables = obs.where("px > 47").select("site", (F.col("page_id") * 10 + F.col("ord")).alias("ord"), F.when(F.col("px") % 4 == 3, "--color-c-").otherwise(names).alias("name"), "hex")
     return naming.theme_colors(semantic, palette, variables)
+
+
+# ---- fault isolation
+
+STAGES = {"palette": "array<struct<hex: string, n: bigint>>", "spacing": "array<bigint>", "styles": "array<struct<tag: string, size: bigint>>"}
+
+
+def _captured_documents(spark, sf):
+    """A JSON document a site and month; every fifth site's palettes, spacings, styles or whole documents are broken."""
+    each = observations(spark, sf).groupBy("site", "capture").agg(
+        F.to_json(F.array_sort(F.collect_set(F.struct("hex", F.lit(1).alias("n"))))).alias("palette"), F.to_json(F.array_sort(F.collect_set("px"))).alias("spacing"), F.to_json(F.array_sort(F.collect_set(F.struct("tag", F.col("px").alias("size"))))).alias("styles"))
+    broken = {"palette": (0, '"boom"'), "spacing": (1, '[8, "boom"]'), "styles": (2, '{"tag": "P"}')}
+    part = lambda c: F.concat(F.lit(f'"{c}": '), F.when(F.col("site") % 5 == broken[c][0], broken[c][1]).otherwise(F.col(c)))
+    end = F.when(F.col("site") % 5 == 3, "").otherwise("}")
+    return each.select("site", "capture", F.concat(F.lit("{"), F.concat_ws(", ", *map(part, broken)), end).alias("json"))
+
+
+@query(f"""WITH {OBS}, g AS (SELECT site, capture, count(DISTINCT hex) AS c, count(DISTINCT px) AS p, count(DISTINCT tag || px) AS t FROM obs GROUP BY ALL)
+SELECT site, capture, CASE WHEN site % 5 IN (0, 3) THEN 0 ELSE c END AS colors, CASE WHEN site % 5 IN (1, 3) THEN 0 ELSE p END AS spacings, CASE WHEN site % 5 IN (2, 3) THEN 0 ELSE t END AS styles, ['palette', 'spacing', 'styles', 'document', ''][site % 5 + 1] AS failed FROM g""")
+def isolated_captures(spark, sf):
+    rows = isolation.isolated(_captured_documents(spark, sf), STAGES)
+    return rows.select("site", "capture", *(F.size(c).cast("long").alias(n) for c, n in (("palette", "colors"), ("spacing", "spacings"), ("styles", "styles"))), F.array_join(F.transform("errors", lambda e: e["stage"]), ",").alias("failed"))
+
+
+@query(f"""WITH {OBS} SELECT DISTINCT site, capture, ['palette', 'spacing', 'styles', 'document'][site % 5 + 1] AS stage, CASE site % 5 WHEN 0 THEN 'not {STAGES["palette"]}: STRING' WHEN 1 THEN 'not {STAGES["spacing"]}: ARRAY<VARIANT>' WHEN 2 THEN 'not {STAGES["styles"]}: OBJECT<tag: STRING>' ELSE 'not JSON' END AS reason FROM obs WHERE site % 5 < 4""")
+def capture_errors(spark, sf):
+    return isolation.errors(isolation.isolated(_captured_documents(spark, sf), STAGES), "site", "capture")
