@@ -71,3 +71,18 @@ n AS (SELECT k.*, regexp_matches(html, '\b\w+-\[[^\]]+\]') AS arb, regexp_matche
 def page_marks(spark, sf):
     pages = marked_pages(spark, sf)
     return marks.marks(marks.evidence(page_ops.elements(pages), pages))
+
+
+#: Rules of which a page gets those that its number chooses, several times over.
+RULES = ("a:hover { color: #0066cc; background-color: rgb(1, 2, 3) }", "a { color: red }", ".x > button:focus-visible{outline-color:#fff;margin:0;outline-color:#eee}", "p:hover{color:blue}", ".btn-primary:active { box-shadow: 0 1px 2px #000 }", "[role=button]:hover{border-color:red;}", "td.abutton:hover{color:#111}", "li a:focus{padding:1px}", ".card:hover .Button{Color: green}")
+
+
+@query("WITH r AS (SELECT page_id, " + " || ".join(f"CASE WHEN (page_id + {k}) % 3 = 0 THEN repeat('{r}', CAST((page_id + {k}) % 40 AS BIGINT)) ELSE '' END" for k, r in enumerate(RULES)) + """ AS css FROM pages), e AS (SELECT page_id, unnest(regexp_extract_all(css, '[^{}]+[{][^}]*[}]')) AS rule, generate_subscripts(regexp_extract_all(css, '[^{}]+[{][^}]*[}]'), 1) AS nth FROM r),
+d AS (SELECT page_id, nth, trim(regexp_extract(rule, '^[^{]+')) AS selector, ';' || replace(lower(regexp_extract(rule, '[{](.*)[}]', 1)), ' ', '') || ';' AS body, regexp_extract(rule, '[{](.*)[}]', 1) AS said FROM e),
+k AS (SELECT page_id, nth, selector, CASE WHEN body LIKE '%;color:%' THEN trim(regexp_extract(said, '[cC]olor:([^;}]*)', 1)) END AS color, CASE WHEN body LIKE '%;background-color:%' THEN trim(regexp_extract(said, 'background-color:([^;}]*)', 1)) END AS background_color, CASE WHEN body LIKE '%;border-color:%' THEN 'red' END AS border_color, CASE WHEN body LIKE '%;box-shadow:%' THEN '0 1px 2px #000' END AS box_shadow, CASE WHEN body LIKE '%;outline-color:%' THEN '#eee' END AS outline_color
+ FROM d WHERE selector IN ('a:hover', '.x > button:focus-visible', '.btn-primary:active', '[role=button]:hover', '.card:hover .Button'))
+SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY nth) AS ord, selector, color, background_color, border_color, box_shadow, outline_color FROM k QUALIFY ord <= 200""")
+def page_state_rules(spark, sf):
+    pages = table(spark, sf, "pages").select("page_id", "html")
+    more = F.concat(F.lit("<style>"), *(F.when((F.col("page_id") + k) % 3 == 0, F.repeat(F.lit(r), ((F.col("page_id") + k) % 40).cast("int"))).otherwise("") for k, r in enumerate(RULES)), F.lit("</style>"))
+    return page_ops.state_rules(page_ops.css_rules(pages.withColumn("html", F.replace(F.col("html"), F.lit("<style>p{margin:0}</style>"), more))))

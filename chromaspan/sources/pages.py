@@ -81,6 +81,20 @@ def custom_properties(rules: DataFrame) -> DataFrame:
     return own.groupBy("page_id", "property").agg(F.max_by("value", "ord").alias("value"))
 
 
+#: States, what counts as interactive in a selector, and the properties that show a state.
+STATES, INTERACTIVE = r":(hover|focus|focus-visible|active)", r"""(?i)(^|[\s,>~+])(a|button)\b|\[role=["']?button|\.(btn|button)\b"""
+STATE_PROPERTIES = ("color", "background-color", "border-color", "box-shadow", "outline-color")
+
+
+def state_rules(rules: DataFrame, most: int = 200) -> DataFrame:
+    """page_id, ord, selector (140 characters) and a column for each of STATE_PROPERTIES: rules (see ``css_rules``) that restyle hovered, focused
+    or pressed links and buttons, a page's first ``most``. Of a property's repeated declarations in a rule the last counts."""
+    own = rules.where(F.col("selector").rlike(STATES) & F.col("selector").rlike(INTERACTIVE) & F.lower("property").isin(*STATE_PROPERTIES) & (F.col("value") != ""))
+    last = lambda p: F.max_by(F.when(F.lower("property") == p, F.col("value")), F.when(F.lower("property") == p, F.col("ord"))).alias(p.replace("-", "_"))
+    found = own.groupBy("page_id", F.expr("ord div 100000").alias("at")).agg(F.substring(F.first("selector"), 1, 140).alias("selector"), *map(last, STATE_PROPERTIES))
+    return found.withColumn("ord", F.row_number().over(Window.partitionBy("page_id").orderBy("at")).cast("long")).where(F.col("ord") <= most).drop("at")
+
+
 def media_breakpoints(pages: DataFrame) -> DataFrame:
     """page_id, px: the distinct widths in @media texts."""
     media = F.array_join(F.regexp_extract_all("html", F.lit(r"(@media[^{]*)\{"), F.lit(1)), " ")

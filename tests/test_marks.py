@@ -39,3 +39,12 @@ def test_elements_keep_their_attributes(spark):
     pages = spark.createDataFrame([(1, '<a HREF="/x" data-a hidden="y" href="/z">t</a><br>')], "page_id long, html string")
     first, last = page_ops.elements(pages).orderBy("el_id").collect()
     assert first["attrs"] == {"href": "/x", "data-a": "", "hidden": "y"} and last["attrs"] == {}
+
+
+def test_state_rules(spark):
+    css = "a:hover{color:red;color:blue} main:hover{color:red} .a,BUTTON:focus{background-color:#fff} a:visited{color:red} .btn:active{margin:0} a:active{box-shadow:} [role='button']:hover{border-color:#000}"
+    pages = spark.createDataFrame([(1, f"<style>{css}</style>"), (2, None), (3, "<style>" + "a:hover{color:red}" * 201 + "</style>")], "page_id long, html string")
+    rows = page_ops.state_rules(page_ops.css_rules(pages)).orderBy("page_id", "ord").collect()
+    got = [(r["ord"], r["selector"], r["color"], r["background_color"], r["border_color"]) for r in rows if r["page_id"] == 1]
+    assert got == [(1, "a:hover", "blue", None, None), (2, ".a,BUTTON:focus", None, "#fff", None), (3, "[role='button']:hover", None, None, "#000")]
+    assert sum(r["page_id"] == 3 for r in rows) == 200 and not any(r["page_id"] == 2 for r in rows)
