@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chromaspan.functions import color
@@ -45,3 +45,27 @@ def leave_one_site_out(rows: DataFrame, label: str = "label") -> float:
         right += top.join(rows, ["site", "hex"]).where(F.col(label) == 1).count()
         n += 1
     return right / max(1, n)
+
+
+def scored(model, rows: DataFrame, least: float = 0.5) -> DataFrame:
+    """site, hex, p, rank, is_brand: each site's candidates, likeliest first (ties by hex); brand colours have at least ``least``."""
+    from pyspark.ml.functions import vector_to_array
+
+    p = model.transform(rows).withColumn("p", vector_to_array("probability")[1])
+    return p.select("site", "hex", "p", F.row_number().over(Window.partitionBy("site").orderBy(F.desc("p"), "hex")).cast("long").alias("rank"), (F.col("p") >= least).alias("is_brand"))
+
+
+def save_model(model, spark: SparkSession, path: str) -> None:
+    """The model, and beside it the version and names of the features that it was fitted on."""
+    model.write().overwrite().save(f"{path}/model")
+    spark.createDataFrame([(VERSION, list(FEATURES))], "version int, features array<string>").write.mode("overwrite").parquet(f"{path}/meta")
+
+
+def load_model(spark: SparkSession, path: str):
+    """A saved model; ValueError if it was fitted on features of another version, or on others."""
+    from pyspark.ml import PipelineModel
+
+    meta = spark.read.parquet(f"{path}/meta").first()
+    if meta is None or meta["version"] != VERSION or tuple(meta["features"]) != FEATURES:
+        raise ValueError(f"model at {path} is for features {meta and meta['version']}, not {VERSION}: fit it again")
+    return PipelineModel.load(f"{path}/model")
