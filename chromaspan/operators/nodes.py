@@ -14,6 +14,14 @@ from chromaspan.lineage import cut
 
 #: Members that make an object a token.
 TOKEN = ("$value", "$ref")
+#: Characters of JSON in a bucket of nodes; a node table takes some twelve times as much memory.
+BUCKET = 4_000_000
+
+
+def buckets_of(documents: DataFrame) -> int:
+    """Buckets for the nodes of (doc_id, json): as many as the cluster has cores, and more with the size of the documents."""
+    size = documents.agg(F.sum(F.length("json").cast("long"))).first()[0] or 0
+    return min(100_000, max(documents.sparkSession.sparkContext.defaultParallelism, -(-size // BUCKET)))
 
 
 def escaped(name: Column) -> Column:
@@ -26,12 +34,14 @@ def kind_of(value: Column) -> Column:
     return F.coalesce(*named, F.lit("number"))
 
 
-def nodes(documents: DataFrame) -> DataFrame:
+def nodes(documents: DataFrame, buckets: int | None = None) -> DataFrame:
     """The nodes of (doc_id, json), a level of nesting a step, with ``path`` (names joined by dots), ``type`` (that of the
     nearest group or token above, for tokens their own) and ``live`` (groups and tokens that can be reached through groups).
 
     ``held`` objects have a value or a reference of their own; live ones of them but the root are tokens. A document that
     cannot be read, or repeats a member's name, has one node of kind 'invalid' (one that is blank: 'empty').
+
+    Documents are shuffled once, into ``buckets`` (see ``cut``); their nodes stay there.
     """
     spark = documents.sparkSession
     value = F.try_parse_json("json")
@@ -41,7 +51,7 @@ def nodes(documents: DataFrame) -> DataFrame:
     own = ["doc_id", "at", "up", "name", "ord", "kind", "path", "given", "live"]
     found = []
     while True:
-        level = cut(level)
+        level = cut(level, by="doc_id", buckets=buckets)
         plain = ~F.col("kind").isin("object", "array", "invalid", "empty")
         found.append(level.select(*own, F.when(plain, F.try_variant_get("v", "$", "string")).alias("text")))
         inner = level.where(F.col("kind").isin("object", "array"))
@@ -58,33 +68,34 @@ def nodes(documents: DataFrame) -> DataFrame:
         level = rows.select(
             "doc_id", F.concat("up", F.lit("/"), escaped(F.col("name"))).alias("at"), "up", "name", "ord", "kind", F.concat_ws(".", F.nullif("above", F.lit("")), "name").alias("path"),
             F.coalesce(said, "given").alias("given"), (F.col("live") & ~token & ~dollar & F.col("kind").isin("object", "array")).alias("live"), "v")
-    out = found[0]
-    for rows in found[1:]:
-        out = out.union(rows)
-    kids = out.where("up is not null").groupBy("doc_id", F.col("up").alias("at")).agg(
-        F.count("*").alias("n"), F.bool_or(F.col("name").isin(*TOKEN)).alias("token"), F.max(F.when((F.col("name") == "$type") & (F.col("kind") == "string"), F.nullif("text", F.lit("")))).alias("own"))
-    joined = out.join(kids, ["doc_id", "at"], "left")
-    return cut(joined.select("doc_id", "at", "up", "name", "ord", "kind", "text", "path", "live", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("token", F.lit(False)).alias("held"), (F.col("live") & (F.col("at") != "") & F.coalesce("token", F.lit(False))).alias("token"), F.coalesce("own", "given").alias("type")))
+    whole = []
+    for rows, below in zip(found, [*found[1:], found[0].limit(0)], strict=True):
+        kids = below.groupBy("doc_id", F.col("up").alias("at")).agg(
+            F.count("*").alias("n"), F.bool_or(F.col("name").isin(*TOKEN)).alias("token"), F.max(F.when((F.col("name") == "$type") & (F.col("kind") == "string"), F.nullif("text", F.lit("")))).alias("own"))
+        joined = rows.join(kids, ["doc_id", "at"], "left")
+        whole.append(joined.select("doc_id", "at", "up", "name", "ord", "kind", "text", "path", "live", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("token", F.lit(False)).alias("held"), (F.col("live") & (F.col("at") != "") & F.coalesce("token", F.lit(False))).alias("token"), F.coalesce("own", "given").alias("type")))
+    return cut(*whole, by="doc_id", buckets=buckets)
 
 
-def followed(edges: DataFrame) -> DataFrame:
+def followed(edges: DataFrame, buckets: int | None = None) -> DataFrame:
     """doc_id, at, to, state: where each edge (doc_id, at, to; at once a document) leads in the end; state 'ok', or 'cycle'
     for those that never end. Pointers are doubled until a round ends no further one; what is open then goes round.
     """
-    closed, ends = None, edges.select("doc_id", "at", "to")
-    open_ = cut(ends)
+    kept = lambda *rows: cut(*rows, by="doc_id", buckets=buckets)
+    closed = []
+    open_ = kept(edges.select("doc_id", "at", "to"))
+    starts = open_.select("doc_id", F.col("at").alias("to"), F.lit(True).alias("on"))
     while True:
         hop = open_.select("doc_id", F.col("at").alias("to"), F.col("to").alias("next"))
-        if closed is not None:
-            hop = hop.union(closed.select("doc_id", F.col("at").alias("to"), F.col("to").alias("next")))
-        step = cut(open_.join(hop, ["doc_id", "to"], "left").select("doc_id", "at", F.coalesce("next", "to").alias("to")))
-        starts = edges.select("doc_id", F.col("at").alias("to"), F.lit(True).alias("on"))
-        step = cut(step.join(starts, ["doc_id", "to"], "left"))
+        for ended in closed:
+            hop = hop.union(ended.select("doc_id", F.col("at").alias("to"), F.col("to").alias("next")))
+        step = open_.join(hop, ["doc_id", "to"], "left").select("doc_id", "at", F.coalesce("next", "to").alias("to"))
+        step = kept(step.join(starts, ["doc_id", "to"], "left"))
         done = step.where("on is null").select("doc_id", "at", "to")
         if done.isEmpty():
             rest = step.select("doc_id", "at", "to", F.lit("cycle").alias("state"))
-            return rest if closed is None else closed.select("doc_id", "at", "to", F.lit("ok").alias("state")).union(rest)
-        closed = done if closed is None else closed.union(done)
+            return kept(*(c.select("doc_id", "at", "to", F.lit("ok").alias("state")) for c in closed), rest)
+        closed.append(done)
         open_ = step.where("on").select("doc_id", "at", "to")
 
 

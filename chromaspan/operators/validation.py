@@ -3,6 +3,9 @@
 violations() types nodes from the tokens' values downwards: a table of slots says which members or items a value of a type
 has and what type they are of, so each round joins the typed nodes with their children. A reference in braces names a
 token, one by pointer ({"$ref": "#/..."}) any node; both are followed by doubling before the rounds.
+
+All joins are by document and more. Where functions take ``buckets``, tables are in that many buckets by document (see
+``lineage.cut``), so that nodes are not shuffled again for each join.
 """
 
 from __future__ import annotations
@@ -10,8 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chromaspan.lineage import cut
-from chromaspan.operators.nodes import escaped, followed, nodes
+from chromaspan.lineage import cut, together
+from chromaspan.operators.nodes import buckets_of, escaped, followed, nodes
 
 #: Types, reserved names, style and weight names, units.
 TYPES = ("color", "dimension", "fontFamily", "fontWeight", "duration", "cubicBezier", "number", "strokeStyle", "border", "transition", "shadow", "gradient", "typography")
@@ -63,47 +66,48 @@ def inside_braces(text: Column) -> Column:
     return F.regexp_extract(text, r"(?s)^\{(.+)\}$", 1)
 
 
-def pointers(table: DataFrame) -> DataFrame:
+def pointers(table: DataFrame, buckets: int | None = None) -> DataFrame:
     """doc_id, at, to, bad: each object with a textual $ref, the node that it leads to in the end, and why it does not (null,
     'pointer form', 'missing pointer' or 'circular pointer')."""
     said = table.where("name = '$ref' and kind = 'string'").select("doc_id", F.col("up").alias("at"), "text")
     said = said.withColumn("to", F.when(F.col("text").isin("#", "#/"), "").when(F.col("text").startswith("#/"), F.expr("substring(text, 2)")))
-    ends = followed(said.where("to is not null").select("doc_id", "at", "to"))
+    ends = followed(said.where("to is not null").select("doc_id", "at", "to"), buckets)
     there = table.select("doc_id", F.col("at").alias("to"), F.lit(True).alias("there"))
     wrong = said.where("to is null").select("doc_id", F.col("at").alias("to"), F.lit(True).alias("wrong"))
     ends = ends.join(there, ["doc_id", "to"], "left").join(wrong, ["doc_id", "to"], "left")
     bad = F.when(F.col("state") == "cycle", "circular pointer").when(F.col("there").isNull(), "missing pointer").when(F.col("wrong"), "pointer form")
     malformed = said.where("to is null").select("doc_id", "at", F.lit(None).cast("string").alias("to"), F.lit("pointer form").alias("bad"))
-    return cut(ends.select("doc_id", "at", "to", bad.alias("bad")).union(malformed))
+    return cut(ends.select("doc_id", "at", "to", bad.alias("bad")), malformed, by="doc_id", buckets=buckets)
 
 
-def references(table: DataFrame, pointed: DataFrame) -> DataFrame:
+def references(table: DataFrame, pointed: DataFrame, buckets: int | None = None) -> DataFrame:
     """doc_id, at, to, type, bad: each text in braces, the node of the value that it leads to in the end with its token's
     type, and why it does not (null, 'missing reference' or 'circular reference')."""
     tokens = table.where("token").select("doc_id", "at", "path", "type")
     own = table.where("name = '$value'").select("doc_id", F.col("up").alias("at"), F.col("at").alias("own"))
     said = table.where("name = '$ref' and kind = 'string'").select("doc_id", F.col("up").alias("at"), F.when(F.col("text").startswith("#/"), F.expr("substring(text, 2)")).alias("said"))
-    places = cut(tokens.join(own, ["doc_id", "at"], "left").join(said, ["doc_id", "at"], "left").select("doc_id", "path", "type", F.coalesce("own", "said").alias("place")))
+    kept = lambda *rows: cut(*rows, by="doc_id", buckets=buckets)
+    places = kept(tokens.join(own, ["doc_id", "at"], "left").join(said, ["doc_id", "at"], "left").select("doc_id", "path", "type", F.coalesce("own", "said").alias("place")))
     named = places.groupBy("doc_id", F.col("path").alias("target")).agg(F.max("place").alias("to"))
     braced = table.where((F.col("kind") == "string") & is_braced(F.col("text"))).select("doc_id", "at", inside_braces(F.col("text")).alias("target"))
-    edges = cut(braced.join(named, ["doc_id", "target"], "left").select("doc_id", "at", "to"))
-    ends = followed(edges.where("to is not null"))
+    edges = kept(braced.join(named, ["doc_id", "target"], "left").select("doc_id", "at", "to"))
+    ends = followed(edges.where("to is not null"), buckets)
     lost = edges.where("to is null").select("doc_id", "at")
-    ends = ends.union(lost.select("doc_id", "at", F.col("at").alias("to"), F.lit("ok").alias("state")))
+    ends = kept(ends, lost.select("doc_id", "at", F.col("at").alias("to"), F.lit("ok").alias("state")))
     ends = ends.join(lost.select("doc_id", F.col("at").alias("to"), F.lit(True).alias("lost")), ["doc_id", "to"], "left")
     types = places.groupBy("doc_id", F.col("place").alias("to")).agg(F.max("type").alias("type"))
     bad = F.when(F.col("state") == "cycle", "circular reference").when(F.col("lost"), "missing reference")
-    return cut(ends.join(types, ["doc_id", "to"], "left").select("doc_id", "at", "to", "type", bad.alias("bad")))
+    return kept(ends.join(types, ["doc_id", "to"], "left").select("doc_id", "at", "to", "type", bad.alias("bad")))
 
 
-def extension_errors(table: DataFrame) -> DataFrame:
+def extension_errors(table: DataFrame, buckets: int | None = None) -> DataFrame:
     """doc_id, path, rule of groups whose chain of $extends is not one of groups."""
     said = table.where("name = '$extends'").select("doc_id", F.col("up").alias("at"), "kind", "text")
     dotted = F.concat(F.lit("/"), F.array_join(F.transform(F.split(inside_braces(F.col("text")), r"\."), escaped), "/"))
     to = F.when(F.col("kind") == "string", F.when(is_braced(F.col("text")), dotted).when(F.col("text").isin("#", "#/"), "").when(F.col("text").startswith("#"), F.expr("substring(text, 2)")))
-    said = cut(said.select("doc_id", "at", to.alias("to")))
+    said = cut(said.select("doc_id", "at", to.alias("to")), by="doc_id", buckets=buckets)
     plain = table.where("kind = 'object' and not held").select("doc_id", "at")
-    ends = followed(said.where("to is not null").join(plain, ["doc_id", "at"], "left_semi"))
+    ends = followed(said.where("to is not null").join(plain, ["doc_id", "at"], "left_semi"), buckets)
     target = table.select("doc_id", F.col("at").alias("to"), F.col("kind").alias("end_kind"), "held")
     wrong = said.where("to is null").select("doc_id", F.col("at").alias("to"), F.lit(True).alias("wrong"))
     rule = F.when(F.col("state") == "cycle", "extends circle").when(F.col("end_kind").isNull(), "extends missing").when(F.col("end_kind") != "object", "extends no group").when(F.col("held"), "extends token").when(F.col("wrong"), "extends form")
@@ -147,7 +151,7 @@ def _tables(spark: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame]:
         (slots, "type string, member string, of string, needed boolean"), (list(ITEMS.items()), "type string, of string"), (ranges, "note string, ord long, lo double, hi double, hue boolean")))
 
 
-def _values(table: DataFrame, pointed: DataFrame, named: DataFrame) -> DataFrame:
+def _values(table: DataFrame, pointed: DataFrame, named: DataFrame, buckets: int) -> DataFrame:
     """doc_id, path, at, type, rule: each token's own value, followed if it is a reference."""
     tokens = table.where("token").select("doc_id", "at", "path", "type")
     own = table.where("name = '$value'").select("doc_id", F.col("up").alias("at"), F.col("at").alias("own"))
@@ -156,13 +160,14 @@ def _values(table: DataFrame, pointed: DataFrame, named: DataFrame) -> DataFrame
     tokens = tokens.select("doc_id", "path", "type", F.coalesce("own", "to").alias("at"), lost.alias("rule"))
     ref = named.select("doc_id", "at", F.col("to").alias("end"), F.col("type").alias("end_type"), "bad")
     out = tokens.join(ref, ["doc_id", "at"], "left")
-    return cut(out.select("doc_id", "path", F.coalesce("end", "at").alias("at"), F.coalesce("type", "end_type").alias("type"), F.coalesce("rule", "bad").alias("rule")))
+    return cut(out.select("doc_id", "path", F.coalesce("end", "at").alias("at"), F.coalesce("type", "end_type").alias("type"), F.coalesce("rule", "bad").alias("rule")), by="doc_id", buckets=buckets)
 
 
 def violations(documents: DataFrame, table: DataFrame | None = None) -> DataFrame:
     """doc_id, path, rule, severity of documents (doc_id, json); severity is error or warning."""
     spark = documents.sparkSession
-    table = nodes(documents) if table is None else table
+    buckets = buckets_of(documents)
+    table = nodes(documents, buckets) if table is None else cut(table, by="doc_id", buckets=buckets)
     slots, items, ranges = _tables(spark)
     error, warning = F.lit("error").alias("severity"), F.lit("warning").alias("severity")
     found = [table.where("at = '' and kind <> 'object'").select("doc_id", F.lit("").alias("path"), F.when(F.col("kind") == "empty", "empty").when(F.col("kind") == "invalid", "invalid JSON").otherwise("root").alias("rule"), error)]
@@ -176,10 +181,10 @@ def violations(documents: DataFrame, table: DataFrame | None = None) -> DataFram
     found.append(live.join(marks, ["doc_id", "at"], "left_semi").select("doc_id", "path", F.lit("deprecated form").alias("rule"), error))
     kids = table.where("up is not null").groupBy("doc_id", F.col("up").alias("at")).agg(F.bool_or(F.col("name") == "$type").alias("typed"), F.count_if(~dollar).alias("members"))
     found.append(live.where("at <> '' and not held").join(kids.where("typed and members = 0"), ["doc_id", "at"]).select("doc_id", "path", F.lit("missing value").alias("rule"), error))
-    found.append(extension_errors(table).select("doc_id", "path", "rule", error))
+    found.append(extension_errors(table, buckets).select("doc_id", "path", "rule", error))
 
-    pointed = pointers(table)
-    values = _values(table, pointed, references(table, pointed))
+    pointed = pointers(table, buckets)
+    values = _values(table, pointed, references(table, pointed, buckets), buckets)
     found.append(values.where("rule is not null").select("doc_id", "path", "rule", error))
     values = values.where("rule is null").drop("rule")
     found.append(values.where("type is null").select("doc_id", "path", F.lit("no type").alias("rule"), error))
@@ -196,7 +201,7 @@ def violations(documents: DataFrame, table: DataFrame | None = None) -> DataFram
         seen = seen.select("doc_id", "path", F.when(moved, F.coalesce("to", "at")).otherwise(F.col("at")).alias("at"), "type", "note", "ord", "below", F.when(moved, F.col("bad")).alias("bad"))
         seen = seen.join(facts, ["doc_id", "at"], "left").join(spaces, ["doc_id", "at"], "left").join(ranges, ["note", "ord"], "left")
         fine = F.col("below") & F.col("type").isin(*BRACED) & (F.col("kind") == "string") & is_braced(F.col("text"))
-        seen = cut(seen.where(~F.coalesce(fine, F.lit(False))).withColumn("rule", F.coalesce("bad", _own_rule())))
+        seen = cut(seen.where(~F.coalesce(fine, F.lit(False))).withColumn("rule", F.coalesce("bad", _own_rule())), by="doc_id", buckets=buckets)
         found.append(seen.where("rule is not null").select("doc_id", "path", "rule", error))
         whole = seen.where("rule is null").select("doc_id", "path", F.col("at").alias("up"), "type", F.col("space").alias("note"), "kind", F.col("note").alias("given"))
         known = whole.where("type <> 'strokeStyle' or kind <> 'string'").where("type <> 'shadow' or kind <> 'array'").join(slots, "type").withColumnRenamed("member", "name").join(children, ["doc_id", "up", "name"], "left")
@@ -206,11 +211,12 @@ def violations(documents: DataFrame, table: DataFrame | None = None) -> DataFram
         inner = known.where("child is not null").select("doc_id", F.concat_ws(".", "path", "name").alias("path"), F.col("child").alias("at"), F.col("of").alias("type"), "note", F.lit(0).cast("long").alias("ord"), F.lit(True).alias("below"))
         listed = whole.where("kind = 'array'").join(items, "type").join(children, ["doc_id", "up"])
         listed = listed.select("doc_id", F.concat("path", F.lit("["), "name", F.lit("]")).alias("path"), F.col("child").alias("at"), F.col("of").alias("type"), F.col("given").alias("note"), F.col("child_ord").alias("ord"), F.lit(True).alias("below"))
-        level = cut(inner.union(listed))
+        level = cut(inner, listed, by="doc_id", buckets=buckets)
     out = found[0]
     for rows in found[1:]:
         out = out.union(rows)
-    return out
+    with together(spark):
+        return cut(out)
 
 
 def categories(errors: DataFrame) -> DataFrame:

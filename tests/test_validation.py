@@ -110,3 +110,27 @@ def test_assembly_is_the_inverse_of_flattening(spark):
 @pytest.mark.parametrize("rows", [[], [(None, '{"a": {"$type": "number", "$value": "x"}}')]])
 def test_no_documents_and_null_ids(spark, rows):
     assert validation.violations(spark.createDataFrame(rows, "doc_id long, json string")).where("rule is null").count() == 0
+
+
+def test_nodes_in_buckets_are_joined_without_another_shuffle(spark):
+    from chromaspan.lineage import TOGETHER, cut, together
+    from chromaspan.operators import nodes
+
+    docs = spark.range(20).select(F.col("id").alias("doc_id"), F.lit('{"a":{"$type":"number","$value":1},"b":{"$ref":"#/a"}}').alias("json"))
+    table = nodes.nodes(docs, 4)
+    before = {k: spark.conf.get(k, None) for k in TOGETHER}
+    broadcast = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        with together(spark):
+            kids = table.where("up is not null").groupBy("doc_id", F.col("up").alias("at")).agg(F.count("*").alias("kids"))
+            plan = table.join(kids, ["doc_id", "at"], "left").select("n", "kids")
+            assert "Exchange" not in plan._jdf.queryExecution().executedPlan().toString()
+            assert plan.where("n <> coalesce(kids, 0)").isEmpty()
+        both = cut(table.select("doc_id", "at"), table.select("doc_id", "at"), by="doc_id", buckets=4)
+        assert both.count() == 2 * table.count() == 20 * 6 * 2
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    assert before == {k: spark.conf.get(k, None) for k in TOGETHER}
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("cut_")]
+    assert nodes.buckets_of(docs.limit(0)) == spark.sparkContext.defaultParallelism
