@@ -97,7 +97,8 @@ def resolved_pointers(spark, sf):
     rows = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("doc_id"), F.col("l_quantity").cast("long").alias("px")).distinct()
     body = F.when(k % 21 == 0, F.concat(F.lit('{"$type":"number","$value":'), k.cast("string"), F.lit("}"))).otherwise(F.concat(F.lit('{"$ref":"#/n'), (k - 1).cast("string"), F.lit('"}')))
     docs = nodes.assemble(rows.select("doc_id", F.array(F.concat(F.lit("n"), k.cast("string"))).alias("path"), k.alias("ord"), body.alias("json")))
-    return validation.pointers(nodes.nodes(docs)).select("doc_id", "at", F.col("to").alias("to_"), "bad")
+    buckets = nodes.buckets_of(docs)
+    return validation.pointers(nodes.nodes(docs, buckets), buckets).select("doc_id", "at", F.col("to").alias("to_"), "bad")
 
 
 #: Each site's groups extend the group before them; the first of ten extends none, group 7 of every site extends itself over 8.
