@@ -117,7 +117,8 @@ def color_math(spark, sf):
 
 @query(f"WITH {LAB}, u AS (SELECT DISTINCT site, hex FROM obs) SELECT x.site, x.hex AS one, y.hex AS two, CAST(floor(sqrt(pow(p.l - q.l, 2) + pow(p.a - q.a, 2) + pow(p.bb - q.bb, 2)) * 1000 + 0.5) AS BIGINT) AS delta FROM u x JOIN u y ON x.site = y.site AND x.hex < y.hex JOIN lab p ON p.hex = x.hex JOIN lab q ON q.hex = y.hex WHERE sqrt(pow(p.l - q.l, 2) + pow(p.a - q.a, 2) + pow(p.bb - q.bb, 2)) < 15")
 def near_colors(spark, sf):
-    once = observations(spark, sf).select("site", "hex").distinct().withColumn("lab", color.lab(F.col("hex")))
+    used = cut(observations(spark, sf).select("site", "hex").distinct())  # or the join's test on lab would be made for every element
+    once = used.withColumn("lab", color.lab(F.col("hex")))
     a, b = once.alias("a"), once.alias("b")
     delta = color.delta_e(F.col("a.lab"), F.col("b.lab"))
     return a.join(b, (F.col("a.site") == F.col("b.site")) & (F.col("a.hex") < F.col("b.hex"))).where(delta < 15).select(F.col("a.site").alias("site"), F.col("a.hex").alias("one"), F.col("b.hex").alias("two"), text.scaled(delta).alias("delta"))
