@@ -417,8 +417,9 @@ def off_grid_spacing(spark, sf):
 @query()
 def finding_scores(spark, sf):
     obs = observations(spark, sf)
-    h, stats = extract.spacing_histogram(obs), extract.color_statistics(obs)
-    styles = extract.type_styles(type_observations(spark, sf))
+    # few rows each, used more than once: elements are read once for each, and no test on a colour is made for every element
+    h, stats = cut(extract.spacing_histogram(obs)), cut(extract.color_statistics(obs))
+    styles = cut(extract.type_styles(type_observations(spark, sf)))
     return audit.finding_scores(obs.select("site").distinct(), audit.near_identical(extract.palette(stats)), audit.hierarchy_collisions(styles), audit.off_grid(h, extract.spacing_scale(h)), extract.primary_colors(stats))
 
 

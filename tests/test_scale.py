@@ -20,3 +20,8 @@ def test_hex_of_channels(spark):
 
 def test_near_colors_tests_no_distance_on_elements(spark):
     assert "lineitem" not in plan_of(catalog.near_colors(spark, SF))
+
+
+def test_finding_scores_read_statistics_not_elements(spark):
+    plan = plan_of(catalog.finding_scores(spark, SF))
+    assert plan.count("lineitem.parquet") == 1 and "format_string" not in plan  # once, for the list of sites
