@@ -113,6 +113,31 @@ def test_suffix_tree_query_on_held_out_documents(spark):
     assert rows[0] > rows[1] and rows[2] < 0
 
 
+def test_suffix_tree_sums_waiting_counts_in_ranges(monkeypatch):
+    """What waits to be summed is not copied whole: the peak stays near the 16 bytes a key that are held."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    texts = ["".join(map(chr, rng.integers(97, 123, 100_000))) for _ in range(40)]
+    monkeypatch.setattr(suffix_tree, "FLUSH_BYTES", 1 << 18)
+    tracemalloc.start()
+    got, seen = Counter(), 0
+    for b in suffix_tree._counter(iter([pa.RecordBatch.from_pydict({"text": texts})])):
+        seen = max(seen, tracemalloc.get_traced_memory()[1])
+        n = b.column("n").to_numpy()
+        got[b.column("kind")[0].as_py()] += int(n.sum())
+    tracemalloc.stop()
+    assert got == {0: sum(len(t) + 1 for t in texts), 1: 40, 2: 40}
+    assert seen < 32 * suffix_tree.HELD_KEYS
+    parts = [suffix_tree._counted(rng.integers(0, 50_000, 30_000).astype(np.uint64)) for _ in range(5)]
+    ranges = list(suffix_tree._merged_ranges(parts, 4000))
+    whole = suffix_tree._merged(parts)
+    assert len(ranges) > 20 and max(len(k) for k, _ in ranges) < 8000
+    assert all(np.array_equal(np.concatenate(c), w) for c, w in zip(zip(*ranges, strict=True), whole, strict=True))
+
+
 def test_suffix_tree_of_nothing(spark):
     none = docs_of(spark, []).where("doc_id > 0")
     assert suffix_tree.scores(none, suffix_tree.fit(none)).count() == 0
