@@ -159,22 +159,26 @@ def candidates(rows: DataFrame) -> DataFrame:
 
 def reliabilities(patterns: DataFrame, rounds: int = ROUNDS) -> tuple[float, list[dict[int, tuple[float, float]]]]:
     """Expectation-maximisation over (v0.., n): the share of true candidates, and for each labeler and vote the
-    probabilities given true and given false. Each round is one aggregate over the bounded pattern table."""
+    probabilities given true and given false. The driver gets the bounded pattern table, so that a round is no plan of
+    its own."""
+    import numpy as np
+
     share = 0.5
     odds = [{1: (0.7, 0.2), 0: (0.2, 0.3), -1: (0.1, 0.5)} for _ in LABELERS]
-    for _ in range(rounds):
-        p = posterior(share, odds)
-        sums = [F.sum(p * F.col("n")).alias("t"), F.sum("n").alias("n")]
+    rows = np.array(patterns.select(*(f"v{i}" for i in range(len(LABELERS))), "n").collect(), float).reshape(-1, len(LABELERS) + 1)
+    rows = rows[np.lexsort(rows.T)]
+    n, total = rows[:, -1], float(rows[:, -1].sum())
+    for _ in range(rounds if total else 0):
+        logit = np.full(len(n), np.log(share / (1 - share)))
         for i in range(len(LABELERS)):
-            for v in (1, 0, -1):
-                is_v = (F.col(f"v{i}") == v).cast("double") * F.col("n")
-                sums += [F.sum(p * is_v).alias(f"t{i}_{v + 1}"), F.sum(is_v).alias(f"n{i}_{v + 1}")]
-        row = patterns.agg(*sums).first()
-        if not row["n"]:
-            break
-        true, false = row["t"], row["n"] - row["t"]
-        share = min(0.99, max(0.01, true / row["n"]))
-        odds = [{v: ((row[f"t{i}_{v + 1}"] + 1) / (true + 3), (row[f"n{i}_{v + 1}"] - row[f"t{i}_{v + 1}"] + 1) / (false + 3)) for v in (1, 0, -1)} for i in range(len(LABELERS))]
+            for v, (t, f) in odds[i].items():
+                logit[rows[:, i] == v] += np.log(t / f)
+        p = n / (1 + np.exp(-logit))
+        true = float(p.sum())
+        false = total - true
+        share = min(0.99, max(0.01, true / total))
+        said = [{v: (float(p[rows[:, i] == v].sum()), float(n[rows[:, i] == v].sum())) for v in (1, 0, -1)} for i in range(len(LABELERS))]
+        odds = [{v: ((t + 1) / (true + 3), (both - t + 1) / (false + 3)) for v, (t, both) in own.items()} for own in said]
     return share, odds
 
 

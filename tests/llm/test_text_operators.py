@@ -325,3 +325,31 @@ def test_the_program_beats_best_fit_where_that_loses(there):
     used = sum(n for _, n in packing.pack(there, 100))
     bound = sum(k * n for k, n in there.items()) / 100
     assert bound <= used <= 1.02 * bound < sum(n for _, n in packing.rounded(there, 100, []))
+
+
+def test_reliabilities_take_one_plan(spark):
+    """Rounds of expectation-maximisation are no jobs of their own, whose plans would pile up on the driver; result as by definition."""
+    rows = [(0, 1, 1, 1, 0, 1, 1, 40.0), (0, -1, 1, 0, 0, 1, 1, 9.0), (1, -1, -1, -1, -1, 0, 1, 30.0), (3, -1, 0, 0, 0, -1, -1, 5.0)]
+    patterns = spark.createDataFrame(rows, "k int, v0 int, v1 int, v2 int, v3 int, v4 int, v5 int, n double")
+    context = spark.sparkContext
+    context.setJobGroup("reliabilities", "rounds")
+    share, odds = pii.reliabilities(patterns)
+    jobs = context.statusTracker().getJobIdsForGroup("reliabilities")
+    context.setLocalProperty("spark.jobGroup.id", None)
+    assert len(jobs) <= 3
+    want, seen = 0.5, [{1: (0.7, 0.2), 0: (0.2, 0.3), -1: (0.1, 0.5)} for _ in range(6)]
+    for _ in range(pii.ROUNDS):
+        p = []
+        for r in rows:
+            yes, no = want, 1 - want
+            for i in range(6):
+                yes, no = yes * seen[i][r[1 + i]][0], no * seen[i][r[1 + i]][1]
+            p.append(yes / (yes + no) * r[7])
+        true, false = sum(p), 84.0 - sum(p)
+        want = min(0.99, max(0.01, true / 84.0))
+        t = lambda i, v: sum(x for x, r in zip(p, rows, strict=True) if r[1 + i] == v)  # noqa: B023, E731
+        f = lambda i, v: sum(r[7] - x for x, r in zip(p, rows, strict=True) if r[1 + i] == v)  # noqa: B023, E731
+        seen = [{v: ((t(i, v) + 1) / (true + 3), (f(i, v) + 1) / (false + 3)) for v in (1, 0, -1)} for i in range(6)]
+    assert abs(share - want) < 1e-9
+    assert all(abs(a - b) < 1e-9 for x, y in zip(odds, seen, strict=True) for v in x for a, b in zip(x[v], y[v], strict=True))
+    assert pii.reliabilities(patterns.limit(0))[0] == 0.5
