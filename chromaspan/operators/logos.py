@@ -8,10 +8,15 @@ address), origin. Nulls and unknown values take the defaults that each function
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chromaspan.functions import text
+from chromaspan.functions.color import let
+from chromaspan.lineage import COMPILED, cut, under
 
 #: What is generic in a logo's alternative text or file name.
 GENERIC = (r"(?i)\b(logos?|logotypes?|logomarks?|brandmarks?|wordmarks?|icons?|brands?|marks?)\b", r"(?i)\.(svg|png|webp|avif|jpe?g|gif)\b", r"(?i)\b(on[-_]?white|on[-_]?black|white|black|dark|light|colou?r|mono|full|small|large|[0-9]+x|2x|3x|v?[0-9]{1,4})\b")
@@ -47,13 +52,14 @@ def third_party(alt: Column, site: Column) -> Column:
     for generic in GENERIC:
         brand = F.regexp_replace(brand, generic, " ")
     brand, own = F.lower(F.regexp_replace(brand, "(?i)[^a-z0-9]+", "")), F.lower(site)
-    return F.when((F.length(brand) >= 2) & (own != "") & ~brand.contains(own) & ~own.contains(brand), brand)
+    return F.when(own != "", let(brand, lambda b: F.when((F.length(b) >= 2) & ~b.contains(own) & ~own.contains(b), b)))
 
 
 def position_fraction(token: Column) -> Column:
     """A token of object-position as a share of the free room; 0.5 for pixels and whatever else is not known."""
     t = F.lower(F.trim(token))
-    share = F.regexp_extract(t, r"^([+-]?(?:[0-9]+[.]?[0-9]*|[.][0-9]+)).*%$", 1).try_cast("double") / 100
+    # only what ends as a percentage is cast: a failing cast costs several times as much as all the rest
+    share = F.when(t.endswith("%"), F.nullif(F.regexp_extract(t, r"^([+-]?(?:[0-9]+[.]?[0-9]*|[.][0-9]+)).*%$", 1), F.lit("")).try_cast("double") / 100)
     return F.coalesce(F.when(share.isNotNull(), F.least(F.lit(1.0), F.greatest(F.lit(0.0), share))).when(t.isin("left", "top"), 0.0).when(t.isin("right", "bottom"), 1.0), F.lit(0.5))
 
 
@@ -74,30 +80,35 @@ def logo_sized(width: Column, height: Column, least: int = LEAST_EDGE) -> Column
     return F.coalesce((w > 0) & (h > 0) & (F.greatest(w, h) >= least), F.lit(False))
 
 
+def _sizable() -> Column:
+    return (F.col("width") >= 24) & (F.col("height") >= 8)
+
+
 def walls(marks: DataFrame) -> DataFrame:
-    """The marks with in_wall: outside headers and the top strip, one of at least three sizable marks in a near container.
+    """page_id, up: the containers of at least three sizable marks, open ones (body, main, html) left out. Marks are counted once an ancestor."""
+    above = marks.where(_sizable()).select("page_id", F.explode("ancestors").alias("a")).where(~F.lower("a.tag").isin(*OPEN))
+    return above.groupBy("page_id", F.col("a.id").alias("up")).agg(F.count("*").alias("n")).where(F.col("n") >= WALL).drop("n")
 
-    Marks are counted once an ancestor; each mark asks its nearest ancestors below the first open one (body, main, html).
-    """
-    sizable = (F.col("width") >= 24) & (F.col("height") >= 8)
+
+def asked() -> Column:
+    """The containers that a mark asks whether it is one of a wall: its nearest ancestors below the first open one; none for marks
+    in headers and in the top strip, and for those that are not sizable."""
     tags = F.transform("ancestors", lambda a: F.lower(a["tag"]))
-    top = F.coalesce(F.exists(tags, lambda t: t.isin("header", "nav")), F.lit(False)) | (F.col("y") < 180)
+    top = (F.col("y") < 180) | F.coalesce(F.exists(tags, lambda t: t.isin("header", "nav")), F.lit(False))
     near = F.slice(F.reverse("ancestors"), 1, WALL_LEVELS)
     open_at = F.array_position(F.transform(near, lambda a: F.lower(a["tag"]).isin(*OPEN)), True)
     near = F.when(open_at > 0, F.slice(near, F.lit(1), (open_at - 1).cast("int"))).otherwise(near)
-    counts = marks.where(sizable).select("page_id", F.explode("ancestors").alias("a")).where(~F.lower("a.tag").isin(*OPEN)).groupBy("page_id", F.col("a.id").alias("up")).agg(F.count("*").alias("n")).where(F.col("n") >= WALL)
-    asks = marks.where(sizable & ~F.coalesce(top, F.lit(False))).select("page_id", "el_id", F.explode(near).alias("a")).select("page_id", "el_id", F.col("a.id").alias("up"))
-    hit = asks.join(counts, ["page_id", "up"]).select("page_id", "el_id").distinct().withColumn("in_wall", F.lit(True))
-    return marks.join(hit, ["page_id", "el_id"], "left").withColumn("in_wall", F.coalesce("in_wall", F.lit(False)))
+    return F.when(_sizable() & ~F.coalesce(top, F.lit(False)), F.transform(near, lambda a: a["id"]))
 
 
 def points() -> Column:
-    """Points of a mark apart from those of its region (see ``region_points``)."""
+    """Points of a mark (with the hosts of its page and of its source, mine and theirs) apart from those of its region (see
+    ``region_points``)."""
     low = lambda c: F.lower(F.coalesce(c, F.lit("")))
     picture = F.lower("tag") == "img"
     file = F.substring_index(F.regexp_replace(low(F.col("src")), "[?#].*$", ""), "/", -1)
     apex = lambda h: F.substring_index(h, ".", -2)
-    mine, theirs = text.host(F.col("origin")), text.host(F.col("src"))
+    mine, theirs = F.col("mine"), F.col("theirs")
     w, h = (F.when(picture & (F.col(f"natural_{s}") > 0), F.col(f"natural_{s}")).otherwise(F.col(s)) for s in ("width", "height"))
     names = (F.when(picture, file).otherwise(""), low(F.col("alt")), low(F.col("class")))
     own = F.col("site") != ""
@@ -107,7 +118,7 @@ def points() -> Column:
         (own & (names[0].contains(F.col("site")) | names[1].contains(F.col("site")) | names[2].contains(F.col("site"))), 40), (names[2].contains("logo") | low(F.col("id")).contains("logo"), 30), ((F.lower("tag") == "svg") & (aria.contains("home") | aria.contains("logo")), 40),
         (to_home, 30), (F.col("y") < 200, 10), (F.col("x") < 400, 10), (F.col("y") > 500, -50), (picture & (theirs != "") & ~theirs.endswith(mine) & ~mine.endswith(theirs) & (apex(theirs) != apex(mine)), -60),
         ((w < 20) | (h < 20), -30), ((w > 800) | (h > 500), -80), (~((w > 800) | (h > 500)) & ((w > 600) | (h > 400)), -40), (F.length(names[1]) > 50, -40), ((w > h) & (w < 400) & (w > 40) & (h > 10) & (h < 120), 15)]
-    return F.aggregate(F.array(*(F.when(test, worth).otherwise(0) for test, worth in tests)), F.lit(0), lambda a, x: a + x).cast("long")
+    return reduce(add, (F.when(test, worth).otherwise(0) for test, worth in tests)).cast("long")
 
 
 def region_points(context: Column) -> Column:
@@ -121,20 +132,28 @@ def ranked(marks: DataFrame, most: int = 6) -> DataFrame:
     the fold, and below it if it links home. Other brands and members of walls count only if they link home.
     """
     low = lambda c: F.lower(F.coalesce(c, F.lit("")))
+    sure = lambda c: F.coalesce(c, F.lit(False))
     named = F.concat_ws(" ", low(F.col("class")), low(F.col("id")), low(F.col("alt"))).rlike("logo|brand")
     labelled = (F.lower("tag") == "svg") & low(F.col("aria")).rlike("home|logo")
     linked = low(F.col("link")).rlike(r"^/$|^https?://[^/]+/?$") | low(F.col("link_aria")).contains("home")
-    home = F.col("home")
-    shown = (F.col("width") > 0) & (F.col("height") > 0)
-    ours = home | (F.col("other").isNull() & ~F.col("in_wall"))
-    in_zone = F.when(F.col("zone").isin(*REGIONS) & (named | labelled | linked), F.struct((F.col("points") + region_points(F.col("zone"))).alias("score"), F.col("zone").alias("context")))
+    home = home_href(F.col("link"), F.col("origin"))
+    in_zone = sure(F.col("zone").isin(*REGIONS) & (named | labelled | linked))
     fits = ~((F.col("width") > 1500) | (F.col("height") > 500)) & logo_sized(F.col("width"), F.col("height"))
-    swept = F.when(named & fits & (home | F.coalesce(F.col("y") <= FOLD, F.lit(True))), F.struct((F.col("points") + region_points(F.col("by_place")) + 20).alias("score"), F.col("by_place").alias("context")))
-    known = walls(marks).where(shown).withColumns({"home": home_href(F.col("link"), F.col("origin")), "other": third_party(low(F.col("alt")), F.col("site")), "points": points(), "by_place": region(F.col("y"), F.col("doc_height"))})
-    found = known.where(ours).select("*", F.explode(F.array_compact(F.array(F.greatest(in_zone, swept)))).alias("best"))
-    box = painted_box(*(F.col(c) for c in ("x", "y", "width", "height", "natural_width", "natural_height", "fit")), position_fraction(F.col("at_x")), position_fraction(F.col("at_y")))
+    swept = sure(named & fits & (F.coalesce(F.col("y") <= FOLD, F.lit(True)) | home))
+    by_place = region(F.col("y"), F.col("doc_height"))
+    of = lambda when, context, more=0: F.when(when, F.struct((F.col("points") + region_points(context) + more).alias("score"), context.alias("context")))
+    box = painted_box(*(F.col(c) for c in ("x", "y", "width", "height", "natural_width", "natural_height", "fit")), F.col("at_x"), F.col("at_y"))
+    # in steps, so that what is used more than once is worked out once; a filter on a worked-out column would work it out again
+    able = marks.where((F.col("width") > 0) & (F.col("height") > 0) & (in_zone | swept))
+    able = able.withColumns({"in_zone": in_zone, "swept": swept, "home": home, "other": third_party(low(F.col("alt")), F.col("site")), "mine": text.host(F.col("origin")), "theirs": text.host(F.col("src"))})
+    able = able.withColumns({"points": points(), "at_x": position_fraction(F.col("at_x")), "at_y": position_fraction(F.col("at_y"))})
+    with under(marks.sparkSession, COMPILED):
+        found = cut(able.select("page_id", "el_id", "home", "other", asked().alias("up"), F.greatest(of(F.col("in_zone"), F.col("zone")), of(F.col("swept"), by_place, 20)).alias("best"), box.alias("box"))).where("home or other is null")
+    asks = found.where("not home").select("page_id", "el_id", F.explode("up").alias("up"))
+    hit = asks.join(walls(marks), ["page_id", "up"]).select("page_id", "el_id").distinct().withColumn("in_wall", F.lit(True))
+    ours = found.join(hit, ["page_id", "el_id"], "left").where("home or in_wall is null")
     order = Window.partitionBy("page_id").orderBy(F.desc("best.score"), "el_id")
-    return found.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= most).select("page_id", "el_id", "best.context", "best.score", "rank", box.alias("box"))
+    return ours.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= most).select("page_id", "el_id", "best.context", "best.score", "rank", "box")
 
 
 def best_picture(logos: DataFrame, icons: DataFrame) -> DataFrame:

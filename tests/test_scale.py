@@ -25,3 +25,8 @@ def test_near_colors_tests_no_distance_on_elements(spark):
 def test_finding_scores_read_statistics_not_elements(spark):
     plan = plan_of(catalog.finding_scores(spark, SF))
     assert plan.count("lineitem.parquet") == 1 and "format_string" not in plan  # once, for the list of sites
+
+
+def test_page_logos_judge_marks_once(spark):
+    plan = plan_of(catalog.QUERIES["page_logos"](spark, SF))
+    assert plan.count("lineitem.parquet") == 1 and "RegExpReplace" not in plan and "regexp_replace" not in plan  # once, for the walls
