@@ -39,15 +39,18 @@ def border_combinations(obs: DataFrame) -> DataFrame:
 def shadow_histogram(obs: DataFrame) -> DataFrame:
     """site, shadow, n, confidence, blur: zero-alpha layers dropped, white space made one, blur the largest third length."""
     raw = F.concat(F.lit("0px "), F.col("width").cast("string"), F.lit("px  "), F.col("radius").cast("string"), F.lit("px "), F.col("hex"), F.lit(", 0 0 9px rgba(0, 0, 0, 0)"))
-    return shadows(obs.withColumn("shadow", raw))
+    return shadows(obs.groupBy("site", "width", "radius", "hex").agg(F.count("*").alias("n")).withColumn("shadow", raw))
 
 
 def shadows(rows: DataFrame) -> DataFrame:
+    """rows: site, shadow and, optionally, n (uses). Each distinct text of a site is taken apart once."""
+    rows = rows.groupBy("site", "shadow").agg(F.sum("n" if "n" in rows.columns else F.lit(1)).cast("long").alias("n"))
     layers = F.transform(F.split("shadow", r",(?![^(]*\))"), lambda x: F.trim(F.regexp_replace(x, r"\s+", " ")))
     kept = F.filter(layers, lambda x: ~F.lower(x).rlike(r"transparent|rgba\([^)]*,\s*0(\.0+)?\s*\)|/\s*0(\.0+)?\s*\)"))
-    clean = rows.withColumn("shadow", F.array_join(kept, ", ")).where("shadow <> ''")
+    # bound to the count: a filter on the key alone would be worked out below the aggregate, for every element
+    clean = rows.withColumn("shadow", F.when(F.col("n") > 0, F.array_join(kept, ", "))).where("shadow <> ''")
     blur = F.array_max(F.transform(F.split("shadow", r",(?![^(]*\))"), lambda x: F.coalesce(text.leading_number(F.regexp_extract(x, r"(?:-?[0-9.]+(?:px)?\s+){2}(-?[0-9.]+)", 1)), F.lit(0.0))))
-    out = clean.groupBy("site", "shadow").agg(F.count("*").alias("n"))
+    out = clean.groupBy("site", "shadow").agg(F.sum("n").alias("n"))
     return out.withColumn("confidence", F.when(F.col("n") > 5, "high").when(F.col("n") > 2, "medium").otherwise("low")).withColumn("blur", blur.cast("long"))
 
 

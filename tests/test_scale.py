@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from chromaspan.functions import color
+from chromaspan.operators import extract
 from chromaspan.plans import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -30,3 +31,11 @@ def test_finding_scores_read_statistics_not_elements(spark):
 def test_page_logos_judge_marks_once(spark):
     plan = plan_of(catalog.QUERIES["page_logos"](spark, SF))
     assert plan.count("lineitem.parquet") == 1 and "RegExpReplace" not in plan and "regexp_replace" not in plan  # once, for the walls
+
+
+def test_shadows_are_taken_apart_once_a_text(spark):
+    obs = spark.createDataFrame([("a", 1, 2, "#000000")] * 7 + [("a", 2, 2, "#000000")] * 2, "site string, width int, radius int, hex string")
+    got = {(r["shadow"], r["n"], r["confidence"], r["blur"]) for r in extract.shadow_histogram(obs).collect()}
+    assert got == {("0px 1px 2px #000000", 7, "high", 2), ("0px 2px 2px #000000", 2, "low", 2)}
+    plan = plan_of(extract.shadow_histogram(obs))
+    assert plan.rindex("HashAggregate") > plan.rindex("regexp_replace")  # elements are counted before texts are looked at
