@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from chromaspan.functions import color
 from chromaspan.functions.color import let
 from chromaspan.functions.css import css_color
+from chromaspan.lineage import cut
 
 #: Weights of words in an element's context, and the largest that is taken over from ancestors.
 CONTEXT_SCORES = {
@@ -115,12 +116,26 @@ def scored(rows: DataFrame) -> DataFrame:
     return out.withColumn("score", F.when(F.col("is_cta"), F.greatest(lifted, F.lit(CTA_SCORE))).otherwise(lifted))
 
 
+def shades(texts: DataFrame) -> DataFrame:
+    """said, shades: the colours with an alpha of 0.3 or more that each distinct text (column said) paints, as array<struct<painted, hex>>."""
+    found = F.filter(F.regexp_extract_all("said", F.lit(COLORS), F.lit(1)), lambda x: ~F.lower(x).isin(*NO_COLORS) & (F.length(x) > 2))
+    each = texts.where("said is not null").distinct().select("said", F.explode(found).alias("painted")).withColumn("rgba", parsed(F.col("painted"))).where("rgba.a >= 0.3")
+    return each.groupBy("said").agg(F.collect_list(F.struct("painted", color.to_hex(F.col("rgba.r"), F.col("rgba.g"), F.col("rgba.b")).alias("hex"))).alias("shades"))
+
+
 def painted(rows: DataFrame) -> DataFrame:
-    """A row per colour that an element paints with an alpha of 0.3 or more: hex and is_bg beside the element's columns."""
-    found = lambda c: F.filter(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(COLORS), F.lit(1)), lambda x: ~F.lower(x).isin(*NO_COLORS) & (F.length(x) > 2))
-    each = rows.withColumn("bg_colors", found("bg")).withColumn("painted", F.explode(F.concat("bg_colors", found("fg"), found("border"))))
-    each = each.withColumn("rgba", parsed(F.col("painted"))).where("rgba.a >= 0.3")
-    return each.withColumn("hex", color.to_hex(F.col("rgba.r"), F.col("rgba.g"), F.col("rgba.b"))).withColumn("is_bg", F.array_contains("bg_colors", F.col("painted"))).drop("bg_colors", "painted", "rgba")
+    """A row per colour that an element paints with an alpha of 0.3 or more: hex and is_bg beside the element's columns.
+
+    Each distinct text is taken apart once and joined back. The elements are read twice, so hand on a table rather than a long plan.
+    """
+    sides = ("bg", "fg", "border")
+    known = cut(shades(rows.select(F.explode(F.array(*sides)).alias("said"))))
+    out = rows
+    for c in sides:
+        out = out.join(known.select(F.col("said").alias(c), F.col("shades").alias(f"{c}_shades")), c, "left")
+    none = F.array().cast("array<struct<painted: string, hex: string>>")
+    out = out.select(*rows.columns, "bg_shades", F.explode(F.concat(*(F.coalesce(f"{c}_shades", none) for c in sides))).alias("shade"))
+    return out.select(*rows.columns, "shade.hex", F.array_contains(F.coalesce(F.col("bg_shades.painted"), F.array().cast("array<string>")), F.col("shade.painted")).alias("is_bg"))
 
 
 def color_statistics(rows: DataFrame, key: str) -> DataFrame:
@@ -130,8 +145,8 @@ def color_statistics(rows: DataFrame, key: str) -> DataFrame:
 
 def cta_primary(rows: DataFrame, painted_rows: DataFrame, key: str) -> DataFrame:
     """key, hex, n: the background of at least two calls to action whose colour has the highest score (then the smaller hex)."""
-    p = parsed(F.col("bg"))
-    ctas = rows.where("is_cta").withColumn("rgba", p).groupBy(key, color.to_hex(F.col("rgba.r"), F.col("rgba.g"), F.col("rgba.b")).alias("hex")).agg(F.count("*").alias("n")).where("n >= 2")
+    ctas = rows.where("is_cta").groupBy(key, "bg").agg(F.count("*").alias("n")).withColumn("rgba", parsed(F.col("bg")))
+    ctas = ctas.groupBy(key, color.to_hex(F.col("rgba.r"), F.col("rgba.g"), F.col("rgba.b")).alias("hex")).agg(F.sum("n").alias("n")).where("n >= 2")
     best = ctas.join(color_statistics(painted_rows, key).select(key, "hex", "score"), [key, "hex"])
     return best.groupBy(key).agg(F.min_by(F.struct("hex", "n"), F.struct(-F.col("score"), "hex")).alias("x")).select(key, "x.hex", "x.n")
 

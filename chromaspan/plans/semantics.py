@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chromaspan.functions import text
+from chromaspan.lineage import cut
 from chromaspan.operators import elements as E
 
 from .bridge import table
@@ -73,15 +74,20 @@ def element_scores(spark, sf):
     return out.select("page_id", "el_id", "score", "is_status", "is_cta", F.when(F.col("rgba").isNotNull(), color.to_hex(F.col("rgba.r"), F.col("rgba.g"), F.col("rgba.b"))).alias("backdrop"))
 
 
+def _looks(spark, sf):
+    """What elements paint and what it counts, as a table."""
+    return cut(_scored(spark, sf).select("site", "bg", "fg", "border", "score", "is_status", "is_cta"))
+
+
 @query(f"WITH {PAINT} SELECT * FROM stat")
 def painted_color_statistics(spark, sf):
-    return E.color_statistics(E.painted(_scored(spark, sf)), "site")
+    return E.color_statistics(E.painted(_looks(spark, sf)), "site")
 
 
 @query(f"""WITH {PAINT}, cta AS (SELECT site, bhex AS hex, count(*) AS n FROM el WHERE is_cta GROUP BY ALL HAVING count(*) >= 2)
 SELECT site, hex, cta.n AS n FROM cta JOIN stat USING (site, hex) QUALIFY row_number() OVER (PARTITION BY site ORDER BY score DESC, hex) = 1""")
 def cta_primary_colors(spark, sf):
-    rows = _scored(spark, sf)
+    rows = _looks(spark, sf)
     return E.cta_primary(rows, E.painted(rows), "site")
 
 

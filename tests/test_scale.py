@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from chromaspan.functions import color
-from chromaspan.operators import extract
+from chromaspan.operators import elements, extract
 from chromaspan.plans import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -39,3 +39,12 @@ def test_shadows_are_taken_apart_once_a_text(spark):
     assert got == {("0px 1px 2px #000000", 7, "high", 2), ("0px 2px 2px #000000", 2, "low", 2)}
     plan = plan_of(extract.shadow_histogram(obs))
     assert plan.rindex("HashAggregate") > plan.rindex("regexp_replace")  # elements are counted before texts are looked at
+
+
+def test_colours_are_taken_apart_once_a_text(spark):
+    rows = [(1, "rgb(1, 2, 3)", "rgb(1, 2, 3)", "rgb(9, 9, 9) none #0a0b0c"), (2, None, "rgba(1, 2, 3, 0.2)", None), (3, "linear-gradient(#fff000, #00000010, red)", "red", "none"), (3, "transparent", "#FFF000", "")]
+    painted = elements.painted(spark.createDataFrame(rows, "el_id int, bg string, fg string, border string"))
+    got = sorted((r["el_id"], r["hex"], r["is_bg"]) for r in painted.collect())
+    assert got == [(1, "#010203", True), (1, "#010203", True), (1, "#090909", False), (1, "#0a0b0c", False), (3, "#ff0000", True), (3, "#ff0000", True), (3, "#fff000", False), (3, "#fff000", True)]
+    plan = plan_of(painted)
+    assert painted.columns == ["el_id", "bg", "fg", "border", "hex", "is_bg"] and "EvalPython" not in plan and "regexp_extract_all" not in plan
