@@ -184,15 +184,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     # stars over a few bands; they join most of a group, so what follows only looks at what they left apart
     stars = members.where(F.col("lane") < FIRST_BANDS).select(F.col("first").alias("a"), F.col("node").alias("b"))
     tried = common.staged(described(stars).where(likely(percent)).select("a", "b"))
-    links = common.staged(confirmed(tried, sets, percent))
-    found = components.components(links)
+    found = components.components(confirmed(tried, sets, percent))
     # stars over all bands, from the nodes outside a bucket's main component to its centre
     mixed = mixed_buckets(members, found)
     stars = described(mixed.where("component <> main").select(F.col("centre").alias("a"), F.col("node").alias("b"))).where(likely(percent)).select("a", "b")
     again = common.staged(stars.join(tried, ["a", "b"], "left_anti"))
-    links = links.union(common.staged(confirmed(again, sets, percent)))
     tried = tried.union(again)
-    found = components.components(links)
+    found = components.extended(found, common.staged(confirmed(again, sets, percent)))
     # what is still apart, against the other components of its bucket
     mixed = mixed_buckets(members, found)
     crowd = mixed.where(F.col("outside") > LARGE).select("node").distinct()
@@ -201,7 +199,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     second = across(mixed, about, sets, percent).join(tried, ["a", "b"], "left_anti")
     more = common.staged(confirmed(second, sets, percent))
     if not more.isEmpty():
-        found = components.components(links.union(more))
+        found = components.extended(found, more)
 
     classes = named.join(found, "node", "left").select(*key, F.coalesce("component", "node").alias("component"), "salts")
     has = lambda k: F.shiftrightunsigned("salts", k).bitwiseAND(F.lit(1)) == 1

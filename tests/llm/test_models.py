@@ -232,6 +232,32 @@ def test_components_of_a_path(spark):
     assert all(got[k] == 1 for k in range(1, n + 1)) and got[1001] == 1000
 
 
+def test_components_of_stars_take_one_round(spark, monkeypatch):
+    tables = []
+    monkeypatch.setattr(components, "staged", lambda df, staged=components.staged: tables.append(df) or staged(df))
+    links = [(c, 10_000 * c + k) for c in (7, 8) for k in range(300)] + [(9, 9), (7, 70_000), (70_001, 7)]
+    got = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert len(got) == 602 and all(c == (7 if k == 7 or 70_000 <= k < 80_000 else 8) for k, c in got.items())
+    assert len(tables) <= 5  # links, picks, joined nodes, no links, names
+
+
+def test_components_extended_by_links(spark):
+    rng = random.Random(31)
+    table = lambda rows: spark.createDataFrame(rows, "a long, b long")
+    for size, most in ((60, 30), (200, 500), (1000, 400)):
+        old, new = ([(rng.randrange(most), rng.randrange(most)) for _ in range(n)] for n in (size, size // 3))
+        group = {x: x for x in range(most)}
+        for _ in range(most):
+            for a, b in old + new:
+                group[a] = group[b] = min(group[a], group[b])
+        found = components.components(table(old))
+        for got in (components.extended(found, table(new)), components.components(table(old + new)), components.extended(components.extended(found, table(new)), table(old))):
+            rows = {r["node"]: r["component"] for r in got.collect()}
+            assert got.count() == len(rows) and set(rows) == {x for a, b in old + new for x in (a, b) if a != b} | set(rows)
+            assert all(group[k] == c for k, c in rows.items())
+    assert components.extended(components.components(table([])), table([])).count() == 0
+
+
 def test_neighbours_reach_recall(spark):
     rng = np.random.default_rng(5)
     centres = rng.normal(size=(12, 16))
