@@ -260,20 +260,29 @@ def _captures(spark, sf):
     return observations(spark, sf).select("site", F.concat_ws("@", "site", "capture").alias("snapshot_id"), "capture").distinct()
 
 
-def _tokens(spark, sf):
-    """Tokens of each site and month: all its colours, spacings, radii, type styles and shadows by use, and a primary.
-
-    Radii and shadows have the confidence of their use. One pass over the elements.
-    """
+def _counts(spark, sf):
+    """site, capture, category, value, num, count: how often each site and month has each colour, spacing, radius, type style
+    and shadow. Elements are counted by their own columns; only what was counted is turned into tokens."""
+    obs = observations(spark, sf)
     none = F.lit(None).cast("double")
     each = lambda category, value, num: F.struct(F.lit(category).alias("category"), value.alias("value"), num.cast("double").alias("num"))
+    colors = obs.groupBy("site", "capture", "hex").agg(F.count("*").alias("count"))
+    looks = obs.groupBy("site", "capture", "tag", "width", "px", "radius").agg(F.count("*").alias("count"))
     values = F.array(
-        each("color", F.col("hex"), none), each("spacing", F.col("px").cast("string"), F.col("px")), each("radius", F.col("radius").cast("string"), F.col("radius")),
+        each("spacing", F.col("px").cast("string"), F.col("px")), each("radius", F.col("radius").cast("string"), F.col("radius")),
         each("shadow", F.concat(F.lit("0 "), F.col("width").cast("string"), F.lit("px "), F.col("radius").cast("string"), F.lit("px")), none),
         each("typography", F.concat_ws("/", "tag", (F.col("width") * 100).cast("string"), F.col("px").cast("string")), F.col("px")),
     )
-    rows = observations(spark, sf).select(F.concat_ws("@", "site", "capture").alias("snapshot_id"), F.explode(values).alias("x")).select("snapshot_id", "x.*")
-    rows = rows.groupBy("snapshot_id", "category", "value", "num").agg(F.count("*").alias("count"))
+    rows = looks.select("site", "capture", F.explode(values).alias("x"), "count").groupBy("site", "capture", "x.category", "x.value", "x.num").agg(F.sum("count").alias("count"))
+    return rows.union(colors.select("site", "capture", F.lit("color"), "hex", none, "count"))
+
+
+def _tokens(spark, sf, counts=None):
+    """Tokens of each site and month: all its colours, spacings, radii, type styles and shadows by use, and a primary.
+
+    Radii and shadows have the confidence of their use.
+    """
+    rows = (_counts(spark, sf) if counts is None else counts).select(F.concat_ws("@", "site", "capture").alias("snapshot_id"), "category", "value", "num", "count")
     high, medium = F.when(F.col("category") == "radius", 10).otherwise(5), F.when(F.col("category") == "radius", 3).otherwise(2)
     sure = F.when(~F.col("category").isin("radius", "shadow"), "high").when(F.col("count") > high, "high").when(F.col("count") > medium, "medium").otherwise("low")
     ord_ = F.row_number().over(Window.partitionBy("snapshot_id", "category").orderBy(F.desc("count"), "value")).cast("long")
@@ -293,7 +302,9 @@ def capture_pairs(spark, sf):
 
 
 def _compared(spark, sf):
-    return drift.compared(drift.previous_pairs(_captures(spark, sf)), _tokens(spark, sf))
+    counts = cut(_counts(spark, sf))  # captures and tokens come from them: elements are read for nothing else
+    captures_ = counts.select("site", F.concat_ws("@", "site", "capture").alias("snapshot_id"), "capture").distinct()
+    return drift.compared(drift.previous_pairs(captures_), _tokens(spark, sf, counts))
 
 
 SHADOW = f"""{CAPTURES}, sh AS (SELECT site || '@' || capture AS snapshot_id, '0 ' || width || 'px ' || radius || 'px' AS value, count(*) AS n FROM obs GROUP BY ALL),

@@ -48,3 +48,15 @@ def test_colours_are_taken_apart_once_a_text(spark):
     assert got == [(1, "#010203", True), (1, "#010203", True), (1, "#090909", False), (1, "#0a0b0c", False), (3, "#ff0000", True), (3, "#ff0000", True), (3, "#fff000", False), (3, "#fff000", True)]
     plan = plan_of(painted)
     assert painted.columns == ["el_id", "bg", "fg", "border", "hex", "is_bg"] and "EvalPython" not in plan and "regexp_extract_all" not in plan
+
+
+def test_drift_reads_counts_not_elements(spark):
+    assert "lineitem" not in plan_of(catalog.drift_reports(spark, SF))
+    counts = catalog._counts(spark, SF)
+    plan = counts._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate") == 1 and "Aggregate" in plan[plan.index("Generate") :]  # elements are counted before they become tokens
+    got = {r["category"]: (r["n"], r["kinds"]) for r in counts.groupBy("category").agg(F.sum("count").alias("n"), F.countDistinct("value").alias("kinds")).collect()}
+    obs = catalog.observations(spark, SF)
+    n = obs.count()
+    want = {"color": "hex", "spacing": "px", "radius": "radius", "shadow": "width, radius", "typography": "tag, width, px"}
+    assert got == {k: (n, obs.selectExpr(*c.split(", ")).distinct().count()) for k, c in want.items()}
