@@ -134,3 +134,31 @@ def test_nodes_in_buckets_are_joined_without_another_shuffle(spark):
     assert before == {k: spark.conf.get(k, None) for k in TOGETHER}
     assert not [t for t in spark.catalog.listTables() if t.name.startswith("cut_")]
     assert nodes.buckets_of(docs.limit(0)) == spark.sparkContext.defaultParallelism
+
+
+def test_tables_in_buckets_are_not_broadcast_for_their_size(spark, monkeypatch):
+    """Files of a few MB hold node tables of hundreds; only frames marked as small go through the driver."""
+    from chromaspan import lineage
+
+    plans, original = [], lineage.cut
+
+    def cut(df, *more, by=None, buckets=None):
+        with lineage.together(spark):
+            plans.extend(rows._jdf.queryExecution().executedPlan().toString() for rows in (df, *more))
+        return original(df, *more, by=by, buckets=buckets)
+
+    assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") != "-1"
+    for module in (nodes, validation):
+        monkeypatch.setattr(module, "cut", cut)
+    docs = spark.range(20).select(F.col("id").alias("doc_id"), F.lit('{"a":{"$type":"number","$value":1},"b":{"$ref":"#/c"},"c":{"$ref":"#/a"},"d":{"$type":"number","$value":"{a}"}}').alias("json"))
+    table = nodes.nodes(docs, 4)
+    pointed = validation.pointers(table, 4)
+    assert pointed.where("bad is null and to = '/a'").count() == 2 * 20
+    assert validation.references(table, pointed, 4).where("bad is null and to = '/a/$value'").count() == 20
+    assert any("SortMergeJoin" in p for p in plans) and not any("Broadcast" in p for p in plans)
+    plans.clear()
+    assert {r["rule"] for r in validation.violations(docs).collect()} == {"no type"}  # of b and c
+    small = [line for p in plans for line in p.splitlines() if "BroadcastExchange" in line]
+    assert small and len(plans) > 10
+    below = [b for p in plans for a, b in zip(p.splitlines(), p.splitlines()[1:], strict=False) if "BroadcastExchange" in a]
+    assert not [b for b in below if "FileScan" in b]
