@@ -138,6 +138,39 @@ def test_suffix_tree_sums_waiting_counts_in_ranges(monkeypatch):
     assert all(np.array_equal(np.concatenate(c), w) for c, w in zip(zip(*ranges, strict=True), whole, strict=True))
 
 
+def test_suffix_tree_learns_rare_passages_of_a_large_corpus(spark):
+    """A context that occurs four times is a candidate, however many symbols the corpus has."""
+    rng = random.Random(8)
+    words = ["".join(rng.choices("abcdefgh", k=rng.randint(2, 7))) for _ in range(300)]
+    filler = [" ".join(rng.choices(words, k=2000)) for _ in range(20)]
+    passage = "zyx wvut qpon"
+    rows = [(k, f"{filler[k % 20]} {passage}" if k in (1, 2, 3, 5) else filler[k % 20]) for k in range(460)]
+    held = F.col("doc_id") % 10 == 0
+    model = suffix_tree.fit(docs_of(spark, rows).repartition(4), held)
+    assert 1e6 * 4 < sum(len(t) + 1 for k, t in rows if k % 10)
+    raw = suffix_tree._framed([suffix_tree.normal(passage)])[0]
+    window = np.concatenate([x for _, x in suffix_tree._windows(raw)])
+    log = model.tree.log_probability(window[6:])  # what follows "zyx wv" and so on
+    assert np.all(log > math.log(0.5)), np.exp(log)
+    got = suffix_tree.scores(docs_of(spark, [(10, passage)]), model).first()
+    assert got["score"] == pytest.approx(model.tree.log_probability(window).sum() / math.log(10))
+
+
+@pytest.mark.parametrize("share", [1.0, 0.004, 0.0])
+def test_suffix_tree_scores_do_not_hang_on_which_windows_are_frequent(spark, monkeypatch, share):
+    rows = [(k, " ".join(random.Random(k).choices(["the", "cat", "sat", "on", "a", "mat", "é"], k=30))) for k in range(40)] + [(50, None), (51, "unseen Zebra"), (3, "other text")]
+    docs = docs_of(spark, rows)
+    monkeypatch.setattr(suffix_tree, "HOT_WINDOWS", share)
+    monkeypatch.setattr(suffix_tree, "ROW_ENTRIES", 3)
+    model = suffix_tree.fit(docs)
+    held = [crc32(str(i).encode()) % 10 == 0 for i, _ in rows]
+    plain = Plain([t for (_, t), out in zip(rows, held, strict=True) if not out])
+    seen = sum(len(plain.windows(t)) for (_, t), out in zip(rows, held, strict=True) if not out)
+    kinds = Counter(w for (_, t), out in zip(rows, held, strict=True) if not out for w in plain.windows(t))
+    assert len(model.windows[0]) == sum(n >= share * seen for n in kinds.values())
+    assert sorted(r["score"] for r in suffix_tree.scores(docs, model).collect()) == pytest.approx(sorted(plain.score(t) for _, t in rows))
+
+
 def test_suffix_tree_of_nothing(spark):
     none = docs_of(spark, []).where("doc_id > 0")
     assert suffix_tree.scores(none, suffix_tree.fit(none)).count() == 0
